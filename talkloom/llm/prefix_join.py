@@ -4,9 +4,10 @@
 2. One pass emits each document's prefix, split into parts by size bucket and class (see prefix_kernel). Documents with the
    same shingles are one group: they have the same prefix and size, and only one of a task's copies is sent.
 3. Each part counts common prefix shingles of its groups and keeps group pairs with enough of them: for each group its best
-   few at first, the others' prefixes aside.
+   few; groups with more are noted.
 4. The pairs are expanded to whole shingle sets and verified; links give components.
-5. The prefixes put aside are counted again, now only between different components, all pairs this time, and verified.
+5. The noted groups are counted again, now with all their shingles as prefix (few near misses stay), all pairs of different
+   components this time, and verified.
 
 Nothing is dropped: a pair that is never verified lies within one component already. Pairs within a large group of near
 copies are never all formed.
@@ -29,10 +30,8 @@ from talkloom.llm.shingle import K, mix, shingles, slabs
 #: Ids are broadcast up to this number (8 MB); beyond it they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 _SLICES = 64
-_PART = pa.schema([("part", pa.int64()), ("ids", pa.binary()), ("prints", pa.binary()), ("sizes", pa.binary()), ("lengths", pa.binary()), ("tokens", pa.binary())])
-_PART_SQL = "part long, ids binary, prints binary, sizes binary, lengths binary, tokens binary"
-_PAIR_SQL = "a long, b long, part long, size int, tokens binary"
-_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("part", pa.int64()), ("size", pa.int32()), ("tokens", pa.binary())])
+_PART = pa.schema([("part", pa.int64()), ("ids", pa.binary()), ("prints", pa.binary()), ("groups", pa.binary()), ("sizes", pa.binary()), ("lengths", pa.binary()), ("tokens", pa.binary())])
+_PART_SQL = "part long, ids binary, prints binary, groups binary, sizes binary, lengths binary, tokens binary"
 
 
 def _texts(batch: pa.RecordBatch) -> list:
@@ -94,11 +93,8 @@ def _featured(k: int, level):
     return run
 
 
-def _emitted(k: int, level, blocks: dict[int, int], most: int = 2_000_000):
+def _emitted(k: int, level, blocks: dict[int, int], keep: float = pk.KEEP, most: int = 1_000_000):
     def flush(held):
-        def col(i):
-            return pa.array([v[i] for v in held.values()], pa.binary())
-
         joined = {p: tuple(np.concatenate(x).tobytes() for x in zip(*v, strict=True)) for p, v in held.items()}
         held.clear()
         if joined:
@@ -111,7 +107,7 @@ def _emitted(k: int, level, blocks: dict[int, int], most: int = 2_000_000):
         held: dict[int, list] = {}
         seen, room = set(), 0
         for batch in batches:
-            texts, ids = _texts(batch), batch.column("doc_id").to_pylist()
+            texts, ids, group = _texts(batch), batch.column("doc_id").to_pylist(), batch.column("component").to_pylist()
             for i, j in slabs(texts):
                 for d, g in enumerate(shingles(texts[i:j], k), i):
                     if not len(g) or ids[d] is None:
@@ -121,8 +117,8 @@ def _emitted(k: int, level, blocks: dict[int, int], most: int = 2_000_000):
                     if own in seen:
                         continue
                     seen.add(own)
-                    head = (np.array([ids[d]], np.int64), np.array(own, np.uint64), np.array([len(key)], np.int32))
-                    for p, t in pk.parts_of(key, own[0] & 0xFFFFFFFF, blocks):
+                    head = (np.array([ids[d]], np.int64), np.array(own, np.uint64), np.array([group[d]], np.int64), np.array([len(key)], np.int32))
+                    for p, t in pk.parts_of(key, own[0] & 0xFFFFFFFF, blocks, keep):
                         held.setdefault(p, []).append((*head, np.array([len(t)], np.int32), t))
                         room += len(t)
                 if room > most:
@@ -133,47 +129,38 @@ def _emitted(k: int, level, blocks: dict[int, int], most: int = 2_000_000):
     return run
 
 
-def _part_pairs(table: pa.Table) -> pa.Table:
-    """Step 3 of one part: first pairs, and the prefixes of groups that have more."""
-    np.seterr(over="ignore")
-    part = table.column("part")[0].as_py()
-
-    def whole(name, kind):
-        return np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
-
-    ids, prints, n, length, token = (whole(*x) for x in (("ids", np.int64), ("prints", np.uint64), ("sizes", np.int32), ("lengths", np.int32), ("tokens", np.uint64)))
-    f1, f2 = prints[0::2], prints[1::2]
-    order = np.lexsort((ids, f2, f1, n))
-    same = (f1[order][1:] == f1[order][:-1]) & (f2[order][1:] == f2[order][:-1]) & (n[order][1:] == n[order][:-1])
-    keep = order[np.concatenate(([True], ~same))]  # one of each group of equal sets, by size
-    start = np.cumsum(length) - length
-    token = np.concatenate([token[a : a + k] for a, k in zip(start[keep], length[keep], strict=True)])
-    ids, n, length = ids[keep], n[keep].astype(np.int64), length[keep]
-    doc = np.repeat(np.arange(len(ids)), length)
-    a, b, more = [], [], np.zeros(len(ids), bool)
-    for x, y, common in pk.candidates(token, doc, n, (part >> 32) // pk.MAX_CLASSES):
-        first = pk.first_pairs(x, y, common)
-        a.append(ids[x[first]]), b.append(ids[y[first]])
-        more[x[~first]] = more[y[~first]] = True
-    pairs = [np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b)]
-    cut = np.concatenate(([0], np.cumsum(length)))
-    rest = np.flatnonzero(more)
-    none, many = [None] * len(pairs[0]), len(rest)
-    return pa.table([pa.array([*np.minimum(*pairs).tolist(), *ids[rest].tolist()], pa.int64()), pa.array([*np.maximum(*pairs).tolist(), *[None] * many], pa.int64()), pa.array([*none, *[part] * many], pa.int64()), pa.array([*none, *n[rest].tolist()], pa.int32()), pa.array([*none, *[token[cut[i] : cut[i + 1]].tobytes() for i in rest]], pa.binary())], schema=_PAIR)
-
-
-def _rest_pairs(table: pa.Table) -> pa.Table:
-    """Step 5 of one part: all pairs of different components."""
-    np.seterr(over="ignore")
-    part = table.column("part")[0].as_py()
-    table = table.sort_by([("size", "ascending"), ("a", "ascending")])
-    ids, n, group = (table.column(c).to_numpy() for c in ("a", "size", "component"))
-    tokens = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
-    _, group = np.unique(group, return_inverse=True)
-    doc = np.repeat(np.arange(len(ids)), [len(t) for t in tokens])
-    got = [(ids[x], ids[y]) for x, y, _ in pk.candidates(np.concatenate(tokens), doc, n.astype(np.int64), (part >> 32) // pk.MAX_CLASSES, group)]
-    a, b = (np.concatenate([g[i] for g in got]) if got else np.zeros(0, np.int64) for i in (0, 1))
-    return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+def _part_pairs(first: bool):
+    """Steps 3 and 5 for one part. first: pairs (a, b) of each group's best few, and (a, null) for groups that have more;
+    else all pairs of different components, by whole sets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        np.seterr(over="ignore")
+        part = table.column("part")[0].as_py()
+
+        def whole(name, kind):
+            return np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
+
+        ids, prints, group, n, length, token = (whole(*x) for x in (("ids", np.int64), ("prints", np.uint64), ("groups", np.int64), ("sizes", np.int32), ("lengths", np.int32), ("tokens", np.uint64)))
+        f1, f2 = prints[0::2], prints[1::2]
+        order = np.lexsort((ids, f2, f1, n))
+        same = (f1[order][1:] == f1[order][:-1]) & (f2[order][1:] == f2[order][:-1]) & (n[order][1:] == n[order][:-1])
+        keep = order[np.concatenate(([True], ~same))]  # one of each group of equal sets, by size
+        start = np.cumsum(length) - length
+        token = np.concatenate([token[a : a + k] for a, k in zip(start[keep], length[keep], strict=True)])
+        ids, n, length, group = ids[keep], n[keep].astype(np.int64), length[keep], group[keep]
+        doc, b = np.repeat(np.arange(len(ids)), length), (part >> 32) // pk.MAX_CLASSES
+        got, more = [], np.zeros(len(ids), bool)
+        for x, y, common in pk.candidates(token, doc, n, b) if first else pk.candidates(token, doc, n, b, group, 0.0):
+            if first:
+                best = pk.first_pairs(x, y, common)
+                more[x[~best]] = more[y[~best]] = True
+                x, y = x[best], y[best]
+            got.append((ids[x], ids[y]))
+        x, y = (np.concatenate([g[i] for g in got]) if got else np.zeros(0, np.int64) for i in (0, 1))
+        rest = ids[more]
+        return pa.table({"a": pa.array(np.concatenate((np.minimum(x, y), rest))), "b": pa.concat_arrays([pa.array(np.maximum(x, y)), pa.nulls(len(rest), pa.int64())])})
+
+    return run
 
 
 def _sets(k: int, level):
@@ -195,14 +182,18 @@ def _verified(batches):
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
+def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is among ids (distinct)."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id")
+
+
 def _links(docs: DataFrame, pairs: DataFrame, k: int, level) -> DataFrame:
     """Pairs (a, b) of doc_ids whose whole sets link."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    small = ids.count() <= BROADCAST_IDS
-    sets = written(docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi").mapInArrow(_sets(k, level), "doc_id long, keys binary"), "sets")
+    ids = written(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct(), "ids")
+    sets = written(_among(docs, ids).mapInArrow(_sets(k, level), "doc_id long, keys binary"), "sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("keys").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("keys").alias("y")), "b")
     out = written(both.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long").distinct(), "links")
-    discard(sets)
+    discard(sets), discard(ids)
     return out
 
 
@@ -224,10 +215,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = rows.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"))
     owner = rows.join(groups, ["f1", "f2"]).select("doc_id", "node")
 
-    parts = docs.mapInArrow(_emitted(k, level, blocks), _PART_SQL)
     n = max(4 * scan_partitions(docs), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = written(parts.repartition(n, "part").groupBy("part").applyInArrow(_part_pairs, _PAIR_SQL), "pairs")
-    first = _links(docs, found.where("part is null").select("a", "b").distinct(), k, level)
+
+    def pairs_of(texts: DataFrame, first: bool) -> DataFrame:
+        parts = texts.mapInArrow(_emitted(k, level, blocks, pk.KEEP if first else 0.0), _PART_SQL)
+        return written(parts.repartition(n, "part").groupBy("part").applyInArrow(_part_pairs(first), "a long, b long").distinct(), "pairs")
+
+    found = pairs_of(docs.withColumn("component", F.lit(0).cast("long")), True)
+    first = _links(docs, found.where("b is not null"), k, level)
 
     def nodes(pairs: DataFrame) -> DataFrame:
         a, b = (owner.select(F.col("doc_id").alias(c), F.col("node").alias(f"node_{c}")).distinct() for c in "ab")
@@ -235,16 +230,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     edges = written(nodes(first), "edges")
     known = written(components(edges), "components")
-    rest = found.where("part is not null").join(owner.withColumnRenamed("doc_id", "a").distinct(), "a").join(known, "node", "left")
-    rest = rest.select("a", "part", "size", "tokens", F.coalesce("component", "node").alias("component"))
-    more = written(rest.groupBy("part").applyInArrow(_rest_pairs, "a long, b long").distinct(), "pairs")
+    rest = found.where("b is null").select(F.col("a").alias("doc_id")).join(owner.distinct(), "doc_id").join(known, "node", "left")
+    rest = written(rest.groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component")), "rest")
+    more = pairs_of(_among(docs, rest), False)
     second = _links(docs, more, k, level)
     if second.isEmpty():
         final = known
     else:
         final = written(components(edges.unionAll(nodes(second))), "components")
         discard(known)
-    for table in (found, more, first, second, edges):
+    for table in (found, more, first, second, edges, rest):
         discard(table)
     out = rows.join(groups, ["f1", "f2"], "left").join(final, "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).otherwise(F.col("doc_id")).alias("component_id"))

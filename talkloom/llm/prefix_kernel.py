@@ -45,14 +45,14 @@ def classes(b: int) -> int:
     return int(min(MAX_CLASSES, max(1, (4 / 3) ** b / 96)))
 
 
-def prefix_length(n):
-    return n - np.floor(KEEP * np.asarray(n)).astype(np.int64)
+def prefix_length(n, keep: float = KEEP):
+    return n - np.floor(keep * np.asarray(n)).astype(np.int64)
 
 
-def parts_of(key: np.ndarray, salt: int, blocks: dict[int, int]) -> list[tuple[int, np.ndarray]]:
+def parts_of(key: np.ndarray, salt: int, blocks: dict[int, int], keep: float = KEEP) -> list[tuple[int, np.ndarray]]:
     """(part, tokens) of one document: for each bucket it stands in, each class, and each pair of blocks with its own."""
     n = len(key)
-    pre, b = key[: int(prefix_length(n))], bucket(n)
+    pre, b = key[: int(prefix_length(n, keep))], bucket(n)
     out = []
     for q in (b, b + 1):
         c, s = classes(q), blocks.get(q, 1)
@@ -65,12 +65,12 @@ def parts_of(key: np.ndarray, salt: int, blocks: dict[int, int]) -> list[tuple[i
     return out
 
 
-def least(nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
+def least(nx: np.ndarray, ny: np.ndarray, keep: float = KEEP) -> np.ndarray:
     """Prefix shingles that documents of these sizes have in common at least, if they link."""
-    return -(-3 * (nx + ny) // 7) - np.maximum(nx - prefix_length(nx), ny - prefix_length(ny))
+    return -(-3 * (nx + ny) // 7) - np.maximum(nx - prefix_length(nx, keep), ny - prefix_length(ny, keep))
 
 
-def candidates(token: np.ndarray, doc: np.ndarray, n: np.ndarray, b: int, group: np.ndarray | None = None, room: int = 2_000_000):
+def candidates(token: np.ndarray, doc: np.ndarray, n: np.ndarray, b: int, group: np.ndarray | None = None, keep: float = KEEP, room: int = 1_000_000):
     """Pairs of one part's documents with enough common tokens: yields (x, y, common), x before y. doc: index into n, which
     ascends. With group, pairs within a group are left out. Works through about room co-occurrences at a time."""
     o = np.lexsort((doc, token))
@@ -102,7 +102,7 @@ def candidates(token: np.ndarray, doc: np.ndarray, n: np.ndarray, b: int, group:
             x, y = x[ok], y[ok]
         code, common = np.unique(x.astype(np.int64) * big + y, return_counts=True)
         x, y = code // big, code % big
-        ok = (n[y] >= guest_top) & (common * classes(b) >= least(n[x], n[y])) & (x != y)
+        ok = (n[y] >= guest_top) & (common * classes(b) >= least(n[x], n[y], keep)) & (x != y)
         yield x[ok], y[ok], common[ok]
         i = j
 

@@ -30,9 +30,15 @@ _LOW[65:91] += 32
 _BYTE = mix((_LOW.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0xD6E8FEB86659FD93
 _CHAIN = np.uint64(0x9FB21C651E98DF25)
-with np.errstate(over="ignore"):
-    _POW = np.cumprod(np.concatenate(([1], np.full(BLOCK + LONG, _BASE, np.uint64))).astype(np.uint64))
-    _INV = np.cumprod(np.concatenate(([1], np.full(BLOCK + LONG, pow(_BASE, -1, 1 << 64), np.uint64))).astype(np.uint64))
+
+
+def _powers(base: int) -> np.ndarray:
+    out = np.full(BLOCK + LONG + 1, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+_POW, _INV = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
 
 
 def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
