@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from talkloom.llm import chat, gif, topk
+from talkloom.llm import chat, gif, mixing, packing, topk, warc
 from talkloom.llm.prefix_join import jaccard_components
 
 
@@ -28,5 +28,17 @@ def op4_exact_topk(spark, sf_dir):
     return topk.exact_topk(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_chat_formatting, op3_gif_media, op4_exact_topk)}
-ORACLE: dict[str, str] = {"op2_chat_formatting": chat.DIGESTS_SQL, "op4_exact_topk": topk.TOPK_SQL}
+def op6_warc_merkle_audit(spark, sf_dir):
+    return warc.audit(*warc.replicas(read(spark, sf_dir, "pages")))
+
+
+def op7_source_mixing(spark, sf_dir):
+    return mixing.plan(read(spark, sf_dir, "documents"))
+
+
+def op9_bestfit_packing(spark, sf_dir):
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_chat_formatting, op3_gif_media, op4_exact_topk, op6_warc_merkle_audit, op7_source_mixing, op9_bestfit_packing)}
+ORACLE: dict[str, str] = {"op2_chat_formatting": chat.DIGESTS_SQL, "op4_exact_topk": topk.TOPK_SQL, "op6_warc_merkle_audit": warc.AUDIT_SQL}
