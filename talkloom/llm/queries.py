@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from talkloom.llm import chat, gif, mixing, packing, topk, warc
+from pyspark.sql import functions as F
+
+from talkloom.llm import chat, gif, lm_score, mixing, packing, quality, topk, url_filter, warc
 from talkloom.llm.prefix_join import jaccard_components
 
 
@@ -28,6 +30,14 @@ def op4_exact_topk(spark, sf_dir):
     return topk.exact_topk(read(spark, sf_dir, "embeddings"))
 
 
+def op5_lm_scoring(spark, sf_dir):
+    """Target: documents labelled good and not toxic; background: all."""
+    labels = read(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id").distinct()
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    flagged = docs.join(mixing.checked(labels.withColumn("is_target", F.lit(True))), "doc_id", "left")
+    return lm_score.cross_entropy_difference(flagged)
+
+
 def op6_warc_merkle_audit(spark, sf_dir):
     return warc.audit(*warc.replicas(read(spark, sf_dir, "pages")))
 
@@ -36,9 +46,19 @@ def op7_source_mixing(spark, sf_dir):
     return mixing.plan(read(spark, sf_dir, "documents"))
 
 
+def op8_url_filter(spark, sf_dir):
+    """Labelled URLs: pages whose id has a label; bad or toxic ones are to be blocked."""
+    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("label"))
+    return url_filter.filter_urls(read(spark, sf_dir, "pages"), labels)
+
+
 def op9_bestfit_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_chat_formatting, op3_gif_media, op4_exact_topk, op6_warc_merkle_audit, op7_source_mixing, op9_bestfit_packing)}
+def op10_quality_classifier(spark, sf_dir):
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_chat_formatting, op3_gif_media, op4_exact_topk, op5_lm_scoring, op6_warc_merkle_audit, op7_source_mixing, op8_url_filter, op9_bestfit_packing, op10_quality_classifier)}
 ORACLE: dict[str, str] = {"op2_chat_formatting": chat.DIGESTS_SQL, "op4_exact_topk": topk.TOPK_SQL, "op6_warc_merkle_audit": warc.AUDIT_SQL}
