@@ -4,8 +4,9 @@ p(w | h) = (c(h, w) + BETA / V) / (c(h) + BETA), V being the distinct words of t
 everybody's. A document's score is the mean over its words (and end) of the target's loss minus the background's; its own
 words are taken out of both models' counts first. Negative: more like the target.
 
-Documents are counted in chunks; a chunk's bigrams and histories are dealt to parts by hash, with each one's documents. Parts
-sum the counts of all chunks first; then each chunk's entries are scored with the part's counts, and sums go back by chunk.
+Documents are counted in chunks; a chunk's bigrams and histories are dealt to parts by hash. Parts sum the counts of all
+chunks first. A second pass deals out the entries with their documents; each part scores them with its counts, and sums go back
+by chunk.
 Parts grow in number with the input. A part of more than PART_BYTES (words that most documents have) is split by chunks.
 """
 
@@ -13,18 +14,30 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkloom.llm.common import discard, scan_partitions, written
+from talkloom.llm.mixing import checked
 from talkloom.llm.shingle import mix, slabs, words_of
 
 BETA, CHUNK_WORDS, CHUNK_DOCS, PART_BYTES = 200.0, 600_000, 4096, 32_000_000
 _HIST = np.uint64(1 << 63)
 _START, _END = np.uint64(0x5354415254), np.uint64(0x454E44)
-_BLOCK_SQL = "part int, chunk long, keys binary, ct binary, cb binary, runs binary, docs binary, tf binary, flags binary"
-_BLOCK = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), *((c, pa.binary()) for c in ("keys", "ct", "cb", "runs", "docs", "tf", "flags"))])
+_BLOCK_SQL = "part int, chunk long, room long, keys binary, ct binary, cb binary, runs binary, docs binary, tf binary, flags binary"
+_BLOCK = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("room", pa.int64()), *((c, pa.binary()) for c in ("keys", "ct", "cb", "runs", "docs", "tf", "flags"))])
+
+
+def _pack(a: np.ndarray) -> bytes:
+    """Compressed by planes of bytes: small numbers cost about a byte."""
+    return zstandard.compress(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes(), 1)
+
+
+def _unpack(x: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(x), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 def entries(h: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,11 +56,14 @@ def entries(h: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((mix(prev * np.uint64(0x9FB21C651E98DF25) + nxt) & ~_HIST, hist)), np.concatenate((d, d))
 
 
-def _blocks(parts: int):
+def _blocks(parts: int, whole: bool):
+    """Rows of chunks by part: keys and counts; with whole, keys and entries instead, and the documents themselves as part -1."""
+
     def deal(chunk, ids, flags, sizes, key, doc):
-        """One chunk's rows: a row for each part, and one of the documents themselves (part -1)."""
         target = np.array(flags, bool)
-        yield (-1, chunk, np.array([-1 if i is None else i for i in ids], np.int64).tobytes(), None, None, None, np.array([i is None for i in ids], np.uint8).tobytes(), np.array(sizes, np.int64).tobytes(), np.packbits(target).tobytes())
+        if whole:
+            null = np.array([i is None for i in ids], np.uint8)
+            yield (-1, chunk, 0, np.array([-1 if i is None else i for i in ids], np.int64).tobytes(), None, None, None, null.tobytes(), np.array(sizes, np.int64).tobytes(), None)
         if not len(key):
             return
         o = np.lexsort((doc, key))
@@ -68,7 +84,10 @@ def _blocks(parts: int):
                 if lo < hi:
                     a, b = of[lo], of[hi - 1] + 1
                     e = slice(edge[a], edge[b])
-                    yield (p, chunk, own[a:b].tobytes(), ct[a:b].astype(np.uint32).tobytes(), cb[a:b].astype(np.uint32).tobytes(), runs[a:b].astype(np.uint32).tobytes(), doc[e].astype(np.uint16).tobytes(), tf[e].astype(np.uint32).tobytes(), flag)
+                    if whole:
+                        yield (p, chunk, 0, _pack(own[a:b]), None, None, _pack(runs[a:b].astype(np.uint32)), _pack(doc[e].astype(np.uint16)), _pack(tf[e].astype(np.uint32)), flag)
+                    else:
+                        yield (p, chunk, 6 * int(edge[b] - edge[a]), _pack(own[a:b]), _pack(ct[a:b].astype(np.uint32)), _pack(cb[a:b].astype(np.uint32)), None, None, None, None)
 
     def run(batches):
         np.seterr(over="ignore")
@@ -77,7 +96,7 @@ def _blocks(parts: int):
 
         def done():
             nonlocal chunk
-            rows = list(deal(chunk, ids, flags, sizes, np.concatenate(keys), np.concatenate(docs)))
+            rows = list(deal(chunk, ids, flags, sizes, np.concatenate(keys), np.concatenate(docs))) or [(0, chunk, 0, *[None] * 7)]
             chunk += 1
             for x in (ids, flags, sizes, keys, docs):
                 x.clear()
@@ -103,16 +122,15 @@ def _blocks(parts: int):
     return run
 
 
-def _col(table: pa.Table, name: str, kind) -> list[np.ndarray]:
-    return [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
-
-
 def _counts(table: pa.Table) -> pa.Table:
-    key, ct, cb = (np.concatenate(_col(table, c, k)) for c, k in (("keys", np.uint64), ("ct", np.uint32), ("cb", np.uint32)))
+    rows = [r for r in table.select(["keys", "ct", "cb"]).to_pylist() if r["keys"] is not None]
+    key, ct, cb = (np.concatenate([np.zeros(0, k), *(_unpack(r[c], k) for r in rows)]) for c, k in (("keys", np.uint64), ("ct", np.uint32), ("cb", np.uint32)))
     o = np.argsort(key, kind="stable")
     key, ct, cb = key[o], ct[o].astype(np.int64), cb[o].astype(np.int64)
-    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    return pa.table({"part": table.column("part").slice(0, 1), "mkeys": pa.array([key[at].tobytes()], pa.binary()), "mt": pa.array([np.add.reduceat(ct, at).tobytes()], pa.binary()), "mb": pa.array([np.add.reduceat(cb, at).tobytes()], pa.binary()), "hist": pa.array([int((key[at] >= _HIST).sum())], pa.int64())})
+    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    ct, cb = (np.add.reduceat(x, at) if len(at) else x for x in (ct, cb))
+    room = sum(table.column("room").to_pylist())
+    return pa.table({"part": table.column("part").slice(0, 1), "mkeys": pa.array([key[at].tobytes()], pa.binary()), "mt": pa.array([_pack(ct)], pa.binary()), "mb": pa.array([_pack(cb)], pa.binary()), "hist": pa.array([int((key[at] >= _HIST).sum())], pa.int64()), "splits": pa.array([max(1, -(-room // PART_BYTES))], pa.int64())})
 
 
 def gain(tf, target, ct, cb, hist, v: float):
@@ -121,18 +139,28 @@ def gain(tf, target, ct, cb, hist, v: float):
     return tf * np.where(hist, -1.0, 1.0) * (np.log(t + a) - np.log(b + a))
 
 
+_SUMS_SQL = "chunk long, docs binary, sums binary, ids binary, nulls binary, sizes binary"
+
+
 def _scores(v: float):
     def run(model: pa.Table, blocks: pa.Table) -> pa.Table:
-        out = {"chunk": [], "docs": [], "sums": []}
-        if blocks.num_rows:
-            keys, mt, mb = (_col(model, c, k)[0] for c, k in (("mkeys", np.uint64), ("mt", np.int64), ("mb", np.int64)))
-            for chunk, own, runs, doc, tf, flags in zip(blocks.column("chunk").to_pylist(), *(_col(blocks, c, k) for c, k in (("keys", np.uint64), ("runs", np.uint32), ("docs", np.uint16), ("tf", np.uint32), ("flags", np.uint8))), strict=True):
+        out = []
+        if model.num_rows and blocks.num_rows:
+            m = model.to_pylist()[0]
+            keys, mt, mb = np.frombuffer(m["mkeys"], np.uint64), _unpack(m["mt"], np.int64), _unpack(m["mb"], np.int64)
+        for i in range(blocks.num_rows):
+            r = blocks.slice(i, 1).to_pylist()[0]
+            if r["part"] < 0:
+                out.append((r["chunk"], None, None, r["keys"], r["docs"], r["tf"]))
+            elif r["keys"] is not None:
+                own, runs, doc, tf = (_unpack(r[c], k) for c, k in (("keys", np.uint64), ("runs", np.uint32), ("docs", np.uint16), ("tf", np.uint32)))
                 at = np.repeat(np.searchsorted(keys, own), runs)
-                target = np.unpackbits(flags)[doc]
+                target = np.unpackbits(np.frombuffer(r["flags"], np.uint8))[doc]
                 g = np.bincount(doc, gain(tf.astype(np.int64), target.astype(np.int64), mt[at], mb[at], np.repeat(own >= _HIST, runs), v))
                 d = np.unique(doc)
-                out["chunk"].append(chunk), out["docs"].append(d.tobytes()), out["sums"].append(g[d].tobytes())
-        return pa.table({"chunk": pa.array(out["chunk"], pa.int64()), "docs": pa.array(out["docs"], pa.binary()), "sums": pa.array(out["sums"], pa.binary())})
+                out.append((r["chunk"], d.tobytes(), g[d].tobytes(), None, None, None))
+        cols = list(zip(*out, strict=True)) if out else [[]] * 6
+        return pa.table([pa.array(c, t) for c, t in zip(cols, [pa.int64(), *[pa.binary()] * 5], strict=True)], names=["chunk", "docs", "sums", "ids", "nulls", "sizes"])
 
     return run
 
@@ -153,16 +181,15 @@ def cross_entropy_difference(docs: DataFrame, id_col: str = "doc_id", text_col:
     read."""
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.coalesce(F.col(f"`{target_col}`"), F.lit(False)).alias("is_target"))
     parts = max(8, 2 * scan_partitions(docs))
-    blocks = written(d.mapInArrow(_blocks(parts), _BLOCK_SQL), "blocks")
-    mine = blocks.where("part >= 0")
-    model = written(mine.select("part", "keys", "ct", "cb").groupBy("part").applyInArrow(_counts, "part int, mkeys binary, mt binary, mb binary, hist long"), "model")
+    counted = d.mapInArrow(_blocks(parts, False), _BLOCK_SQL).select("part", "room", "keys", "ct", "cb")
+    model = written(counted.groupBy("part").applyInArrow(_counts, "part int, mkeys binary, mt binary, mb binary, hist long, splits long"), "model")
     v = float(max(1, model.agg(F.sum("hist")).first()[0] or 1))
-    splits = mine.groupBy("part").agg(F.ceil(F.sum(F.octet_length("docs") + F.octet_length("tf")) / PART_BYTES).alias("splits"))
-    left = model.join(splits, "part").select("part", F.explode(F.sequence(F.lit(0), (F.col("splits") - 1).cast("int"))).alias("sub"), "mkeys", "mt", "mb")
-    right = mine.join(splits, "part").select("part", F.pmod(F.xxhash64("chunk"), F.col("splits")).cast("int").alias("sub"), "chunk", "keys", "runs", "docs", "tf", "flags")
-    sums = left.groupBy("part", "sub").cogroup(right.groupBy("part", "sub")).applyInArrow(_scores(v), "chunk long, docs binary, sums binary")
-    own = blocks.where("part < 0").select("chunk", F.lit(None).cast("binary").alias("docs"), F.lit(None).cast("binary").alias("sums"), F.col("keys").alias("ids"), F.col("docs").alias("nulls"), F.col("tf").alias("sizes"))
-    both = sums.select("chunk", "docs", "sums", *[F.lit(None).cast("binary").alias(c) for c in ("ids", "nulls", "sizes")]).unionAll(own)
-    out = written(both.groupBy("chunk").applyInArrow(_gather, "doc_id long, n_words long, score double"), "scores")
-    discard(blocks), discard(model)
+    left = model.select("part", F.explode(F.sequence(F.lit(0), (F.col("splits") - 1).cast("int"))).alias("sub"), "mkeys", "mt", "mb")
+    splits = checked(model.select("part", "splits"))
+    right = d.mapInArrow(_blocks(parts, True), _BLOCK_SQL).join(splits, "part", "left")
+    sub = F.pmod(F.xxhash64("chunk"), F.when(F.col("part") < 0, F.lit(parts)).otherwise(F.coalesce("splits", F.lit(1)))).cast("int")
+    right = right.select("part", sub.alias("sub"), "chunk", "keys", "runs", "docs", "tf", "flags")
+    sums = left.groupBy("part", "sub").cogroup(right.groupBy("part", "sub")).applyInArrow(_scores(v), _SUMS_SQL)
+    out = written(sums.groupBy("chunk").applyInArrow(_gather, "doc_id long, n_words long, score double"), "scores")
+    discard(model)
     return out
