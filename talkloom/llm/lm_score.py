@@ -31,7 +31,7 @@ _BLOCK = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("room", pa.int
 
 
 def _pack(a: np.ndarray) -> bytes:
-    """Compressed by planes of bytes: small numbers cost about a byte."""
+    """Compressed by planes of bytes: small numbers cost about a byte. Sorted keys are packed as their differences."""
     return zstandard.compress(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes(), 1)
 
 
@@ -85,9 +85,9 @@ def _blocks(parts: int, whole: bool):
                     a, b = of[lo], of[hi - 1] + 1
                     e = slice(edge[a], edge[b])
                     if whole:
-                        yield (p, chunk, 0, _pack(own[a:b]), None, None, _pack(runs[a:b].astype(np.uint32)), _pack(doc[e].astype(np.uint16)), _pack(tf[e].astype(np.uint32)), flag)
+                        yield (p, chunk, 0, _pack(np.diff(own[a:b], prepend=np.uint64(0))), None, None, _pack(runs[a:b].astype(np.uint32)), _pack(doc[e].astype(np.uint16)), _pack(tf[e].astype(np.uint32)), flag)
                     else:
-                        yield (p, chunk, 6 * int(edge[b] - edge[a]), _pack(own[a:b]), _pack(ct[a:b].astype(np.uint32)), _pack(cb[a:b].astype(np.uint32)), None, None, None, None)
+                        yield (p, chunk, 6 * int(edge[b] - edge[a]), _pack(np.diff(own[a:b], prepend=np.uint64(0))), _pack(ct[a:b].astype(np.uint32)), _pack(cb[a:b].astype(np.uint32)), None, None, None, None)
 
     def run(batches):
         np.seterr(over="ignore")
@@ -124,13 +124,13 @@ def _blocks(parts: int, whole: bool):
 
 def _counts(table: pa.Table) -> pa.Table:
     rows = [r for r in table.select(["keys", "ct", "cb"]).to_pylist() if r["keys"] is not None]
-    key, ct, cb = (np.concatenate([np.zeros(0, k), *(_unpack(r[c], k) for r in rows)]) for c, k in (("keys", np.uint64), ("ct", np.uint32), ("cb", np.uint32)))
+    key, ct, cb = (np.concatenate([np.zeros(0, k), *(np.cumsum(_unpack(r[c], k), dtype=k) if c == "keys" else _unpack(r[c], k) for r in rows)]) for c, k in (("keys", np.uint64), ("ct", np.uint32), ("cb", np.uint32)))
     o = np.argsort(key, kind="stable")
     key, ct, cb = key[o], ct[o].astype(np.int64), cb[o].astype(np.int64)
     at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
     ct, cb = (np.add.reduceat(x, at) if len(at) else x for x in (ct, cb))
     room = sum(table.column("room").to_pylist())
-    return pa.table({"part": table.column("part").slice(0, 1), "mkeys": pa.array([key[at].tobytes()], pa.binary()), "mt": pa.array([_pack(ct)], pa.binary()), "mb": pa.array([_pack(cb)], pa.binary()), "hist": pa.array([int((key[at] >= _HIST).sum())], pa.int64()), "splits": pa.array([max(1, -(-room // PART_BYTES))], pa.int64())})
+    return pa.table({"part": table.column("part").slice(0, 1), "mkeys": pa.array([_pack(np.diff(key[at], prepend=np.uint64(0)))], pa.binary()), "mt": pa.array([_pack(ct)], pa.binary()), "mb": pa.array([_pack(cb)], pa.binary()), "hist": pa.array([int((key[at] >= _HIST).sum())], pa.int64()), "splits": pa.array([max(1, -(-room // PART_BYTES))], pa.int64())})
 
 
 def gain(tf, target, ct, cb, hist, v: float):
@@ -147,13 +147,14 @@ def _scores(v: float):
         out = []
         if model.num_rows and blocks.num_rows:
             m = model.to_pylist()[0]
-            keys, mt, mb = np.frombuffer(m["mkeys"], np.uint64), _unpack(m["mt"], np.int64), _unpack(m["mb"], np.int64)
+            keys, mt, mb = np.cumsum(_unpack(m["mkeys"], np.uint64), dtype=np.uint64), _unpack(m["mt"], np.int64), _unpack(m["mb"], np.int64)
         for i in range(blocks.num_rows):
             r = blocks.slice(i, 1).to_pylist()[0]
             if r["part"] < 0:
                 out.append((r["chunk"], None, None, r["keys"], r["docs"], r["tf"]))
             elif r["keys"] is not None:
                 own, runs, doc, tf = (_unpack(r[c], k) for c, k in (("keys", np.uint64), ("runs", np.uint32), ("docs", np.uint16), ("tf", np.uint32)))
+                own = np.cumsum(own, dtype=np.uint64)
                 at = np.repeat(np.searchsorted(keys, own), runs)
                 target = np.unpackbits(np.frombuffer(r["flags"], np.uint8))[doc]
                 g = np.bincount(doc, gain(tf.astype(np.int64), target.astype(np.int64), mt[at], mb[at], np.repeat(own >= _HIST, runs), v))
