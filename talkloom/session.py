@@ -27,7 +27,9 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each SparkContext."""
+    """Sends this package to the executors, once for each SparkContext, and keeps Arrow batches of whole texts small."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default: 33 MB of usual documents
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     context = spark.sparkContext
     if getattr(context, "_talkloom_shipped", False):
         return
