@@ -87,7 +87,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     spans = b.groupBy("index", "span").agg(F.sum("size").alias("of"))
     spans = spans.withColumn("ahead", F.coalesce(F.sum("of").over(Window.partitionBy("index").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("of")
     b = b.withColumn("own", F.coalesce(F.sum("size").over(before), F.lit(0))).join(spans, ["index", "span"]).withColumn("ahead", F.col("ahead") + F.col("own"))
-    edge = b.join(s.select("index", "rest"), "index").where("ahead <= rest and rest < ahead + size").select("index", F.col("block").alias("edge"), (F.col("rest") - F.col("ahead")).alias("left"))
+    edge = b.join(s.select("index", "rest"), "index").where("rest > 0 and ahead <= rest and rest < ahead + size").select("index", F.col("block").alias("edge"), (F.col("rest") - F.col("ahead")).alias("left"))
     edge = written(edge, "edges")
     rows = d.join(checked(edge), "index").where("block = edge").groupBy("index", "left").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("doc_id", F.lit(SEED + 1)).alias("key"), "row", "size"))).alias("rows"))
     picked = rows.selectExpr(
@@ -105,7 +105,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     out = d.join(checked(edge.select("index", "edge")), "index", "left").join(checked(picked), "row", "left").join(units, ["index", "block"], "left")
     copies = (F.col("passes") + F.when(F.col("block") < F.col("edge"), 1).otherwise(F.coalesce("picked", F.lit(0)))).cast("int")
     out = written(out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), F.coalesce(F.slice("shards", 1, F.greatest(copies, F.lit(0))), F.array().cast("array<long>")).alias("shards")), "plan")
-    for t in (d_ for d_ in (edge, quotas) if d_ is not None):
+    for t in (edge, quotas):
         discard(t)
     return out
 
