@@ -48,6 +48,30 @@ def timestamp(ms: Column) -> Column:
     return F.format_string("%02d:%02d:%02d.%03d", F.floor(ms / 3600000), F.floor(ms % 3600000 / 60000), F.floor(ms % 60000 / 1000), ms % 1000)
 
 
+def duration_line(full: Column, used: Column, start: Column) -> Column:
+    """What a transcript covers: the recording's length, or which part of it; milliseconds."""
+    part = F.concat(clock(used), F.lit(" transcribed ("), clock(start), F.lit("–"), clock(start + used), F.lit(" of "), clock(full), F.lit(")"))
+    return F.when((full > 0) & (used > 0) & (F.abs(used - full) > 1000), part).otherwise(clock(full))
+
+
+def wrapped(words: Column, width: int = 42) -> Column:
+    """Words on two lines: as many as fit on the first, the others on the second."""
+    fits = lambda a, w: (a["b"] == "") & ((a["a"] == "") | (F.length(a["a"]) + 1 + F.length(w) <= width))
+    add = lambda x, w: F.when(x == "", w).otherwise(F.concat(x, F.lit(" "), w))
+    empty = F.struct(F.lit("").alias("a"), F.lit("").alias("b"))
+    step = lambda a, w: F.struct(F.when(fits(a, w), add(a["a"], w)).otherwise(a["a"]).alias("a"), F.when(fits(a, w), a["b"]).otherwise(add(a["b"], w)).alias("b"))
+    return F.aggregate(words, empty, step, lambda a: F.when(a["b"] == "", a["a"]).otherwise(F.concat(a["a"], F.lit("\n"), a["b"])))
+
+
+def chunked(words: Column, budget: int = 84) -> Column:
+    """Words in chunks of at most budget characters, first come first served."""
+    last = lambda a: F.coalesce(F.get(a, F.size(a) - 1), F.lit(""))
+    none = F.array().cast("array<string>")
+    fits = lambda a, w: (F.size(a) > 0) & (F.length(last(a)) + 1 + F.length(w) <= budget)
+    grown = lambda a, w: F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.concat(last(a), F.lit(" "), w)))
+    return F.aggregate(words, none, lambda a, w: F.when(fits(a, w), grown(a, w)).otherwise(F.concat(a, F.array(w))))
+
+
 def parse_timestamp(text: Column) -> Column:
     part = lambda i: F.regexp_extract(text, r"(\d{2}):(\d{2}):(\d{2})[.,](\d{3})", i).cast("long")
     return ((part(1) * 60 + part(2)) * 60 + part(3)) * 1000 + part(4)

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from talkloom.functions import forms
 from talkloom.functions import text as X
 from talkloom.operators import temporal as T
 from talkloom.plans import views as V
@@ -83,30 +84,17 @@ def substitution_guard(spark, d):
 
 @query()
 def headroom(spark, d):
-    """How many turns differ in substance from their candidates, and how many of these changed."""
-    c = candidates(spark, d).where("text <> '' and cand <> ''")
-    return c.withColumn("r", X.similarity("text", "cand")).agg(F.count("*").alias("both"), F.count_if(F.col("r") < 0.7).alias("substantive"), F.count_if(F.col("text") != F.col("cand")).alias("changed"), F.count_if((F.col("r") < 0.7) & (F.col("text") != F.col("cand"))).alias("changed_substantive"))
-
-
-# fixed values: word endings of spoken and standard Czech that count as the same
-REGISTER = [("ý", "ej"), ("í", "ej"), ("ého", "ýho"), ("ému", "ýmu"), ("ými", "ýma"), ("ími", "ejma"), ("ají", "aj"), ("ejí", "ej"), ("ít", "ejt"), ("é", "ý")]
-
-
-def equivalence(a, b):
-    """identical, register (an ending of REGISTER swapped), inflection (five letters and ratio 0.8) or different."""
-    swap = F.lit(False)
-    for x, y in REGISTER:
-        for p, q in ((x, y), (y, x)):
-            stem = F.length(a) - len(p)
-            swap = swap | (a.endswith(p) & b.endswith(q) & (stem >= 2) & (F.substr(a, F.lit(1), stem) == F.substr(b, F.lit(1), F.length(b) - len(q))))
-    close = (F.length(a) >= 5) & (F.substring(a, 1, 5) == F.substring(b, 1, 5)) & (X.similarity(a, b) >= 0.8)
-    return F.when(a == b, "identical").when(swap, "register").when(close, "inflection").otherwise("different")
+    """Turns with both texts; those where readings of a word differ in substance; those that candidates change; those of both kinds."""
+    c = candidates(spark, d).where("text <> '' and cand <> ''").select("media_id", "turn_idx", (F.col("text") != F.col("cand")).alias("changed"))
+    w = V.columns(spark, d).where("b is not null and b <> c").where(forms.substantive(F.col("c"), F.col("b"))).select("media_id", "turn_idx", F.lit(True).alias("differs")).distinct()
+    x = c.join(w, ["media_id", "turn_idx"], "left").withColumn("differs", F.coalesce("differs", F.lit(False)))
+    return x.agg(F.count("*").alias("both"), F.count_if("differs").alias("substantive"), F.count_if("changed").alias("changed"), F.count_if(F.col("differs") & F.col("changed")).alias("changed_substantive"))
 
 
 @query()
 def word_equivalence_class(spark, d):
     x = V.columns(spark, d).where("a is not null and b is not null")
-    return x.withColumn("kind", equivalence(F.col("a"), F.col("b"))).groupBy("kind").agg(F.count("*").alias("n"))
+    return x.withColumn("kind", forms.equivalence(F.col("a"), F.col("b"))).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -195,13 +183,27 @@ def prompt_assembly(spark, d):
 
 @query()
 def near_miss_terms(spark, d):
-    """On-screen terms like, but not the same as, spoken words: per recording the 20 closest."""
-    spoken = V.words(spark, d).select((F.col("media_id") % 10).alias("media_id"), F.explode(X.letter_tokens(F.col("word"))).alias("s")).distinct().where(F.length("s") >= 4)
-    seen = frames(spark, d).select("media_id", F.explode("terms").alias("term")).groupBy("media_id", "term").agg(F.count("*").alias("n")).where((F.length("term") >= 4) & (F.col("n") >= 2))
-    seen = seen.join(spoken.select("media_id", F.col("s").alias("term")), ["media_id", "term"], "left_anti")
-    x = seen.withColumn("h", F.substring("term", 1, 3)).join(spoken.withColumn("h", F.substring("s", 1, 3)), ["media_id", "h"]).withColumn("ratio", X.similarity("term", "s"))
-    x = x.groupBy("media_id", "term", "n").agg(F.round(F.max("ratio"), 6).alias("ratio")).where("ratio between 0.55 and 0.97")
-    return x.withColumn("rank", F.row_number().over(W("media_id", [F.desc("ratio"), F.desc("n"), F.desc("term")]))).where("rank <= 20")
+    """On-screen terms like, but not the same as, words spoken in a window of 90 s: of at least four letters, on at least two
+    frames within 30 s of it, neither furniture nor a piece of another term; for each window the 20 closest."""
+    from talkloom.plans.catalog import chrome_terms
+
+    f = V.table(spark, d, "pages").select("page_id", F.array_distinct(X.screen_tokens(F.regexp_replace("html", "<[^>]+>", " "))).alias("terms"))
+    f = f.selectExpr("page_id % 10 as media_id", "page_id", "page_id div 10 * 12000 as t", "explode(terms) as term").withColumn("low", F.lower("term"))
+    vocab = f.select("media_id", "low").distinct()
+    # a piece of another term: the substrings of each term, never pairs of terms
+    pieces = F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.length("low")), lambda i: F.transform(F.sequence(F.lit(1), F.length("low") - i + 1), lambda n: F.substr(F.col("low"), i, n)))))
+    inner = vocab.select("media_id", "low", pieces.alias("piece")).where("piece <> low and length(piece) >= 4").select("media_id", F.col("piece").alias("low")).distinct()
+    chrome = chrome_terms(spark, d).select("media_id", F.col("term").alias("low"))
+    f = f.where(F.length("low") >= 4).join(chrome, ["media_id", "low"], "left_anti").join(inner, ["media_id", "low"], "left_anti")
+    win = F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("t") - 30_000) / 90_000)), F.floor((F.col("t") + 30_000) / 90_000)))
+    seen = f.withColumn("win", win).groupBy("media_id", "win", "term", "low").agg(F.count("*").alias("n")).where("n >= 2")
+    spoken = V.words(spark, d).select((F.col("media_id") % 10).alias("media_id"), F.floor(F.col("start_ms") / 90_000).alias("win"), F.explode(X.screen_tokens(F.lower("word"))).alias("s")).distinct()
+    seen = seen.join(spoken.select("media_id", "win", F.col("s").alias("low")), ["media_id", "win", "low"], "left_anti")
+    # ratios of 0.55 and more need lengths within a factor
+    near = F.least(F.length("low"), F.length("s")) * 2 >= (F.length("low") + F.length("s")) * 0.55
+    x = seen.join(spoken, ["media_id", "win"]).where(near).withColumn("ratio", X.similarity("low", "s"))
+    x = x.groupBy("media_id", "win", "term", "n").agg(F.max("ratio").alias("ratio")).where("ratio between 0.55 and 0.97")
+    return x.withColumn("rank", F.row_number().over(W(["media_id", "win"], [F.desc("ratio"), F.desc("n"), F.desc("term")]))).where("rank <= 20").withColumn("ratio", F.round("ratio", 6))
 
 
 @query()
