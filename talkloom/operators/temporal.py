@@ -38,3 +38,29 @@ def label_runs(rows: DataFrame, part: list[str], order: list[str], label: str) -
     """Rows with __run: contiguous equal labels share one."""
     w = Window.partitionBy(*part).orderBy(*order)
     return rows.withColumn("__run", island(F.coalesce(F.col(label) != F.lag(label).over(w), F.lit(True)), part, order))
+
+
+def own_chunk(words: DataFrame, length_ms: int, overlap_ms: int, key: str = "media_id") -> DataFrame:
+    """Words of overlapping chunks (key, chunk, start_ms, end_ms; chunk i begins at i * (length - overlap)), each word once: in the
+    chunk whose exclusive part, up to half of each overlap, holds its middle."""
+    start = F.col("chunk") * (length_ms - overlap_ms)
+    last = F.max("chunk").over(Window.partitionBy(key))
+    mid = (F.col("start_ms") + F.col("end_ms")) / 2
+    lo = F.when(F.col("chunk") == 0, start).otherwise(start + overlap_ms / 2)
+    hi = F.when(F.col("chunk") == F.col("__last"), start + length_ms).otherwise(start + length_ms - overlap_ms / 2)
+    return words.withColumn("__last", last).where((mid >= lo) & (mid < hi)).drop("__last")
+
+
+def assign_labels(words: DataFrame, spans: DataFrame, ids: list[str], bucket_ms: int = 10_000) -> DataFrame:
+    """(ids, assigned): for each word the label it overlaps longest (ties: the smaller), else that of the nearest span (ties:
+    the earlier). spans (media_id, label, r_start, r_end) don't lie within one another."""
+    got = interval_join(words, spans, bucket_ms).groupBy(*ids, "label").agg(F.sum(F.least("end_ms", "r_end") - F.greatest("start_ms", "r_start")).alias("o"))
+    got = got.groupBy(*ids).agg(F.min_by("label", F.struct((-F.col("o")).alias("o"), "label")).alias("hit"))
+    rest = words.join(got, ids, "left_anti").select(*ids, "start_ms", "end_ms")
+    mark = spans.select("media_id", F.struct("r_start", "r_end", "label").alias("s"), F.col("r_start").alias("start_ms"), F.col("r_start").alias("pos"))
+    rest = asof_join(rest, mark.withColumnRenamed("s", "before"), "before")
+    back = mark.select("media_id", F.col("s").alias("after"), (-F.col("start_ms")).alias("start_ms"), F.col("pos"))
+    turned = asof_join(rest.withColumnRenamed("start_ms", "from_ms").withColumn("start_ms", -F.col("from_ms")), back, "after")
+    d1, d2 = F.col("from_ms") - F.col("before.r_end"), F.col("after.r_start") - F.col("end_ms")
+    near = turned.select(*ids, F.when(F.col("before").isNull() | (d2 < d1), F.col("after.label")).otherwise(F.col("before.label")).alias("hit"))
+    return got.unionByName(near).withColumnRenamed("hit", "assigned")

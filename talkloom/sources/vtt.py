@@ -43,3 +43,13 @@ def result_json(turns: DataFrame) -> DataFrame:
     """(media_id, value): one nested result document per recording."""
     t = turns.groupBy("media_id").agg(F.sort_array(F.collect_list(F.struct("turn_idx", "start_ms", "end_ms", "speaker", "text"))).alias("turns"), F.array_sort(F.collect_set("speaker")).alias("speakers"), F.max("end_ms").alias("duration_ms"))
     return t.select("media_id", F.to_json(F.struct(F.struct("duration_ms").alias("metadata"), "speakers", "turns")).alias("value"))
+
+
+def synthetic(turns: DataFrame, every: int = 17) -> DataFrame:
+    """(media_id, value): captions as foreign tools write them, for tests: CRLF, cue ids, entities, one name in every varied."""
+    odd = F.pmod(F.col("media_id") + F.col("turn_idx"), F.lit(every)) == 0
+    name = F.when(odd, F.concat("speaker", F.lit(" (guest)"))).otherwise(F.col("speaker"))
+    plain = render(turns.withColumn("speaker", name).select("media_id", "turn_idx", "speaker", "text", "start_ms", "end_ms"))
+    blocks = F.split("value", "\n\n")
+    numbered = F.transform(blocks, lambda b, i: F.when(i > 0, F.concat(F.lit("cue-"), i.cast("string"), F.lit("\n"), b)).otherwise(b))
+    return plain.select("media_id", F.replace(F.array_join(numbered, "\n\n"), F.lit("\n"), F.lit("\r\n")).alias("value"))
