@@ -175,10 +175,10 @@ def shipped_stream_scan(spark, d):
     return c.select("media_id", "turn_idx", F.posexplode(F.arrays_zip(F.col("tokens").alias("w"), at.alias("t"))).alias("i", "x")).select("media_id", "turn_idx", "i", "x.w", "x.t")
 
 
-@query(f"with {V.WORD} select media_id, turn_idx, k, case when (start_ms + end_ms) / 2 < 57000 then 0 else least(floor(((start_ms + end_ms) / 2 - 57000) / 54000) + 1, floor(greatest(last - 6000, 0) / 54000))::bigint end as chunk from (select *, max(start_ms) over (partition by media_id) as last from word_v)")
+@query(f"with {V.WORD} select media_id, turn_idx, k, case when (start_ms + end_ms) / 2 < 57000 then 0 else least(floor(((start_ms + end_ms) / 2 - 57000) / 54000) + 1, floor(greatest(last - 6000, 0) / 54000))::bigint end as chunk from (select *, max(end_ms) over (partition by media_id) as last from word_v)")
 def overlap_chunk_words(spark, d):
     """Words of chunks of 60 s that share 6 s, each word once."""
-    w = V.words(spark, d).select("media_id", "turn_idx", "k", "start_ms", "end_ms").withColumn("last", F.max("start_ms").over(W("media_id")))
+    w = V.words(spark, d).select("media_id", "turn_idx", "k", "start_ms", "end_ms").withColumn("last", F.max("end_ms").over(W("media_id")))
     top = F.floor(F.greatest(F.col("last") - 6000, F.lit(0)) / 54_000)
     lo, hi = F.greatest(F.lit(0), F.ceil((F.col("end_ms") - 60_000) / 54_000)), F.least(top, F.floor(F.col("start_ms") / 54_000))
     chunks = F.sequence(F.least(lo, hi), F.greatest(lo, hi))
