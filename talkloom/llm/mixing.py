@@ -18,6 +18,8 @@ WEIGHTS = (3, 1, 2)
 SHARE, MOST, BLOCK, SEED = 1.5, 2, 64, 17
 #: Draws of a shard, at which the tree stops splitting; at least 2**4 shards.
 SHARD_DRAWS = 4096
+#: Words of the mix in one of its partitions, about 25 MB.
+PARTITION_WORDS = 4_000_000
 #: Rows up to which a table of sources, or a plan, is broadcast.
 BROADCAST_ROWS = 1_000_000
 _SPAN = 1024
@@ -111,8 +113,10 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", **kinds) -> DataFrame:
-    """docs as mixed: each row as often as the plan takes it, shard by shard, shuffled within; the columns of docs."""
-    p = plan(docs, id_col, **kinds).groupBy("doc_id").agg(F.max("shards").alias("__shards")).where("size(__shards) > 0")
+    """docs as mixed: each row as often as the plan takes it, shard by shard, shuffled within; the columns of docs. Rows of one
+    id are taken alike."""
+    p = plan(docs, id_col, **kinds)
+    n = max(1, -(-(p.agg(F.sum("taken")).first()[0] or 0) // PARTITION_WORDS))
+    p = p.groupBy("doc_id").agg(F.max("shards").alias("__shards")).where("size(__shards) > 0")
     out = docs.join(checked(p.withColumnRenamed("doc_id", "__id")), docs[id_col].eqNullSafe(F.col("__id"))).withColumn("__shard", F.explode("__shards"))
-    n = max(1, docs.rdd.getNumPartitions())
     return out.repartition(n, "__shard").sortWithinPartitions("__shard", F.xxhash64("__id", "__shard", F.lit(SEED))).select(*docs.columns)
