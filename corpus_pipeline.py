@@ -22,13 +22,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates."""
+    """One document, that of the smallest id, of each group of near duplicates. Rows of one id are one document, of which any row
+    stays; rows without an id are no copies of anything and all stay."""
     ship(spark)
     groups = written(jaccard_components(docs), "groups")
     out = groups.where("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(checked(out), "doc_id", "left_anti").select(*docs.columns)
-    again = groups.groupBy("doc_id").count().where("count > 1").limit(1)
-    return kept.dropDuplicates(["doc_id"]) if again.count() else kept
+    again = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1)
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionAll(kept.where("doc_id is null")) if again.count() else kept
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
