@@ -303,6 +303,18 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.packed(spark, c, D).where("piece = 0").count() == c.count()
 
 
+def test_stages_on_edge_rows(spark, edge, empty):
+    none = edge.where("doc_id is null").count()
+    kept = corpus_pipeline.near_duplicates(spark, edge, D)
+    want = brute_components([(r.doc_id, r.text) for r in edge.collect()])
+    ids = [r.doc_id for r in kept.collect()]
+    assert ids.count(None) == none and sorted(d for d in ids if d is not None) == sorted(d for d, (_, c) in want.items() if c == d)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, D).count() == 0
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, edge, D).columns == edge.columns
+
+
 def test_oracle_sql(spark):
     from tests.test_catalog import compare
 
