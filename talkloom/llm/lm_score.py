@@ -79,15 +79,14 @@ def _blocks(parts: int, whole: bool):
         flag = np.packbits(target).tobytes()
         for kind in (False, True):
             of = np.flatnonzero((own >= _HIST) == kind)
-            for p in range(parts):
-                lo, hi = np.searchsorted(part[of], [p, p + 1])
-                if lo < hi:
-                    a, b = of[lo], of[hi - 1] + 1
-                    e = slice(edge[a], edge[b])
-                    if whole:
-                        yield (p, chunk, 0, _pack(np.diff(own[a:b], prepend=np.uint64(0))), None, None, _pack(runs[a:b].astype(np.uint32)), _pack(doc[e].astype(np.uint16)), _pack(tf[e].astype(np.uint32)), flag)
-                    else:
-                        yield (p, chunk, 6 * int(edge[b] - edge[a]), _pack(np.diff(own[a:b], prepend=np.uint64(0))), _pack(ct[a:b].astype(np.uint32)), _pack(cb[a:b].astype(np.uint32)), None, None, None, None)
+            cut = np.flatnonzero(part[of][1:] != part[of][:-1]) + 1
+            for lo, hi in zip([0, *cut], [*cut, len(of)], strict=True) if len(of) else ():  # the parts that this chunk has
+                p, a, b = int(part[of[lo]]), of[lo], of[hi - 1] + 1
+                e = slice(edge[a], edge[b])
+                if whole:
+                    yield (p, chunk, 0, _pack(np.diff(own[a:b], prepend=np.uint64(0))), None, None, _pack(runs[a:b].astype(np.uint32)), _pack(doc[e].astype(np.uint16)), _pack(tf[e].astype(np.uint32)), flag)
+                else:
+                    yield (p, chunk, 6 * int(edge[b] - edge[a]), _pack(np.diff(own[a:b], prepend=np.uint64(0))), _pack(ct[a:b].astype(np.uint32)), _pack(cb[a:b].astype(np.uint32)), None, None, None, None)
 
     def run(batches):
         np.seterr(over="ignore")
