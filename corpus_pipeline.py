@@ -9,16 +9,17 @@ from talkloom.llm.common import written
 from talkloom.llm.mixing import checked, mixture
 from talkloom.llm.packing import pack
 from talkloom.llm.prefix_join import jaccard_components
-from talkloom.llm.quality import classify
+from talkloom.llm.quality import classify, row_key
 from talkloom.session import ship
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
+    """Rows that the quality classifier keeps: each by its own verdict, also where ids are null or repeat."""
     ship(spark)
-    verdicts = classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    out = written(verdicts.where("not keep").select("doc_id").distinct(), "rejected")
-    return docs.join(checked(out), "doc_id", "left_anti").select(*docs.columns)
+    verdicts = classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keyed=True)
+    out = written(verdicts.where("not keep").select("row_key").distinct(), "rejected")
+    key = row_key(*[docs[c] for c in ("doc_id", "text", "source", "lang")])
+    return docs.join(checked(out), key == out["row_key"], "left_anti").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

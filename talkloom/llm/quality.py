@@ -159,7 +159,8 @@ def _score(model):
         for batch in batches:
             got = [evidence(x or b"", m) for x in batch.column("text").cast(pa.binary()).to_pylist()]
             low, toxic = ([g[i] for g in got] for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "site", "path")] + [pa.array(low, pa.float64()), pa.array(toxic, pa.float64())], names=["doc_id", "site", "path", "low", "toxic"])
+            own = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in own] + [pa.array(low, pa.float64()), pa.array(toxic, pa.float64())], names=[*own, "low", "toxic"])
 
     return run
 
@@ -182,23 +183,34 @@ def _strength(groups: DataFrame, n: str, bad: str, mean) -> float:
     return float(min(1000.0, max(20.0, r[3] / spread - 1))) if spread > 0 else 1000.0
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", path_col: str = "lang") -> DataFrame:
+def row_key(doc_id, text, site, path):
+    """SHA-256 of all that a verdict depends on; nulls differ from every value. Rows of one key have one verdict."""
+    parts = [c.cast(t) for c, t in ((doc_id, "long"), (text, "string"), (site, "string"), (path, "string"))]
+    parts = [F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.octet_length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string"))) for c in parts]
+    return F.unhex(F.sha2(F.concat(*parts), 256))
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", path_col: str = "lang", keyed: bool = False) -> DataFrame:
     """(doc_id, low, toxic, site_rate, path_rate, p_reject, keep) for every row: log odds of the document's own evidence, the
     shrunk rates of its site and path (a site's path_col values), the combined probability of low quality or toxicity, and
     whether the document stays. labels: doc_id, quality, toxic; null labels don't count; of a repeated one the worst holds.
 
     Null texts count as empty; null sites and paths are groups of their own. Repeated rows each have a row. Without labels
-    nothing is known and all stay. An empty table gives none. Other columns aren't read.
+    nothing is known and all stay. An empty table gives none. Other columns aren't read. keyed adds row_key, by which a row
+    finds its own verdict where ids are null or repeat.
     """
     spark = docs.sparkSession
     col = lambda c, t: F.col(f"`{c}`").cast(t)
     d = docs.select(col(id_col, "long").alias("doc_id"), col(text_col, "string").alias("text"), col(site_col, "string").alias("site"), col(path_col, "string").alias("path"))
+    own = ["row_key"] if keyed else []
+    if keyed:
+        d = d.withColumn("row_key", row_key(*[F.col(c) for c in ("doc_id", "text", "site", "path")]))
     known = labels.where("quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("known_quality"), F.max("toxic").alias("known_toxic"))
     known = written(known, "labels")
     pick = known.join(d.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id")).limit(SAMPLE)
     sample = d.join(F.broadcast(pick), "doc_id").select("text", F.col("known_quality").alias("quality"), F.col("known_toxic").alias("toxic"))
     model = spark.sparkContext.broadcast(fit(sample))
-    rows = written(d.mapInArrow(_score(model), "doc_id long, site string, path string, low double, toxic double"), "evidence")
+    rows = written(d.mapInArrow(_score(model), "doc_id long, site string, path string, " + "row_key binary, " * keyed + "low double, toxic double"), "evidence")
     rows = rows.join(checked(known), "doc_id", "left")
     bad = F.when(F.col("known_quality").isNotNull(), ((F.col("known_quality") == 0) | (F.col("known_toxic") == 1)).cast("double")).otherwise(1 - (1 - _p(F.col("low"))) * (1 - _p(F.col("toxic"))))
     paths = written(rows.groupBy("site", "path").agg(F.count("*").alias("n"), F.sum(bad).alias("bad")), "paths")
@@ -215,4 +227,4 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     shift = _logit(F.col("path_rate")) - _logit(F.lit(total))
     p = 1 - (1 - _p(F.col("low") + shift)) * (1 - _p(F.col("toxic") + shift))
     p = F.when(F.col("known_quality").isNotNull(), bad).otherwise(p)
-    return out.select("doc_id", *[F.round(c, 6).alias(c) for c in ("low", "toxic", "site_rate", "path_rate")], F.round(p, 6).alias("p_reject"), (p <= 0.5).alias("keep"))
+    return out.select("doc_id", *[F.round(c, 6).alias(c) for c in ("low", "toxic", "site_rate", "path_rate")], F.round(p, 6).alias("p_reject"), (p <= 0.5).alias("keep"), *own)

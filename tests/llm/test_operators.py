@@ -303,6 +303,17 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.packed(spark, c, D).where("piece = 0").count() == c.count()
 
 
+def test_quality_stage_filters_rows_by_their_own_verdict(spark):
+    where = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{where}/documents.parquet").limit(400).localCheckpoint()
+    docs = docs.unionAll(docs.withColumn("doc_id", F.lit(None).cast("long"))).unionAll(docs.withColumn("doc_id", F.lit(10**9).cast("long")))
+    verdicts = quality.classify(docs, spark.read.parquet(f"{where}/labels.parquet")).collect()
+    for i in (None, 10**9):
+        assert {r.keep for r in verdicts if r.doc_id == i} == {True, False}
+    kept = corpus_pipeline.quality(spark, docs, where).collect()
+    assert collections.Counter(r.doc_id for r in kept) == collections.Counter(r.doc_id for r in verdicts if r.keep)
+
+
 def test_stages_on_edge_rows(spark, edge, empty):
     none = edge.where("doc_id is null").count()
     kept = corpus_pipeline.near_duplicates(spark, edge, D)
