@@ -75,13 +75,30 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     Null texts have size 0; a null source is a source of its own, the last. Ids may be null or repeat: rows count each. An
     empty table gives an empty result. Other columns aren't read. The same table gives the same result.
     """
-    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), n_words(F.col(f"`{text_col}`")).alias("size"))
-    d = written(d.withColumn("row", F.monotonically_increasing_id()), "sizes")
+    return _plan(docs.withColumn("__row", F.monotonically_increasing_id()), id_col, text_col, source_col, share, most).drop("row", "key")
+
+
+def _keys(d: DataFrame) -> DataFrame:
+    """d (row, same, ...) with key: a hash of same, which equal rows share, and of a row's rank among them. Rows are ranked within
+    the partition that row tells, and partitions of a repeated hash are put one after the other."""
+    d = d.withColumn("part", F.shiftright("row", 33)).withColumn("rank", F.row_number().over(Window.partitionBy("same", "part").orderBy("row")))
+    before = F.sum("n").over(Window.partitionBy("same").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    ahead = d.groupBy("same", "part").agg(F.count("*").alias("n")).withColumn("ahead", before).where("ahead > 0").drop("n")
+    d = d.join(checked(written(ahead, "ahead")), ["same", "part"], "left")
+    return d.withColumn("key", F.xxhash64("same", F.col("rank") + F.coalesce("ahead", F.lit(0)))).drop("same", "part", "rank", "ahead")
+
+
+def _plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = SHARE, most: int = MOST) -> DataFrame:
+    """plan() of docs with __row, a number of each row from monotonically_increasing_id(); with row, that number, and key."""
+    own = [F.col(f"`{c}`") for c in (id_col, text_col, source_col)]
+    same = F.xxhash64(*[x for c in own for x in (c, c.isNull())])
+    d = docs.select(own[0].alias("doc_id"), own[2].alias("source"), n_words(own[1]).alias("size"), F.col("__row").alias("row"), same.alias("same"))
+    d = written(_keys(written(d, "sizes")), "keys")
     s = targets(d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), share, most)
     s = s.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     s = written(s.withColumn("rest", F.floor(F.col("target") - F.col("passes") * F.col("source_size")).cast("long")), "sources")
     d = d.join(checked(s.select("source", "index", "source_size", "target", "blocks", "passes")), d["source"].eqNullSafe(s["source"])).drop("source")
-    d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.col("blocks")))
+    d = d.withColumn("block", F.pmod(F.xxhash64("key", F.lit(SEED)), F.col("blocks")))
 
     # running sizes of blocks: within spans of blocks, then over spans
     b = d.groupBy("index", "block").agg(F.sum("size").alias("size")).withColumn("span", F.floor(F.col("block") / _SPAN))
@@ -91,7 +108,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     b = b.withColumn("own", F.coalesce(F.sum("size").over(before), F.lit(0))).join(spans, ["index", "span"]).withColumn("ahead", F.col("ahead") + F.col("own"))
     edge = b.join(s.select("index", "rest"), "index").where("rest > 0 and ahead <= rest and rest < ahead + size").select("index", F.col("block").alias("edge"), (F.col("rest") - F.col("ahead")).alias("left"))
     edge = written(edge, "edges")
-    rows = d.join(checked(edge), "index").where("block = edge").groupBy("index", "left").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("doc_id", F.lit(SEED + 1)).alias("key"), "row", "size"))).alias("rows"))
+    rows = d.join(checked(edge), "index").where("block = edge").groupBy("index", "left").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("key", F.lit(SEED + 1)).alias("key"), "row", "size"))).alias("rows"))
     picked = rows.selectExpr(
         """explode(aggregate(rows, named_struct('left', left, 'ids', cast(array() as array<bigint>)), (a, x) ->
              if(x.size <= a.left, named_struct('left', a.left - x.size, 'ids', concat(a.ids, array(x.row))), a)).ids) as row"""
@@ -106,17 +123,17 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
     out = d.join(checked(edge.select("index", "edge")), "index", "left").join(checked(picked), "row", "left").join(units, ["index", "block"], "left")
     copies = (F.col("passes") + F.when(F.col("block") < F.col("edge"), 1).otherwise(F.coalesce("picked", F.lit(0)))).cast("int")
-    out = written(out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), F.coalesce(F.slice("shards", 1, F.greatest(copies, F.lit(0))), F.array().cast("array<long>")).alias("shards")), "plan")
+    out = written(out.select("row", "key", "doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), F.coalesce(F.slice("shards", 1, F.greatest(copies, F.lit(0))), F.array().cast("array<long>")).alias("shards")), "plan")
     for t in (edge, quotas):
         discard(t)
     return out
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", **kinds) -> DataFrame:
-    """docs as mixed: each row as often as the plan takes it, shard by shard, shuffled within; the columns of docs. Rows of one
-    id are taken alike."""
-    p = plan(docs, id_col, **kinds)
+    """docs as mixed: each row as often as the plan takes that row, shard by shard, shuffled within; the columns of docs."""
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    p = _plan(rows, id_col, **kinds)
     n = max(1, -(-(p.agg(F.sum("taken")).first()[0] or 0) // PARTITION_WORDS))
-    p = p.groupBy("doc_id").agg(F.max("shards").alias("__shards")).where("size(__shards) > 0")
-    out = docs.join(checked(p.withColumnRenamed("doc_id", "__id")), docs[id_col].eqNullSafe(F.col("__id"))).withColumn("__shard", F.explode("__shards"))
-    return out.repartition(n, "__shard").sortWithinPartitions("__shard", F.xxhash64("__id", "__shard", F.lit(SEED))).select(*docs.columns)
+    p = p.where("size(shards) > 0").select(F.col("row").alias("__row"), F.col("key").alias("__key"), F.col("shards").alias("__shards"))
+    out = rows.join(checked(p), "__row").withColumn("__shard", F.explode("__shards"))
+    return out.repartition(n, "__shard").sortWithinPartitions("__shard", F.xxhash64("__key", "__shard", F.lit(SEED))).select(*docs.columns)

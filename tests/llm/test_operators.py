@@ -237,6 +237,26 @@ def test_mixing_targets_and_quotas(spark, edge, empty):
     assert mixing.plan(empty).count() == 0 and mixing.mixture(empty).count() == 0
 
 
+def test_mixture_takes_rows_not_ids(spark):
+    """A third of the rows without an id, a third of repeated ids, some equal rows."""
+    rows = [((None, i % 20, 10**6 + i)[i % 3], f"t{i if i < 2900 else 2900 + i % 2} " + "w " * (i % 9), "en", "abc"[i % 7 % 3]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    plan = mixing.plan(df).collect()
+    size = {s: sum(len(r[1].split()) for r in rows if r[3] == s) for s in "abc"}
+    target = {r.source_size: r.target for r in plan}
+    taken = {n: sum(r.taken for r in plan if r.source_size == n) for n in target}
+    assert sorted(size.values()) == sorted(target)
+    got = mixing.mixture(df).collect()
+    words = collections.Counter()
+    for r in got:
+        words[size[r.source]] += len(r.text.split())
+    assert words == taken and all(0 <= target[n] - taken[n] < 2 for n in target)
+    copies, given = collections.Counter((r.doc_id, r.text, r.lang, r.source) for r in got), collections.Counter(rows)
+    assert all(n <= 2 * given[k] for k, n in copies.items())
+    assert len({tuple(r.shards) for r in plan if r.doc_id is None}) > 8
+    assert sorted(map(str, plan)) == sorted(map(str, mixing.plan(df.repartition(2, "text")).collect()))
+
+
 def test_split_keeps_quotas(spark):
     q = spark.createDataFrame([(1, 1000), (2, 37), (3, 0), (4, 5)], "index int, quota long")
     got = mixing.split(q, 4).collect()
