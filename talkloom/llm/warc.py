@@ -1,8 +1,10 @@
 """WARC archives with Merkle trees: fixity audit of replicas.
 
 A record is a WARC resource record of a page. Records stand in archives of FILE_IDS ids, in order, at known offsets. A tree's
-leaf is a record's SHA-256; a node above hashes the ordered hashes of up to FAN children and the offset range they cover.
-The audit compares roots and goes down only where hashes differ, so that it reads children of damaged branches alone.
+leaf is a slot, the id's place among its archive's ids, which all replicas share whatever records they lack; it hashes the
+SHA-256 of its records. A node above hashes the slots and hashes of up to FAN children and the bytes they cover; offsets are
+kept beside, as one lost record moves all later ones. The audit compares roots and goes down only where hashes differ, so that
+it reads children of damaged branches alone; records of damaged slots are compared by id.
 """
 
 from __future__ import annotations
@@ -22,46 +24,72 @@ def record(page_id: Column, url: Column, body: Column) -> Column:
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """records (page_id, length, hash) -> (archive, idx, page_id, start, length, hash): places in the archives. Ids of null go to
-    an archive of their own; repeated ids stand in the order of their hashes."""
-    w = Window.partitionBy("archive").orderBy("page_id", "hash", "length")
+    """records (page_id, length, hash) -> (archive, slot, idx, page_id, start, length, hash): places in the archives; idx and start
+    are those in this replica. Ids of null go to an archive of their own, to slots by their hashes; repeated ids stand in the
+    order of their hashes."""
+    w = Window.partitionBy("archive").orderBy("slot", "page_id", "hash", "length")
     out = records.withColumn("archive", F.floor(F.col("page_id") / FILE_IDS))
-    return out.select("archive", (F.row_number().over(w) - 1).alias("idx"), "page_id", F.coalesce(F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("start"), "length", "hash")
+    out = out.withColumn("slot", F.pmod(F.coalesce("page_id", F.xxhash64("hash")), F.lit(FILE_IDS)).cast("long"))
+    return out.select("archive", "slot", (F.row_number().over(w) - 1).alias("idx"), "page_id", F.coalesce(F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("start"), "length", "hash")
 
 
 def tree(leaf: DataFrame) -> list[DataFrame]:
-    """Levels from the leaves up to one root for each archive: (archive, idx, hash, start, end)."""
-    level = leaf.select("archive", "idx", "hash", "start", (F.col("start") + F.col("length")).alias("end"))
+    """Levels from the slots up to one root for each archive: (archive, slot, hash, start, end, bytes)."""
+    records = F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("idx", "hash"))), lambda x: x["hash"]))
+    level = leaf.groupBy("archive", "slot").agg(F.sha2(records, 256).alias("hash"), F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"), F.sum("length").alias("bytes"))
     out = [level]
     for k in range(LEVELS):
-        child = F.sort_array(F.collect_list(F.struct("idx", "hash")))
-        at = F.floor(F.col("idx") / FAN) if k < LEVELS - 1 else F.lit(0).cast("long")
-        level = level.groupBy("archive", at.alias("at")).agg(child.alias("c"), F.min("start").alias("start"), F.max("end").alias("end"))
-        level = level.select("archive", F.col("at").alias("idx"), F.sha2(F.concat(F.array_join(F.transform("c", lambda x: x["hash"]), ""), F.format_string(":%d-%d", "start", "end")), 256).alias("hash"), "start", "end")
+        child = F.sort_array(F.collect_list(F.struct("slot", "hash")))
+        at = F.floor(F.col("slot") / FAN) if k < LEVELS - 1 else F.lit(0).cast("long")
+        level = level.groupBy("archive", at.alias("at")).agg(child.alias("c"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("bytes").alias("bytes"))
+        parts = F.array_join(F.transform("c", lambda x: F.concat(x["slot"].cast("string"), F.lit(":"), x["hash"])), ",")
+        level = level.select("archive", F.col("at").alias("slot"), F.sha2(F.concat(parts, F.format_string(":%d", "bytes")), 256).alias("hash"), "start", "end", "bytes")
         out.append(level)
     return out
 
 
 def damage(a: list[DataFrame], b: list[DataFrame]) -> DataFrame:
-    """(archive, idx, status) of leaves that differ: corrupt, missing (in b) or extra (in b)."""
+    """(archive, slot) of slots that differ."""
     bad = None
     for k in range(LEVELS, -1, -1):
-        x, y = (t[k].select("archive", "idx", F.col("hash").alias(h)) for t, h in ((a, "ha"), (b, "hb")))
+        x, y = (t[k].select("archive", "slot", F.col("hash").alias(h)) for t, h in ((a, "ha"), (b, "hb")))
         if bad is not None:  # children of the branches that differ
-            above = F.floor(F.col("idx") / FAN) if k < LEVELS - 1 else F.lit(0).cast("long")
-            up = bad.select(F.col("archive").alias("in_archive"), F.col("idx").alias("up"))
+            above = F.floor(F.col("slot") / FAN) if k < LEVELS - 1 else F.lit(0).cast("long")
+            up = bad.select(F.col("archive").alias("in_archive"), F.col("slot").alias("up"))
             x, y = (t.join(up, F.col("archive").eqNullSafe(F.col("in_archive")) & (above == F.col("up")), "left_semi") for t in (x, y))
-        y = y.select(F.col("archive").alias("archive_b"), F.col("idx").alias("idx_b"), "hb")
-        both = x.join(y, F.col("archive").eqNullSafe(F.col("archive_b")) & (F.col("idx") == F.col("idx_b")), "full_outer").where(~F.col("ha").eqNullSafe(F.col("hb")))
-        status = F.when(F.col("hb").isNull(), "missing").when(F.col("ha").isNull(), "extra").otherwise("corrupt")
-        bad = written(both.select(F.when(F.col("ha").isNull(), F.col("archive_b")).otherwise(F.col("archive")).alias("archive"), F.coalesce("idx", "idx_b").alias("idx"), status.alias("status")), "damage")
+        y = y.select(F.col("archive").alias("archive_b"), F.col("slot").alias("slot_b"), "hb")
+        both = x.join(y, F.col("archive").eqNullSafe(F.col("archive_b")) & (F.col("slot") == F.col("slot_b")), "full_outer").where(~F.col("ha").eqNullSafe(F.col("hb")))
+        bad = written(both.select(F.when(F.col("ha").isNull(), F.col("archive_b")).otherwise(F.col("archive")).alias("archive"), F.coalesce("slot", "slot_b").alias("slot")), "damage")
     return bad
 
 
+def differing(la: DataFrame, lb: DataFrame, slots: DataFrame) -> DataFrame:
+    """(archive, idx, status) of the records in those slots that have no equal in the other replica: corrupt, missing (in b) or
+    extra (in b, with b's idx). Equal records of an id go together first, then what is left of the id, in order. A record without
+    an id has nothing but its hash to know it by: a changed one is missing, and an extra one."""
+    slots = slots.select(F.col("archive").alias("in_archive"), F.col("slot").alias("in_slot"))
+    on = F.col("archive").eqNullSafe(F.col("in_archive")) & (F.col("slot") == F.col("in_slot"))
+    nth = F.row_number().over(Window.partitionBy("archive", "page_id", "hash").orderBy("idx"))
+    x, y = (t.join(slots, on, "left_semi").select("archive", "idx", "page_id", "hash", nth.alias("nth")) for t in (la, lb))
+    same = ("archive", "page_id", "hash", "nth")
+
+    def left(t, of):  # what the other one has no equal of
+        of = of.select(*[F.col(c).alias(f"{c}_of") for c in same])
+        on = F.lit(True)
+        for c in same:
+            on = on & F.col(c).eqNullSafe(F.col(f"{c}_of"))
+        return t.join(of, on, "left_anti").select("archive", "idx", "page_id", F.row_number().over(Window.partitionBy("archive", "page_id").orderBy("idx")).alias("rank"))
+
+    a, b = left(x, y), left(y, x).select(F.col("archive").alias("archive_b"), F.col("idx").alias("idx_b"), F.col("page_id").alias("page_b"), F.col("rank").alias("rank_b"))
+    both = a.join(b, (F.col("page_id") == F.col("page_b")) & (F.col("rank") == F.col("rank_b")), "full_outer")
+    status = F.when(F.col("idx_b").isNull(), "missing").when(F.col("idx").isNull(), "extra").otherwise("corrupt")
+    return written(both.select(F.when(F.col("idx").isNull(), F.col("archive_b")).otherwise(F.col("archive")).alias("archive"), F.coalesce("idx", "idx_b").alias("idx"), status.alias("status")), "differing")
+
+
 def audit(a: DataFrame, b: DataFrame) -> DataFrame:
     """Each record of replica a (records as leaves() takes them): its place and whether b agrees; extra records of b too."""
     la, lb = written(leaves(a), "leaves"), written(leaves(b), "leaves")
-    bad = damage(tree(la), tree(lb)).select(F.col("archive").alias("bad_archive"), F.col("idx").alias("bad_idx"), "status")
+    bad = differing(la, lb, damage(tree(la), tree(lb))).select(F.col("archive").alias("bad_archive"), F.col("idx").alias("bad_idx"), "status")
     on = F.col("archive").eqNullSafe(F.col("bad_archive")) & (F.col("idx") == F.col("bad_idx"))
     own = la.join(bad.where("status <> 'extra'"), on, "left").select("page_id", "archive", "idx", "start", "length", F.col("hash").alias("record_sha256"), F.coalesce("status", F.lit("ok")).alias("status"))
     more = lb.join(bad.where("status = 'extra'"), on).select("page_id", "archive", "idx", "start", "length", F.col("hash").alias("record_sha256"), "status")

@@ -224,6 +224,18 @@ def test_warc_audit(spark):
     assert warc.audit(a.limit(0), a.limit(0)).count() == 0
 
 
+def test_warc_audit_locates_records_lost_and_added_in_the_middle(spark):
+    rows = [(i, f"u{i}", f"h{i}") for i in range(6000) if i not in (700, 5000)] + [(1000, "u1000", "x"), (None, None, "p"), (None, None, "q")]
+    a, _ = warc.replicas(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    other = [r for r in rows if r[0] not in (100, 4500) and r[2] != "p"] + [(700, "u", "h"), (5000, "u", "h"), (2000, "u2000", "y")]
+    other = [(i, u, "z" * 9) if i == 3000 else (i, u, h) for i, u, h in other if (i, h) != (1000, "h1000")]
+    b, _ = warc.replicas(spark.createDataFrame(other, "page_id long, url string, html string"))
+    got = warc.audit(a, b).collect()
+    bad = collections.Counter((r.page_id, r.status) for r in got if r.status != "ok")
+    assert bad == collections.Counter({(100, "missing"): 1, (4500, "missing"): 1, (None, "missing"): 1, (1000, "missing"): 1, (3000, "corrupt"): 1, (700, "extra"): 1, (5000, "extra"): 1, (2000, "extra"): 1})
+    assert len(got) == len(rows) + 3 and {r.page_id: r.idx for r in got if r.status == "ok"}[699] == 699
+
+
 def test_mixing_targets_and_quotas(spark, edge, empty):
     for df in (edge, spark.read.parquet(f"{D}/documents.parquet")):
         rows = mixing.plan(df).collect()
