@@ -310,6 +310,16 @@ def test_url_rules_and_trees(spark):
     assert url_filter.filter_urls(df.limit(0), none).count() == 0
 
 
+def test_suffix_statistics_cover_all_labelled_pages(spark, monkeypatch):
+    """Labels follow the suffix alone, and most suffixes aren't in the sample that trees are fitted to."""
+    monkeypatch.setattr(url_filter, "SAMPLE", 40)
+    rows = [(4 * i + k, f"http://s{1000 + i * 7}.com/x", i % 2) for i in range(150) for k in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, label int")
+    got = url_filter.filter_urls(df, df.selectExpr("page_id as id", "label")).collect()
+    want = {i: y for i, _, y in rows}
+    assert len(got) == len(rows) and sum((r.verdict == "block") == bool(want[r.page_id]) for r in got) >= 0.99 * len(got)
+
+
 def test_quality_on_held_out_labels(spark, edge, empty):
     docs, known = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     hold = known.where("doc_id % 3 = 0")
