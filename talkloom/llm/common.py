@@ -12,8 +12,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a folder of our own only where none is set (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/talkloom"
+    """The folder that the cluster names for checkpoints. A folder of our own only where none is set and all tasks run in the
+    driver's process (tests, bench); on a cluster without the setting this is an error, as executors don't share local folders."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file:///tmp/checkpoints/talkloom"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

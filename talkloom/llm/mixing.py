@@ -1,10 +1,11 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree. Spark expressions only.
 
-Documents of a source fall into hash blocks of about BLOCK documents. A source's target gives whole passes over its blocks
-and a rest; the rest takes blocks in order until one would go beyond it, and of that block the documents that still fit.
-That makes an exact quota of block draws for each source. The tree halves the output shards level by level; a node's quotas
-are split by exact hypergeometric draws, one source after the other, seeded by node and source. At the leaves each source's
-draws are cut into disjoint runs of its permuted blocks. In a shard, documents stand in the order of a hash.
+Documents of a source stand in the order of a hash; running sums of their words cut that order into blocks of about BLOCK words.
+A source's target gives whole passes over its blocks and a rest; the rest takes blocks in order up to the edge block, and of that
+one the documents that still fit (looking a few blocks on). That makes an exact quota of block draws for each source, and draws hold about equally many
+words. The tree halves the output shards level by level; a node's quotas are split by exact hypergeometric draws, one source
+after the other, seeded by node and source. At the leaves each source's draws are cut into disjoint runs of its permuted blocks.
+In a shard, documents stand in the order of another hash.
 """
 
 from __future__ import annotations
@@ -15,14 +16,15 @@ from pyspark.sql import functions as F
 from talkloom.llm.common import discard, n_words, written
 
 WEIGHTS = (3, 1, 2)
-SHARE, MOST, BLOCK, SEED = 1.5, 2, 64, 17
-#: Draws of a shard, at which the tree stops splitting; at least 2**4 shards.
-SHARD_DRAWS = 4096
-#: Words of the mix in one of its partitions, about 25 MB.
-PARTITION_WORDS = 4_000_000
+#: Words of a block; documents of a bin, in which running sums begin; blocks that the last documents are looked for in.
+SHARE, MOST, BLOCK, BIN, REACH, SEED = 1.5, 2, 4096, 64, 8, 17
+#: Draws of a shard (about a million words), at which the tree stops splitting; at least 2**4 shards.
+SHARD_DRAWS = 256
+#: Words of the mix in one of its partitions, about 12 MB; more only where that would make over MOST_PARTITIONS of them.
+PARTITION_WORDS, MOST_PARTITIONS = 2_000_000, 100_000
 #: Rows up to which a table of sources, or a plan, is broadcast.
 BROADCAST_ROWS = 1_000_000
-_SPAN = 1024
+_SPAN, _TREE_HEAD = 1024, 6
 
 
 def checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -56,15 +58,18 @@ _DRAW = """aggregate(array(named_struct('tot', {N}, 'K', {K}, 'n', {n}, 'u', {u}
 
 
 def split(quotas: DataFrame, depth: int, seed: int = SEED) -> DataFrame:
-    """quotas (index, quota) -> (shard, index, quota): 2**depth shards of nearly equal size, quotas kept exactly."""
+    """quotas (index, quota) -> (shard, index, quota): 2**depth shards of nearly equal draws, quotas kept exactly. Nodes carry the
+    sources that they have draws of, so that a leaf's row is no longer than a shard; below the first levels nodes are dealt out."""
     nodes = quotas.groupBy().agg(F.sort_array(F.collect_list(F.struct("index", "quota"))).alias("q")).select(F.lit(0).cast("long").alias("node"), "q")
     draw = _DRAW.format(N="a.tot", K="q[i].quota", n="a.n", u=f"(pmod(xxhash64({seed}, level, node, q[i].index), 1048576) + 0.5D) / 1048576")
     for level in range(depth):
+        if level == _TREE_HEAD:
+            nodes = nodes.repartition("node")
         nodes = nodes.withColumn("level", F.lit(level)).withColumn("N", F.expr("aggregate(q, cast(0 as bigint), (a, x) -> a + x.quota)"))
         left = f"""aggregate(sequence(0, size(q) - 1), named_struct('tot', N, 'n', N div 2, 'out', cast(array() as array<bigint>)), (a, i) ->
             aggregate(array({draw}), named_struct('tot', a.tot, 'n', a.n, 'out', a.out), (b, x) -> named_struct('tot', b.tot - q[i].quota, 'n', b.n - x, 'out', concat(b.out, array(x))))).out"""
         nodes = nodes.withColumn("left", F.expr(left))
-        nodes = nodes.selectExpr("inline(array(named_struct('node', 2 * node, 'q', transform(q, (x, i) -> named_struct('index', x.index, 'quota', left[i]))), named_struct('node', 2 * node + 1, 'q', transform(q, (x, i) -> named_struct('index', x.index, 'quota', x.quota - left[i])))))")
+        nodes = nodes.selectExpr("inline(array(named_struct('node', 2 * node, 'q', filter(transform(q, (x, i) -> named_struct('index', x.index, 'quota', left[i])), x -> x.quota > 0)), named_struct('node', 2 * node + 1, 'q', filter(transform(q, (x, i) -> named_struct('index', x.index, 'quota', x.quota - left[i])), x -> x.quota > 0))))").where("size(q) > 0")
     return nodes.selectExpr("node as shard", "inline(q)")
 
 
@@ -93,47 +98,62 @@ def _plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     own = [F.col(f"`{c}`") for c in (id_col, text_col, source_col)]
     same = F.xxhash64(*[x for c in own for x in (c, c.isNull())])
     d = docs.select(own[0].alias("doc_id"), own[2].alias("source"), n_words(own[1]).alias("size"), F.col("__row").alias("row"), same.alias("same"))
-    d = written(_keys(written(d, "sizes")), "keys")
+    sizes = written(d, "sizes")
+    d = keys = written(_keys(sizes), "keys")
     s = targets(d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), share, most)
-    s = s.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    s = written(s.withColumn("rest", F.floor(F.col("target") - F.col("passes") * F.col("source_size")).cast("long")), "sources")
-    d = d.join(checked(s.select("source", "index", "source_size", "target", "blocks", "passes")), d["source"].eqNullSafe(s["source"])).drop("source")
-    d = d.withColumn("block", F.pmod(F.xxhash64("key", F.lit(SEED)), F.col("blocks")))
-
-    # running sizes of blocks: within spans of blocks, then over spans
-    b = d.groupBy("index", "block").agg(F.sum("size").alias("size")).withColumn("span", F.floor(F.col("block") / _SPAN))
-    before = Window.partitionBy("index", "span").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumns({"bins": F.ceil(F.col("n") / BIN), "blocks": F.greatest(F.lit(1), F.ceil(F.col("source_size") / BLOCK)), "passes": F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")})
+    s = s.withColumn("rest", F.floor(F.col("target") - F.col("passes") * F.col("source_size")).cast("long"))
+    s = written(s.withColumn("edge", F.when(F.col("rest") > 0, F.floor(F.col("rest") / BLOCK))), "sources")
+    kept = s.select("source", "index", "source_size", "target", "bins", "blocks", "passes", "rest", "edge").withColumnRenamed("source", "of")
+    d = d.join(checked(kept), d["source"].eqNullSafe(kept["of"])).drop("source", "of")
+    d = d.withColumn("at", F.xxhash64("key", F.lit(SEED))).withColumn("bin", F.pmod("at", F.col("bins")))
+
+    # words ahead of each document in its source's order: within bins, then over bins and spans of bins
+    b = d.groupBy("index", "bin").agg(F.sum("size").alias("size")).withColumn("span", F.floor(F.col("bin") / _SPAN))
+    before = Window.partitionBy("index", "span").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     spans = b.groupBy("index", "span").agg(F.sum("size").alias("of"))
     spans = spans.withColumn("ahead", F.coalesce(F.sum("of").over(Window.partitionBy("index").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("of")
-    b = b.withColumn("own", F.coalesce(F.sum("size").over(before), F.lit(0))).join(spans, ["index", "span"]).withColumn("ahead", F.col("ahead") + F.col("own"))
-    edge = b.join(s.select("index", "rest"), "index").where("rest > 0 and ahead <= rest and rest < ahead + size").select("index", F.col("block").alias("edge"), (F.col("rest") - F.col("ahead")).alias("left"))
-    edge = written(edge, "edges")
-    rows = d.join(checked(edge), "index").where("block = edge").groupBy("index", "left").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("key", F.lit(SEED + 1)).alias("key"), "row", "size"))).alias("rows"))
-    picked = rows.selectExpr(
-        """explode(aggregate(rows, named_struct('left', left, 'ids', cast(array() as array<bigint>)), (a, x) ->
-             if(x.size <= a.left, named_struct('left', a.left - x.size, 'ids', concat(a.ids, array(x.row))), a)).ids) as row"""
-    ).withColumn("picked", F.lit(1))
-
-    quotas = written(s.join(edge, "index", "left").select("index", "blocks", (F.col("passes") * F.col("blocks") + F.coalesce(F.col("edge") + 1, F.lit(0))).alias("quota")), "quotas")
+    b = b.withColumn("own", F.coalesce(F.sum("size").over(before), F.lit(0))).join(spans, ["index", "span"]).select("index", "bin", (F.col("ahead") + F.col("own")).alias("ahead"))
+    b = written(b, "bins")
+    inside = Window.partitionBy("index", "bin").orderBy("at", "row").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.join(checked(b), ["index", "bin"]).withColumn("start", F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    d = written(d.withColumn("block", F.least(F.floor(F.col("start") / BLOCK), F.col("blocks") - 1)).drop("ahead", "at", "bin", "bins"), "ordered")
+    # documents that end before the edge block have their copy; of those in it and a few blocks on, those that fit, in order
+    sure = F.col("start") + F.col("size") <= F.col("edge") * BLOCK
+    brim = d.where("edge is not null and size > 0").where(~sure & (F.col("start") < (F.col("edge") + REACH) * BLOCK))
+    brim = brim.groupBy("index").agg((F.first("rest") - F.min("start")).alias("left"), F.sort_array(F.collect_list(F.struct("block", F.xxhash64("key", F.lit(SEED + 1)).alias("key"), "row", "size"))).alias("rows"))
+    picked = brim.selectExpr(
+        "index",
+        """inline(aggregate(rows, named_struct('left', left, 'got', cast(array() as array<struct<row: bigint, block: bigint>>)), (a, x) ->
+             if(x.size <= a.left, named_struct('left', a.left - x.size, 'got', concat(a.got, array(named_struct('row', x.row, 'block', x.block)))), a)).got)""",
+    )
+    picked = written(picked, "picked")
+
+    last = s.join(picked.groupBy("index").agg(F.max("block").alias("last")), "index", "left").withColumn("last", F.greatest(F.col("edge") - 1, "last"))
+    quotas = last.select("index", "blocks", (F.col("passes") * F.col("blocks") + F.coalesce(F.col("last") + 1, F.lit(0))).alias("quota"))
     draws = quotas.agg(F.sum("quota")).first()[0] or 0
     depth = max(4, (-(-draws // SHARD_DRAWS) - 1).bit_length()) if draws else 0
-    runs = split(quotas.select("index", "quota"), depth).withColumn("end", F.sum("quota").over(Window.partitionBy("index").orderBy("shard")))
-    units = runs.where("quota > 0").join(quotas.select("index", "blocks"), "index").selectExpr("index", "shard", "blocks", "explode(sequence(end - quota, end - 1)) as draw")
+    runs = split(quotas.where("quota > 0").select("index", "quota"), depth).withColumn("end", F.sum("quota").over(Window.partitionBy("index").orderBy("shard")))
+    units = runs.join(checked(quotas.select("index", "blocks")), "index").selectExpr("index", "shard", "blocks", "explode(sequence(end - quota, end - 1)) as draw")
     units = units.groupBy("index", F.expr("draw % blocks").alias("block")).agg(F.transform(F.sort_array(F.collect_list(F.struct("draw", "shard"))), lambda x: x["shard"]).alias("shards"))
 
-    out = d.join(checked(edge.select("index", "edge")), "index", "left").join(checked(picked), "row", "left").join(units, ["index", "block"], "left")
-    copies = (F.col("passes") + F.when(F.col("block") < F.col("edge"), 1).otherwise(F.coalesce("picked", F.lit(0)))).cast("int")
+    out = d.join(checked(picked.select("row", F.lit(1).alias("picked"))), "row", "left").join(units, ["index", "block"], "left")
+    copies = (F.col("passes") + F.when(sure & (F.col("size") > 0), 1).otherwise(F.coalesce("picked", F.lit(0)))).cast("int")
     out = written(out.select("row", "key", "doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), F.coalesce(F.slice("shards", 1, F.greatest(copies, F.lit(0))), F.array().cast("array<long>")).alias("shards")), "plan")
-    for t in (edge, quotas):
+    for t in (b, d, s, sizes, keys, picked):
         discard(t)
     return out
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", **kinds) -> DataFrame:
-    """docs as mixed: each row as often as the plan takes that row, shard by shard, shuffled within; the columns of docs."""
+    """docs as mixed: each row as often as the plan takes that row, shard by shard, shuffled within; the columns of docs. Shards are
+    of about equal words and go to partitions in order, so that partitions are about equal too."""
     rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
     p = _plan(rows, id_col, **kinds)
-    n = max(1, -(-(p.agg(F.sum("taken")).first()[0] or 0) // PARTITION_WORDS))
+    words, shards = p.agg(F.sum("taken"), F.max(F.array_max("shards"))).first()
+    words, shards = words or 0, (shards or 0) + 1
+    n = max(1, -(-words // max(PARTITION_WORDS, words // MOST_PARTITIONS)))
     p = p.where("size(shards) > 0").select(F.col("row").alias("__row"), F.col("key").alias("__key"), F.col("shards").alias("__shards"))
     out = rows.join(checked(p), "__row").withColumn("__shard", F.explode("__shards"))
-    return out.repartition(n, "__shard").sortWithinPartitions("__shard", F.xxhash64("__key", "__shard", F.lit(SEED))).select(*docs.columns)
+    out = out.repartitionById(n, F.floor(F.col("__shard") * n / shards).cast("int"))
+    return out.sortWithinPartitions("__shard", F.xxhash64("__key", "__shard", F.lit(SEED))).select(*docs.columns)
