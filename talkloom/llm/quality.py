@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 
 from talkloom.llm.common import written
 from talkloom.llm.mixing import checked
-from talkloom.llm.shingle import word_hashes
+from talkloom.llm.shingle import mix, running, slabs, span_hashes, word_spans
 
 SAMPLE, BITS, SLICES, TOP = 20_000, 20, 16, 3
+#: Bytes of a word's beginnings that count as words too, where the word is longer.
+BEGINNINGS = (4, 5, 6, 7)
 SHAPE = ("intercept", "log words", "distinct", "symbol ends", "capitals", "letters", "mean length", "repeats", "digits", "bars")
 _ALPHA, _CAPS, _DIGIT = (np.zeros(256, bool) for _ in range(3))
 _ALPHA[65:91] = _ALPHA[97:123] = _ALPHA[128:] = True
@@ -29,57 +31,111 @@ _CAPS[65:91] = True
 _DIGIT[48:58] = True
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in "!#$%&*+/<=>@\\^_`{|}~"]] = True
-
-
-def shape(raw: bytes, h: np.ndarray) -> np.ndarray:
-    """What a text looks like, as numbers of about -1 to 1 (SHAPE); h: its words' hashes."""
-    if not len(h):
-        return np.array([1.0, -1, 0, 0, 0, 0, 0, 0, 0, 0])
-    b = np.frombuffer(raw, np.uint8)
-    words = raw.split()
-    last = np.array([w[-1] for w in words], np.uint8)
-    letters = max(1, int(_ALPHA[b].sum()))
-    return np.array([1.0, np.log(len(h)) / 5 - 1, len(np.unique(h)) / len(h), _ENDS[last].mean(), _CAPS[b].sum() / letters, letters / len(b), len(b) / len(h) / 10, (h[1:] == h[:-1]).mean() if len(h) > 1 else 0.0, _DIGIT[b].mean(), (b == 124).mean() * 10])
-
-
-def tokens(raw: bytes) -> np.ndarray:
-    """Buckets of a text's words (lower-cased, bare of symbols at the ends) and of the first five and four characters of longer ones."""
-    words = {w.strip(b".,;:!?\"'()[]{}*#$%&|-_") for w in raw.lower().split()}
-    bag = set()
-    for w in words:
-        if w:
-            bag.add(w)
-            if len(w) > 5:
-                t = w.decode("utf-8", "replace")
-                bag.update((b"^" + t[:5].encode(), b"^" + t[:4].encode()))
-    if not bag:
-        return np.zeros(0, np.int64)
-    _, h = word_hashes(b" ".join(bag))
-    return np.unique(h >> np.uint64(64 - BITS)).astype(np.int64)
-
-
-def _half(h: np.ndarray) -> int:
-    """The half of the sample that a text is in; copies are in the same one."""
-    return int(np.bitwise_xor.reduce(h) >> np.uint64(63)) if len(h) else 0
-
-
-def _texts(batch) -> list[bytes]:
-    return [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
+_STRIP = np.zeros(256, bool)
+_STRIP[[*b".,;:!?\"'()[]{}*#$%&|-_ \t\n\r\x0b\x0c"]] = True
+_SALT = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _prefix_sums(marks: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(marks, dtype=np.int64)))
+
+
+class Slab:
+    """About a megabyte of texts at once: words, their hashes and buckets as arrays, with the text that each belongs to."""
+
+    def __init__(self, texts: list[bytes]):
+        self.n = len(texts)
+        raw = b"\n".join(texts)
+        self.b = np.frombuffer(raw, np.uint8)
+        self.at = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
+        self.start, self.end, self.h = word_spans(raw)
+        self.doc = np.searchsorted(self.at, self.start, "right") - 1
+        self.words = np.bincount(self.doc, minlength=self.n)
+
+    def _share(self, of: np.ndarray) -> np.ndarray:
+        """How many bytes of each text are marked."""
+        c = _prefix_sums(of)
+        return (c[np.minimum(self.at[1:] - 1, len(self.b))] - c[self.at[:-1]]).astype(float)
+
+    def shape(self) -> np.ndarray:
+        """What texts look like, as numbers of about -1 to 1 (SHAPE)."""
+        n, size = np.maximum(self.words, 1), np.maximum(self.at[1:] - 1 - self.at[:-1], 1)
+        letters = np.maximum(1, self._share(_ALPHA[self.b]))
+        o = np.lexsort((self.h, self.doc))
+        h, d = self.h[o], self.doc[o]
+        new = np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1]))) if len(h) else np.zeros(0, bool)
+        distinct = np.bincount(d[new], minlength=self.n)
+        ends = np.bincount(self.doc[_ENDS[self.b[self.end - 1]]], minlength=self.n) if len(self.end) else np.zeros(self.n)
+        again = (self.h[1:] == self.h[:-1]) & (self.doc[1:] == self.doc[:-1])
+        repeats = np.bincount(self.doc[1:][again], minlength=self.n) / np.maximum(1, n - 1)
+        out = np.column_stack((np.ones(self.n), np.log(n) / 5 - 1, distinct / n, ends / n, self._share(_CAPS[self.b]) / letters, letters / size, size / n / 10, repeats, self._share(_DIGIT[self.b]) / size, self._share(self.b == 124) / size * 10))
+        out[self.words == 0] = [1.0, -1, *[0] * (len(SHAPE) - 2)]
+        return out
+
+    def buckets(self) -> tuple[np.ndarray, np.ndarray]:
+        """(text, buckets) for each different word of a text: one row of buckets for the word, bare of symbols at its ends, and for
+        its beginnings (BEGINNINGS bytes; the word's own again where it is no longer)."""
+        bare = np.flatnonzero(~_STRIP[self.b])
+        lo = np.searchsorted(bare, self.start)
+        hi = np.searchsorted(bare, self.end) - 1
+        ok = lo <= hi
+        s, e, d = bare[lo[ok]], bare[hi[ok]] + 1, self.doc[ok]
+        sums = running(self.b)
+        h = span_hashes(self.b, s, e, sums)
+        _, first = np.unique((d.astype(np.uint64) << np.uint64(44)) ^ (h >> np.uint64(20)), return_index=True)
+        first.sort()
+        s, e, d, h = s[first], e[first], d[first], h[first]
+        out = np.empty((len(s), 1 + len(BEGINNINGS)), np.int64)
+        out[:, 0] = mix(h) >> np.uint64(64 - BITS)
+        for i, k in enumerate(BEGINNINGS, 1):
+            longer = e - s > k
+            out[:, i] = out[:, 0]
+            out[longer, i] = mix(span_hashes(self.b, s[longer], s[longer] + k, sums) + np.uint64(k) * _SALT) >> np.uint64(64 - BITS)
+        return d, out
+
+    def halves(self) -> np.ndarray:
+        """The half of the sample that each text is in; copies are in the same one."""
+        out = np.zeros(self.n, np.uint64)
+        np.bitwise_xor.at(out, self.doc, self.h)
+        return (mix(out) >> np.uint64(63)).astype(np.int64)
+
+    def strongest(self, strength: np.ndarray) -> np.ndarray:
+        """1, and the TOP strongest words of each text, a word by the strongest of its buckets; strength: one row of buckets for each text's half, or for all."""
+        d, k = self.buckets()
+        x = (strength[self.halves()[d][:, None], k] if strength.ndim == 2 else strength[k]).max(axis=1, initial=0)
+        d, x = d[x > 0], x[x > 0]
+        o = np.lexsort((-x, d))
+        d, x = d[o], x[o]
+        rank = np.arange(len(d)) - np.searchsorted(d, d)
+        out = np.zeros((self.n, TOP + 1))
+        out[:, 0] = 1
+        out[d[rank < TOP], 1 + rank[rank < TOP]] = x[rank < TOP]
+        return out
+
+
+def _slabs(batches):
+    """(batch, first row, slab) of all rows, about a megabyte of text at a time."""
+    for batch in batches:
+        texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
+        for i, j in slabs(texts):
+            yield batch, i, Slab(texts[i:j])
 
 
 def _count(batches):
     counts = np.zeros((2, 2, 1 << BITS), np.int32)  # half, toxic
     x, y = [], []
     np.seterr(over="ignore")
-    for batch in batches:
-        for raw, q, t in zip(_texts(batch), batch.column("quality").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            h = word_hashes(raw)[1]
-            counts[_half(h), int(t)][tokens(raw)] += 1
-            x.append(shape(raw, h))
-            y.append((q, t))
+    for batch, i, slab in _slabs(batches):
+        q, t = (np.array(batch.column(c).slice(i, slab.n).to_pylist(), np.int64) for c in ("quality", "toxic"))
+        d, k = slab.buckets()
+        own = np.unique((np.repeat(d, k.shape[1]) << BITS) | k.ravel())  # each bucket of a text once
+        d, k = own >> BITS, own & ((1 << BITS) - 1)
+        np.add.at(counts, (slab.halves()[d], t[d], k), 1)
+        x.append(slab.shape())
+        y.append(np.column_stack((q, t)))
     if x:
         rows = [zlib.compress(a.tobytes(), 1) for a in np.split(counts, SLICES, axis=2)]
-        extra = np.column_stack((np.array(x), np.array(y, float))).tobytes()
+        extra = np.column_stack((np.concatenate(x), np.concatenate(y).astype(float))).tobytes()
         yield pa.RecordBatch.from_pydict({"slice": pa.array([*range(SLICES), -1], pa.int32()), "data": pa.array([*rows, extra], pa.binary())})
 
 
@@ -99,19 +155,13 @@ def strengths(t: np.ndarray, c: np.ndarray, n1: float, n0: float) -> np.ndarray:
     return np.where(ok, np.maximum(0, np.log((t + 0.5) / (n1 + 1)) - np.log((c + 0.5) / (n0 + 1))), 0).astype(np.float32)
 
 
-def strongest(raw: bytes, strength: np.ndarray) -> np.ndarray:
-    """1, and the TOP strongest buckets of a text."""
-    top = np.sort(strength[tokens(raw)])[::-1][:TOP]
-    return np.concatenate(([1.0], top, np.zeros(TOP - len(top))))
-
-
 def _crossed(shared):
     def run(batches):
         np.seterr(over="ignore")
-        both = shared.value
-        for batch in batches:
-            rows = [(*strongest(raw, both[1 - _half(word_hashes(raw)[1])]), t) for raw, t in zip(_texts(batch), batch.column("toxic").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"row": pa.array([np.array(r, float).tobytes() for r in rows], pa.binary())})
+        other = np.stack(shared.value[::-1])  # each half is scored by the words of the other
+        for batch, i, slab in _slabs(batches):
+            rows = np.column_stack((slab.strongest(other), batch.column("toxic").slice(i, slab.n).to_pylist()))
+            yield pa.RecordBatch.from_pydict({"row": pa.array([r.astype(float).tobytes() for r in rows], pa.binary())})
 
     return run
 
@@ -147,9 +197,10 @@ def fit(labelled: DataFrame) -> dict:
     return {"shape": logistic(xy[:, : len(SHAPE)], 1 - xy[:, -2]), "toxic": logistic(crossed[:, :-1], crossed[:, -1]), "strength": strengths(counts[:, 1].sum(axis=0), counts[:, 0].sum(axis=0), n1, n0)}
 
 
-def evidence(raw: bytes, model: dict) -> tuple[float, float]:
+def evidence(texts: list[bytes], model: dict) -> tuple[np.ndarray, np.ndarray]:
     """Log odds of low quality and of toxicity."""
-    return float(shape(raw, word_hashes(raw)[1]) @ model["shape"]), float(strongest(raw, model["strength"]) @ model["toxic"])
+    slab = Slab(texts)
+    return slab.shape() @ model["shape"], slab.strongest(model["strength"]) @ model["toxic"]
 
 
 def _score(model):
@@ -157,8 +208,9 @@ def _score(model):
         np.seterr(over="ignore")
         m = model.value
         for batch in batches:
-            got = [evidence(x or b"", m) for x in batch.column("text").cast(pa.binary()).to_pylist()]
-            low, toxic = ([g[i] for g in got] for i in (0, 1))
+            texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            got = [evidence(texts[i:j], m) for i, j in slabs(texts)]
+            low, toxic = (np.concatenate([g[i] for g in got]) if got else np.zeros(0) for i in (0, 1))
             own = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in own] + [pa.array(low, pa.float64()), pa.array(toxic, pa.float64())], names=[*own, "low", "toxic"])
 
@@ -191,9 +243,10 @@ def row_key(doc_id, text, site, path):
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", path_col: str = "lang", keyed: bool = False) -> DataFrame:
-    """(doc_id, low, toxic, site_rate, path_rate, p_reject, keep) for every row: log odds of the document's own evidence, the
-    shrunk rates of its site and path (a site's path_col values), the combined probability of low quality or toxicity, and
-    whether the document stays. labels: doc_id, quality, toxic; null labels don't count; of a repeated one the worst holds.
+    """(doc_id, low, toxic, site_rate, path_rate, p_reject, known_bad, keep) for every row: log odds of the document's own evidence,
+    the shrunk rates of its site and path (a site's path_col values), the combined probability of low quality or toxicity, all
+    by the method, also for labelled rows; what the label says (null without one); and whether the document stays: by its label
+    where it has one, else by p_reject. labels: doc_id, quality, toxic; null labels don't count; of a repeated one the worst holds.
 
     Null texts count as empty; null sites and paths are groups of their own. Repeated rows each have a row. Without labels
     nothing is known and all stay. An empty table gives none. Other columns aren't read. keyed adds row_key, by which a row
@@ -226,5 +279,5 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     out = rows.join(rates, F.col("site").eqNullSafe(F.col("of")) & F.col("path").eqNullSafe(F.col("at")))
     shift = _logit(F.col("path_rate")) - _logit(F.lit(total))
     p = 1 - (1 - _p(F.col("low") + shift)) * (1 - _p(F.col("toxic") + shift))
-    p = F.when(F.col("known_quality").isNotNull(), bad).otherwise(p)
-    return out.select("doc_id", *[F.round(c, 6).alias(c) for c in ("low", "toxic", "site_rate", "path_rate")], F.round(p, 6).alias("p_reject"), (p <= 0.5).alias("keep"), *own)
+    known_bad = (F.col("known_quality") == 0) | (F.col("known_toxic") == 1)
+    return out.select("doc_id", *[F.round(c, 6).alias(c) for c in ("low", "toxic", "site_rate", "path_rate")], F.round(p, 6).alias("p_reject"), known_bad.alias("known_bad"), F.coalesce(~known_bad, p <= 0.5).alias("keep"), *own)

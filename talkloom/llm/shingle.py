@@ -41,31 +41,55 @@ def _powers(base: int) -> np.ndarray:
 _POW, _INV = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
 
 
-def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start offsets and hashes of the words of raw, in order."""
+def _edges(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     b = np.frombuffer(raw, np.uint8)
     edge = np.diff(np.concatenate(([1], _WS[b].view(np.int8), [1])).astype(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    return b, np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+
+
+def running(b: np.ndarray) -> np.ndarray | None:
+    """Running sums from which span_hashes() takes any span of b at once; None where b is longer than the table of powers."""
+    if len(b) > BLOCK + LONG:
+        return None
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[b] * _POW[: len(b)], dtype=np.uint64)))
+
+
+def span_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the spans [start, end) of bytes b, which stand in order of their starts; equal bytes (but for A-Z), equal hash.
+    sums: running(b), where more than one set of spans is wanted."""
+    if sums is not None and (not len(start) or (end - start).max() <= LONG):
+        return mix((sums[end] - sums[start]) * _INV[start] + (end - start).astype(np.uint64))
     out = np.empty(len(start), np.uint64)
     i = 0
     while i < len(start):
         lo = start[i]
         if end[i] - lo > LONG:  # a word longer than any block
-            out[i] = int.from_bytes(hashlib.blake2b(raw[lo : end[i]].lower(), digest_size=8).digest(), "little")
+            out[i] = int.from_bytes(hashlib.blake2b(b[lo : end[i]].tobytes().lower(), digest_size=8).digest(), "little")
             i += 1
             continue
-        j = int(np.searchsorted(end, lo + BLOCK, "right"))
-        j = max(j, i + 1)
+        j = max(int(np.searchsorted(start, lo + BLOCK, "left")), i + 1)
         s, e = start[i:j] - lo, end[i:j] - lo
         if (e - s).max() > LONG:
             j = i + int(np.argmax((e - s) > LONG))
             s, e = s[: j - i], e[: j - i]
-        v = _BYTE[b[lo : lo + e[-1]]]
+        v = _BYTE[b[lo : lo + e.max()]]
         v *= _POW[: len(v)]
         c = np.concatenate((np.zeros(1, np.uint64), np.cumsum(v, dtype=np.uint64)))
         out[i:j] = mix((c[e] - c[s]) * _INV[s] + (e - s).astype(np.uint64))
         i = j
-    return start, out
+    return out
+
+
+def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end offsets and hashes of the words of raw, in order."""
+    b, start, end = _edges(raw)
+    return start, end, span_hashes(b, start, end, running(b))
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start offsets and hashes of the words of raw, in order."""
+    start, _, h = word_spans(raw)
+    return start, h
 
 
 def slabs(texts: list, size: int = BLOCK):
