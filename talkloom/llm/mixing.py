@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from talkloom.llm.common import discard, n_words, written
 
 WEIGHTS = (3, 1, 2)
-#: Words of a block; documents of a bin, in which running sums begin; blocks that the last documents are looked for in.
+#: Words of a block (fewer in small sources, which have 16 blocks); documents of a bin, in which running sums begin; blocks that the last documents are looked for in.
 SHARE, MOST, BLOCK, BIN, REACH, SEED = 1.5, 2, 4096, 64, 8, 17
 #: Draws of a shard (about a million words), at which the tree stops splitting; at least 2**4 shards.
 SHARD_DRAWS = 256
@@ -101,10 +101,11 @@ def _plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     sizes = written(d, "sizes")
     d = keys = written(_keys(sizes), "keys")
     s = targets(d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), share, most)
-    s = s.withColumns({"bins": F.ceil(F.col("n") / BIN), "blocks": F.greatest(F.lit(1), F.ceil(F.col("source_size") / BLOCK)), "passes": F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")})
+    s = s.withColumns({"bins": F.ceil(F.col("n") / BIN), "width": F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.ceil(F.col("source_size") / 16))), "passes": F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")})
     s = s.withColumn("rest", F.floor(F.col("target") - F.col("passes") * F.col("source_size")).cast("long"))
-    s = written(s.withColumn("edge", F.when(F.col("rest") > 0, F.floor(F.col("rest") / BLOCK))), "sources")
-    kept = s.select("source", "index", "source_size", "target", "bins", "blocks", "passes", "rest", "edge").withColumnRenamed("source", "of")
+    s = s.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.col("width"))))
+    s = written(s.withColumn("edge", F.when(F.col("rest") > 0, F.floor(F.col("rest") / F.col("width")))), "sources")
+    kept = s.select("source", "index", "source_size", "target", "bins", "width", "blocks", "passes", "rest", "edge").withColumnRenamed("source", "of")
     d = d.join(checked(kept), d["source"].eqNullSafe(kept["of"])).drop("source", "of")
     d = d.withColumn("at", F.xxhash64("key", F.lit(SEED))).withColumn("bin", F.pmod("at", F.col("bins")))
 
@@ -117,10 +118,10 @@ def _plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     b = written(b, "bins")
     inside = Window.partitionBy("index", "bin").orderBy("at", "row").rowsBetween(Window.unboundedPreceding, -1)
     d = d.join(checked(b), ["index", "bin"]).withColumn("start", F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    d = written(d.withColumn("block", F.least(F.floor(F.col("start") / BLOCK), F.col("blocks") - 1)).drop("ahead", "at", "bin", "bins"), "ordered")
+    d = written(d.withColumn("block", F.least(F.floor(F.col("start") / F.col("width")), F.col("blocks") - 1)).drop("ahead", "at", "bin", "bins"), "ordered")
     # documents that end before the edge block have their copy; of those in it and a few blocks on, those that fit, in order
-    sure = F.col("start") + F.col("size") <= F.col("edge") * BLOCK
-    brim = d.where("edge is not null and size > 0").where(~sure & (F.col("start") < (F.col("edge") + REACH) * BLOCK))
+    sure = F.col("start") + F.col("size") <= F.col("edge") * F.col("width")
+    brim = d.where("edge is not null and size > 0").where(~sure & (F.col("start") < (F.col("edge") + REACH) * F.col("width")))
     brim = brim.groupBy("index").agg((F.first("rest") - F.min("start")).alias("left"), F.sort_array(F.collect_list(F.struct("block", F.xxhash64("key", F.lit(SEED + 1)).alias("key"), "row", "size"))).alias("rows"))
     picked = brim.selectExpr(
         "index",

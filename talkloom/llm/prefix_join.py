@@ -1,13 +1,14 @@
 """N-gram Jaccard join: grouped prefix join with connected components of the links.
 
-1. One pass counts shingles into a sketch of fixed size (frequent ones go last in the order of shingles).
-2. One pass emits each document's prefix, split into parts by size bucket and class (see prefix_kernel). Documents with the
-   same shingles are one group: they have the same prefix and size, and only one of a task's copies is sent.
-3. Each part counts common prefix shingles of its groups and keeps group pairs with enough of them: for each group its best
-   few; groups with more are noted.
-4. The pairs are expanded to whole shingle sets and verified; links give components.
-5. The noted groups are counted again, now with all their shingles as prefix (few near misses stay), all pairs of different
-   components this time, and verified.
+1. One pass takes each document's set of shingles: its size, a print of 128 bits that stands for it, and counts of shingles in a
+   sketch of fixed size (frequent ones go last in the order of shingles). Equal sets are one, whatever their number.
+2. One pass emits each set's prefix, split into parts by size bucket and class (see prefix_kernel).
+3. In a part, sets with identical prefixes and size are one group. Group pairs are filtered by the shingles that their prefixes
+   have in common: for each group its best few, and from long lists of a frequent shingle the neighbours alone. Sets of groups
+   with more, of cut lists, and of groups of several are noted.
+4. Group pairs are expanded to members: whole sets are verified; links give components.
+5. The noted sets are joined again, now with all their shingles as prefix (few near misses stay), all pairs of different
+   components this time and no others, and verified.
 
 Nothing is dropped: a pair that is never verified lies within one component already. Pairs within a large group of near
 copies are never all formed.
@@ -29,6 +30,8 @@ from talkloom.llm.shingle import K, mix, shingles, slabs
 
 #: Ids are broadcast up to this number (8 MB); beyond it they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Groups of copies that are broadcast at most.
+HEAVY_GROUPS = 500_000
 _SLICES = 64
 _PART = pa.schema([("part", pa.int64()), ("ids", pa.binary()), ("prints", pa.binary()), ("groups", pa.binary()), ("sizes", pa.binary()), ("lengths", pa.binary()), ("tokens", pa.binary())])
 _PART_SQL = "part long, ids binary, prints binary, groups binary, sizes binary, lengths binary, tokens binary"
@@ -38,22 +41,36 @@ def _texts(batch: pa.RecordBatch) -> list:
     return batch.column("text").cast(pa.binary()).to_pylist()
 
 
-def _sketch(k: int):
+def _print(own: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set of shingles (sorted)."""
+    return int(np.bitwise_xor.reduce(mix(own))), int(np.add.reduce(mix(own * np.uint64(0x9E3779B97F4A7C15) + np.uint64(len(own)))))
+
+
+_FEATURES_SQL = "doc_id long, n_shingles long, f1 long, f2 long, slice int, counts binary"
+_FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
+
+
+def _featured(k: int):
+    """A row for each document (slice null), and at a task's end rows of its sketch and of its documents per size bucket."""
+
     def run(batches):
         np.seterr(over="ignore")
-        sketch = np.zeros(1 << pk.SKETCH_BITS, np.int64)
-        sizes = np.zeros(256, np.int64)
+        sketch, sizes = np.zeros(1 << pk.SKETCH_BITS, np.int64), np.zeros(256, np.int64)
         for batch in batches:
             texts = _texts(batch)
+            n, f1, f2 = (np.zeros(len(texts), t) for t in (np.int64, np.uint64, np.uint64))
             for i, j in slabs(texts):
                 own = [np.unique(g) for g in shingles(texts[i:j], k)]
-                for g in own:
+                for d, g in enumerate(own, i):
                     if len(g):
                         sizes[pk.bucket(len(g))] += 1
+                        n[d], (f1[d], f2[d]) = len(g), _print(g)
                 sketch += np.bincount((np.concatenate(own) >> np.uint64(64 - pk.SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
+            nulls = [pa.nulls(len(texts), t) for t in (pa.int32(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), *nulls], schema=_FEATURES)
         if sizes.any():
             rows = [zlib.compress(x.tobytes(), 1) for x in np.split(sketch, _SLICES)] + [zlib.compress(sizes.tobytes())]
-            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(_SLICES + 1), pa.int32()), "counts": pa.array(rows, pa.binary())})
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(rows), pa.int64())] * 4, pa.array(range(_SLICES + 1), pa.int32()), pa.array(rows, pa.binary())], schema=_FEATURES)
 
     return run
 
@@ -63,37 +80,16 @@ def _add(table: pa.Table) -> pa.Table:
     return pa.table({"slice": pa.array([table.column("slice")[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(total.tobytes())], pa.binary())})
 
 
-def frequencies(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+def frequencies(features: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The sketch (2**SKETCH_BITS counters, whatever the input) and the documents per size bucket."""
-    rows = docs.select("text").mapInArrow(_sketch(k), "slice int, counts binary").groupBy("slice").applyInArrow(_add, "slice int, counts binary").collect()
+    rows = features.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(_add, "slice int, counts binary").collect()
     got = {r["slice"]: np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64) for r in rows}
     if not got:
         return np.zeros(1 << pk.SKETCH_BITS, np.int64), np.zeros(256, np.int64)
     return np.concatenate([got[i] for i in range(_SLICES)]), got[_SLICES]
 
 
-def _print(key: np.ndarray) -> tuple[int, int]:
-    """128 bits that stand for a set of shingles."""
-    return int(np.bitwise_xor.reduce(mix(key))), int(np.add.reduce(mix(key * np.uint64(0x9E3779B97F4A7C15) + np.uint64(len(key)))))
-
-
-def _featured(k: int, level):
-    def run(batches):
-        np.seterr(over="ignore")
-        for batch in batches:
-            texts = _texts(batch)
-            n, f1, f2 = (np.zeros(len(texts), t) for t in (np.int64, np.uint64, np.uint64))
-            for i, j in slabs(texts):
-                for d, g in enumerate(shingles(texts[i:j], k), i):
-                    if len(g):
-                        key = pk.ordered(g, level.value)
-                        n[d], (f1[d], f2[d]) = len(key), _print(key)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64()), "n_shingles": pa.array(n), "f1": pa.array(f1.view(np.int64)), "f2": pa.array(f2.view(np.int64))})
-
-    return run
-
-
-def _emitted(k: int, level, blocks: dict[int, int], keep: float = pk.KEEP, most: int = 1_000_000):
+def _emitted(k: int, level, split: dict[int, tuple[int, int]], keep: float = pk.KEEP, most: int = 1_000_000):
     def flush(held):
         joined = {p: tuple(np.concatenate(x).tobytes() for x in zip(*v, strict=True)) for p, v in held.items()}
         held.clear()
@@ -112,13 +108,13 @@ def _emitted(k: int, level, blocks: dict[int, int], keep: float = pk.KEEP, most:
                 for d, g in enumerate(shingles(texts[i:j], k), i):
                     if not len(g) or ids[d] is None:
                         continue
-                    key = pk.ordered(g, level.value)
-                    own = _print(key)
+                    own = _print(np.unique(g))
                     if own in seen:
                         continue
                     seen.add(own)
+                    key = pk.ordered(g, level.value)
                     head = (np.array([ids[d]], np.int64), np.array(own, np.uint64), np.array([group[d]], np.int64), np.array([len(key)], np.int32))
-                    for p, t in pk.parts_of(key, own[0] & 0xFFFFFFFF, blocks, keep):
+                    for p, t in pk.parts_of(key, own[0] & 0xFFFFFFFF, split, keep):
                         held.setdefault(p, []).append((*head, np.array([len(t)], np.int32), t))
                         room += len(t)
                 if room > most:
@@ -129,35 +125,62 @@ def _emitted(k: int, level, blocks: dict[int, int], keep: float = pk.KEEP, most:
     return run
 
 
-def _part_pairs(first: bool):
-    """Steps 3 and 5 for one part. first: pairs (a, b) of each group's best few, and (a, null) for groups that have more;
+def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
+    """All bytes of a binary column, in order, as numbers."""
+    out = [np.zeros(0, kind)]
+    for c in column.chunks:
+        if len(c):
+            at = np.frombuffer(c.buffers()[1], np.int64 if pa.types.is_large_binary(c.type) else np.int32)[c.offset : c.offset + len(c) + 1]
+            out.append(np.frombuffer(c.buffers()[2], np.uint8, int(at[-1] - at[0]), int(at[0])).view(kind))
+    return np.concatenate(out) if len(out) != 2 else out[1]
+
+
+def _part_pairs(first: bool, split: dict[int, tuple[int, int]]):
+    """Steps 3 and 5 for one part. first: pairs (a, b) of each group's best few, and (a, null) for the sets that are noted;
     else all pairs of different components, by whole sets."""
 
     def run(table: pa.Table) -> pa.Table:
         np.seterr(over="ignore")
         part = table.column("part")[0].as_py()
-
-        def whole(name, kind):
-            return np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
-
-        ids, prints, group, n, length, token = (whole(*x) for x in (("ids", np.int64), ("prints", np.uint64), ("groups", np.int64), ("sizes", np.int32), ("lengths", np.int32), ("tokens", np.uint64)))
+        ids, prints, group, n, length, token = (_joined(table.column(c), k) for c, k in (("ids", np.int64), ("prints", np.uint64), ("groups", np.int64), ("sizes", np.int32), ("lengths", np.int32), ("tokens", np.uint64)))
         f1, f2 = prints[0::2], prints[1::2]
         order = np.lexsort((ids, f2, f1, n))
         same = (f1[order][1:] == f1[order][:-1]) & (f2[order][1:] == f2[order][:-1]) & (n[order][1:] == n[order][:-1])
-        keep = order[np.concatenate(([True], ~same))]  # one of each group of equal sets, by size
+        keep = order[np.concatenate(([True], ~same))]  # one of equal sets, by size
         start = np.cumsum(length) - length
         token = np.concatenate([token[a : a + k] for a, k in zip(start[keep], length[keep], strict=True)])
         ids, n, length, group = ids[keep], n[keep].astype(np.int64), length[keep], group[keep]
-        doc, b = np.repeat(np.arange(len(ids)), length), (part >> 32) // pk.MAX_CLASSES
-        got, more = [], np.zeros(len(ids), bool)
-        for x, y, common in pk.candidates(token, doc, n, b) if first else pk.candidates(token, doc, n, b, group, 0.0):
-            if first:
+        q = (part >> 32) // pk.MAX_CLASSES
+        share = pk.KEEP if first else 0.0
+        c = pk.classes(q, split.get(q, (1, 1))[0], share)
+        got, noted = [], np.zeros(len(ids), bool)
+        if first:  # groups: identical prefixes and size
+            at = np.cumsum(length) - length
+            mark = np.add.reduceat(mix(token + np.uint64(1)), at)
+            o = np.lexsort((mark, length, n))
+            new = np.concatenate(([True], (np.diff(n[o]) != 0) | (np.diff(length[o]) != 0) | (mark[o][1:] != mark[o][:-1])))
+            head = np.empty(len(ids), np.int64)
+            head[o] = o[np.flatnonzero(new)[np.cumsum(new) - 1]]
+            of_several = np.bincount(head, minlength=len(ids))[head] > 1
+            noted |= of_several
+            members = np.flatnonzero(head != np.arange(len(ids)))
+            got.append((ids[head[members]], ids[members]))
+            heads = np.flatnonzero(head == np.arange(len(ids)))
+            token, length = np.concatenate([token[at[h] : at[h] + length[h]] for h in heads]), length[heads]
+            for x, y, common in pk.candidates(token, np.repeat(np.arange(len(heads)), length), n[heads], q, c, keep=share, most=pk.LONG_LIST):
+                if y is None:
+                    noted[heads[x]] = True
+                    continue
                 best = pk.first_pairs(x, y, common)
-                more[x[~best]] = more[y[~best]] = True
-                x, y = x[best], y[best]
-            got.append((ids[x], ids[y]))
+                x, y = heads[x], heads[y]
+                more = ~best | of_several[x] | of_several[y]
+                noted[x[more]] = noted[y[more]] = True
+                got.append((ids[x[best]], ids[y[best]]))
+        else:
+            for x, y, _ in pk.candidates(token, np.repeat(np.arange(len(ids)), length), n, q, c, group, share):
+                got.append((ids[x], ids[y]))
         x, y = (np.concatenate([g[i] for g in got]) if got else np.zeros(0, np.int64) for i in (0, 1))
-        rest = ids[more]
+        rest = ids[noted]
         return pa.table({"a": pa.array(np.concatenate((np.minimum(x, y), rest))), "b": pa.concat_arrays([pa.array(np.maximum(x, y)), pa.nulls(len(rest), pa.int64())])})
 
     return run
@@ -197,29 +220,40 @@ def _links(docs: DataFrame, pairs: DataFrame, k: int, level) -> DataFrame:
     return out
 
 
+def _with_groups(rows: DataFrame, groups: DataFrame, total: int) -> DataFrame:
+    """rows (f1, f2, ...) with their group's columns. Groups of very many rows, of which there can be no more than HEAVY_GROUPS, are
+    broadcast, so that no task of the other join holds more than their share of rows."""
+    heavy = F.broadcast(groups.where(F.col("copies") > max(1000, total // HEAVY_GROUPS)))
+    rest = rows.join(heavy.select("f1", "f2"), ["f1", "f2"], "left_anti").join(groups, ["f1", "f2"])
+    return rows.join(heavy, ["f1", "f2"]).unionByName(rest)
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs; links are Jaccard similarities of 0.75 and more.
+    """(doc_id, n_shingles, component_id, set_id, n_copies) for every row of docs; links are Jaccard similarities of 0.75 and more.
+    set_id is the smallest id of the rows whose sets equal this one's, n_copies their number.
 
     Null or wordless text: 0 shingles, linked with nothing, its own component. Fewer than k words: one shingle. Repeated rows
-    each appear. Rows with a null id get a null component of their own text's class and link nothing. An empty table gives
-    an empty result. Other columns are not looked at.
+    each appear. A row with a null id links nothing of itself: its component is that of rows with an equal set, null if none of
+    them has an id. An empty table gives an empty result. Other columns are not looked at.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    sketch, sizes = frequencies(docs, k)
+    features = written(docs.mapInArrow(_featured(k), _FEATURES_SQL), "features")
+    sketch, sizes = frequencies(features)
     level = spark.sparkContext.broadcast(pk.levels(sketch))
-    per = np.maximum(1, -(-(sizes + np.concatenate(([0], sizes[:-1]))) // pk.BLOCK_DOCS))
-    blocks = {int(b): int(s) for b, s in enumerate(per) if s > 1}
+    split = pk.splits(sizes)
 
-    rows = written(docs.mapInArrow(_featured(k, level), "doc_id long, n_shingles long, f1 long, f2 long"), "features")
-    groups = rows.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"))
-    owner = rows.join(groups, ["f1", "f2"]).select("doc_id", "node")
+    rows = features.where("slice is null").drop("slice", "counts")
+    some = rows.where("n_shingles > 0")
+    groups = written(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "groups")
+    total = int(sizes.sum())
+    owner = _with_groups(some, groups, total).select("doc_id", "node")
 
     n = max(4 * scan_partitions(docs), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def pairs_of(texts: DataFrame, first: bool) -> DataFrame:
-        parts = texts.mapInArrow(_emitted(k, level, blocks, pk.KEEP if first else 0.0), _PART_SQL)
-        return written(parts.repartition(n, "part").groupBy("part").applyInArrow(_part_pairs(first), "a long, b long").distinct(), "pairs")
+        parts = texts.mapInArrow(_emitted(k, level, split, pk.KEEP if first else 0.0), _PART_SQL)
+        return written(parts.repartition(n, "part").groupBy("part").applyInArrow(_part_pairs(first, split), "a long, b long").distinct(), "pairs")
 
     found = pairs_of(docs.withColumn("component", F.lit(0).cast("long")), True)
     first = _links(docs, found.where("b is not null"), k, level)
@@ -230,7 +264,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     edges = written(nodes(first), "edges")
     known = written(components(edges), "components")
-    rest = found.where("b is null").select(F.col("a").alias("doc_id")).join(owner.distinct(), "doc_id").join(known, "node", "left")
+    rest = found.where("b is null").select(F.col("a").alias("doc_id")).distinct().join(owner.distinct(), "doc_id").join(known, "node", "left")
     rest = written(rest.groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component")), "rest")
     more = pairs_of(_among(docs, rest), False)
     second = _links(docs, more, k, level)
@@ -241,5 +275,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         discard(known)
     for table in (found, more, first, second, edges, rest):
         discard(table)
-    out = rows.join(groups, ["f1", "f2"], "left").join(final, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).otherwise(F.col("doc_id")).alias("component_id"))
+    classes = groups.join(final, "node", "left").select("f1", "f2", "copies", F.coalesce("component", "node").alias("component_id"), F.col("node").alias("set_id"))
+    columns = ("doc_id", "n_shingles", "component_id", "set_id", F.col("copies").alias("n_copies"))
+    empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("set_id"), F.lit(1).cast("long").alias("n_copies"))
+    return _with_groups(some, classes, total).select(*columns).unionByName(empty)

@@ -7,7 +7,8 @@ A document of n shingles keeps its first q = n - floor(KEEP * n) as prefix. Docu
 shingles in common, so their prefixes have at least R - max(nx-qx, ny-qy) in common (all later ones lie beyond one of the
 two prefixes). Linked sizes differ by a factor of 4/3 at most: a document stands in its size bucket and, as a guest, in the
 next. A bucket's prefixes are split by hash into classes; by the pigeonhole principle some class holds its share of the
-common ones. A part is one class of one bucket.
+common ones. A part is one class of one bucket. A bucket of many documents has more classes (up to FINER times as many), and
+only beyond that are its documents dealt to pairs of blocks.
 """
 
 from __future__ import annotations
@@ -18,11 +19,13 @@ from talkloom.llm.shingle import mix
 
 SKETCH_BITS = 20
 KEEP = 0.65
-MAX_CLASSES = 64
-#: Documents of a bucket that one part may hold; larger buckets are split into pairs of blocks.
-BLOCK_DOCS = 60_000
+MAX_CLASSES = 1024
+#: Documents of a bucket that one part may hold; larger buckets have more classes, then pairs of blocks.
+BLOCK_DOCS, FINER = 60_000, 4
 #: Pairs that a document emits in a part at once; the others follow when the components of these are known.
 FIRST_PAIRS = 4
+#: Postings of a token that are all paired in the first round; in longer lists each meets its next WINDOW ones.
+LONG_LIST, WINDOW = 64, 8
 
 
 def levels(sketch: np.ndarray) -> np.ndarray:
@@ -41,27 +44,35 @@ def bucket(n: int) -> int:
     return b + 1 if (4 / 3) ** (b + 1) <= n else b
 
 
-def classes(b: int) -> int:
-    return int(min(MAX_CLASSES, max(1, (4 / 3) ** b / 96)))
+def classes(b: int, finer: int = 1, keep: float = KEEP) -> int:
+    """Classes of a bucket: a document has about 34 shingles of its prefix in each, or with whole sets as prefix about 32."""
+    return int(min(MAX_CLASSES, max(1, finer * (4 / 3) ** b / (96 if keep else 32))))
 
 
 def prefix_length(n, keep: float = KEEP):
     return n - np.floor(keep * np.asarray(n)).astype(np.int64)
 
 
-def parts_of(key: np.ndarray, salt: int, blocks: dict[int, int], keep: float = KEEP) -> list[tuple[int, np.ndarray]]:
+def splits(sizes: np.ndarray) -> dict[int, tuple[int, int]]:
+    """bucket -> (finer, blocks) for the buckets of many documents, its own and guests, given documents per bucket."""
+    many = -(-(sizes + np.concatenate(([0], sizes[:-1]))) // BLOCK_DOCS)
+    return {int(b): (int(min(m, FINER)), int(-(-m // FINER))) for b, m in enumerate(many) if m > 1}
+
+
+def parts_of(key: np.ndarray, salt: int, split: dict[int, tuple[int, int]], keep: float = KEEP) -> list[tuple[int, np.ndarray]]:
     """(part, tokens) of one document: for each bucket it stands in, each class, and each pair of blocks with its own."""
     n = len(key)
     pre, b = key[: int(prefix_length(n, keep))], bucket(n)
     out = []
     for q in (b, b + 1):
-        c, s = classes(q), blocks.get(q, 1)
-        cls = ((pre & np.uint64(0xFFFFFFFF)) * np.uint64(c)) >> np.uint64(32)
-        mine = salt % s
-        for k in range(c):
-            t = pre[cls == k]
-            if len(t):
-                out += [(((q * MAX_CLASSES + k) << 32) + min(mine, o) * s + max(mine, o), t) for o in range(s)]
+        finer, s = split.get(q, (1, 1))
+        c, mine = classes(q, finer, keep), salt % s
+        cls = (((pre & np.uint64(0xFFFFFFFF)) * np.uint64(c)) >> np.uint64(32)).astype(np.int64)
+        o = np.argsort(cls, kind="stable")
+        cut = np.flatnonzero(np.diff(cls[o])) + 1
+        for x in np.split(o, cut) if len(o) else ():
+            k = int(cls[x[0]])
+            out += [(((q * MAX_CLASSES + k) << 32) + min(mine, o) * s + max(mine, o), pre[x]) for o in range(s)]
     return out
 
 
@@ -70,41 +81,58 @@ def least(nx: np.ndarray, ny: np.ndarray, keep: float = KEEP) -> np.ndarray:
     return -(-3 * (nx + ny) // 7) - np.maximum(nx - prefix_length(nx, keep), ny - prefix_length(ny, keep))
 
 
-def candidates(token: np.ndarray, doc: np.ndarray, n: np.ndarray, b: int, group: np.ndarray | None = None, keep: float = KEEP, room: int = 1_000_000):
+def candidates(token: np.ndarray, doc: np.ndarray, n: np.ndarray, b: int, c: int, group: np.ndarray | None = None, keep: float = KEEP, most: int | None = None, room: int = 1_000_000):
     """Pairs of one part's documents with enough common tokens: yields (x, y, common), x before y. doc: index into n, which
-    ascends. With group, pairs within a group are left out. Works through about room co-occurrences at a time."""
-    o = np.lexsort((doc, token))
-    token, doc = token[o], doc[o]
-    new = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-    end = np.repeat(np.concatenate((new[1:], [len(token)])), np.diff(np.concatenate((new, [len(token)]))))
-    # each posting's partners: the later ones of its token whose size is at most 4/3 of its own
-    last = np.searchsorted(n, (4 * n) // 3, "right")[doc]
-    big = np.int64(len(n) + 1)
-    rank = np.cumsum(np.concatenate(([False], token[1:] != token[:-1])))
-    stop = np.minimum(end, np.searchsorted(rank * big + doc, rank * big + last, "left"))
-    reach = np.maximum(0, stop - np.arange(len(token)) - 1)
-    by_doc = np.argsort(doc, kind="stable")
+    ascends. With group, pairs within a group aren't formed at all. With most, a posting that has more partners than that
+    meets the next WINDOW of them; the last item yielded is then (those documents whose lists were cut, None, None).
+    Works through about room co-occurrences at a time."""
+    place = np.arange(len(n), dtype=np.int32)
+    if group is not None:  # documents of a group stand together
+        place[np.lexsort((np.arange(len(n)), group))] = np.arange(len(n), dtype=np.int32)
+    at = np.argsort(place)
+    p = place[doc]
+    o = np.lexsort((p, token))
+    token, p = token[o], p[o]
+    size, i = len(token), np.arange(len(token), dtype=np.int32)
+    head = np.concatenate(([True], token[1:] != token[:-1])) if size else np.zeros(0, bool)
+    rank = np.cumsum(head, dtype=np.int64) - 1
+    cuts = np.append(np.flatnonzero(head), size)
+    end = cuts[1:][rank].astype(np.int32)
+    if group is None:  # the later ones of its token whose size is at most 4/3 of its own
+        last = np.searchsorted(n, (4 * n) // 3, "right")
+        begin, stop = i + 1, np.searchsorted(rank * (len(n) + 1) + p, rank * (len(n) + 1) + last[p], "left").astype(np.int32)
+    else:
+        g = group[at[p]]
+        other = np.append(np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | head[1:]))) if size else [], size).astype(np.int32)
+        begin, stop = other[np.searchsorted(other, i, "right")], end
+    reach = np.maximum(0, np.minimum(stop, end) - begin)
+    if most is not None:
+        long = np.zeros(len(cuts) - 1 if size else 0, bool)
+        long[rank[reach > most]] = True
+        cut = np.unique(at[p[long[rank]]]) if size else np.zeros(0, np.int64)
+        reach = np.where(reach > most, WINDOW, reach)
+    del token, rank, head, end, stop
+    by_doc = np.argsort(p, kind="stable")
     by_doc = by_doc[reach[by_doc] > 0]
-    cum = np.cumsum(reach[by_doc])
-    cuts = np.flatnonzero(np.concatenate(([True], doc[by_doc][1:] != doc[by_doc][:-1]))) if len(by_doc) else np.zeros(0, np.int64)
-    guest_top = (4 / 3) ** b
-    i = 0
-    while i < len(by_doc):
-        base = cum[i - 1] if i else 0
-        j = int(np.searchsorted(cum, base + room, "right"))
-        k = np.searchsorted(cuts, j, "right") - 1
-        j = int(cuts[k]) if j < len(by_doc) and cuts[k] > i else (int(cuts[k + 1]) if j < len(by_doc) and k + 1 < len(cuts) else len(by_doc))
-        at, r = by_doc[i:j], reach[by_doc[i:j]]
-        x = np.repeat(doc[at], r)
-        y = doc[np.repeat(at + 1, r) + np.arange(r.sum()) - np.repeat(np.cumsum(r) - r, r)]
-        if group is not None:
-            ok = group[x] != group[y]
-            x, y = x[ok], y[ok]
+    cum = np.cumsum(reach[by_doc], dtype=np.int64)
+    edges = np.flatnonzero(np.concatenate(([True], np.diff(p[by_doc]) != 0))) if len(by_doc) else np.zeros(0, np.int64)
+    guest_top, big = (4 / 3) ** b, np.int64(len(n) + 1)
+    j = 0
+    while j < len(by_doc):
+        k = int(np.searchsorted(cum, (cum[j - 1] if j else 0) + room, "right"))
+        e = np.searchsorted(edges, k, "right") - 1
+        k = int(edges[e]) if k < len(by_doc) and edges[e] > j else (int(edges[e + 1]) if k < len(by_doc) and e + 1 < len(edges) else len(by_doc))
+        own, r = by_doc[j:k], reach[by_doc[j:k]].astype(np.int64)
+        x = np.repeat(p[own], r)
+        y = p[np.repeat(begin[own] - np.cumsum(r) + r, r) + np.arange(r.sum())]
         code, common = np.unique(x.astype(np.int64) * big + y, return_counts=True)
-        x, y = code // big, code % big
-        ok = (n[y] >= guest_top) & (common * classes(b) >= least(n[x], n[y], keep)) & (x != y)
+        x, y = at[code // big], at[code % big]
+        x, y = np.minimum(x, y), np.maximum(x, y)
+        ok = (n[y] >= guest_top) & (3 * n[y] <= 4 * n[x]) & (common * c >= least(n[x], n[y], keep)) & (x != y)
         yield x[ok], y[ok], common[ok]
-        i = j
+        j = k
+    if most is not None:
+        yield cut, None, None
 
 
 def first_pairs(x: np.ndarray, y: np.ndarray, common: np.ndarray) -> np.ndarray:
