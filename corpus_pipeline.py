@@ -23,14 +23,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates. Rows of one id are one document, of which any row
-    stays; rows without an id are no copies of anything and all stay."""
+    """One document, that of the smallest id, of each group of near duplicates. Where ids are null or repeat, each row counts as a
+    document of its own, by its place in the table: of a group one row stays. Rows without words are no copies of anything."""
     ship(spark)
     groups = written(jaccard_components(docs), "groups")
-    out = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(checked(out), "doc_id", "left_anti").select(*docs.columns)
-    again = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1)
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionAll(kept.where("doc_id is null")) if again.count() else kept
+    ids = groups.agg(F.count("*"), F.count("doc_id")).first()
+    if ids[0] == ids[1] == groups.select("doc_id").distinct().count():
+        out = groups.where("component_id <> doc_id").select("doc_id")
+        return docs.join(checked(out), "doc_id", "left_anti").select(*docs.columns)
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    out = written(jaccard_components(rows, "__row").where("component_id <> doc_id").select(F.col("doc_id").alias("__row")), "copies")
+    return rows.join(checked(out), "__row", "left_anti").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
