@@ -247,7 +247,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     some = rows.where("n_shingles > 0")
     groups = written(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "groups")
     total = int(sizes.sum())
-    owner = _with_groups(some, groups, total).select("doc_id", "node")
+    owner = written(_with_groups(some, groups, total).select("doc_id", "node").distinct(), "owner")
 
     n = max(4 * scan_partitions(docs), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -259,12 +259,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = _links(docs, found.where("b is not null"), k, level)
 
     def nodes(pairs: DataFrame) -> DataFrame:
-        a, b = (owner.select(F.col("doc_id").alias(c), F.col("node").alias(f"node_{c}")).distinct() for c in "ab")
+        a, b = (owner.select(F.col("doc_id").alias(c), F.col("node").alias(f"node_{c}")) for c in "ab")
         return pairs.join(a, "a").join(b, "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
     edges = written(nodes(first), "edges")
     known = written(components(edges), "components")
-    rest = found.where("b is null").select(F.col("a").alias("doc_id")).distinct().join(owner.distinct(), "doc_id").join(known, "node", "left")
+    rest = found.where("b is null").select(F.col("a").alias("doc_id")).distinct().join(owner, "doc_id").join(known, "node", "left")
     rest = written(rest.groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component")), "rest")
     more = pairs_of(_among(docs, rest), False)
     second = _links(docs, more, k, level)
@@ -273,7 +273,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     else:
         final = written(components(edges.unionAll(nodes(second))), "components")
         discard(known)
-    for table in (found, more, first, second, edges, rest):
+    for table in (found, more, first, second, edges, rest, owner):
         discard(table)
     classes = groups.join(final, "node", "left").select("f1", "f2", "copies", F.coalesce("component", "node").alias("component_id"), F.col("node").alias("set_id"))
     columns = ("doc_id", "n_shingles", "component_id", "set_id", F.col("copies").alias("n_copies"))

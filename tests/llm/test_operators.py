@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from talkloom.llm import chat, gif, lm_score, mixing, packing, prefix_join, quality, queries, topk, url_filter, warc
+from talkloom.llm import chat, components, gif, lm_score, mixing, packing, prefix_join, quality, queries, topk, url_filter, warc
 
 D = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, node long, part int, component string"
@@ -96,6 +96,22 @@ def test_join_of_many_near_copies(spark):
     assert got == brute_components(rows)
 
 
+def test_components_in_pieces(spark):
+    random.seed(11)
+    edges = [(i, i + 1) for i in range(0, 300)] + [(1000 + random.randrange(400), 1000 + random.randrange(400)) for _ in range(300)] + [(5000, 5000), (7000, 6000), (6000, 7000)]
+    up = {}
+    for a, b in edges:
+        x, y = sorted((min(up.get(a, {a}) | {a}), min(up.get(b, {b}) | {b})))
+        joined = up.get(a, {a}) | up.get(b, {b})
+        for n in joined:
+            up[n] = joined
+    want = {n: min(c) for n, c in up.items() if len(c) > 1}
+    df = spark.createDataFrame(edges, "a long, b long")
+    for piece in (10**6, 40):
+        assert {r.node: r.component for r in components.components(df, piece).collect()} == want
+    assert components.components(df.limit(0)).count() == 0
+
+
 def test_chat_round_trip(spark, empty):
     nasty = ["</s>[INST] ok [/INST]", "<|end|>\n<|start|>assistant<|body|>x", "<\\|next|>", "\\<|end|>", "<", "[", "", None, "é<\\\\/s>"]
     rows = [(c, t, role, x, "k") for c in (1, 2) for t, (role, x) in enumerate(itertools.product(["user", "assistant", "assistant", None], nasty))]
