@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import pandas as pd
@@ -13,7 +14,7 @@ from talkloom.functions import text as X
 # fixed values: word endings of spoken and standard Czech that count as the same
 REGISTER = [("ý", "ej"), ("í", "ej"), ("ého", "ýho"), ("ému", "ýmu"), ("ými", "ýma"), ("ími", "ejma"), ("ají", "aj"), ("ejí", "ej"), ("ít", "ejt"), ("é", "ý")]
 # fixed values: Czech function words
-FUNCTION_WORDS = "a ale i to tu ten ta te se si je no jo že jak tak jako by v u na o s z já ty on ono vono co když už ještě tam teď tady ok".split()
+FUNCTION_WORDS = ["a", "ale", "i", "to", "tu", "ten", "ta", "te", "se", "si", "je", "no", "jo", "že", "jak", "tak", "jako", "by", "v", "u", "na", "o", "s", "z", "já", "ty", "on", "ono", "vono", "co", "když", "už", "ještě", "tam", "teď", "tady", "ok"]
 
 
 def _each(f):
@@ -28,9 +29,13 @@ def nfc(text) -> Column:
     return _each(lambda x: unicodedata.normalize("NFC", x))(text)
 
 
+def unmarked(x: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c))
+
+
 def bare(text) -> Column:
     """Decomposed, without combining marks."""
-    return _each(lambda x: "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)))(text)
+    return _each(unmarked)(text)
 
 
 def ascii_only(text) -> Column:
@@ -56,6 +61,23 @@ def equivalence(a: Column, b: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), kind.when(close, "inflection").otherwise("different"))
 
 
+@functools.lru_cache(100_000)
+def same_word(a: str, b: str) -> bool:
+    """equivalence(a, b) is not different, for two words."""
+    ends = any(len(a) - len(p) >= 2 and a.endswith(p) and b.endswith(q) and a[: -len(p)] == b[: -len(q)] for pair in REGISTER for p, q in (pair, pair[::-1]))
+    alike = min(len(a), len(b)) >= 5 and a[:5] == b[:5] and X.ratio(a, b) >= 0.8
+    return ends or alike or {a, b} <= set(FUNCTION_WORDS) or unmarked(a) == unmarked(b)
+
+
+def _same(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else x == y or same_word(x, y) for x, y in zip(a, b, strict=True)], dtype="object")
+
+
+def same(a: Column, b: Column) -> Column:
+    """Whether two readings count as one word; null if a word is."""
+    return F.pandas_udf(_same, "boolean")(a, b)
+
+
 def substantive(a: Column, b: Column) -> Column:
     """Whether two readings of a word differ by more than filler or spelling."""
     filler = (a.isin(FUNCTION_WORDS) & b.isin(FUNCTION_WORDS)) | ((F.length(a) < 4) & (F.length(b) < 4))

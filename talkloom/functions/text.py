@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import html
 
 import pandas as pd
 from pyspark.sql import Column
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 
 # fixed values: Python's letter and word classes in Java's syntax
 LETTERS = r"([\p{L}\p{No}\p{Nl}]+)"
+#: How a remark of a model, in place of a correction, begins.
+COMMENTARY = "^(here (is|are)|sure[,!]|corrected|note:|i )"
 WORDS = r"([\p{L}\p{N}_]+)"
 ON_SCREEN = r"([\p{L}\p{No}\p{Nl}][\p{L}\p{N}_./-]{2,})"
-#: Words that mark a line as holding a credential.
+# fixed values: words that mark a line as holding a credential
 CREDENTIAL = r"(?i)\b(password|passwd|heslo|token|api[_-]?key|secret|bearer|authorization|client[_-]?secret|private[_-]?key)\b"
 
 
@@ -84,11 +87,18 @@ def slug(text: Column) -> Column:
     return F.when(s == "", "recording").otherwise(s)
 
 
+def _unescaped(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else html.unescape(x))
+
+
 def unescape(text: Column) -> Column:
-    """The five entities of mark-up; &amp; last."""
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(a), F.lit(b))
-    return text
+    """All entities of mark-up, named and numbered, once. Texts without an ampersand aren't sent to Python's table."""
+    return F.coalesce(F.pandas_udf(_unescaped, "string")(F.when(F.contains(text, F.lit("&")), text)), text)
+
+
+def split_terms(text: Column) -> Column:
+    """Terms of a list with commas or line feeds between them: trimmed, each once, in order; no empty ones."""
+    return F.array_distinct(F.filter(F.transform(F.split(text, r"[,\n]"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != ""))
 
 
 def escape(text: Column) -> Column:

@@ -29,6 +29,33 @@ def asof_join(left: DataFrame, right: DataFrame, value: str, at: str = "start_ms
     return both.withColumn("__v", F.last("__v", ignorenulls=True).over(w)).where("__side = 1").select("__row.*", F.col("__v.v").alias(value))
 
 
+def owner_join(left: DataFrame, cues: DataFrame, look: int = 8, key: str = "media_id") -> DataFrame:
+    """left (key, start_ms, end_ms, ...) with owner: of the cue that begins last before it and the look - 1 next ones, whose starts
+    are no later than its end, the owner of the longest overlap (ties: the first); where none overlaps, of the cue with the
+    nearest start (ties: the first). Rows before the first cue look on from that one. cues: (key, start_ms, end_ms, owner, pos),
+    pos numbering them by start. Null where a key has no cues. Each cue carries its followers, so that one as-of join does."""
+    order = Window.partitionBy(key).orderBy("start_ms", "pos")
+    marks = cues.select(
+        key,
+        "start_ms",
+        "pos",
+        F.struct(
+            F.collect_list(F.struct("start_ms", "end_ms", "owner")).over(order.rowsBetween(0, look - 1)).alias("ahead"),
+            F.col("start_ms").alias("at"),
+            F.first("owner").over(Window.partitionBy(key, "start_ms").orderBy("pos")).alias("owner"),
+            F.lead(F.struct(F.col("start_ms").alias("at"), "owner")).over(order).alias("next"),
+        ).alias("__m"),
+    )
+    first = marks.groupBy(key).agg(F.min_by("__m", F.struct("start_ms", "pos")).alias("__first"))
+    found = asof_join(left, marks, "__m").join(first, key, "left").withColumn("__m", F.coalesce("__m", "__first"))
+    shared = lambda c: F.least(F.col("end_ms"), c["end_ms"]) - F.greatest(F.col("start_ms"), c["start_ms"])
+    none = F.struct(F.lit(0).cast("long").alias("shared"), F.lit(None).cast("string").alias("owner"))
+    best = F.aggregate(F.filter("__m.ahead", lambda c: c["start_ms"] <= F.col("end_ms")), none, lambda a, c: F.when(shared(c) > a["shared"], F.struct(shared(c).alias("shared"), c["owner"].alias("owner"))).otherwise(a))
+    later = F.abs(F.col("__m.next.at") - F.col("start_ms")) < F.abs(F.col("__m.at") - F.col("start_ms"))
+    near = F.when(later, F.col("__m.next.owner")).otherwise(F.col("__m.owner"))
+    return found.withColumn("owner", F.coalesce(best["owner"], near)).drop("__m", "__first")
+
+
 def island(change: Column, part: list[str], order: list[str]) -> Column:
     """Number of the run a row is in; change marks the first row of each run."""
     return F.sum(F.when(change, 1).otherwise(0)).over(Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))

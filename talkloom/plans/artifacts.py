@@ -12,6 +12,7 @@ from talkloom.operators import folds
 from talkloom.operators import temporal as T
 from talkloom.plans import views as V
 from talkloom.plans.catalog import _CAND, W, candidates, query
+from talkloom.plans.kernels import collapsed, swap_counts
 from talkloom.sources import scans, vtt
 from talkloom.streaming import jobs
 
@@ -52,7 +53,7 @@ def untimed_turn_split(spark, d):
 def caption_denoise(spark, d):
     """On-screen captions that a reader is shown: those that differ from, and come 45 s after, the last shown one, up to the last turn."""
     ends = V.turns(spark, d).groupBy("media_id").agg(F.max("start_ms").alias("last"))
-    c = V.table(spark, d, "pages").selectExpr("page_id % 10 as media_id", "page_id div 10 * 12000 as t", "page_id", "regexp_extract(html, '<title>([^<]*)</title>', 1) as caption").join(ends, "media_id").where("t <= last")
+    c = V.shots(spark, d).selectExpr("media_id", "t", "page_id", "regexp_extract(html, '<title>([^<]*)</title>', 1) as caption").join(ends, "media_id").where("t <= last")
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["t", "page_id"])
@@ -233,34 +234,11 @@ def collapse_rows_to_target(spark, d):
     kinds = V.occurrences(spark, d).select("label").distinct().withColumn("n", (F.row_number().over(Window.orderBy("label")) - 1).cast("int"))
     voices = {r["label"]: list(r["v"]) for r in kinds.join(voice.withColumnRenamed("label", "n"), "n").select("label", "v").collect()}  # a row for each kind of event
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        to = folds.collapse_rows(p.sort_values("pos")["label"].tolist(), voices, 3)
-        return pd.DataFrame({"media_id": p["media_id"].iloc[0], "label": sorted(to), "target": [to[x] for x in sorted(to)]})
-
-    return V.occurrences(spark, d).select("media_id", "pos", "label").groupBy("media_id").applyInPandas(run, "media_id long, label string, target string")
+    return collapsed(swap_counts(V.occurrences(spark, d)), lambda rows, swaps: folds.collapse_rows(rows, swaps, voices, 3))
 
 
 # scoring -----------------------------------------------------------------------------------------------------------------
 
-_LEGS = (("a", "b", "c"), ("b", "a", "c"), ("c", "a", "b"))
-
-
-@query(f"with {V.COLUMNS} " + " union all ".join(f"select '{j}' as engine, count(*) filter ({x} = {y}) as judged, round(count(*) filter ({x} = {y} and ({j} is null or {j} <> {x}))::double / greatest(count(*) filter ({x} = {y}), 1), 6) as departs from col_v" for j, x, y in _LEGS))
-def leave_one_out(spark, d):
-    """Each reading where the other two agree, and how often it departs from them: one pass."""
-    x = V.columns(spark, d)
-    s = x.agg(*[F.count_if(F.expr(f"{p} = {q}")).alias(f"n_{j}") for j, p, q in _LEGS], *[F.count_if(F.expr(f"{p} = {q} and ({j} is null or {j} <> {p})")).alias(f"d_{j}") for j, p, q in _LEGS])
-    rows = F.explode(F.array(*[F.struct(F.lit(j).alias("engine"), F.col(f"n_{j}").alias("judged"), F.round(F.col(f"d_{j}") / F.greatest(F.col(f"n_{j}"), F.lit(1)), 6).alias("departs")) for j, _, _ in _LEGS]))
-    return s.select(rows.alias("r")).select("r.*")
-
-
-@query(f"with {V.COLUMNS} select b as bad, c as good, count(*) as n, (sum(count(*)) over ())::bigint as total from col_v where a = c and b <> c group by all order by n desc, bad, good limit 8")
-def known_bad_pairs(spark, d):
-    """Words that two readings agree on and the third has wrong: the eight most frequent, and how many there are."""
-    g = V.columns(spark, d).where("a = c and b <> c").groupBy(F.col("b").alias("bad"), F.col("c").alias("good")).agg(F.count("*").alias("n"))
-    return g.orderBy(F.desc("n"), "bad", "good").limit(8).crossJoin(F.broadcast(g.agg(F.sum("n").alias("total"))))
-
-
 @query()
 def edit_direction(spark, d):
     """Whether changed turns moved toward another reading's text, by more than 0.02."""
@@ -271,10 +249,10 @@ def edit_direction(spark, d):
     return x.groupBy(v.alias("direction")).agg(F.count("*").alias("n"))
 
 
-@query(r"""with f as (select page_id % 10 as media_id, page_id // 10 * 12000 // 60000 as win, unnest(list_distinct(regexp_extract_all(regexp_replace(html, '<[^>]+>', ' ', 'g'), '([\p{L}\p{No}\p{Nl}][\p{L}\p{N}_./-]{2,})', 1))) as term from pages) select media_id, win, term, count(*) as frames from f group by all having count(*) >= 2""")
+@query(f"with {V.SHOT}, " + r"""f as (select media_id, t // 60000 as win, unnest(list_distinct(regexp_extract_all(regexp_replace(html, '<[^>]+>', ' ', 'g'), '([\p{L}\p{No}\p{Nl}][\p{L}\p{N}_./-]{2,})', 1))) as term from shot_v) select media_id, win, term, count(*) as frames from f group by all having count(*) >= 2""")
 def term_frequency(spark, d):
     """Terms on two frames and more of a minute."""
-    f = V.table(spark, d, "pages").select((F.col("page_id") % 10).alias("media_id"), F.expr("page_id div 10 * 12000 div 60000").alias("win"), F.explode(F.array_distinct(X.screen_tokens(F.regexp_replace("html", "<[^>]+>", " ")))).alias("term"))
+    f = V.shots(spark, d).select("media_id", F.expr("t div 60000").alias("win"), F.explode(F.array_distinct(X.screen_tokens(F.regexp_replace("html", "<[^>]+>", " ")))).alias("term"))
     return f.groupBy("media_id", "win", "term").agg(F.count("*").alias("frames")).where("frames >= 2")
 
 

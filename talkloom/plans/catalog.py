@@ -109,16 +109,15 @@ BOILERPLATE = [
     ("pt", r"obrigado\s+por\s+assistir"),
     ("hu", r"felirat(ot|:)\s"),
     ("ro", r"subtitrare[a:]?\s+(de|realizat)"),
-    # licence lines, which the test documents do have
-    ("*", r"licen[sc]ed?\s+under"),
-    ("*", r"all\s+rights\s+reserved"),
 ]
+#: Licence lines, which aren't among those phrases but which the test documents do have.
+LICENCE = [("*", r"licen[sc]ed?\s+under"), ("*", r"all\s+rights\s+reserved")]
 
 
 def removal_reason(text, language):
     """boilerplate:<pattern> or boilerplate:<language>:<pattern> of the first match, 'empty', or null."""
     reason = F.when(F.trim(text) == "", "empty")
-    for lang, p in BOILERPLATE:
+    for lang, p in [*BOILERPLATE, *LICENCE]:
         hit = F.trim(text).rlike("(?i)" + p)
         reason = reason.when(hit, f"boilerplate:{p}") if lang == "*" else reason.when((F.lower(language) == lang) & hit, f"boilerplate:{lang}:{p}")
     return reason
@@ -126,7 +125,7 @@ def removal_reason(text, language):
 
 def _reason_sql():
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    rows = [f"when {'' if lang == '*' else f'lower(language) = {q(lang)} and '}regexp_matches(trim(text), {q('(?i)' + p)}) then {q(f'boilerplate:{p}' if lang == '*' else f'boilerplate:{lang}:{p}')}" for lang, p in BOILERPLATE]
+    rows = [f"when {'' if lang == '*' else f'lower(language) = {q(lang)} and '}regexp_matches(trim(text), {q('(?i)' + p)}) then {q(f'boilerplate:{p}' if lang == '*' else f'boilerplate:{lang}:{p}')}" for lang, p in [*BOILERPLATE, *LICENCE]]
     return f"with {V.SEG}, r as (select *, case when trim(text) = '' then 'empty' {' '.join(rows)} end as reason from seg_v)"
 
 
@@ -180,33 +179,63 @@ def _smooth(spark, d):
     return o.withColumn("label", F.expr("case when total < 3 or p is null then label when q is null then p when label = q or label = p then label else p end"))
 
 
-_RUNS = """, ch as (select *, case when label <> lag(label) over (partition by media_id order by pos) then 1 when row_number() over (partition by media_id order by pos) = 1 then 1 else 0 end as c from occ_v),
- il as (select *, sum(c) over (partition by media_id order by pos) as run from ch), rn as (select media_id, run::bigint as run, min(label) as label, min(start_ms) as start_ms, max(end_ms) as end_ms, count(*) as n from il group by media_id, run)"""
+_RUNS = """, wn as (select *, start_ms - min(start_ms) over m as center, (event_id % 100) / 100.0::double as conf, max(start_ms) over m - min(start_ms) over m + 30000 as total from occ_v window m as (partition by media_id)),
+ ch as (select *, case when label is distinct from lag(label) over w then 1 else 0 end as c, coalesce((center + lead(center) over w) // 2, total) as till from wn window w as (partition by media_id order by pos)),
+ il as (select *, sum(c) over (partition by media_id order by pos)::bigint as run from ch),
+ rn as (select media_id, run, any_value(label) as label, coalesce(lag(max(till)) over (partition by media_id order by run), 0) as start_ms, max(till) as end_ms, count(*) as n from il group by media_id, run)"""
+#: Runs shorter than this are slivers.
+SLIVER_MS = 28_800_000
 
 
-@query(f"with {V.OCC} {_RUNS} select * from rn")
+@query(f"with {V.OCC} {_RUNS}, cf as (select media_id, label, round(avg(conf), 6) as confidence from wn group by all) select rn.*, confidence from rn join cf using (media_id, label)")
 def label_runs(spark, d):
-    o = T.label_runs(V.occurrences(spark, d), ["media_id"], ["pos"], "label")
-    return o.groupBy("media_id", F.col("__run").alias("run")).agg(F.min("label").alias("label"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n"))
+    """Runs of equal labels of windows: they meet half way between centres, from 0 to the recording's end; a run's confidence is the
+    mean over all windows of its label."""
+    m = W("media_id")
+    o = V.occurrences(spark, d).withColumns({"center": F.col("start_ms") - F.min("start_ms").over(m), "total": F.max("start_ms").over(m) - F.min("start_ms").over(m) + 30_000, "conf": F.expr("event_id % 100 / 100D")})
+    o = T.label_runs(o.withColumn("till", F.coalesce(F.floor((F.col("center") + F.lead("center").over(W("media_id", "pos"))) / 2), "total")), ["media_id"], ["pos"], "label")
+    g = o.groupBy("media_id", F.col("__run").alias("run")).agg(F.first("label").alias("label"), F.max("till").alias("end_ms"), F.count("*").alias("n"))
+    g = g.withColumn("start_ms", F.coalesce(F.lag("end_ms").over(W("media_id", "run")), F.lit(0)))
+    return g.join(o.groupBy("media_id", "label").agg(F.round(F.avg("conf"), 6).alias("confidence")), ["media_id", "label"])
+
+
+@query(f"""with {V.OCC} {_RUNS}, g as (select *, greatest(1, sum(case when run = 1 or end_ms - start_ms >= {SLIVER_MS} then 1 else 0 end) over (partition by media_id order by run))::bigint as grp from rn),
+ h as (select media_id, grp, min_by(label, run) as label, min(start_ms) as start_ms, max(end_ms) as end_ms from g group by media_id, grp)
+ select media_id, grp, label, case when grp = 2 and lag(end_ms - start_ms) over w < {SLIVER_MS} then lag(start_ms) over w else start_ms end as start_ms, end_ms from h
+ window w as (partition by media_id order by grp) qualify not (grp = 1 and end_ms - start_ms < {SLIVER_MS} and lead(grp) over w is not null)""")
+def sliver_absorb(spark, d):
+    """Slivers go to the run on their left. Leading ones add up; if even together they are a sliver, they go to the run after them."""
+    w = W("media_id", "grp")
+    long = F.col("end_ms") - F.col("start_ms") >= SLIVER_MS
+    g = label_runs(spark, d).withColumn("grp", F.sum(F.when((F.col("run") == 1) | long, 1).otherwise(0)).over(W("media_id", "run")))
+    h = g.groupBy("media_id", "grp").agg(F.min_by("label", "run").alias("label"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    h = h.withColumns({"before": F.lag(F.struct("start_ms", "end_ms")).over(w), "after": F.lead("grp").over(w)})
+    first = F.when((F.col("grp") == 2) & (F.col("before.end_ms") - F.col("before.start_ms") < SLIVER_MS), F.col("before.start_ms")).otherwise(F.col("start_ms"))
+    return h.where(~((F.col("grp") == 1) & ~long & F.col("after").isNotNull())).select("media_id", "grp", "label", first.alias("start_ms"), "end_ms")
 
 
-@query(f"""with {V.OCC} {_RUNS}, g as (select *, sum(case when end_ms - start_ms >= 1200000 then 1 else 0 end) over (partition by media_id order by run) as big from rn),
- h as (select media_id, greatest(big, 1)::bigint as grp, * exclude (media_id) from g) select media_id, grp, min_by(label, case when end_ms - start_ms >= 1200000 then run else run + 1000000000 end) as label, min(start_ms) as start_ms, max(end_ms) as end_ms from h group by media_id, grp""")
-def sliver_absorb(spark, d):
-    """Runs under 20 minutes go to the run on their left; leading ones to the first long run."""
-    long = F.col("end_ms") - F.col("start_ms") >= 1200000
-    g = label_runs(spark, d).withColumn("grp", F.greatest(F.lit(1), F.sum(F.when(long, 1).otherwise(0)).over(W("media_id", "run"))))
-    return g.groupBy("media_id", "grp").agg(F.min_by("label", F.when(long, F.col("run")).otherwise(F.col("run") + 1000000000)).alias("label"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+_SAMPLES = "sm as (select user_id as media_id, row_number() over (partition by user_id order by ts, event_id) - 1 as i, round(value * 100)::bigint as x, count(*) over (partition by user_id) as len from events)"
+LOUD_WINDOW, LOUD_HOP, LOUD_BUCKETS = 6, 2, 4
 
 
-@query("""with e as (select dayofyear(ts)::bigint as media_id, event_id, value, epoch_us(ts) // 1000 // 3600000 % 24 as bucket from events), b as (select media_id, bucket::bigint as bucket, max(value) as peak, min(event_id) filter (value = m) as event_id
- from (select *, max(value) over (partition by media_id, bucket) as m from e) group by media_id, bucket), q as (select media_id, quantile_cont(value, 0.2) as floor_ from e group by media_id)
- select media_id, bucket, event_id, round(peak, 6) as peak from b join q using (media_id) where peak >= floor_""")
+@query(f"""with {_SAMPLES}, r as (select media_id, i, len, sum(x * x) over (partition by media_id order by i rows between current row and {LOUD_WINDOW - 1} following)::bigint as sq from sm), full_ as (select * from r where i + {LOUD_WINDOW} <= len),
+ n as (select *, greatest(1, least({LOUD_BUCKETS}, len // {LOUD_WINDOW})) as n from full_), fl as (select media_id, quantile_cont(sqrt(sq / {LOUD_WINDOW}.0::double + 1e-12), 0.2) as floor_ from n where i % {max(LOUD_HOP, LOUD_WINDOW // 2)} = 0 and i < greatest(1, len - {LOUD_WINDOW}) group by 1),
+ b as (select n.*, b, floor(b * len / n.n)::bigint as lo, least(len - {LOUD_WINDOW}, floor((b + 1) * len / n.n)::bigint) as hi from n, range({LOUD_BUCKETS}) t(b) where b < n.n),
+ best as (select * from b where i between lo and hi and (i - lo) % {LOUD_HOP} = 0 and hi > lo qualify row_number() over (partition by media_id, b order by sq desc, i) = 1)
+ select media_id, b as bucket, i as start, round(sqrt(sq / {LOUD_WINDOW}.0::double + 1e-12), 6) as rms from best join fl using (media_id) where sqrt(sq / {LOUD_WINDOW}.0::double + 1e-12) >= floor_""")
 def loudest_bucket_window(spark, d):
-    e = V.table(spark, d, "events").selectExpr("cast(dayofyear(ts) as bigint) as media_id", "event_id", "value", "unix_millis(cast(ts as timestamp)) div 3600000 % 24 as bucket")
-    b = e.groupBy("media_id", "bucket").agg(F.max("value").alias("peak"), F.max_by("event_id", F.struct("value", -F.col("event_id"))).alias("event_id"))
-    q = e.groupBy("media_id").agg(F.percentile("value", F.lit(0.2)).alias("floor_"))
-    return b.join(q, "media_id").where("peak >= floor_").select("media_id", "bucket", "event_id", F.round("peak", 6).alias("peak"))
+    """Of each of a recording's equal buckets the loudest window at even steps, if it isn't among the quietest fifth of all."""
+    e = V.table(spark, d, "events").select(F.col("user_id").alias("media_id"), "ts", "event_id", F.round(F.col("value") * 100).cast("long").alias("x"))
+    w = W("media_id", ["ts", "event_id"])
+    r = e.withColumns({"i": F.row_number().over(w).cast("long") - 1, "len": F.count("*").over(W("media_id")), "sq": F.sum(F.col("x") * F.col("x")).over(w.rowsBetween(0, LOUD_WINDOW - 1))})
+    r = r.where(F.col("i") + LOUD_WINDOW <= F.col("len")).withColumns({"n": F.greatest(F.lit(1), F.least(F.lit(LOUD_BUCKETS), F.floor(F.col("len") / LOUD_WINDOW))), "rms": F.sqrt(F.col("sq") / LOUD_WINDOW + 1e-12)})
+    quiet = r.where((F.col("i") % max(LOUD_HOP, LOUD_WINDOW // 2) == 0) & (F.col("i") < F.greatest(F.lit(1), F.col("len") - LOUD_WINDOW))).groupBy("media_id").agg(F.percentile("rms", F.lit(0.2)).alias("floor_"))
+    near = F.floor(F.col("i") * F.col("n") / F.col("len"))  # a step on a bucket's edge counts in both
+    b = r.withColumn("bucket", F.explode(F.array_distinct(F.array(F.greatest(near - 1, F.lit(0)), near, F.least(near + 1, F.col("n") - 1)))))
+    b = b.withColumns({"lo": F.floor(F.col("bucket") * F.col("len") / F.col("n")), "hi": F.least(F.col("len") - LOUD_WINDOW, F.floor((F.col("bucket") + 1) * F.col("len") / F.col("n")))})
+    b = b.where((F.col("i") >= F.col("lo")) & (F.col("i") <= F.col("hi")) & ((F.col("i") - F.col("lo")) % LOUD_HOP == 0) & (F.col("hi") > F.col("lo")))
+    best = b.groupBy("media_id", "bucket").agg(F.min_by(F.struct("i", "rms"), F.struct((-F.col("sq")).alias("s"), "i")).alias("x"))
+    return best.join(quiet, "media_id").where("x.rms >= floor_").select("media_id", "bucket", F.col("x.i").alias("start"), F.round("x.rms", 6).alias("rms"))
 
 
 @query(f"""with {V.CUE}, probe as (select media_id, turn_idx, start_ms + 1000 as t0, start_ms + 5000 as t1 from turn_v) select p.media_id, p.turn_idx, string_agg(c.word, ' ' order by c.start_ms, c.turn_idx, c.k) as text
@@ -221,26 +250,11 @@ def text_at_window(spark, d):
 @query(f"""with {V.CUE}, c as (select *, row_number() over (partition by media_id order by start_ms, turn_idx, k) as pos from cue_v), w as (select w.media_id, w.turn_idx, w.k, (select max(pos) from c where c.media_id = w.media_id and c.start_ms <= w.start_ms) as pos from word_v w)
  select w.media_id, w.turn_idx, w.k, c.owner from w left join c on c.media_id = w.media_id and c.pos = w.pos""")
 def asof_owner(spark, d):
+    """As-of join: the owner of the last word that begins no later."""
     c = V.cues(spark, d).withColumn("pos", F.row_number().over(W("media_id", ["start_ms", "turn_idx", "k"])).cast("long"))
     return T.asof_join(V.words(spark, d).select("media_id", "turn_idx", "k", "start_ms"), c, "owner").select("media_id", "turn_idx", "k", "owner")
 
 
-@query(f"""with {V.CUE}, j as (select w.media_id, row_number() over (partition by w.media_id order by w.turn_idx, w.k) as i, w.turn_idx, w.k, case when c.word = w.word then c.owner end as anchor from word_v w left join cue_v c using (media_id, turn_idx, k)),
- f as (select *, max(case when anchor is not null then i end) over (partition by media_id order by i) as l, min(case when anchor is not null then i end) over (partition by media_id order by i rows between current row and unbounded following) as r from j),
- n as (select *, case when l is null or (r is not null and r - i < i - l) then r else l end as a from f)
- select n.media_id, n.turn_idx, n.k, case when abs(n.i - n.a) <= 8 then j.anchor end as owner from n left join j on j.media_id = n.media_id and j.i = n.a""")
-def nearest_anchor_fill(spark, d):
-    """Unmatched words take the nearest matched neighbour's owner within 8 words, the left one on a tie."""
-    c = V.cues(spark, d).select("media_id", "turn_idx", "k", F.col("word").alias("cw"), "owner")
-    j = V.words(spark, d).join(c, ["media_id", "turn_idx", "k"], "left").withColumn("anchor", F.when(F.col("cw") == F.col("word"), F.col("owner")))
-    order = ["turn_idx", "k"]
-    j = j.withColumn("i", F.row_number().over(W("media_id", order)))
-    mark = F.when(F.col("anchor").isNotNull(), F.struct("i", "anchor"))
-    j = j.withColumn("l", F.last(mark, ignorenulls=True).over(W("media_id", "i").rowsBetween(Window.unboundedPreceding, 0))).withColumn("r", F.first(mark, ignorenulls=True).over(W("media_id", "i").rowsBetween(0, Window.unboundedFollowing)))
-    pick = F.when(F.col("l").isNull() | (F.col("r.i") - F.col("i") < F.col("i") - F.col("l.i")), F.col("r")).otherwise(F.col("l"))
-    return j.withColumn("a", pick).select("media_id", "turn_idx", "k", F.when(F.abs(F.col("i") - F.col("a.i")) <= 8, F.col("a.anchor")).alias("owner"))
-
-
 @query(f"""with {V.WORD}, w as (select media_id, turn_idx as wt, k, start_ms + 200 + 450 as mid from word_v), x as (select w.*, t.turn_idx, case when mid between t.start_ms and t.end_ms then 0 else least(abs(mid - t.start_ms), abs(mid - t.end_ms)) end as dist, abs(mid - t.start_ms) as far
  from w join turn_v t on t.media_id = w.media_id and mid between t.start_ms - 250 and t.end_ms + 250) select media_id, wt, k, turn_idx, dist from x qualify row_number() over (partition by media_id, wt, k order by dist, far, turn_idx) = 1""")
 def word_to_closest_turn(spark, d):
@@ -250,15 +264,6 @@ def word_to_closest_turn(spark, d):
     return x.withColumn("rn", F.row_number().over(W(["media_id", "wt", "k"], ["dist", F.abs(F.col("mid") - F.col("ts")), "turn_idx"]))).where("rn = 1").select("media_id", "wt", "k", "turn_idx", "dist")
 
 
-@query(f"""with {V.CUE}, c as (select *, row_number() over (partition by media_id order by start_ms, turn_idx, k) as i from cue_v), r as (select media_id, turn_idx, min(i) + 1 as lo, max(i) - 1 as hi from c group by all)
- select r.media_id, r.turn_idx, string_agg(c.word, ' ' order by c.i) as text from r join c on c.media_id = r.media_id and c.i between r.lo and r.hi group by all""")
-def word_slice(spark, d):
-    c = V.cues(spark, d).withColumn("i", F.row_number().over(W("media_id", ["start_ms", "turn_idx", "k"])))
-    r = c.groupBy("media_id", "turn_idx").agg((F.min("i") + 1).alias("lo"), (F.max("i") - 1).alias("hi"))
-    x = r.withColumn("i", F.explode(F.when(F.col("lo") <= F.col("hi"), F.sequence("lo", "hi")))).join(c.select("media_id", "i", "word"), ["media_id", "i"])
-    return x.groupBy("media_id", "turn_idx").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "word"))), lambda v: v["word"]), " ").alias("text"))
-
-
 @query(f"with {V.TURN} select media_id, turn_idx, case speaker when 'user' then 'Guest' when 'assistant' then 'Host' else speaker end as name from turn_v")
 def name_map_apply(spark, d):
     names = F.create_map(F.lit("user"), F.lit("Guest"), F.lit("assistant"), F.lit("Host"))
@@ -269,7 +274,7 @@ def name_map_apply(spark, d):
  from occ_v a join occ_v b on a.media_id = b.media_id and a.label < b.label and b.end_ms > a.start_ms and b.start_ms < a.end_ms group by all""")
 def interval_overlap_pairs(spark, d):
     o = V.occurrences(spark, d)
-    x = T.interval_join(o.select("media_id", F.col("label").alias("a"), "start_ms", "end_ms"), o.select("media_id", F.col("label").alias("b"), F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end")), 3_600_000).where("a < b")
+    x = T.interval_join(o.select("media_id", F.col("label").alias("a"), "start_ms", "end_ms"), o.select("media_id", F.col("label").alias("b"), F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end")), 43_200_000).where("a < b")
     return x.groupBy("media_id", "a", "b").agg(F.sum(F.least("end_ms", "r_end") - F.greatest("start_ms", "r_start")).alias("shared_ms"), F.count("*").alias("n"))
 
 
@@ -316,11 +321,22 @@ def sentence_cut_integrity(spark, d):
     return x.groupBy("media_id").agg(F.count_if(change).alias("changes"), F.count_if(change & ~F.col("pw").rlike("[.!?…]$") & F.col("word").rlike(r"^\p{Ll}")).alias("cuts"))
 
 
-@query("""with v as (select vec_id, label, embedding::double[] as e from embeddings) select a.label, a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.e, b.e), 6) as cosine from v a join v b on a.label = b.label and a.vec_id < b.vec_id where round(list_cosine_similarity(a.e, b.e), 6) >= 0.3""")
+#: Voices of a recording, and the cosine from which two are one.
+VOICES, ONE_VOICE = 8, 0.60
+
+
+#: Eight voices a recording; every third is made like the one before it.
+_VOICE = f"""voice_v as (select media_id, vec_id, case when vec_id % 3 = 1 and p is not null then list_transform(list_zip(e, p), lambda x: x[1] + x[2]) else e end as e
+ from (select *, lag(e) over (partition by media_id order by vec_id) as p from (select vec_id // {VOICES} as media_id, vec_id, embedding::double[] as e from embeddings)))"""
+
+
+@query(f"with {_VOICE} select a.media_id, a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.e, b.e), 6) as cosine from voice_v a join voice_v b on a.media_id = b.media_id and a.vec_id < b.vec_id")
 def voice_pair_similarity(spark, d):
-    v = V.table(spark, d, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    p = v.selectExpr("label", "vec_id as a", "e as ea").join(v.selectExpr("label", "vec_id as b", "e as eb"), "label").where("a < b")
-    return p.select("label", "a", "b", F.round(X.cosine(F.col("ea"), F.col("eb")), 6).alias("cosine")).where("cosine >= 0.3")
+    """Cosines of a recording's voices, of which there are few."""
+    v = V.table(spark, d, "embeddings").select(F.expr(f"vec_id div {VOICES}").alias("media_id"), "vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    v = v.withColumn("p", F.lag("e").over(W("media_id", "vec_id"))).withColumn("e", F.when((F.col("vec_id") % 3 == 1) & F.col("p").isNotNull(), F.zip_with("e", "p", lambda x, y: x + y)).otherwise(F.col("e"))).drop("p")
+    p = v.selectExpr("media_id", "vec_id as a", "e as ea").join(v.selectExpr("media_id", "vec_id as b", "e as eb"), "media_id").where("a < b")
+    return p.select("media_id", "a", "b", F.round(X.cosine(F.col("ea"), F.col("eb")), 6).alias("cosine"))
 
 
 @query(f"""with {V.WORD}, g as (select media_id, turn_idx, speaker, start_ms, end_ms from turn_v), ch as (select *, case when speaker = lag(speaker) over w and start_ms - lag(end_ms) over w <= 800 then 0 else 1 end as c from g window w as (partition by media_id order by turn_idx)),
@@ -357,8 +373,8 @@ def candidates(spark, d):
  when len(ot) > 0 and len(list_intersect(ot, nt)) < 0.55 * len(ot) then 'low-overlap' when regexp_matches(lower(cc), '^(here (is|are)|sure[,!]|corrected|note:|i )') then 'commentary' else 'ok' end as verdict from t""")
 def guardrail_verdicts(spark, d):
     t = candidates(spark, d).select("media_id", "turn_idx", F.trim("cand").alias("cc"), F.trim("text").alias("oo"), F.array_distinct(X.word_tokens(F.col("text"))).alias("ot"), F.array_distinct(X.word_tokens(F.col("cand"))).alias("nt"))
-    v = F.expr("""case when cc = '' then 'empty' when oo = '' then 'empty-original' when length(cc) > 1.6D * length(oo) then 'too-long' when length(cc) < 0.5D * length(oo) then 'too-short'
-        when size(ot) > 0 and size(array_intersect(ot, nt)) < 0.55D * size(ot) then 'low-overlap' when lower(cc) rlike '^(here (is|are)|sure[,!]|corrected|note:|i )' then 'commentary' else 'ok' end""")
+    v = F.expr(f"""case when cc = '' then 'empty' when oo = '' then 'empty-original' when length(cc) > 1.6D * length(oo) then 'too-long' when length(cc) < 0.5D * length(oo) then 'too-short'
+        when size(ot) > 0 and size(array_intersect(ot, nt)) < 0.55D * size(ot) then 'low-overlap' when lower(cc) rlike '{X.COMMENTARY}' then 'commentary' else 'ok' end""")
     return t.select("media_id", "turn_idx", v.alias("verdict"))
 
 
@@ -371,11 +387,11 @@ def numbered_reply_parse(spark, d):
     return p.where("id between 1 and 3").groupBy("id").agg(F.max_by("text", "pos").alias("text"))
 
 
-_FRAME = r"""with frame_v as (select page_id, page_id % 10 as media_id, list_distinct(list_transform(regexp_extract_all(regexp_replace(html, '<[^>]+>', ' ', 'g'), '([\p{L}\p{No}\p{Nl}][\p{L}\p{N}_./-]{2,})', 1), lambda x: lower(x))) as terms from pages)"""
+_FRAME = f"with {V.SHOT}, " + r"""frame_v as (select page_id, media_id, list_distinct(list_transform(regexp_extract_all(regexp_replace(html, '<[^>]+>', ' ', 'g'), '([\p{L}\p{No}\p{Nl}][\p{L}\p{N}_./-]{2,})', 1), lambda x: lower(x))) as terms from shot_v)"""
 
 
 def frames(spark, d):
-    return V.table(spark, d, "pages").select("page_id", (F.col("page_id") % 10).alias("media_id"), F.array_distinct(F.transform(X.screen_tokens(F.regexp_replace("html", "<[^>]+>", " ")), F.lower)).alias("terms"))
+    return V.shots(spark, d).select("page_id", "media_id", F.array_distinct(F.transform(X.screen_tokens(F.regexp_replace("html", "<[^>]+>", " ")), F.lower)).alias("terms"))
 
 
 @query(_FRAME + ", n as (select media_id, count(*) as frames from frame_v group by 1), t as (select media_id, unnest(terms) as term from frame_v) select media_id, term, count(*) as seen from t join n using (media_id) group by media_id, term, frames having frames >= 10 and count(*) >= 0.8 * frames")
@@ -400,47 +416,6 @@ def word_text_invariant(spark, d):
     return V.turns(spark, d).join(w, ["media_id", "turn_idx"]).where(X.letter_tokens(F.col("text")) != X.letter_tokens(F.col("ws"))).select("media_id", "turn_idx")
 
 
-@query(f"""with {V.COLUMNS} select count(*) filter (b = c) as witnesses, count(*) filter (b = c and a is null) as missing, count(*) filter (b = c and a <> c) as substituted, round(count(*) filter (b = c and (a is null or a <> c))::double / count(*) filter (b = c), 6) as error,
- round(count(*) filter (a = c and (b is null or b <> c))::double / count(*) filter (a = c), 6) as error_b from col_v""")
-def witness_error(spark, d):
-    x = V.columns(spark, d).agg(F.count_if(F.expr("b = c")).alias("witnesses"), F.count_if(F.expr("b = c and a is null")).alias("missing"), F.count_if(F.expr("b = c and a <> c")).alias("substituted"), F.count_if(F.expr("a = c")).alias("wa"), F.count_if(F.expr("a = c and (b is null or b <> c)")).alias("eb"))
-    return x.selectExpr("witnesses", "missing", "substituted", "round((missing + substituted) / witnesses, 6) as error", "round(eb / wa, 6) as error_b")
-
-
-@query(f"""with {V.COLUMNS} select case when a is null then 'missing' when a = c and b = c then 'agree' when a = c then 'independent_change' when a = b then 'imported_bad' when b = c then 'imported_good' else 'imported_unwitnessed' end as bucket, count(*) as n from col_v group by 1""")
-def merge_buckets(spark, d):
-    b = F.expr("case when a is null then 'missing' when a = c and b = c then 'agree' when a = c then 'independent_change' when a = b then 'imported_bad' when b = c then 'imported_good' else 'imported_unwitnessed' end")
-    return V.columns(spark, d).groupBy(b.alias("bucket")).agg(F.count("*").alias("n"))
-
-
-@query(f"""with {V.COLUMNS}, g as (select regexp_matches(c, '^[a-z]*(sh|ck|w|x|q|oo|ee|ea)[a-z]*$') as technical, a as mine, c as ref, count(*) as n, list_sort(list(t)) [1:3] as times from col_v where b = c and a <> c group by all)
- select technical, mine, ref, n, times, row_number() over (partition by technical order by n desc, mine, ref)::integer as rank from g qualify row_number() over (partition by technical order by n desc, mine, ref) <= 12""")
-def ranked_errors_topk(spark, d):
-    g = V.columns(spark, d).where("b = c and a <> c").groupBy(F.col("c").rlike("^[a-z]*(sh|ck|w|x|q|oo|ee|ea)[a-z]*$").alias("technical"), F.col("a").alias("mine"), F.col("c").alias("ref")).agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list("t")), 1, 3).alias("times"))
-    return g.withColumn("rank", F.row_number().over(W("technical", [F.desc("n"), "mine", "ref"]))).where("rank <= 12")
-
-
-@query(f"with {V.COLUMNS}, v as (select distinct a from col_v where a is not null) select c as term, count(*) as n from col_v where b = c and (regexp_matches(c, '^[a-z]*(sh|ck|w|x|q|oo|ee|ea)[a-z]*$') or length(c) > 6) and c not in (select a from v) group by c")
-def glossary_candidates(spark, d):
-    x = V.columns(spark, d)
-    have = x.where("a is not null").select(F.col("a").alias("c")).distinct()
-    return x.where(F.expr("b = c and (c rlike '^[a-z]*(sh|ck|w|x|q|oo|ee|ea)[a-z]*$' or length(c) > 6)")).join(have, "c", "left_anti").groupBy(F.col("c").alias("term")).agg(F.count("*").alias("n"))
-
-
-@query("""with b as (select doc_id // 60 as block, sum(1 - quality)::bigint as ea, sum(toxic)::bigint as eb, count(*) as n from labels group by 1), o as (select *, row_number() over (order by block) - 1 as i, count(*) over () as k from b),
- dr as (select d, s, ((d * 7919 + s * 104729 + (d * s) % 1009 * 31) % (select max(k) from o)) as i from range(500) t(d), range((select max(k) from o)) u(s)), r as (select d, sum(eb - ea)::double / sum(n)::double as delta from dr join o using (i) group by d)
- select round(list_sort(list(delta))[13], 6) as lo, round(list_sort(list(delta))[488], 6) as hi, (select round(sum(eb - ea)::double / sum(n)::double, 6) from b) as point from r""")
-def paired_block_bootstrap(spark, d):
-    """Blocks of 60 ids; 500 resamples with draws from a fixed rule; the interval's ends are the sorted deltas 12 and 487."""
-    b = V.table(spark, d, "labels").groupBy(F.expr("doc_id div 60").alias("block")).agg(F.sum(1 - F.col("quality")).alias("ea"), F.sum("toxic").alias("eb"), F.count("*").alias("n"))
-    o = b.withColumn("i", F.row_number().over(Window.orderBy("block")).cast("long") - 1)
-    k = o.count()
-    draws = spark.range(500).withColumnRenamed("id", "d").withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(k - 1, 0)).cast("long")))).withColumn("i", F.expr(f"(d * 7919 + s * 104729 + (d * s) % 1009 * 31) % {max(k, 1)}"))
-    r = draws.join(o, "i").groupBy("d").agg((F.sum(F.col("eb") - F.col("ea")) / F.sum("n")).alias("delta"))
-    point = b.agg(F.round(F.sum(F.col("eb") - F.col("ea")) / F.sum("n"), 6).alias("point"))
-    return r.agg(F.sort_array(F.collect_list("delta")).alias("x")).select(F.round(F.col("x")[12], 6).alias("lo"), F.round(F.col("x")[487], 6).alias("hi")).crossJoin(point)
-
-
 @query("with r as (select doc_id % 3 as run, avg(quality) as score from labels group by 1) select round(min(score), 6) as lo, round(max(score), 6) as hi, round(max(score) - min(score), 6) as spread, round(stddev_samp(score), 6) as sd from r")
 def noise_floor(spark, d):
     r = V.table(spark, d, "labels").groupBy(F.expr("doc_id % 3")).agg(F.avg("quality").alias("score"))
@@ -486,7 +461,7 @@ def near_miss_ratio(spark, d):
 @query("select n_name, count(*) as orders, round(sum(o_totalprice), 2) as total from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by n_name")
 def hash_and_broadcast_join(spark, d):
     o, c, n = (V.table(spark, d, t) for t in ("orders", "customer", "nation"))
-    return o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
 @query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
@@ -508,5 +483,5 @@ def tumbling_windows(spark, d):
 
 @query("select n_regionkey, c_custkey, c_acctbal from (select *, row_number() over (partition by n_regionkey order by c_acctbal desc, c_custkey) as r from customer join nation on c_nationkey = n_nationkey) where r <= 3")
 def top_k_per_group(spark, d):
-    c = V.table(spark, d, "customer").join(F.broadcast(V.table(spark, d, "nation")), F.expr("c_nationkey = n_nationkey"))
+    c = V.table(spark, d, "customer").join(V.table(spark, d, "nation"), F.expr("c_nationkey = n_nationkey"))
     return c.withColumn("r", F.row_number().over(W("n_regionkey", [F.desc("c_acctbal"), "c_custkey"]))).where("r <= 3").select("n_regionkey", "c_custkey", "c_acctbal")

@@ -7,55 +7,33 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from talkloom.operators import folds
-from talkloom.operators.alignment import align
 from talkloom.plans import views as V
-from talkloom.plans.catalog import QUERIES, W, query  # noqa: F401
+from talkloom.plans.catalog import QUERIES, W, query, removal_reason  # noqa: F401
 from talkloom.sources import vtt
 
 
-def _aligned(spark, d):
-    i = F.row_number().over(W("media_id", ["start_ms", "turn_idx", "k"])).cast("long")
-    mid = F.floor((F.col("start_ms") + F.col("end_ms")) / 2)
-    a = V.words(spark, d).select("media_id", i.alias("i"), F.lower("word").alias("w"), mid.alias("t"), "speaker", "turn_idx", "k")
-    b = V.cues(spark, d).select("media_id", i.alias("i"), F.lower("word").alias("w"), mid.alias("t"), "owner")
-    return a.join(align(a.select("media_id", "i", "w", "t"), b), ["media_id", "i"], "left")
-
-
-@query()
-def sequence_align_attribution(spark, d):
-    """Each word's owner: its match's, else the nearest match's within 8 words."""
-    j = _aligned(spark, d)
-    mark = F.when(F.col("owner").isNotNull(), F.struct("i", "owner"))
-    w = Window.partitionBy("media_id").orderBy("i")
-    j = j.withColumns({"l": F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "r": F.first(mark, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))})
-    near = F.when(F.col("l").isNull() | (F.col("r.i") - F.col("i") < F.col("i") - F.col("l.i")), F.col("r")).otherwise(F.col("l"))
-    return j.withColumn("a", near).select("media_id", "turn_idx", "k", "tw", F.when(F.abs(F.col("i") - F.col("a.i")) <= 8, F.col("a.owner")).alias("owner"))
-
-
-@query()
-def speaker_accuracy(spark, d):
-    return _aligned(spark, d).where("tw is not null").agg(F.count("*").alias("matched"), F.count_if(F.col("owner") == F.col("speaker")).alias("correct"), F.round(F.avg((F.col("owner") == F.col("speaker")).cast("double")), 6).alias("accuracy"))
-
-
 @query()
 def smooth_absorb_snap(spark, d):
     return folds.relabel(V.flips(spark, d))
 
 
+def _loops(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([folds.collapse_loop(t) for t in texts], columns=["text", "n"])
+
+
 @query()
 def consecutive_duplicate_drop(spark, d):
-    """Lines of documents without those that the last kept ones repeat."""
+    """Lines of documents as cleaned: without empty and boilerplate ones, loops collapsed, and without those that the last kept ones
+    repeat."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("seg_idx")
         return p[folds.keep_lines(p["norm"].tolist())][["doc_id", "seg_idx", "text"]]
 
+    s = V.segments(spark, d).where(removal_reason(F.col("text"), F.col("language")).isNull())
+    s = s.select("doc_id", "seg_idx", F.pandas_udf(_loops, "text string, n int")(F.trim("text"))["text"].alias("text"))
     norm = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}_]+", " "))
-    return V.segments(spark, d).select("doc_id", "seg_idx", "text", norm.alias("norm")).groupBy("doc_id").applyInPandas(run, "doc_id long, seg_idx long, text string")
-
-
-def _loops(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([folds.collapse_loop(t) for t in texts], columns=["text", "n"])
+    return s.withColumn("norm", norm).groupBy("doc_id").applyInPandas(run, "doc_id long, seg_idx long, text string")
 
 
 @query()
@@ -64,24 +42,62 @@ def loop_collapse(spark, d):
     return s.where("x.n > 0").select("doc_id", "seg_idx", "x.n", "x.text")
 
 
-@query()
-def vtt_cues(spark, d):
+def timed_cues(words):
+    """words (media_id, turn_idx, k, word, start_ms, end_ms) -> cues (media_id, turn_idx, cue, start_ms, end_ms, text): chunks of
+    each turn; of two cues that follow one another and overlap, also across turns, both meet in the middle; what then has no
+    length goes."""
+
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("k")
         out = pd.DataFrame(folds.cue_chunks(list(zip(p["word"], p["start_ms"], p["end_ms"], strict=True))), columns=["start_ms", "end_ms", "text"])
         return out.assign(media_id=p["media_id"].iloc[0], turn_idx=p["turn_idx"].iloc[0], cue=range(len(out)))[["media_id", "turn_idx", "cue", "start_ms", "end_ms", "text"]]
 
-    w = V.words(spark, d).select("media_id", "turn_idx", "k", "word", "start_ms", "end_ms")
-    return w.groupBy("media_id", "turn_idx").applyInPandas(run, "media_id long, turn_idx long, cue long, start_ms long, end_ms long, text string")
+    w = words.select("media_id", "turn_idx", "k", F.trim("word").alias("word"), "start_ms", "end_ms").where("word <> '' and start_ms is not null and end_ms is not null")
+    c = w.groupBy("media_id", "turn_idx").applyInPandas(run, "media_id long, turn_idx long, cue long, start_ms long, end_ms long, text string")
+    order = Window.partitionBy("media_id").orderBy("turn_idx", "cue")
+    before, after = F.lag("end_ms").over(order), F.lead("start_ms").over(order)
+    c = c.withColumns({"s": F.when(before > F.col("start_ms"), F.floor((before + F.col("start_ms")) / 2)).otherwise(F.col("start_ms")), "e": F.when(after < F.col("end_ms"), F.floor((after + F.col("end_ms")) / 2)).otherwise(F.col("end_ms"))})
+    return c.where("e > s and trim(text) <> ''").select("media_id", "turn_idx", "cue", F.col("s").alias("start_ms"), F.col("e").alias("end_ms"), "text")
+
+
+def crosstalk(spark, d):
+    """Words whose turns begin 900 ms early when their number is a multiple of four: they overlap the turn before."""
+    early = F.when((F.col("turn_idx") % 4 == 0) & (F.col("turn_idx") > 0), 900).otherwise(0)
+    return V.words(spark, d).withColumns({"start_ms": F.col("start_ms") - early, "end_ms": F.col("end_ms") - early})
 
 
 @query()
-def collapse_to_target(spark, d):
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        to = folds.collapse_to(p.sort_values("pos")["label"].tolist(), 3)
-        return pd.DataFrame({"media_id": p["media_id"].iloc[0], "label": sorted(to), "target": [to[x] for x in sorted(to)]})
+def vtt_cues(spark, d):
+    return timed_cues(crosstalk(spark, d))
+
 
-    return V.occurrences(spark, d).select("media_id", "pos", "label").groupBy("media_id").applyInPandas(run, "media_id long, label string, target string")
+def swap_counts(rows, key="media_id", order="pos"):
+    """(key, turns, swaps): for each key the rows of each label and the changes from one label to another, as maps: all that
+    collapsing labels needs to know."""
+    w = W(key, order)
+    x = rows.select(key, "label", F.lag("label").over(w).alias("was"))
+    turns = x.groupBy(key, "label").agg(F.count("*").alias("n")).groupBy(key).agg(F.collect_list(F.struct("label", "n")).alias("turns"))
+    swaps = x.where("was <> label").groupBy(key, F.least("was", "label").alias("a"), F.greatest("was", "label").alias("b")).agg(F.count("*").alias("n"))
+    return turns.join(swaps.groupBy(key).agg(F.collect_list(F.struct("a", "b", "n")).alias("swaps")), key, "left")
+
+
+def collapsed(counts, fold, schema="media_id long, label string, target string"):
+    """counts of swap_counts() through fold(turns, swaps) -> label map, a row for each label."""
+
+    def run(batches):
+        for p in batches:
+            rows = []
+            for key, turns, swaps in zip(p["media_id"], p["turns"], p["swaps"], strict=True):
+                to = fold({t["label"]: int(t["n"]) for t in turns}, {(x["a"], x["b"]): int(x["n"]) for x in (() if swaps is None else swaps)})
+                rows += [(key, x, to[x]) for x in sorted(to)]
+            yield pd.DataFrame(rows, columns=["media_id", "label", "target"])
+
+    return counts.mapInPandas(run, schema)
+
+
+@query()
+def collapse_to_target(spark, d):
+    return collapsed(swap_counts(V.occurrences(spark, d)), lambda turns, swaps: folds.collapse_to(turns, swaps, 3))
 
 
 @query()

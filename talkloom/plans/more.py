@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -12,11 +10,11 @@ from talkloom.functions import forms
 from talkloom.functions import text as X
 from talkloom.operators import temporal as T
 from talkloom.plans import views as V
-from talkloom.plans.catalog import _CAND, _FRAME, W, candidates, frames, interval_overlap_pairs, query
+from talkloom.plans.catalog import _CAND, _VOICE, ONE_VOICE, W, candidates, interval_overlap_pairs, query, voice_pair_similarity
 
 
 @query(f"""with {V.OCC}, n as (select media_id, label, count(*) as turns, sum(end_ms - start_ms)::bigint as air from occ_v group by all), sw as (select media_id, a, b, count(*) as swaps from (select o.media_id, a, b, label <> lag(label) over (partition by o.media_id, a, b order by pos) as s
- from occ_v o join (select distinct x.label as a, y.label as b from occ_v x, occ_v y where x.label < y.label and x.event_id < 50 and y.event_id < 50) p on o.label in (a, b)) where s group by all),
+ from occ_v o join (select distinct x.label as a, y.label as b from occ_v x, occ_v y where x.label < y.label and x.media_id = y.media_id) p on o.label in (a, b)) where s group by all),
  ov as (select a.media_id, a.label as a, b.label as b, sum(least(a.end_ms, b.end_ms) - greatest(a.start_ms, b.start_ms))::bigint as shared from occ_v a join occ_v b on a.media_id = b.media_id and a.label < b.label and b.end_ms > a.start_ms and b.start_ms < a.end_ms group by all)
  select sw.media_id, sw.a, sw.b, round(swaps::double / least(na.turns, nb.turns), 6) as alternation, round(coalesce(shared, 0)::double / least(na.air, nb.air), 6) as overlap, swaps::double / least(na.turns, nb.turns) < 0.15 or coalesce(shared, 0)::double / least(na.air, nb.air) > 0.5 as same
  from sw join n na on na.media_id = sw.media_id and na.label = a join n nb on nb.media_id = sw.media_id and nb.label = b left join ov on ov.media_id = sw.media_id and ov.a = sw.a and ov.b = sw.b""")
@@ -32,27 +30,22 @@ def name_variant_evidence(spark, d):
     return x.select("media_id", "a", "b", F.round(alt, 6).alias("alternation"), F.round(ov, 6).alias("overlap"), ((alt < 0.15) | (ov > 0.5)).alias("same"))
 
 
-@query()
+@query(f"""with recursive {_VOICE}, v as (select *, vec_id * 7919 % 1000 as talk from voice_v), l as (select a.media_id, a.vec_id as a, b.vec_id as b from v a join v b on a.media_id = b.media_id and a.vec_id <> b.vec_id where round(list_cosine_similarity(a.e, b.e), 6) >= {ONE_VOICE}),
+ r as (select media_id, a as x, a as y from l union select r.media_id, x, b from r join l on l.media_id = r.media_id and l.a = r.y) select r.media_id, x as vec_id, arg_max(y, (talk, -y)) as keep from r join v on v.vec_id = r.y group by r.media_id, x""")
 def voice_components(spark, d):
-    """Voices of one recording whose cosine is 0.3 and more, directly or by others; a component keeps its smallest id."""
+    """Voices of a recording that are alike, directly or by others; of each such group the one that talks most names all."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        up = {x: x for x in [*p["a"], *p["b"]]}
-
-        def find(x):
-            while up[x] != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
+        groups: list[dict] = []
+        for a, b, ta, tb in zip(p["a"], p["b"], p["ta"], p["tb"], strict=True):
+            met = [g for g in groups if a in g or b in g]
+            groups = [g for g in groups if g not in met] + [{a: ta, b: tb} | {k: v for g in met for k, v in g.items()}]
+        rows = [(p["media_id"].iloc[0], x, min(g, key=lambda v: (-g[v], v))) for g in groups for x in g]
+        return pd.DataFrame(rows, columns=["media_id", "vec_id", "keep"])
 
-        for a, b in zip(p["a"], p["b"], strict=True):
-            x, y = sorted((find(a), find(b)))
-            up[y] = x
-        return pd.DataFrame({"label": p["label"].iloc[0], "vec_id": sorted(up), "component": [find(x) for x in sorted(up)]})
-
-    from talkloom.plans.catalog import voice_pair_similarity
-
-    return voice_pair_similarity(spark, d).groupBy("label").applyInPandas(run, "label int, vec_id long, component long")
+    talk = V.table(spark, d, "embeddings").select("vec_id", (F.col("vec_id") * 7919 % 1000).alias("t"))
+    pairs = voice_pair_similarity(spark, d).where(F.col("cosine") >= ONE_VOICE).join(talk.selectExpr("vec_id as a", "t as ta"), "a").join(talk.selectExpr("vec_id as b", "t as tb"), "b")
+    return pairs.groupBy("media_id").applyInPandas(run, "media_id long, vec_id long, keep long")
 
 
 _CHANGES = f"""with {V.FLIP}, mine as (select media_id, start_ms as t from (select *, label <> lag(label) over (partition by media_id order by turn_idx, k) as c from flip_v) where c), ref as (select media_id, start_ms as t from (select *, speaker <> lag(speaker) over (partition by media_id order by turn_idx, k) as c from flip_v) where c)"""
@@ -97,45 +90,17 @@ def word_equivalence_class(spark, d):
     return x.withColumn("kind", forms.equivalence(F.col("a"), F.col("b"))).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query()
-def column_build(spark, d):
-    """Lattice of pivot words and another reading by windowed opcodes: equal words, replacements by place or best ratio above 0.45."""
-    ours = V.words(spark, d).select("media_id", F.row_number().over(W("media_id", ["turn_idx", "k"])).cast("long").alias("i"), F.lower("word").alias("w"), "start_ms")
-    theirs = V.cues(spark, d).select("media_id", F.lower("word").alias("w"), "start_ms")
-    win = F.explode(F.sequence(F.floor((F.col("start_ms") - 10_000) / 60_000), F.floor((F.col("start_ms") + 10_000) / 60_000)))
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values("start_ms"), b.sort_values("start_ms")
-        x, y, at, bt = a["w"].tolist(), b["w"].tolist(), a["start_ms"].tolist(), b["start_ms"].tolist()
-        pairs = []
-        for op, i0, i1, j0, j1 in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-            if op == "equal" or (op == "replace" and i1 - i0 == j1 - j0):
-                pairs += list(zip(range(i0, i1), range(j0, j1), strict=True))
-            elif op == "replace":
-                free = set(range(j0, j1))
-                for i in range(i0, i1):
-                    best = max(((X.ratio(x[i], y[j]), -j) for j in free), default=(0, 0))
-                    if best[0] > 0.45:
-                        pairs.append((i, -best[1]))
-                        free.discard(-best[1])
-        rows = [(a["media_id"].iloc[i], a["i"].iloc[i], x[i], y[j]) for i, j in pairs if abs(at[i] - bt[j]) <= 4000 and at[i] // 60_000 == a["win"].iloc[i]]
-        return pd.DataFrame(rows, columns=["media_id", "i", "c", "a"])
-
-    got = ours.withColumn("win", win).groupBy("media_id", "win").cogroup(theirs.withColumn("win", win).groupBy("media_id", "win")).applyInPandas(run, "media_id long, i long, c string, a string")
-    return ours.select("media_id", "i", F.col("w").alias("c")).join(got.select("media_id", "i", "a"), ["media_id", "i"], "left")
-
-
-@query(_FRAME + f", {V.TURN}, f as (select page_id, page_id % 10 as media_id, page_id // 10 * 12000 as t from pages) select v.media_id, v.turn_idx, count(*) as frames from turn_v v join f on f.media_id = v.media_id and f.t between v.start_ms - 30000 and v.end_ms + 30000 group by all")
+@query(f"with {V.SHOT} select v.media_id, v.turn_idx, count(*) as frames from turn_v v join shot_v f on f.media_id = v.media_id and f.t between v.start_ms - 30000 and v.end_ms + 30000 group by all")
 def pad_window_frames(spark, d):
-    f = V.table(spark, d, "pages").selectExpr("page_id % 10 as media_id", "page_id div 10 * 12000 as r_start", "page_id div 10 * 12000 + 1 as r_end")
+    f = V.shots(spark, d).selectExpr("media_id", "t as r_start", "t + 1 as r_end")
     t = V.turns(spark, d).selectExpr("media_id", "turn_idx", "start_ms", "end_ms + 1 as end_ms")
     return T.interval_join(t, f, 60_000, pad_ms=30_000).groupBy("media_id", "turn_idx").agg(F.count("*").alias("frames"))
 
 
-@query(f"with {V.TURN}, f as (select page_id, page_id % 10 as media_id, page_id // 10 * 12000 as t from pages) select f.media_id, f.page_id, min(v.turn_idx) as turn_idx from f join turn_v v on v.media_id = f.media_id and v.start_ms >= f.t group by all")
+@query(f"with {V.SHOT} select f.media_id, f.page_id, min(v.turn_idx) as turn_idx from shot_v f join turn_v v on v.media_id = f.media_id and v.start_ms >= f.t group by all")
 def screen_note_interleave(spark, d):
     """Each frame goes before the first turn that starts at or after it; frames after the last turn's start go nowhere."""
-    f = V.table(spark, d, "pages").selectExpr("page_id % 10 as media_id", "page_id", "-(page_id div 10 * 12000) as start_ms")
+    f = V.shots(spark, d).selectExpr("media_id", "page_id", "-t as start_ms")
     t = V.turns(spark, d).selectExpr("media_id", "turn_idx as hit", "-start_ms as start_ms", "-turn_idx as pos")
     return T.asof_join(f, t, "hit").where("hit is not null").select("media_id", "page_id", F.col("hit").alias("turn_idx"))
 
@@ -148,16 +113,24 @@ def language_change_marker(spark, d):
 
 @query("with n as (select count(*) as n from pages), x as (select page_id, row_number() over (order by page_id) - 1 as r from pages) select distinct page_id from x, n, range(40) t(i) where r = floor(i * n / 40)")
 def even_spread_cap(spark, d):
-    """At most 40 pages at even steps."""
-    x = V.table(spark, d, "pages").select("page_id", (F.row_number().over(Window.orderBy("page_id")) - 1).alias("r"))
-    n = x.count()
-    at = spark.range(40).select(F.floor(F.col("id") * n / 40).alias("r")).distinct()
+    """At most 40 pages at even steps. Ranks: pages of a range of ids before, and within the range."""
+    p = V.table(spark, d, "pages").select("page_id", F.expr("page_id div 4096").alias("range"))
+    ranges = p.groupBy("range").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    x = p.join(ranges, "range").select("page_id", (F.col("before") + F.row_number().over(W("range", "page_id")) - 1).alias("r"))
+    at = spark.range(40).crossJoin(F.broadcast(ranges.agg(F.sum("n").alias("n")))).select(F.expr("cast(floor(id * n / 40) as bigint)").alias("r")).distinct()
     return x.join(F.broadcast(at), "r").select("page_id")
 
 
 @query("select event_type, count(*) as n, (list_sort(list(value)))[count(*) // 2 + 1] as upper_median from events group by 1")
 def llm_run_stats(spark, d):
-    return V.table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("value")).alias("x")).select("event_type", "n", F.get("x", F.floor(F.col("n") / 2).cast("int")).alias("upper_median"))
+    """Upper medians without gathering values: equal values are counted, counts summed by ranges of values, and the middle one is
+    looked for in its range alone."""
+    v = V.table(spark, d, "events").groupBy("event_type", "value").agg(F.count("*").alias("n")).withColumn("range", F.floor("value"))
+    r = v.groupBy("event_type", "range").agg(F.sum("n").alias("n"))
+    r = r.withColumns({"before": F.coalesce(F.sum("n").over(W("event_type", "range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "total": F.sum("n").over(W("event_type"))})
+    r = r.withColumn("left", F.floor(F.col("total") / 2) - F.col("before")).where("left >= 0 and left < n").drop("n", "before")
+    x = v.join(r, ["event_type", "range"]).withColumn("upto", F.sum("n").over(W(["event_type", "range"], "value")))
+    return x.where("left < upto and left >= upto - n").select("event_type", F.col("total").alias("n"), F.col("value").alias("upper_median"))
 
 
 @query("with a as (select substr(sha256('' || '{\"stage\":\"asr\",\"beam\":5}'), 1, 16) as fp), b as (select substr(sha256(fp || '{\"stage\":\"align\",\"beam\":0}'), 1, 16) as fp from a), c as (select substr(sha256(fp || '{\"stage\":\"llm\",\"beam\":1}'), 1, 16) as fp from b) select 1 as pos, 'asr' as stage, fp from a union all select 2, 'align', fp from b union all select 3, 'llm', fp from c")
@@ -175,20 +148,13 @@ def dq_cue_times(spark, d):
     return x.groupBy("media_id").agg(F.count_if(F.col("end_ms") <= F.col("start_ms")).alias("empty_cues"), F.count_if(F.col("start_ms") < F.col("before")).alias("overlaps"), F.count_if(F.col("end_ms") > F.col("stop")).alias("past"))
 
 
-@query(f"with {V.TURN} select media_id, string_agg('[' || (turn_idx + 1) || '] ' || text, chr(10) order by turn_idx) as prompt from turn_v group by 1")
-def prompt_assembly(spark, d):
-    g = V.turns(spark, d).groupBy("media_id").agg(F.sort_array(F.collect_list(F.struct("turn_idx", "text"))).alias("t"))
-    return g.select("media_id", F.array_join(F.transform("t", lambda x: F.concat(F.lit("["), (x["turn_idx"] + 1).cast("string"), F.lit("] "), x["text"])), "\n").alias("prompt"))
-
-
 @query()
 def near_miss_terms(spark, d):
     """On-screen terms like, but not the same as, words spoken in a window of 90 s: of at least four letters, on at least two
     frames within 30 s of it, neither furniture nor a piece of another term; for each window the 20 closest."""
     from talkloom.plans.catalog import chrome_terms
 
-    f = V.table(spark, d, "pages").select("page_id", F.array_distinct(X.screen_tokens(F.regexp_replace("html", "<[^>]+>", " "))).alias("terms"))
-    f = f.selectExpr("page_id % 10 as media_id", "page_id", "page_id div 10 * 12000 as t", "explode(terms) as term").withColumn("low", F.lower("term"))
+    f = V.shots(spark, d).select("media_id", "page_id", "t", F.explode(F.array_distinct(X.screen_tokens(F.regexp_replace("html", "<[^>]+>", " ")))).alias("term")).withColumn("low", F.lower("term"))
     vocab = f.select("media_id", "low").distinct()
     # a piece of another term: the substrings of each term, never pairs of terms
     pieces = F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.length("low")), lambda i: F.transform(F.sequence(F.lit(1), F.length("low") - i + 1), lambda n: F.substr(F.col("low"), i, n)))))
@@ -197,7 +163,7 @@ def near_miss_terms(spark, d):
     f = f.where(F.length("low") >= 4).join(chrome, ["media_id", "low"], "left_anti").join(inner, ["media_id", "low"], "left_anti")
     win = F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("t") - 30_000) / 90_000)), F.floor((F.col("t") + 30_000) / 90_000)))
     seen = f.withColumn("win", win).groupBy("media_id", "win", "term", "low").agg(F.count("*").alias("n")).where("n >= 2")
-    spoken = V.words(spark, d).select((F.col("media_id") % 10).alias("media_id"), F.floor(F.col("start_ms") / 90_000).alias("win"), F.explode(X.screen_tokens(F.lower("word"))).alias("s")).distinct()
+    spoken = V.words(spark, d).select("media_id", F.floor(F.col("start_ms") / 90_000).alias("win"), F.explode(X.screen_tokens(F.lower("word"))).alias("s")).distinct()
     seen = seen.join(spoken.select("media_id", "win", F.col("s").alias("low")), ["media_id", "win", "low"], "left_anti")
     # ratios of 0.55 and more need lengths within a factor
     near = F.least(F.length("low"), F.length("s")) * 2 >= (F.length("low") + F.length("s")) * 0.55
@@ -206,14 +172,6 @@ def near_miss_terms(spark, d):
     return x.withColumn("rank", F.row_number().over(W(["media_id", "win"], [F.desc("ratio"), F.desc("n"), F.desc("term")]))).where("rank <= 20").withColumn("ratio", F.round("ratio", 6))
 
 
-@query()
-def markdown_transcript(spark, d):
-    """One Markdown text per recording: a heading with clock and speaker for each turn."""
-    line = F.concat(F.lit("## ["), X.clock(F.col("start_ms")), F.lit("] "), F.col("speaker"), F.lit("\n\n"), F.col("text"))
-    g = V.turns(spark, d).select("media_id", "turn_idx", line.alias("line"), "n").groupBy("media_id").agg(F.sort_array(F.collect_list(F.struct("turn_idx", "line"))).alias("t"), F.sum("n").alias("n"))
-    return g.select("media_id", F.concat(F.lit("# Transcript\n\nWords: "), F.col("n").cast("string"), F.lit("\n\n"), F.array_join(F.transform("t", lambda x: x["line"]), "\n\n"), F.lit("\n")).alias("value"))
-
-
 @query("select 0::bigint as i, 'ahoj' as word, 150::bigint as t_ms, 0.8::double as conf union all select 1, 'svete', 550, 0.5::double")
 def subword_token_scan(spark, d):
     """Sub-word tokens to words: a word's time is the middle of its tokens', its confidence their least."""

@@ -36,6 +36,13 @@ def cues(spark, d: str) -> DataFrame:
     return w.select("media_id", "turn_idx", "k", word.alias("word"), owner.alias("owner"), (F.col("start_ms") + 150).alias("start_ms"), (F.col("end_ms") + 150).alias("end_ms"))
 
 
+def lines(spark, d: str) -> DataFrame:
+    """The other transcript's cues: one for each turn, some reaching into the next, some ending early."""
+    g = cues(spark, d).groupBy("media_id", "turn_idx", "owner").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("last"))
+    g = g.withColumn("end_ms", F.col("last") + F.when(F.col("turn_idx") % 3 == 0, 900).otherwise(-300)).drop("last")
+    return g.withColumn("pos", F.row_number().over(Window.partitionBy("media_id").orderBy("start_ms", "turn_idx")).cast("long"))
+
+
 def flips(spark, d: str) -> DataFrame:
     """Words with injected label flips."""
     on = F.expr("(k + media_id) % 17 in (0, 1) or (k + media_id) % 29 between 3 and 8")
@@ -43,22 +50,37 @@ def flips(spark, d: str) -> DataFrame:
 
 
 def segments(spark, d: str) -> DataFrame:
-    """Lines of documents: seg(media_id, doc_id, seg_idx, language, text, start_ms, end_ms)."""
-    s = table(spark, d, "documents").select(F.col("source").alias("media_id"), "doc_id", F.col("lang").alias("language"), F.posexplode(F.split("text", "\n")).alias("seg_idx", "text"))
+    """Lines of documents, 16 documents a recording: seg(media_id, doc_id, seg_idx, language, text, start_ms, end_ms)."""
+    s = table(spark, d, "documents").select(F.expr("doc_id div 16").alias("media_id"), "doc_id", F.col("lang").alias("language"), F.posexplode(F.split("text", "\n")).alias("seg_idx", "text"))
     return s.select("media_id", "doc_id", F.col("seg_idx").cast("long").alias("seg_idx"), "language", "text", (F.col("seg_idx") * 2000).cast("long").alias("start_ms"), (F.col("seg_idx") * 2000 + 1800).cast("long").alias("end_ms"))
 
 
 def occurrences(spark, d: str) -> DataFrame:
-    """Events as intervals of a day: occ(media_id, event_id, label, start_ms, end_ms, pos)."""
-    e = table(spark, d, "events").select(F.dayofyear("ts").cast("long").alias("media_id"), "event_id", F.col("event_type").alias("label"), F.unix_millis(F.col("ts").cast("timestamp")).alias("start_ms"), F.floor(F.col("value") * 60000).cast("long").alias("dur"))
+    """Events as intervals, a recording for each user: occ(media_id, event_id, label, start_ms, end_ms, pos)."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("media_id"), "event_id", F.col("event_type").alias("label"), F.unix_millis(F.col("ts").cast("timestamp")).alias("start_ms"), F.floor(F.col("value") * 360000).cast("long").alias("dur"))
     e = e.withColumn("end_ms", F.col("start_ms") + F.col("dur"))
     return e.withColumn("pos", F.row_number().over(Window.partitionBy("media_id").orderBy("start_ms", "event_id")).cast("long")).drop("dur")
 
 
+def shots(spark, d: str) -> DataFrame:
+    """Frames: 25 pages, 12 s apart, are those of one recording, within its length: shot(page_id, media_id, t, html)."""
+    t = turns(spark, d).groupBy("media_id").agg(F.max("end_ms").alias("len"))
+    n = t.agg((F.max("media_id") + 1).alias("n"))
+    p = table(spark, d, "pages").select("page_id", "html").crossJoin(F.broadcast(n)).withColumn("media_id", F.expr("page_id div 25 % n"))
+    return p.join(t, "media_id").select("page_id", "media_id", F.expr("page_id % 25 * 12000 % (len + 12000)").alias("t"), "html")
+
+
+#: Other readings of a word c, in Spark's and DuckDB's SQL alike: as recognised (a0), another transcript's (b), and as corrected
+#: with its help (a1).
+_A0 = "case when (media_id + 3 * turn_idx + k) % 11 = 0 then null when (5 * media_id + turn_idx + 7 * k) % 17 = 0 then reverse(c) when (media_id + turn_idx + k) % 13 = 0 then concat(c, 's') when (media_id + k) % 29 = 0 then concat('zz', c) else c end"
+_B = "case when (media_id + turn_idx + 2 * k) % 13 = 0 then null when (media_id + k) % 19 = 0 then reverse(c) when (media_id + 2 * turn_idx + k) % 23 = 0 then concat(c, 's') else c end"
+_A1 = "case when a0 is null then null when (media_id + 2 * turn_idx + 3 * k) % 6 = 0 then coalesce(b, a0) when (media_id + turn_idx + 5 * k) % 31 = 0 then concat('qq', c) else a0 end"
+
+
 def columns(spark, d: str) -> DataFrame:
-    """Positional lattice of three readings of each word: c (pivot), a (with drops and reversals), b (other ones)."""
-    e = F.expr
-    return words(spark, d).select("media_id", "turn_idx", "k", F.col("start_ms").alias("t"), F.lower("word").alias("c"), e("case when (media_id + 3 * turn_idx + k) % 11 = 0 then null when (5 * media_id + turn_idx + 7 * k) % 17 = 0 then reverse(lower(word)) else lower(word) end").alias("a"), e("case when (media_id + turn_idx + 2 * k) % 13 = 0 then null when (media_id + k) % 19 = 0 then reverse(lower(word)) else lower(word) end").alias("b"))
+    """Positional lattice of readings of each word: c (pivot), a0, a1, b; a is a1."""
+    x = words(spark, d).select("media_id", "turn_idx", "k", F.col("start_ms").alias("t"), F.lower("word").alias("c"))
+    return x.withColumns({"a0": F.expr(_A0), "b": F.expr(_B)}).withColumn("a1", F.expr(_A1)).withColumn("a", F.col("a1"))
 
 
 TURN = r"""turn_v as (select *, start_ms + n * 400 as end_ms from (select *, coalesce(sum(n * 400 + 300) over (partition by media_id order by turn_idx rows between unbounded preceding and 1 preceding), 0)::bigint as start_ms
@@ -67,11 +89,11 @@ WORD = TURN + """, word_v as (select media_id, turn_idx, speaker, k, word, start
 CUE = WORD + """, cue_v as (select media_id, turn_idx, k, case when (5 * media_id + turn_idx + 7 * k) % 17 = 0 then reverse(word) else word end as word,
  case when (media_id + turn_idx) % 6 = 0 then coalesce(nxt, speaker) else speaker end as owner, start_ms + 150 as start_ms, end_ms + 150 as end_ms
  from word_v join (select media_id, turn_idx, lead(speaker) over (partition by media_id order by turn_idx) as nxt from turn_v) using (media_id, turn_idx) where (media_id + 3 * turn_idx + k) % 11 <> 0)"""
+LINE = CUE + """, line_v as (select *, row_number() over (partition by media_id order by start_ms, turn_idx) as pos from (select media_id, turn_idx, owner, min(start_ms) as start_ms, max(end_ms) + case when turn_idx % 3 = 0 then 900 else -300 end as end_ms from cue_v group by media_id, turn_idx, owner))"""
 FLIP = WORD + """, flip_v as (select *, case when (k + media_id) % 17 in (0, 1) or (k + media_id) % 29 between 3 and 8 then case when speaker = 'user' then 'assistant' else 'user' end else speaker end as label from word_v)"""
-SEG = """seg_v as (select source as media_id, doc_id, lang as language, seg_idx, line as text, seg_idx * 2000 as start_ms, seg_idx * 2000 + 1800 as end_ms
- from (select source, doc_id, lang, unnest(range(len(string_split(text, chr(10))))) as seg_idx, unnest(string_split(text, chr(10))) as line from documents))"""
-OCC = """occ_v as (select *, row_number() over (partition by media_id order by start_ms, event_id) as pos from (select dayofyear(ts)::bigint as media_id, event_id, event_type as label, (epoch_us(ts) // 1000)::bigint as start_ms,
- (epoch_us(ts) // 1000)::bigint + floor(value * 60000)::bigint as end_ms from events))"""
-COLUMNS = WORD + """, col_v as (select media_id, turn_idx, k, start_ms as t, lower(word) as c,
- case when (media_id + 3 * turn_idx + k) % 11 = 0 then null when (5 * media_id + turn_idx + 7 * k) % 17 = 0 then reverse(lower(word)) else lower(word) end as a,
- case when (media_id + turn_idx + 2 * k) % 13 = 0 then null when (media_id + k) % 19 = 0 then reverse(lower(word)) else lower(word) end as b from word_v)"""
+SEG = """seg_v as (select doc_id // 16 as media_id, doc_id, lang as language, seg_idx, line as text, seg_idx * 2000 as start_ms, seg_idx * 2000 + 1800 as end_ms
+ from (select doc_id, lang, unnest(range(len(string_split(text, chr(10))))) as seg_idx, unnest(string_split(text, chr(10))) as line from documents))"""
+OCC = """occ_v as (select *, row_number() over (partition by media_id order by start_ms, event_id) as pos from (select user_id as media_id, event_id, event_type as label, (epoch_us(ts) // 1000)::bigint as start_ms,
+ (epoch_us(ts) // 1000)::bigint + floor(value * 360000)::bigint as end_ms from events))"""
+COLUMNS = WORD + f""", col_v as (select *, a1 as a from (select *, {_A1} as a1 from (select *, {_A0} as a0, {_B} as b from (select media_id, turn_idx, k, start_ms as t, lower(word) as c from word_v))))"""
+SHOT = TURN + """, shot_v as (select page_id, media_id, page_id % 25 * 12000 % (len + 12000) as t, html from (select *, page_id // 25 % (select max(conv_id) + 1 from conversations) as m from pages) p join (select media_id, max(end_ms)::bigint as len from turn_v group by 1) on media_id = m)"""

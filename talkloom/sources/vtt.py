@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkloom.functions import text as X
+from talkloom.sources import docx
 
 _TIME = r"(\d{2}:\d{2}:\d{2}[.,]\d{3})\s*-->\s*(\d{2}:\d{2}:\d{2}[.,]\d{3})"
 
@@ -26,17 +27,37 @@ def parse(files: DataFrame) -> DataFrame:
     return b.where("text <> ''").select("media_id", (order - 1).cast("long").alias("cue_idx"), "speaker", "text", "start_ms", "end_ms")
 
 
+def load(spark, path: str) -> DataFrame:
+    """Cues (media_id, speaker, text, start_ms, end_ms) of the transcript files that path names, by their suffix: .vtt or .docx. Any
+    other suffix, and files without a cue, are errors."""
+    suffix = path.rstrip("*/").rsplit(".", 1)[-1].lower()
+    if suffix == "vtt":
+        cues = read(spark, path)
+    elif suffix == "docx":
+        cues = docx.parse(spark.read.format("binaryFile").load(path).select(F.col("path").alias("media_id"), "content"))
+    else:
+        raise ValueError(f"unsupported transcript format .{suffix}: .vtt or .docx are read")
+    files = spark.read.format("binaryFile").load(path).select("path")
+    none = files.join(cues.select(F.regexp_replace("media_id", "^file:/+", "").alias("m")).distinct(), F.regexp_replace("path", "^file:/+", "") == F.col("m"), "left_anti").limit(5).collect()
+    if none:
+        raise ValueError(f"no cues in {[r['path'] for r in none]}")
+    return cues.select("media_id", F.when(F.trim("speaker") == "", "SPEAKER_00").otherwise(F.col("speaker")).alias("speaker"), "text", "start_ms", "end_ms")
+
+
 def read(spark, path: str) -> DataFrame:
     """Cues of all files under path; media_id is the file's path."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("media_id"), "value")
     return parse(files)
 
 
-def render(turns: DataFrame) -> DataFrame:
-    """turns (media_id, turn_idx, speaker, text, start_ms, end_ms) -> (media_id, value): one WebVTT text per recording."""
-    cue = F.concat(X.timestamp(F.col("start_ms")), F.lit(" --> "), X.timestamp(F.col("end_ms")), F.lit("\n<v "), X.escape(F.col("speaker")), F.lit(">"), X.escape(X.squeeze(F.col("text"))), F.lit("</v>"))
-    g = turns.select("media_id", "turn_idx", cue.alias("cue")).groupBy("media_id").agg(F.sort_array(F.collect_list(F.struct("turn_idx", "cue"))).alias("c"))
-    return g.select("media_id", F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform("c", lambda x: x["cue"]), "\n\n"), F.lit("\n")).alias("value"))
+def render(turns: DataFrame, wrap: bool = False) -> DataFrame:
+    """turns or cues (media_id, turn_idx, speaker, text, start_ms, end_ms; cue, if there is one) -> (media_id, value): one WebVTT text
+    per recording; with wrap, texts on two lines."""
+    text = X.wrapped(X.split_words(F.col("text"))) if wrap else X.squeeze(F.col("text"))
+    cue = F.concat(X.timestamp(F.col("start_ms")), F.lit(" --> "), X.timestamp(F.col("end_ms")), F.lit("\n<v "), X.escape(F.col("speaker")), F.lit(">"), X.escape(text), F.lit("</v>"))
+    order = [c for c in ("turn_idx", "cue") if c in turns.columns]
+    g = turns.select("media_id", F.struct(*order).alias("at"), cue.alias("c")).groupBy("media_id").agg(F.sort_array(F.collect_list(F.struct("at", "c"))).alias("c"))
+    return g.select("media_id", F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform("c", lambda x: x["c"]), "\n\n"), F.lit("\n")).alias("value"))
 
 
 def result_json(turns: DataFrame) -> DataFrame:

@@ -50,11 +50,12 @@ def test_captions():
 
 
 def test_collapse_rows_prefers_like_voices_on_ties():
-    labels = list("ABACBCAB")
-    assert set(folds.collapse_rows(labels, {}, 3).values()) == set("ABC")
-    to = folds.collapse_rows(list("ABCABC"), {"A": [1, 0], "B": [0, 1], "C": [0.1, 1]}, 2)
+    from tests.test_folds import counts
+
+    assert set(folds.collapse_rows(*counts(list("ABACBCAB")), {}, 3).values()) == set("ABC")
+    to = folds.collapse_rows(*counts(list("ABCABC")), {"A": [1, 0], "B": [0, 1], "C": [0.1, 1]}, 2)
     assert len(set(to.values())) == 2
-    tie = folds.collapse_rows(list("AXBXC"), {"A": [1, 0], "B": [0, 1], "C": [0, 2], "X": [1, 1]}, 3)  # A, B, C never meet
+    tie = folds.collapse_rows(*counts(list("AXBXC")), {"A": [1, 0], "B": [0, 1], "C": [0, 2], "X": [1, 1]}, 3)  # A, B, C never meet
     assert tie["C"] == tie["B"] != tie["A"]
 
 

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from talkloom.plans import artifacts, catalog, kernels, more  # noqa: F401
+from talkloom.plans import artifacts, catalog, exports, kernels, more, owners, scoring  # noqa: F401
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -47,7 +47,7 @@ def test_runs(spark, name):
 def test_alignment_claims_no_word_twice_and_finds_wrong_owners(spark):
     from pyspark.sql import functions as F
 
-    j = kernels._aligned(spark, D)
+    j = owners._aligned(spark, D)
     got = j.agg(F.count("*").alias("n"), F.countDistinct("media_id", "i").alias("u"), F.avg((F.col("owner") == F.col("speaker")).cast("double")).alias("acc")).first()
     assert got["n"] == got["u"] and 0.5 < got["acc"] < 1
 
