@@ -1,8 +1,8 @@
-"""Media columns: animated GIF. Texts become 8-bit samples in grey frames; any GIF decodes to timed frames.
+"""Media columns: animated GIF. Texts become 8-bit samples in frames of 256 colours; any GIF decodes to timed frames.
 
-The writer stores pixels as literal codes with a clear code every 254, so that codes stay 9 bits wide: lossless, 9/8 of the
-payload, and packed by array arithmetic. The reader takes any LZW stream; streams of such literals take a vectorised path.
-Frames are ROW pixels wide and MOST_ROWS high at most. Canvases are composed by the disposal and transparency rules.
+The writer is a plain dictionary LZW: codes grow from 9 to 12 bits, and the dictionary is cleared when it is full. The reader takes
+any stream. Bits are packed and unpacked by array arithmetic; only the dictionary itself is walked code by code. Frames are ROW
+pixels wide and MOST_ROWS high at most. Canvases are composed by the disposal and transparency rules.
 """
 
 from __future__ import annotations
@@ -18,178 +18,193 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROW, MOST_ROWS, DELAY_CS = 192, 64, 10
-_CLEAR, _STOP, _RUN = 256, 257, 254
-_GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
-
-
-@functools.lru_cache(256)
-def _places(n: int) -> np.ndarray:
-    """Where n literals stand among the codes: a clear code comes before every _RUN of them."""
-    i = np.arange(n)
-    return i + i // _RUN + 1
-
-
-def literal_codes(pixels: np.ndarray) -> bytes:
-    """LZW stream of literals: clear, literals, clear, ..., stop."""
-    n = len(pixels)
-    total = n + -(-n // _RUN) + 1
-    codes = np.full(-(-total // 8) * 8, 0, np.uint64)
-    codes[:total] = _CLEAR
-    codes[_places(n)] = pixels
-    codes[total - 1] = _STOP
-    c = codes.reshape(-1, 8)
-    low = c[:, 0].copy()
-    for k in range(1, 8):
-        low |= c[:, k] << np.uint64(9 * k)
-    out = np.empty((len(c), 9), np.uint8)
-    out[:, :8] = low.view(np.uint8).reshape(-1, 8)
-    out[:, 8] = c[:, 7] >> np.uint64(1)
-    return out.tobytes()[: -(-total * 9 // 8)]
+#: Pixels of a screen or a frame beyond which a file isn't decoded: its header alone could ask for 4 billion.
+MOST_PIXELS = 1 << 26
+_FULL = 4096
+#: Three bits of red and green, two of blue: each sample has a colour of its own.
+_COLOURS = np.stack([np.arange(256) >> 5, np.arange(256) >> 2 & 7, np.arange(256) & 3], axis=1) * [36, 36, 85]
+_PALETTE = _COLOURS.astype(np.uint8).tobytes()
+
+
+@functools.lru_cache(16)
+def _widths(size: int, n: int = _FULL) -> np.ndarray:
+    """Bits of the first n codes after a clear code: the dictionary has clear, stop and one entry for each code but the first."""
+    entries = (1 << size) + 1 + np.arange(n)
+    entries[0] += 1
+    return np.clip(np.floor(np.log2(entries)).astype(np.int64) + 1, size + 1, 12)
+
+
+def lzw_encode(pixels: bytes, size: int = 8) -> bytes:
+    """LZW stream of pixels below 2**size."""
+    clear = 1 << size
+    runs, own, table, nxt = [], [], {}, clear + 2
+    prefix = pixels[0]
+    for p in pixels[1:]:
+        longer = prefix << 8 | p
+        code = table.get(longer)
+        if code is not None:
+            prefix = code
+            continue
+        own.append(prefix)
+        prefix = p
+        if nxt < _FULL:
+            table[longer] = nxt
+            nxt += 1
+        else:
+            runs.append(own)
+            own, table, nxt = [], {}, clear + 2
+    own.append(prefix)
+    runs.append(own)
+    codes = np.concatenate([[clear]] + [[*r, clear] for r in runs])
+    codes[-1] = clear + 1
+    width = np.concatenate([[size + 1]] + [_widths(size)[: len(r) + 1] for r in runs])
+    at = np.cumsum(width) - width
+    x, byte = codes << (at & 7), at >> 3
+    total = int(at[-1] + width[-1] + 7) // 8
+    return sum(np.bincount(byte + k, (x >> 8 * k) & 255, minlength=total + 2) for k in range(3)).astype(np.uint8).tobytes()[:total]
 
 
 def _sub_blocks(data: bytes) -> bytes:
-    full = len(data) // 255
-    out = np.empty((full, 256), np.uint8)
-    out[:, 0] = 255
-    out[:, 1:] = np.frombuffer(data[: full * 255], np.uint8).reshape(full, 255)
-    rest = data[full * 255 :]
-    return out.tobytes() + (bytes([len(rest)]) + rest if rest else b"") + b"\0"
+    return b"".join(bytes([len(x)]) + x for x in (data[i : i + 255] for i in range(0, len(data), 255))) + b"\0"
 
 
 def write_gif(payload: bytes) -> bytes:
-    """payload (a positive multiple of ROW bytes) as the grey frames of an animation, top row first."""
+    """payload (a positive multiple of ROW bytes) as the frames of an animation, top row first."""
     rows = len(payload) // ROW
-    height = min(rows, MOST_ROWS)
-    out = [b"GIF89a", struct.pack("<HHBBB", ROW, height, 0xF7, 0, 0), _GREY]
-    pixels = np.frombuffer(payload, np.uint8)
+    out = [b"GIF89a", struct.pack("<HHBBB", ROW, min(rows, MOST_ROWS), 0xF7, 0, 0), _PALETTE]
     for top in range(0, rows, MOST_ROWS):
         h = min(MOST_ROWS, rows - top)
-        out += [b"\x21\xf9\x04", struct.pack("<BHBB", 1 << 2, DELAY_CS, 0, 0), b"\x2c", struct.pack("<HHHHB", 0, 0, ROW, h, 0), b"\x08", _sub_blocks(literal_codes(pixels[top * ROW : (top + h) * ROW]))]
+        out += [b"\x21\xf9\x04", struct.pack("<BHBB", 1 << 2, DELAY_CS, 0, 0), b"\x2c", struct.pack("<HHHHB", 0, 0, ROW, h, 0), b"\x08", _sub_blocks(lzw_encode(payload[top * ROW : (top + h) * ROW]))]
     return b"".join([*out, b"\x3b"])
 
 
-def _literals(data: bytes, n: int) -> np.ndarray | None:
-    """n pixels of a stream that has nothing but literals and clear codes 9 bits wide; None for other streams."""
-    count = len(data) * 8 // 9
-    buf = np.zeros(-(-len(data) // 9) * 9, np.uint8)
-    buf[: len(data)] = np.frombuffer(data, np.uint8)
-    g = buf.reshape(-1, 9)
-    low = np.ascontiguousarray(g[:, :8]).view(np.uint64).ravel()
-    codes = np.empty((len(g), 8), np.uint16)
-    for k in range(7):
-        codes[:, k] = (low >> np.uint64(9 * k)) & np.uint64(511)
-    codes[:, 7] = (low >> np.uint64(63)) | (g[:, 8].astype(np.uint64) << np.uint64(1))
-    codes = codes.ravel()[:count]
-    stop = np.flatnonzero(codes == _STOP)
-    codes = codes[: stop[0]] if len(stop) else codes
-    clear = np.flatnonzero(codes == _CLEAR)
-    if not len(clear) or clear[0] or np.diff(np.concatenate((clear, [len(codes)]))).max() > _RUN + 1 or (codes > _CLEAR).any():
-        return None
-    px = codes[codes < _CLEAR].astype(np.uint8)
-    return px[:n] if len(px) >= n else None
-
-
-def lzw(data: bytes, size: int, n: int) -> np.ndarray:
-    """The first n pixels of an LZW stream of that minimum code size; what is missing is 0."""
-    if size == 8 and (px := _literals(data, n)) is not None:
-        return px
-    clear, out, table = 1 << size, bytearray(), []
-    width, last, acc, bits = size + 1, None, 0, 0
+def _codes(data: np.ndarray, bit: int, width: np.ndarray) -> np.ndarray:
+    """Codes of these widths from a bit on, as far as data (with two bytes to spare at its end) has whole ones."""
+    end = bit + np.cumsum(width)
+    end = end[end <= 8 * (len(data) - 2)]
+    at = end - width[: len(end)]
+    x = data[at >> 3] | data[(at >> 3) + 1] << 8 | data[(at >> 3) + 2] << 16
+    return (x >> (at & 7)) & ((1 << width[: len(end)]) - 1)
+
+
+def lzw(stream: bytes, size: int, n: int) -> np.ndarray | None:
+    """The n pixels of an LZW stream of that minimum code size; None if it has fewer, or a code that can't be."""
+    clear, data = 1 << size, np.frombuffer(stream + b"\0\0", np.uint8).astype(np.int64)
     base = [bytes([i]) for i in range(clear)] + [b"", b""]
-    table = base.copy()
-    for byte in data:
-        acc |= byte << bits
-        bits += 8
-        while bits >= width:
-            code = acc & ((1 << width) - 1)
-            acc >>= width
-            bits -= width
-            if code == clear:
-                table, width, last = base.copy(), size + 1, None
-                continue
-            if code == clear + 1 or len(out) >= n:
-                return np.frombuffer(bytes(out[:n]).ljust(n, b"\0"), np.uint8)
-            if last is None:
-                entry = table[code] if code < len(table) else b"\0"
-            elif code < len(table):
+    width = _widths(size)
+    table, last, out, room, bit, ended = base.copy(), b"", [], 0, 0, False
+    while room < n and not ended:
+        codes = _codes(data, bit, width)
+        special = np.flatnonzero((codes == clear) | (codes == clear + 1))
+        many = int(special[0]) if len(special) else len(codes)
+        for code in codes[:many].tolist():
+            if code < len(table):
                 entry = table[code]
-            else:
+            elif code == len(table) and last:
                 entry = last + last[:1]
-            if last is not None and len(table) < 4096:
+            else:
+                return None
+            if last and len(table) < _FULL:
                 table.append(last + entry[:1])
-                if len(table) == 1 << width and width < 12:
-                    width += 1
-            out += entry
+            out.append(entry)
+            room += len(entry)
             last = entry
-    return np.frombuffer(bytes(out[:n]).ljust(n, b"\0"), np.uint8)
+        if len(special):
+            bit += int(width[: many + 1].sum())
+            ended = codes[many] == clear + 1
+            table, last, width = base.copy(), b"", _widths(size)
+        else:
+            bit += int(width[:many].sum())
+            ended = many < len(width)
+            width = np.full(_FULL, 12)
+    return np.frombuffer(b"".join(out)[:n], np.uint8) if room >= n else None
+
+
+class _Cut(Exception):
+    """The file ends, or goes wrong, here."""
+
+
+class _Bytes:
+    def __init__(self, raw: bytes):
+        self.raw, self.at = raw, 0
+
+    def take(self, n: int) -> bytes:
+        if self.at + n > len(self.raw):
+            raise _Cut
+        self.at += n
+        return self.raw[self.at - n : self.at]
+
+    def blocks(self) -> bytes:
+        got = []
+        while n := self.take(1)[0]:
+            got.append(self.take(n))
+        return b"".join(got)
+
+    def palette(self, packed: int) -> np.ndarray | None:
+        return np.frombuffer(self.take(3 * (2 << (packed & 7))), np.uint8).reshape(-1, 3) if packed & 0x80 else None
 
 
 def read_gif(raw: bytes):
     """Frames in order: dicts of frame, start_ms, delay_ms, disposal, left, top, width, height and canvas (RGBA array of the
-    whole screen with the frame drawn). Bytes that are no GIF have none; a cut file ends with its last whole frame."""
-    if len(raw) < 13 or raw[:6] not in (b"GIF87a", b"GIF89a"):
+    whole screen with the frame drawn; it changes with the next frame). Bytes that are no GIF have none; a file that is cut, or
+    goes wrong, ends with its last whole frame; one of a screen or frame over MOST_PIXELS ends there."""
+    try:
+        yield from _read(_Bytes(raw))
+    except _Cut:
         return
-    width, height, packed = struct.unpack("<HHB", raw[6:11])
-    at, palette = 13, None
-    if packed & 0x80:
-        palette = np.frombuffer(raw[at : at + 3 * (2 << (packed & 7))], np.uint8).reshape(-1, 3)
-        at += 3 * (2 << (packed & 7))
+
+
+def _read(b: _Bytes):
+    if b.take(6) not in (b"GIF87a", b"GIF89a"):
+        raise _Cut
+    width, height, packed, _, _ = struct.unpack("<HHBBB", b.take(7))
+    palette = b.palette(packed)
+    if width * height > MOST_PIXELS:
+        raise _Cut
     canvas = np.zeros((height, width, 4), np.uint8)
     clock = number = disposal = delay = 0
     transparent = None
-
-    def blocks(at):
-        got = []
-        while at < len(raw) and raw[at]:
-            got.append(raw[at + 1 : at + 1 + raw[at]])
-            at += 1 + raw[at]
-        return b"".join(got), at + 1
-
-    while at < len(raw) and raw[at] != 0x3B:
-        if raw[at] == 0x21:
-            kind = raw[at + 1] if at + 1 < len(raw) else 0
-            data, at = blocks(at + 2)
-            if kind == 0xF9 and len(data) >= 4:
+    while (kind := b.take(1)[0]) != 0x3B:
+        if kind == 0x21:
+            label, data = b.take(1)[0], b.blocks()
+            if label == 0xF9 and len(data) >= 4:
                 disposal, delay = (data[0] >> 2) & 7, 10 * (data[1] | data[2] << 8)
                 transparent = data[3] if data[0] & 1 else None
-        elif raw[at] == 0x2C and at + 11 < len(raw):
-            left, top, w, h, local = struct.unpack("<HHHHB", raw[at + 1 : at + 10])
-            at += 10
-            colours = palette
-            if local & 0x80:
-                colours = np.frombuffer(raw[at : at + 3 * (2 << (local & 7))], np.uint8).reshape(-1, 3)
-                at += 3 * (2 << (local & 7))
-            size = raw[at]
-            data, at = blocks(at + 1)
-            if colours is None or not 1 <= size <= 11:
-                return
-            index = lzw(data, size, w * h).reshape(h, w)
-            if local & 0x40:  # interlaced: rows 0, 8, ..; 4, 12, ..; 2, 6, ..; 1, 3, ..
-                rows = np.concatenate([np.arange(a, h, s) for a, s in ((0, 8), (4, 8), (2, 4), (1, 2))])
-                index = index[np.argsort(rows)]
-            index = index[: max(0, height - top), : max(0, width - left)]
-            before = canvas.copy() if disposal == 3 else None
-            place = canvas[top : top + index.shape[0], left : left + index.shape[1]]
-            drawn = np.dstack((colours[np.minimum(index, len(colours) - 1)], np.full(index.shape, 255, np.uint8)))
-            if transparent is None:
-                place[:] = drawn
-            else:
-                seen = index != transparent
-                place[seen] = drawn[seen]
-            yield {"frame": number, "start_ms": clock, "delay_ms": delay, "disposal": disposal, "left": left, "top": top, "width": w, "height": h, "canvas": canvas}
-            clock, number = clock + delay, number + 1
-            if disposal == 2:
-                place[:] = 0
-            elif disposal == 3:
-                canvas = before
-            disposal, delay, transparent = 0, 0, None
+            continue
+        if kind != 0x2C:
+            raise _Cut
+        left, top, w, h, local = struct.unpack("<HHHHB", b.take(9))
+        own = b.palette(local)
+        colours = palette if own is None else own
+        size, data = b.take(1)[0], b.blocks()
+        if colours is None or not 1 <= size <= 11 or w * h > MOST_PIXELS or (index := lzw(data, size, w * h)) is None:
+            raise _Cut
+        index = index.reshape(h, w)
+        if local & 0x40:  # interlaced: rows 0, 8, ..; 4, 12, ..; 2, 6, ..; 1, 3, ..
+            rows = np.concatenate([np.arange(a, h, s) for a, s in ((0, 8), (4, 8), (2, 4), (1, 2))])
+            index = index[np.argsort(rows)]
+        index = index[: max(0, height - top), : max(0, width - left)]
+        before = canvas.copy() if disposal == 3 else None
+        place = canvas[top : top + index.shape[0], left : left + index.shape[1]]
+        drawn = np.dstack((colours[np.minimum(index, len(colours) - 1)], np.full(index.shape, 255, np.uint8)))
+        if transparent is None:
+            place[:] = drawn
         else:
-            return
+            seen = index != transparent
+            place[seen] = drawn[seen]
+        yield {"frame": number, "start_ms": clock, "delay_ms": delay, "disposal": disposal, "left": left, "top": top, "width": w, "height": h, "canvas": canvas}
+        clock, number = clock + delay, number + 1
+        if disposal == 2:
+            place[:] = 0
+        elif disposal == 3:
+            canvas = before
+        disposal, delay, transparent = 0, 0, None
 
 
-def grey_bins(pixels: np.ndarray) -> np.ndarray:
-    """Histogram of 16 grey levels."""
-    return np.bincount(pixels.reshape(-1) >> 4, minlength=16)
+def samples(canvas: np.ndarray) -> bytes:
+    """The samples that the writer's colours stand for."""
+    c = canvas.astype(np.int64)
+    return ((c[..., 0] // 36 << 5) | (c[..., 1] // 36 << 2) | c[..., 2] // 85).astype(np.uint8).tobytes()
 
 
 def colour_bins(canvas: np.ndarray) -> np.ndarray:
@@ -240,19 +255,20 @@ def _digest(batches):
     for batch in batches:
         rows = []
         for d, n, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True):
-            sha, size, tail, bins = hashlib.sha256(), 0, b"", np.zeros(16, np.int64)
+            sha, size, tail, bins, raw = hashlib.sha256(), 0, b"", np.zeros(64, np.int64), raw or b""
             for f in read_gif(raw):
-                grey = np.ascontiguousarray(f["canvas"][f["top"] : f["top"] + f["height"], f["left"] : f["left"] + f["width"], 0])
-                own = grey.tobytes()
+                drawn = f["canvas"][f["top"] : f["top"] + f["height"], f["left"] : f["left"] + f["width"]]
+                own = samples(drawn)
                 sha.update(own)
                 size += len(own)
                 tail = (tail + own)[-16:]
-                bins += grey_bins(grey)
+                bins += colour_bins(drawn)
             rows.append((d, n, size, sha.hexdigest(), zlib.crc32(tail), len(raw), hashlib.sha256(raw).hexdigest(), ",".join(map(str, bins))))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _DIGEST.types, strict=True)], schema=_DIGEST)
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """What stored texts hold, read back from their frames; feature is the histogram of 16 grey levels."""
+    """What stored texts hold, read back from their frames; feature is the colour histogram (64 colours) of all of them. Media that
+    are null, or no GIF of the writer's, have what their frames give; without any, no samples."""
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

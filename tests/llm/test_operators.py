@@ -169,9 +169,38 @@ def test_lzw_streams():
     for size, n in ((8, 20_000), (2, 5000), (4, 40_000)):
         px = bytes(random.choice([0, 1, 2, 3, 3, 3]) if random.random() < 0.9 else random.randrange(1 << size) for _ in range(n))
         assert gif.lzw(lzw_stream(px, size), size, n).tobytes() == px
-    for n in (1, 253, 254, 255, 508, 509, 12_288):
-        px = np.random.default_rng(n).integers(0, 256, n).astype(np.uint8)
-        assert gif.lzw(gif.literal_codes(px), 8, n).tobytes() == px.tobytes()
+        assert gif.lzw_encode(px, size)[:400] == lzw_stream(px, size)[:400] and gif.lzw(gif.lzw_encode(px, size), size, n).tobytes() == px
+    for n in (1, 2, 253, 3838, 3839, 3840, 3841, 7680, 12_288):
+        px = np.random.default_rng(n).integers(0, 256, n).astype(np.uint8).tobytes()
+        assert gif.lzw(gif.lzw_encode(px), 8, n).tobytes() == px and gif.lzw(gif.lzw_encode(px), 8, n + 1) is None
+    one = bytes(60_000)  # grows one entry a code; a dictionary that is never cleared goes on with 12 bits
+    assert gif.lzw(gif.lzw_encode(one), 8, len(one)).tobytes() == one
+    late = np.concatenate([[256], np.arange(5000) % 250, [257]])
+    width = np.concatenate([[9], gif._widths(8), np.full(905, 12)])[: len(late)]
+    bits = "".join(format(int(c), f"0{w}b")[::-1] for c, w in zip(late, width))
+    packed = bytes(int(bits[i : i + 8][::-1], 2) for i in range(0, len(bits), 8))
+    assert gif.lzw(packed, 8, 5000).tolist() == (np.arange(5000) % 250).tolist()
+
+
+def test_cut_and_hostile_gifs(spark):
+    text = prose(4000).encode()
+    raw = gif.write_gif(gif.payload_of(text))
+    whole = [f["canvas"].tobytes() for f in gif.read_gif(raw)]
+    assert len(whole) == 3 or len(whole) == -(-len(gif.payload_of(text)) // (192 * 64))
+    for cut in [*range(0, 900), *range(900, len(raw), 97)]:
+        got = [f["canvas"].tobytes() for f in gif.read_gif(raw[:cut])]
+        assert got == whole[: len(got)] and (cut < len(raw) - 1) >= (len(got) < len(whole))
+    random.seed(9)
+    for _ in range(300):  # any damage is defined: some frames, no error
+        bad = bytearray(raw)
+        for _ in range(4):
+            bad[random.randrange(len(bad))] = random.randrange(256)
+        assert len(list(gif.read_gif(bytes(bad)))) <= 400
+    huge = b"GIF89a" + b"\xff\xff\xff\xff\xf7\0\0" + raw[13:]
+    assert list(gif.read_gif(huge)) == []
+    media = spark.createDataFrame([(1, 5, None), (2, None, bytearray(b"no gif")), (None, 3, bytearray(raw[:400])), (4, 4, bytearray(huge))], "doc_id long, n_bytes long, media binary")
+    assert {(r.doc_id, r.payload_bytes) for r in gif.digests(media).collect()} == {(1, 0), (2, 0), (None, 0), (4, 0)}
+    assert gif.frames(media).count() == 0
 
 
 def test_gif_disposal_and_transparency():
@@ -197,6 +226,8 @@ def test_gif_media(spark, edge, empty):
     for r in got:
         if r.doc_id is not None:
             p = gif.payload_of(text[r.doc_id])
+            colour = collections.Counter((b >> 5) * 36 // 64 * 16 + (b >> 2 & 7) * 36 // 64 * 4 + (b & 3) * 85 // 64 for b in p)
+            assert r.feature == ",".join(str(colour[i]) for i in range(64))
             assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(text[r.doc_id]), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
     assert gif.frames(gif.store_texts(edge)).where("size(colours) = 64").count() >= edge.count()
     assert gif.digests(gif.store_texts(empty)).count() == 0
