@@ -295,6 +295,49 @@ def test_warc_audit_locates_records_lost_and_added_in_the_middle(spark):
     assert len(got) == len(rows) + 3 and {r.page_id: r.idx for r in got if r.status == "ok"}[699] == 699
 
 
+def test_warc_repeated_records_and_ids(spark):
+    """A third without ids, a third of one id, many equal ones; damage among them."""
+    rows = [((None, 7, i)[i % 3], "u", f"h{i % 40 if i % 2 else i}") for i in range(3000)]
+    a, _ = warc.replicas(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    lost = rows[:30] + rows[36:-6] + [(7, "u", "new"), (None, "u", "new")]
+    b, _ = warc.replicas(spark.createDataFrame(lost, "page_id long, url string, html string"))
+    got = warc.audit(a, b).collect()
+    key = lambda t: collections.Counter((r.page_id, r.hash) for r in t.collect())
+    left, more = key(a) - key(b), key(b) - key(a)
+    bad = collections.Counter(r.status for r in got if r.status != "ok")
+    assert bad["corrupt"] + bad["missing"] == sum(left.values()) and bad["corrupt"] + bad["extra"] == sum(more.values()) and bad["corrupt"] == 1
+    assert len(got) == len(rows) + bad["extra"]
+    by = collections.defaultdict(list)
+    for r in got:
+        if r.status != "extra":
+            by[r.archive].append(r)
+    for own in by.values():  # places are gapless and offsets add up
+        own.sort(key=lambda r: r.idx)
+        assert [r.idx for r in own] == list(range(len(own)))
+        assert [r.start for r in own] == [sum(x.length for x in own[:i]) for i in range(len(own))]
+
+
+def test_warc_reader(spark, tmp_path):
+    import gzip
+
+    rows = [(1, "http://a/é", "<p>žluť\r\n\r\n</p>"), (2, "", ""), (3, "http://c", "WARC/1.0\r\n\r\n" * 3), (None, None, None), (4, "u", "x" * 300_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    made = [r.x.encode() for r in df.select(warc.record(F.col("page_id"), F.col("url"), F.col("html")).alias("x")).collect()]
+    (tmp_path / "a.warc").write_bytes(b"".join(made))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, made)))
+    (tmp_path / "c.warc").write_bytes(b"".join(made)[:-5])
+    (tmp_path / "d.warc").write_bytes(b"nothing")
+    got = collections.defaultdict(list)
+    for r in warc.read_warc(spark.read.format("binaryFile").load(str(tmp_path))).collect():
+        got[r.path[-10:].split("/")[-1]].append(r)
+    assert {k: len(v) for k, v in got.items()} == {"a.warc": 5, "b.warc.gz": 5, "c.warc": 4}
+    for own in got.values():
+        own.sort(key=lambda r: r.offset)
+        assert [(r.offset, r.length) for r in own] == [(sum(map(len, made[:i])), len(made[i])) for i in range(len(own))]
+        assert [(r.uri, bytes(r.body).decode()) for r in own] == [(u or "", h or "") for _, u, h in rows[: len(own)]]
+        assert all(r.date == warc.DATE and r.type == "resource" for r in own) and own[0].record_id == "<urn:page:1>"
+
+
 def test_mixing_targets_and_quotas(spark, edge, empty):
     for df in (edge, spark.read.parquet(f"{D}/documents.parquet")):
         rows = mixing.plan(df).collect()
