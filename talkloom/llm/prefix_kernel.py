@@ -22,10 +22,11 @@ KEEP = 0.65
 MAX_CLASSES = 1024
 #: Documents of a bucket that one part may hold; larger buckets have more classes, then pairs of blocks.
 BLOCK_DOCS, FINER = 60_000, 4
-#: Pairs that a document emits in a part at once; the others follow when the components of these are known.
-FIRST_PAIRS = 4
-#: Postings of a token that are all paired in the first round; in longer lists each meets its next WINDOW ones.
-LONG_LIST, WINDOW = 64, 8
+#: Best partners of a document that a part emits at once; the others follow when the components of these are known.
+FIRST_PAIRS = 3
+#: Postings of a token that are all paired in the first round; in longer lists each meets its next WINDOW ones and the PIVOTS
+#: documents of the list that have least besides shingles of long lists: what a group of near copies has in common.
+LONG_LIST, WINDOW, PIVOTS = 64, 4, 4
 
 
 def levels(sketch: np.ndarray) -> np.ndarray:
@@ -84,7 +85,8 @@ def least(nx: np.ndarray, ny: np.ndarray, keep: float = KEEP) -> np.ndarray:
 def candidates(token: np.ndarray, doc: np.ndarray, n: np.ndarray, b: int, c: int, group: np.ndarray | None = None, keep: float = KEEP, most: int | None = None, room: int = 1_000_000):
     """Pairs of one part's documents with enough common tokens: yields (x, y, common), x before y. doc: index into n, which
     ascends. With group, pairs within a group aren't formed at all. With most, a posting that has more partners than that
-    meets the next WINDOW of them; the last item yielded is then (those documents whose lists were cut, None, None).
+    meets the next WINDOW of them, and all in its list meet the list's PIVOTS; the last item yielded is then (those documents
+    whose lists were cut, None, None).
     Works through about room co-occurrences at a time."""
     place = np.arange(len(n), dtype=np.int32)
     if group is not None:  # documents of a group stand together
@@ -106,15 +108,22 @@ def candidates(token: np.ndarray, doc: np.ndarray, n: np.ndarray, b: int, c: int
         other = np.append(np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | head[1:]))) if size else [], size).astype(np.int32)
         begin, stop = other[np.searchsorted(other, i, "right")], end
     reach = np.maximum(0, np.minimum(stop, end) - begin)
+    long, pivot = np.zeros(len(cuts) - 1 if size else 0, bool), np.zeros((0, PIVOTS), np.int32)
     if most is not None:
-        long = np.zeros(len(cuts) - 1 if size else 0, bool)
         long[rank[reach > most]] = True
         cut = np.unique(at[p[long[rank]]]) if size else np.zeros(0, np.int64)
         reach = np.where(reach > most, WINDOW, reach)
-    del token, rank, head, end, stop
+        shared = np.flatnonzero(long[rank])
+        few = np.bincount(p, minlength=len(n)) - np.bincount(p[shared], minlength=len(n))
+        shared = shared[np.lexsort((p[shared], few[p[shared]], rank[shared]))]
+        first = np.searchsorted(rank[shared], np.flatnonzero(long))
+        pivot = np.zeros((len(long), PIVOTS), np.int32)
+        pivot[long] = p[shared[first[:, None] + np.arange(PIVOTS)]] if len(shared) else 0
+    del token, head, end, stop
+    met = reach + PIVOTS * long[rank]
     by_doc = np.argsort(p, kind="stable")
-    by_doc = by_doc[reach[by_doc] > 0]
-    cum = np.cumsum(reach[by_doc], dtype=np.int64)
+    by_doc = by_doc[met[by_doc] > 0]
+    cum = np.cumsum(met[by_doc], dtype=np.int64)
     edges = np.flatnonzero(np.concatenate(([True], np.diff(p[by_doc]) != 0))) if len(by_doc) else np.zeros(0, np.int64)
     guest_top, big = (4 / 3) ** b, np.int64(len(n) + 1)
     j = 0
@@ -125,7 +134,9 @@ def candidates(token: np.ndarray, doc: np.ndarray, n: np.ndarray, b: int, c: int
         own, r = by_doc[j:k], reach[by_doc[j:k]].astype(np.int64)
         x = np.repeat(p[own], r)
         y = p[np.repeat(begin[own] - np.cumsum(r) + r, r) + np.arange(r.sum())]
-        code, common = np.unique(x.astype(np.int64) * big + y, return_counts=True)
+        own = own[long[rank[own]]]
+        x, y = np.concatenate((x, np.repeat(p[own], PIVOTS))), np.concatenate((y, pivot[rank[own]].ravel()))
+        code, common = np.unique(np.minimum(x, y).astype(np.int64) * big + np.maximum(x, y), return_counts=True)
         x, y = at[code // big], at[code % big]
         x, y = np.minimum(x, y), np.maximum(x, y)
         ok = (n[y] >= guest_top) & (3 * n[y] <= 4 * n[x]) & (common * c >= least(n[x], n[y], keep)) & (x != y)
@@ -136,12 +147,12 @@ def candidates(token: np.ndarray, doc: np.ndarray, n: np.ndarray, b: int, c: int
 
 
 def first_pairs(x: np.ndarray, y: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Marks, for each x, its FIRST_PAIRS partners with most in common."""
-    o = np.lexsort((y, -common, x))
-    new = np.concatenate(([True], x[o][1:] != x[o][:-1])) if len(o) else np.zeros(0, bool)
-    rank = np.arange(len(o)) - np.maximum.accumulate(np.where(new, np.arange(len(o)), 0)) if len(o) else np.zeros(0, np.int64)
-    keep = np.zeros(len(o), bool)
-    keep[o[rank < FIRST_PAIRS]] = True
+    """Marks the pairs that are among the FIRST_PAIRS with most in common of either of the two."""
+    keep = np.zeros(len(x), bool)
+    for mine, other in ((x, y), (y, x)):
+        o = np.lexsort((other, -common, mine))
+        rank = np.arange(len(o)) - np.searchsorted(mine[o], mine[o])
+        keep[o[rank < FIRST_PAIRS]] = True
     return keep
 
 

@@ -80,9 +80,10 @@ def test_join_edge_and_brute_force(spark, edge, empty):
 def test_join_of_large_clusters(spark):
     """Lists longer than the first round pairs whole, near misses between clusters, and sets that differ but in their tails."""
     a, b = prose(90), prose(90)
+    star = prose(60)  # linked by what they have in common, hardly with one another
     mixed = [" ".join(a.split()[:k] + b.split()[k:]) for k in range(0, 90, 3)]
-    texts = [edited(a, k) for k in (0, 1, 1, 2, 3, 5) for _ in range(50)] + [edited(b, 2) for _ in range(60)] + mixed
-    rows = [(7 * i % 997, t) for i, t in enumerate(texts)] + [(2000 + i, a) for i in range(100)]
+    texts = [edited(a, k) for k in (0, 1, 1, 2, 3, 5) for _ in range(50)] + [edited(b, 2) for _ in range(60)] + mixed + [edited(star, 2) for _ in range(150)] + [star] * 3
+    rows = [(7 * i % 1499, t) for i, t in enumerate(texts)] + [(2000 + i, a) for i in range(100)]
     got = prefix_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
     same = [r for r in got if r.doc_id >= 2000]
@@ -96,6 +97,21 @@ def test_join_of_many_near_copies(spark):
     assert got == brute_components(rows)
 
 
+def test_first_round_joins_a_star_without_forming_its_pairs():
+    from talkloom.llm import prefix_kernel as pk
+
+    random.seed(2)
+    n = 3000
+    docs = [list(range(60))] + [list({*random.sample(range(60), 53), *(1000 + 20 * i + k for k in range(7))}) for i in range(n)]
+    token, doc = np.concatenate([np.array(sorted(d), np.uint64) for d in docs]), np.repeat(np.arange(n + 1), [len(d) for d in docs])
+    got = [x for x in pk.candidates(token, doc, np.full(n + 1, 60), pk.bucket(60), 1, keep=0.0, most=pk.LONG_LIST)]
+    pairs = set()
+    for x, y, common in got[:-1]:
+        keep = pk.first_pairs(x, y, common)
+        pairs |= set(zip(x[keep].tolist(), y[keep].tolist()))
+    assert {y for x, y in pairs if x == 0} == set(range(1, n + 1)) and len(pairs) < 8 * n and len(got[-1][0]) == n + 1
+
+
 def test_components_in_pieces(spark):
     random.seed(11)
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000 + random.randrange(400), 1000 + random.randrange(400)) for _ in range(300)] + [(5000, 5000), (7000, 6000), (6000, 7000)]
