@@ -108,7 +108,7 @@ def candidates(token: np.ndarray, doc: np.ndarray, n: np.ndarray, b: int, c: int
         other = np.append(np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | head[1:]))) if size else [], size).astype(np.int32)
         begin, stop = other[np.searchsorted(other, i, "right")], end
     reach = np.maximum(0, np.minimum(stop, end) - begin)
-    long, pivot = np.zeros(len(cuts) - 1 if size else 0, bool), np.zeros((0, PIVOTS), np.int32)
+    long, pivot, lead = np.zeros(len(cuts) - 1 if size else 0, bool), np.zeros((0, PIVOTS), np.int32), np.zeros(size, bool)
     if most is not None:
         long[rank[reach > most]] = True
         cut = np.unique(at[p[long[rank]]]) if size else np.zeros(0, np.int64)
@@ -118,7 +118,10 @@ def candidates(token: np.ndarray, doc: np.ndarray, n: np.ndarray, b: int, c: int
         shared = shared[np.lexsort((p[shared], few[p[shared]], rank[shared]))]
         first = np.searchsorted(rank[shared], np.flatnonzero(long))
         pivot = np.zeros((len(long), PIVOTS), np.int32)
-        pivot[long] = p[shared[first[:, None] + np.arange(PIVOTS)]] if len(shared) else 0
+        if len(shared):
+            top = shared[first[:, None] + np.arange(PIVOTS)]
+            pivot[long], lead[top] = p[top], True
+        reach[lead] = 0
     del token, head, end, stop
     met = reach + PIVOTS * long[rank]
     by_doc = np.argsort(p, kind="stable")
@@ -132,10 +135,13 @@ def candidates(token: np.ndarray, doc: np.ndarray, n: np.ndarray, b: int, c: int
         e = np.searchsorted(edges, k, "right") - 1
         k = int(edges[e]) if k < len(by_doc) and edges[e] > j else (int(edges[e + 1]) if k < len(by_doc) and e + 1 < len(edges) else len(by_doc))
         own, r = by_doc[j:k], reach[by_doc[j:k]].astype(np.int64)
-        x = np.repeat(p[own], r)
-        y = p[np.repeat(begin[own] - np.cumsum(r) + r, r) + np.arange(r.sum())]
+        to = np.repeat(begin[own] - np.cumsum(r) + r, r) + np.arange(r.sum())
+        once = ~lead[to]  # a list's pivots are met as such
+        x, y = np.repeat(p[own], r)[once], p[to[once]]
         own = own[long[rank[own]]]
-        x, y = np.concatenate((x, np.repeat(p[own], PIVOTS))), np.concatenate((y, pivot[rank[own]].ravel()))
+        px, py = np.repeat(p[own], PIVOTS), pivot[rank[own]].ravel()
+        once = ~np.repeat(lead[own], PIVOTS) | (px < py)
+        x, y = np.concatenate((x, px[once])), np.concatenate((y, py[once]))
         code, common = np.unique(np.minimum(x, y).astype(np.int64) * big + np.maximum(x, y), return_counts=True)
         x, y = at[code // big], at[code % big]
         x, y = np.minimum(x, y), np.maximum(x, y)
