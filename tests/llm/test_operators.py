@@ -428,10 +428,55 @@ def test_url_rules_and_trees(spark):
     assert url_filter.filter_urls(df.limit(0), none).count() == 0
 
 
+URL_SQL = """with p as (select page_id, url, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages),
+ h as (select page_id, regexp_extract(rest, '^[^/?#]*') as host0, rest from p), x as (select page_id, translate(host0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(substr(rest, length(host0) + 1), '^[^?#]*') as path from h),
+ r(verdict, rule, h, p) as (values ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'), ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/'))
+ select page_id, host, path, (select arg_max(rule, length(rule)) from r where (host = h or ends_with(host, '.' || h)) and starts_with(path, p)) as rule, (select arg_max(verdict, length(rule)) from r where (host = h or ends_with(host, '.' || h)) and starts_with(path, p)) as verdict from x"""
+
+
+def test_url_parts_and_rules_equal_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("create view pages as select * from '/root/testdata/sf0.01/pages.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(URL_SQL).fetchall()}
+    got = queries.QUERIES["op8_url_filter"](spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(want)
+    for r in got:
+        host, path, rule, verdict = want[r.page_id]
+        assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict in ({verdict} if rule else {"allow", "block"})
+
+
+def test_trees_decide_where_urls_tell(spark):
+    """Labels follow the look of URLs but for a tenth; half of the pages are held out. Rows repeat and some URLs are very long."""
+    random.seed(4)
+    rows = []
+    for i in range(3000):
+        bad = i % 4 == 0
+        url = f"http://h{i % 50}.com/" + ("-".join(random.choice("0123456789") for _ in range(9)) + "?a=1&b=2" if bad else "/".join(random.choices(VOCAB, k=3)))
+        rows.append((i, url, int(bad) if random.random() > 0.05 else int(not bad)))
+    rows += [(5000, "http://x.com/" + "a1/" * 70_000, 0), (5001, None, 0)] + rows[:20]
+    df = spark.createDataFrame(rows, "page_id long, url string, label int")
+    out = url_filter.filter_urls(df, df.where("page_id % 2 = 0").selectExpr("page_id as id", "label")).collect()
+    assert len(out) == len(rows)
+    held = [r for r in out if r.page_id % 2 and r.page_id < 3000] + [r for r in out if r.page_id % 2 == 0 and r.page_id < 3000]
+    bad, good = [r.verdict == "block" for r in held if r.page_id % 4 == 0], [r.verdict == "block" for r in held if r.page_id % 4]
+    assert sum(bad) >= 0.9 * len(bad) and sum(good) <= 0.05 * len(good)
+
+
+def test_cut_needs_more_than_chance(spark):
+    random.seed(1)
+    noise = spark.createDataFrame([(random.random() - 1.5, float(random.random() < 0.25)) for _ in range(800)], "score double, label double")
+    assert url_filter.cut(noise) == 0.0
+    rare = spark.createDataFrame([(-2.0 + (i % 10 == 0), float(i % 10 == 0)) for i in range(500)], "score double, label double")
+    assert url_filter.cut(rare) == -1.5
+
+
 def test_suffix_statistics_cover_all_labelled_pages(spark, monkeypatch):
-    """Labels follow the suffix alone, and most suffixes aren't in the sample that trees are fitted to."""
+    """Labels follow the suffix alone, and most suffixes aren't in the sample that trees are fitted to. A page's own label doesn't
+    count toward its suffix's rate, so that each suffix has twelve."""
     monkeypatch.setattr(url_filter, "SAMPLE", 40)
-    rows = [(4 * i + k, f"http://s{1000 + i * 7}.com/x", i % 2) for i in range(150) for k in range(4)]
+    rows = [(12 * i + k, f"http://s{1000 + i * 7}.com/x", i % 2) for i in range(100) for k in range(12)]
     df = spark.createDataFrame(rows, "page_id long, url string, label int")
     got = url_filter.filter_urls(df, df.selectExpr("page_id as id", "label")).collect()
     want = {i: y for i, _, y in rows}
