@@ -16,6 +16,7 @@ copies are never all formed.
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -247,15 +248,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     some = rows.where("n_shingles > 0")
     groups = written(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "groups")
     total = int(sizes.sum())
-    owner = written(_with_groups(some, groups, total).select("doc_id", "node").distinct(), "owner")
+    owner = written(_with_groups(some, groups, total).select("doc_id", "node", "n_shingles").distinct(), "owner")
 
     n = max(4 * scan_partitions(docs), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def pairs_of(texts: DataFrame, first: bool) -> DataFrame:
+    def pairs_of(texts: DataFrame, first: bool, split: dict[int, tuple[int, int]]) -> DataFrame:
         parts = texts.mapInArrow(_emitted(k, level, split, pk.KEEP if first else 0.0), _PART_SQL)
         return written(parts.repartition(n, "part").groupBy("part").applyInArrow(_part_pairs(first, split), "a long, b long").distinct(), "pairs")
 
-    found = pairs_of(docs.withColumn("component", F.lit(0).cast("long")), True)
+    found = pairs_of(docs.withColumn("component", F.lit(0).cast("long")), True, split)
     first = _links(docs, found.where("b is not null"), k, level)
 
     def nodes(pairs: DataFrame) -> DataFrame:
@@ -265,8 +266,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     edges = written(nodes(first), "edges")
     known = written(components(edges), "components")
     rest = found.where("b is null").select(F.col("a").alias("doc_id")).distinct().join(owner, "doc_id").join(known, "node", "left")
-    rest = written(rest.groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component")), "rest")
-    more = pairs_of(_among(docs, rest), False)
+    rest = written(rest.groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component"), F.max("n_shingles").alias("n")), "rest")
+    noted = np.zeros(256, np.int64)
+    for r in rest.groupBy(F.floor(F.log("n") / math.log(4 / 3)).alias("b")).count().collect():
+        noted[r["b"]] = r["count"]
+    more = pairs_of(_among(docs, rest.drop("n")), False, pk.splits(noted, pk.WHOLE_DOCS))
     second = _links(docs, more, k, level)
     if second.isEmpty():
         final = known

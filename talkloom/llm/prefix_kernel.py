@@ -20,8 +20,9 @@ from talkloom.llm.shingle import mix
 SKETCH_BITS = 20
 KEEP = 0.65
 MAX_CLASSES = 1024
-#: Documents of a bucket that one part may hold; larger buckets have more classes, then pairs of blocks.
-BLOCK_DOCS, FINER = 60_000, 4
+#: Documents of a bucket that one part may hold, with their prefixes or with whole sets; larger buckets have more classes, then
+#: pairs of blocks.
+BLOCK_DOCS, WHOLE_DOCS, FINER = 60_000, 20_000, 4
 #: Best partners of a document that a part emits at once; the others follow when the components of these are known.
 FIRST_PAIRS = 3
 #: Postings of a token that are all paired in the first round; in longer lists each meets its next WINDOW ones and the PIVOTS
@@ -46,17 +47,18 @@ def bucket(n: int) -> int:
 
 
 def classes(b: int, finer: int = 1, keep: float = KEEP) -> int:
-    """Classes of a bucket: a document has about 34 shingles of its prefix in each, or with whole sets as prefix about 32."""
-    return int(min(MAX_CLASSES, max(1, finer * (4 / 3) ** b / (96 if keep else 32))))
+    """Classes of a bucket: a document has about 34 shingles of its prefix in each, or with whole sets as prefix up to 256: where that
+    is all it has, counts are exact."""
+    return int(min(MAX_CLASSES, max(1, finer * (4 / 3) ** b / (96 if keep else 128))))
 
 
 def prefix_length(n, keep: float = KEEP):
     return n - np.floor(keep * np.asarray(n)).astype(np.int64)
 
 
-def splits(sizes: np.ndarray) -> dict[int, tuple[int, int]]:
-    """bucket -> (finer, blocks) for the buckets of many documents, its own and guests, given documents per bucket."""
-    many = -(-(sizes + np.concatenate(([0], sizes[:-1]))) // BLOCK_DOCS)
+def splits(sizes: np.ndarray, docs: int = BLOCK_DOCS) -> dict[int, tuple[int, int]]:
+    """bucket -> (finer, blocks) for the buckets of more than docs documents, its own and guests, given documents per bucket."""
+    many = -(-(sizes + np.concatenate(([0], sizes[:-1]))) // docs)
     return {int(b): (int(min(m, FINER)), int(-(-m // FINER))) for b, m in enumerate(many) if m > 1}
 
 

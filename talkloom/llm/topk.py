@@ -126,6 +126,7 @@ def exact_topk(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     sid, sv = seed.column("vec_id").to_numpy(), _matrix(seed.column("v").combine_chunks(), dim)
     found = []
     blocks = -(-many // BLOCK)
+    asks = written(asks, "asks")
     for b in range(blocks):
         own = asks.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
         if not own.num_rows:
@@ -136,10 +137,13 @@ def exact_topk(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
             s = np.where(sid[None, :] == qid[i : i + 256, None], np.iinfo(np.int64).min, _products(qv[i : i + 256], sv))
             if (sid[None, :] != qid[i : i + 256, None]).sum(axis=1).min() >= k:
                 least[i : i + 256] = np.partition(s, -k, axis=1)[:, -k]
+        # shorter vectors can't be among the best of any query of this block: the table is sorted by length, so that its row groups are skipped
+        qlen = np.maximum(np.linalg.norm(qv, axis=1), 1e-300)
+        shortest = float((least / qlen).min()) * (1 - 1e-9) if np.isfinite(least).all() else float("-inf")
         shared = spark.sparkContext.broadcast((qid, qv, rot, least))
-        found.append(written(table.select("vec_id", "v", "norm").mapInArrow(_scan(shared, dim, k), schema), "found"))
+        found.append(written(table.where(F.col("norm") >= shortest).select("vec_id", "v", "norm").mapInArrow(_scan(shared, dim, k), schema), "found"))
         shared.unpersist()
-    discard(table)
+    discard(table), discard(asks)
     every_row = found[0]
     for x in found[1:]:
         every_row = every_row.unionAll(x)

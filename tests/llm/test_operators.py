@@ -387,6 +387,48 @@ def test_mixture_takes_rows_not_ids(spark):
     assert sorted(map(str, plan)) == sorted(map(str, mixing.plan(df.repartition(2, "text")).collect()))
 
 
+def brute_targets(sizes):
+    """Shares by weight, what goes beyond twice a source's size reshared until nothing does."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    target, left, free = {}, 1.5 * sum(sizes.values()), set(order)
+    while free:
+        factor = left / sum(weight[s] for s in free)
+        over = {s for s in free if factor * weight[s] > 2 * sizes[s]}
+        if not over:
+            target |= {s: factor * weight[s] for s in free}
+            break
+        target |= {s: 2.0 * sizes[s] for s in over}
+        left -= sum(2.0 * sizes[s] for s in over)
+        free -= over
+    return target
+
+
+def test_mixing_equals_targets_by_hand(spark, edge):
+    import re
+
+    for df in (edge, spark.read.parquet("/root/testdata/sf0.01/documents.parquet")):
+        docs = df.collect()
+        size = [len(re.findall("[^\\x20\\x09-\\x0D]+", r.text or "")) for r in docs]
+        sizes = collections.Counter()
+        for r, n in zip(docs, size):
+            sizes[r.source] += n
+        want, rows = brute_targets(sizes), mixing.plan(df).collect()
+        key = lambda rows: collections.Counter((d, n, s, round(t, 3)) for d, n, s, t in rows)
+        assert key((r.doc_id, r.size, r.source_size, r.target) for r in rows) == key((r.doc_id, n, sizes[r.source], want[r.source]) for r, n in zip(docs, size))
+        of = {r.doc_id: r.source for r in docs}
+        taken, copies = collections.Counter(), collections.defaultdict(set)
+        for r in rows:
+            if r.doc_id is not None:
+                copies[of[r.doc_id]].add(len(r.shards))
+                taken[of[r.doc_id]] += r.taken
+                assert r.taken == r.size * len(r.shards)
+        for s, got in taken.items():  # whole passes, and one more of some documents; what is left holds no small document
+            if None not in {r.doc_id for r in docs}:
+                assert got <= want[s] + 1 and want[s] - got <= max(200, 0.05 * want[s])
+            assert max(copies[s]) - min(copies[s]) <= 1
+
+
 def test_split_keeps_quotas(spark):
     q = spark.createDataFrame([(1, 1000), (2, 37), (3, 0), (4, 5)], "index int, quota long")
     got = mixing.split(q, 4).collect()
