@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkloom.llm.common import written
+from talkloom.llm.common import discard, written
 from talkloom.llm.mixing import checked, mixture
 from talkloom.llm.packing import pack
 from talkloom.llm.prefix_join import jaccard_components
@@ -56,8 +56,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = written(docs, "stage")
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
