@@ -38,26 +38,26 @@ def lzw_encode(pixels: bytes, size: int = 8) -> bytes:
     """LZW stream of pixels below 2**size."""
     clear = 1 << size
     runs, own, table, nxt = [], [], {}, clear + 2
-    prefix = pixels[0]
+    put, look, prefix = own.append, table.get, pixels[0]
     for p in pixels[1:]:
-        longer = prefix << 8 | p
-        code = table.get(longer)
+        code = look(longer := prefix << 8 | p)
         if code is not None:
             prefix = code
             continue
-        own.append(prefix)
+        put(prefix)
         prefix = p
         if nxt < _FULL:
             table[longer] = nxt
             nxt += 1
         else:
+            put(clear)
             runs.append(own)
             own, table, nxt = [], {}, clear + 2
-    own.append(prefix)
+            put, look = own.append, table.get
+    own += (prefix, clear + 1)
     runs.append(own)
-    codes = np.concatenate([[clear]] + [[*r, clear] for r in runs])
-    codes[-1] = clear + 1
-    width = np.concatenate([[size + 1]] + [_widths(size)[: len(r) + 1] for r in runs])
+    codes = np.concatenate([np.array([clear]), *map(np.array, runs)])
+    width = np.concatenate([[size + 1]] + [_widths(size)[: len(r)] for r in runs])
     at = np.cumsum(width) - width
     x, byte = codes << (at & 7), at >> 3
     total = int(at[-1] + width[-1] + 7) // 8
@@ -88,36 +88,50 @@ def _codes(data: np.ndarray, bit: int, width: np.ndarray) -> np.ndarray:
 
 
 def lzw(stream: bytes, size: int, n: int) -> np.ndarray | None:
-    """The n pixels of an LZW stream of that minimum code size; None if it has fewer, or a code that can't be."""
+    """The n pixels of an LZW stream of that minimum code size; None if it has fewer, or a code that can't be.
+
+    The entry that a code adds is what the code before it gave and one pixel more; it is read from the pixels themselves, so that
+    the dictionary is no more than the places where codes begin."""
     clear, data = 1 << size, np.frombuffer(stream + b"\0\0", np.uint8).astype(np.int64)
-    base = [bytes([i]) for i in range(clear)] + [b"", b""]
-    width = _widths(size)
-    table, last, out, room, bit, ended = base.copy(), b"", [], 0, 0, False
-    while room < n and not ended:
+    width, bit, ended = _widths(size), 0, False
+    out, begins = bytearray(), []
+    while len(out) < n and not ended:
         codes = _codes(data, bit, width)
         special = np.flatnonzero((codes == clear) | (codes == clear + 1))
         many = int(special[0]) if len(special) else len(codes)
-        for code in codes[:many].tolist():
-            if code < len(table):
-                entry = table[code]
-            elif code == len(table) and last:
-                entry = last + last[:1]
-            else:
-                return None
-            if last and len(table) < _FULL:
-                table.append(last + entry[:1])
-            out.append(entry)
-            room += len(entry)
-            last = entry
+        if not _expand(codes[:many].tolist(), clear, begins, out):
+            return None
         if len(special):
             bit += int(width[: many + 1].sum())
             ended = codes[many] == clear + 1
-            table, last, width = base.copy(), b"", _widths(size)
+            begins, width = [], _widths(size)
         else:
             bit += int(width[:many].sum())
             ended = many < len(width)
             width = np.full(_FULL, 12)
-    return np.frombuffer(b"".join(out)[:n], np.uint8) if room >= n else None
+    return np.frombuffer(bytes(out[:n]), np.uint8) if len(out) >= n else None
+
+
+def _expand(codes: list[int], clear: int, begins: list[int], out: bytearray) -> bool:
+    """Adds the pixels of codes to out and their begins to begins; False at a code that has no entry yet."""
+    first, at, begin, pixel = clear + 2, len(out), begins.append, out.append
+    for code in codes:
+        begin(at)
+        if code < clear:
+            pixel(code)
+            at += 1
+            continue
+        i = code - first
+        if i + 1 >= len(begins):
+            return False
+        lo, hi = begins[i], begins[i + 1] + 1
+        if hi <= at:
+            out += out[lo:hi]
+        else:  # the entry that this very code completes
+            out += out[lo:at]
+            pixel(out[lo])
+        at += hi - lo
+    return True
 
 
 class _Cut(Exception):
@@ -186,7 +200,9 @@ def _read(b: _Bytes):
         index = index[: max(0, height - top), : max(0, width - left)]
         before = canvas.copy() if disposal == 3 else None
         place = canvas[top : top + index.shape[0], left : left + index.shape[1]]
-        drawn = np.dstack((colours[np.minimum(index, len(colours) - 1)], np.full(index.shape, 255, np.uint8)))
+        opaque = np.full((len(colours), 4), 255, np.uint8)
+        opaque[:, :3] = colours
+        drawn = opaque[index if len(colours) == 256 else np.minimum(index, len(colours) - 1)]
         if transparent is None:
             place[:] = drawn
         else:
@@ -201,16 +217,19 @@ def _read(b: _Bytes):
         disposal, delay, transparent = 0, 0, None
 
 
+_RED, _GREEN, _BLUE = (np.arange(256) // 36 << 5).astype(np.uint8), (np.arange(256) // 36 << 2).astype(np.uint8), (np.arange(256) // 85).astype(np.uint8)
+
+
 def samples(canvas: np.ndarray) -> bytes:
     """The samples that the writer's colours stand for."""
-    c = canvas.astype(np.int64)
-    return ((c[..., 0] // 36 << 5) | (c[..., 1] // 36 << 2) | c[..., 2] // 85).astype(np.uint8).tobytes()
+    return (_RED[canvas[..., 0]] | _GREEN[canvas[..., 1]] | _BLUE[canvas[..., 2]]).tobytes()
 
 
 def colour_bins(canvas: np.ndarray) -> np.ndarray:
     """Histogram of 64 colours, two bits a channel, over the pixels that are drawn."""
-    px = canvas[canvas[..., 3] > 0]
-    return np.bincount((px[:, 0] >> 6) * 16 + (px[:, 1] >> 6) * 4 + (px[:, 2] >> 6), minlength=64)
+    top = canvas >> 6
+    colour = (top[..., 0] << 4 | top[..., 1] << 2 | top[..., 2])[canvas[..., 3] > 0]
+    return np.bincount(colour, minlength=64)
 
 
 def payload_of(text: bytes) -> bytes:
