@@ -296,7 +296,7 @@ def dq_vtt(spark, d):
 
 @query(f"with {V.TURN} select media_id, true as title, count(*) as headings, 0::bigint as unreadable from turn_v group by 1")
 def dq_markdown(spark, d):
-    from talkloom.plans.more import markdown_transcript
+    from talkloom.plans.exports import markdown_transcript
 
     return scans.check_markdown(markdown_transcript(spark, d))
 
@@ -314,7 +314,7 @@ def dq_json_lines(spark, d):
  select media_id, count(*) as turns, count(*) filter (n > 0) as cues, any_value(coalesce(checked, 0)) as checked, any_value(coalesce(checked, 0)) as found from turn_v left join c using (media_id) group by 1""")
 def dq_agreement(spark, d):
     """Artifacts against turns: number of cues, and the first five words of the first six long turns in the Markdown."""
-    from talkloom.plans.more import markdown_transcript
+    from talkloom.plans.exports import markdown_transcript
 
     t = V.turns(spark, d)
     long = t.where(F.length("text") > 40).withColumn("r", F.row_number().over(W("media_id", "turn_idx"))).where("r <= 6").select("media_id", F.array_join(F.slice("toks", 1, 5), " ").alias("head"))
