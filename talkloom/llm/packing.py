@@ -58,17 +58,18 @@ def pack_rows(rows: list[tuple], capacity: int, per_source: int, shard: int = 0)
     return out
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", capacity: int = CAPACITY, per_source: int = PER_SOURCE) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", capacity: int = CAPACITY, per_source: int = PER_SOURCE, cluster_col: str | None = None) -> DataFrame:
     """One row for each piece of each document: its words from start_word on, its bin and its place there.
 
-    A duplicate cluster is the documents whose words agree but for case and white space; pieces of one document are of one
-    cluster too. Null and empty texts have one piece of 0 words; a null source is a source. Repeated rows are packed each, in
+    A duplicate cluster is the documents whose words agree but for case and white space, or those that agree in cluster_col, such
+    as the classes of near duplicates; pieces of one document are of one cluster too. Null and empty texts have one piece of 0 words; a null source is a source. Repeated rows are packed each, in
     different bins. An empty table gives no rows. Other columns aren't read.
     """
     from pyspark import TaskContext
 
     text = F.col(f"`{text_col}`")
-    meta = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), n_words(text).alias("size"), F.col(f"`{source_col}`").cast("string").alias("source"), F.xxhash64(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+", " "))).alias("cluster"))
+    same = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+", " ")) if cluster_col is None else F.col(f"`{cluster_col}`")
+    meta = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), n_words(text).alias("size"), F.col(f"`{source_col}`").cast("string").alias("source"), F.xxhash64(same).alias("cluster"))
     meta = written(meta, "sizes")
     shards = max(1, -(-meta.count() // SHARD_ROWS))
 

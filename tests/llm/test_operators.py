@@ -453,6 +453,17 @@ def test_packing_is_best_fit_without_conflicts(spark, edge, empty):
     out = packing.pack(edge, capacity=512).collect()
     assert sum(r.n_words for r in out) == edge.select(F.sum(F.size(F.expr("filter(split(coalesce(text, ''), '[ \\t\\n]+'), x -> x <> '')")))).first()[0]
     assert packing.pack(empty).count() == 0
+    # classes of near duplicates as clusters: no bin has two of one; several shards are packed apart; bins are well filled
+    docs = spark.createDataFrame([(i, prose(random.randrange(20, 200)), f"s{i % 40}", i // 3) for i in range(600)], "doc_id long, text string, source string, near long")
+    out = packing.pack(docs, capacity=1000, cluster_col="near").collect()
+    bins = collections.defaultdict(list)
+    for r in out:
+        bins[r.bin_id].append(r)
+    assert all(len({r.doc_id // 3 for r in v}) == len(v) for v in bins.values())
+    assert sum(r.n_words for r in out) >= 0.9 * 1000 * len(bins)
+    many = docs.selectExpr("doc_id", "'a b' as text", "source").crossJoin(spark.range(30)).selectExpr("doc_id * 30 + id as doc_id", "concat(text, doc_id, ' ', id) as text", "source")
+    shards = {r.bin_id >> 32 for r in packing.pack(many).collect()}
+    assert shards == {0, 1}
 
 
 def test_url_rules_and_trees(spark):
