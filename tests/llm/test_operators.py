@@ -553,6 +553,86 @@ def test_quality_on_held_out_labels(spark, edge, empty):
     assert quality.classify(empty, labels(spark)).count() == 0
 
 
+def test_shapes_and_buckets_by_hand(edge):
+    """What arrays over slabs say of each text, against plain Python over that text alone."""
+    np.seterr(over="ignore")
+    texts = [(r.text or "").encode() for r in edge.collect()] + [b"a b!! B!! 12|3", b"!!! ...", "réeux réeuxment Réeux,".encode(), b"\n\nx\n"]
+    slab = quality.Slab(texts)
+    shape = slab.shape()
+    strip = bytes(np.flatnonzero(quality._STRIP).tolist())
+    d, k = slab.buckets()
+    for i, t in enumerate(texts):
+        w = t.split()
+        if not w:
+            assert shape[i].tolist() == [1, -1, *[0] * 8]
+            assert not (d == i).any()
+            continue
+        low = t.lower() if t.isascii() else bytes(b + 32 if 65 <= b <= 90 else b for b in t)
+        lw, letters = low.split(), sum(65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in t)
+        want = [1, math.log(len(w)) / 5 - 1, len(set(lw)) / len(w), sum(x[-1:] in b"!#$%&*+/<=>@\\^_`{|}~" for x in w) / len(w), sum(65 <= b <= 90 for b in t) / max(1, letters), max(1, letters) / len(t), len(t) / len(w) / 10, sum(a == b for a, b in zip(lw, lw[1:])) / max(1, len(w) - 1), sum(48 <= b <= 57 for b in t) / len(t), 10 * t.count(b"|") / len(t)]
+        assert shape[i].tolist() == pytest.approx(want)
+        own = {x.strip(strip) for x in lw} - {b""}
+        assert (d == i).sum() == len(own)
+        assert len(np.unique(k[d == i])) == pytest.approx(len({x[:n] + b"/%d" % n for x in own for n in quality.BEGINNINGS if len(x) > n} | own), rel=0.01)  # buckets may be shared by chance
+    a, b = (quality.Slab([x]).buckets()[1] for x in ("réeuxment".encode(), b"..R\xc3\xa9eux-"))
+    assert set(a.ravel().tolist()) & set(b.ravel().tolist())  # same beginning
+    alone = np.concatenate([quality.Slab([t]).shape() for t in texts])
+    assert np.allclose(alone, shape)
+
+
+def test_rates_are_shrunk_by_hand(spark):
+    """Site and path rates and the combined probability, from each row's own evidence, in plain Python."""
+    docs, known = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.classify(docs, known).join(docs.select("doc_id", "source", "lang"), "doc_id").join(known.withColumnRenamed("toxic", "is_toxic"), "doc_id", "left").collect()
+    p = lambda x: 1 / (1 + math.exp(-x))
+    bad = {r.doc_id: float(r.quality == 0 or r.is_toxic == 1) if r.quality is not None else 1 - (1 - p(r.low)) * (1 - p(r.toxic)) for r in rows}
+    total = sum(bad.values()) / len(rows)
+
+    def groups(key):
+        n, b = collections.Counter(), collections.Counter()
+        for r in rows:
+            n[key(r)] += 1
+            b[key(r)] += bad[r.doc_id]
+        return n, b
+
+    def strength(n, b, mean):
+        g = [(n[x], b[x] / n[x], mean(x)) for x in n if n[x] > 1]
+        chance = [m * (1 - m) for _, _, m in g]
+        spread = max(0, (sum(k * (r - m) ** 2 for k, r, m in g) - sum(chance)) / sum(k for k, _, _ in g))
+        return min(1000, max(20, sum(chance) / len(g) / spread - 1)) if spread else 1000
+
+    n, b = groups(lambda r: r.source)
+    k = strength(n, b, lambda x: total)
+    site = {x: (b[x] + k * total) / (n[x] + k) for x in n}
+    n, b = groups(lambda r: (r.source, r.lang))
+    k = strength(n, b, lambda x: site[x[0]])
+    path = {x: (b[x] + k * site[x[0]]) / (n[x] + k) for x in n}
+    logit = lambda x: math.log(x / (1 - x))
+    for r in rows:
+        at = path[r.source, r.lang]
+        shift = logit(at) - logit(total)
+        assert (r.site_rate, r.path_rate) == pytest.approx((site[r.source], at), abs=2e-5)
+        reject = 1 - (1 - p(r.low + shift)) * (1 - p(r.toxic + shift))
+        assert r.p_reject == pytest.approx(reject, abs=2e-4)
+        assert r.known_bad == (None if r.quality is None else r.quality == 0 or r.is_toxic == 1)
+        assert r.keep == (not r.known_bad if r.known_bad is not None else r.p_reject <= 0.5)
+
+
+def test_pipeline_whole(spark):
+    """run() against its parts: what quality keeps, one of each brute-force group, whole passes of the mix, all words packed."""
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    kept = quality.classify(docs, spark.read.parquet(f"{D}/labels.parquet")).where("keep").select("doc_id")
+    one = brute_components([(r.doc_id, r.text) for r in docs.join(kept, "doc_id").collect()])
+    mix = {r.doc_id: r for r in mixing.plan(docs.where(F.col("doc_id").isin([d for d, (_, c) in one.items() if c == d]))).collect()}
+    out = corpus_pipeline.run(spark, D).collect()
+    words = collections.Counter()
+    for r in out:
+        words[r.doc_id] += r.n_words
+    assert +words == +collections.Counter({d: r.taken for d, r in mix.items()})
+    assert collections.Counter(r.doc_id for r in out if r.piece == 0) == collections.Counter({d: len(r.shards) for d, r in mix.items() if r.shards})
+    assert sorted(map(tuple, corpus_pipeline.run(spark, D).select("doc_id", "piece", "n_words").collect())) == sorted((r.doc_id, r.piece, r.n_words) for r in out)
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{D}/documents.parquet")
     a = corpus_pipeline.quality(spark, docs, D)
