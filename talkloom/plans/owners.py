@@ -13,8 +13,8 @@ from talkloom.plans.catalog import W, query
 FILL = 8
 _ID = ["media_id", "turn_idx", "k"]
 
-_LOOK = """ix as (select w.*, greatest(1, (select count(*) from line_v l where l.media_id = w.media_id and l.start_ms <= w.start_ms)) as i from ask w),
- hit as (select ix.media_id, ix.turn_idx, ix.k, l.owner from ix join line_v l on l.media_id = ix.media_id and l.pos between i and i + 7 and l.start_ms <= ix.end_ms and least(ix.end_ms, l.end_ms) > greatest(ix.start_ms, l.start_ms)
+_LOOK = """ix as (select w.*, greatest(1, (select count(*) from line_v l where l.media_id = w.media_id and l.start_ms <= w.start_ms)) as cue_at from ask w),
+ hit as (select ix.media_id, ix.turn_idx, ix.k, l.owner from ix join line_v l on l.media_id = ix.media_id and l.pos between cue_at and cue_at + 7 and l.start_ms <= ix.end_ms and least(ix.end_ms, l.end_ms) > greatest(ix.start_ms, l.start_ms)
   qualify row_number() over (partition by ix.media_id, ix.turn_idx, ix.k order by least(ix.end_ms, l.end_ms) - greatest(ix.start_ms, l.start_ms) desc, l.pos) = 1),
  near as (select ix.media_id, ix.turn_idx, ix.k, l.owner from ix join line_v l on l.media_id = ix.media_id qualify row_number() over (partition by ix.media_id, ix.turn_idx, ix.k order by abs(l.start_ms - ix.start_ms), l.pos) = 1),
  own as (select ix.media_id, ix.turn_idx, ix.k, coalesce(hit.owner, near.owner) as owner from ix left join hit using (media_id, turn_idx, k) left join near using (media_id, turn_idx, k))"""
