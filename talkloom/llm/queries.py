@@ -1,10 +1,10 @@
-"""The queries of this subpackage: op1 to op10 and the pipeline, with their SQL where SQL can express them."""
+"""The queries of this subpackage: op1 to op13 and the pipeline, with their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from talkloom.llm import chat, gif, lm_score, mixing, packing, quality, topk, url_filter, warc
+from talkloom.llm import bpe, chat, collocations, gif, lm_score, mixing, packing, quality, topk, url_filter, vector_code, warc
 from talkloom.llm.prefix_join import jaccard_components
 
 
@@ -60,5 +60,20 @@ def op10_quality_classifier(spark, sf_dir):
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_chat_formatting, op3_gif_media, op4_exact_topk, op5_lm_scoring, op6_warc_merkle_audit, op7_source_mixing, op8_url_filter, op9_bestfit_packing, op10_quality_classifier)}
-ORACLE: dict[str, str] = {"op2_chat_formatting": chat.DIGESTS_SQL, "op4_exact_topk": topk.TOPK_SQL, "op6_warc_merkle_audit": warc.AUDIT_SQL}
+def op11_vector_codes(spark, sf_dir):
+    return vector_code.compress(read(spark, sf_dir, "embeddings"))
+
+
+def op12_collocations(spark, sf_dir):
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+def op13_bpe(spark, sf_dir):
+    """The public 50,000-token byte-level vocabulary; its file is the driver's, executors get its text."""
+    import public_tokenizers
+
+    return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_chat_formatting, op3_gif_media, op4_exact_topk, op5_lm_scoring, op6_warc_merkle_audit, op7_source_mixing, op8_url_filter, op9_bestfit_packing, op10_quality_classifier, op11_vector_codes, op12_collocations, op13_bpe)}
+ORACLE: dict[str, str] = {"op2_chat_formatting": chat.DIGESTS_SQL, "op4_exact_topk": topk.TOPK_SQL, "op6_warc_merkle_audit": warc.AUDIT_SQL, "op11_vector_codes": vector_code.COMPRESS_SQL, "op12_collocations": collocations.COLLOCATIONS_SQL}
