@@ -13,17 +13,17 @@ Everything exact: words are compared by their bytes, phrases by (id of the first
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkloom.llm.common import discard, scan_partitions, written
-from talkloom.llm.shingle import slabs
 
 LEAST, LONGEST, NUMERATOR, COVERED, TOP = 30, 4, 2_000_000, 80, 2000
-#: Bytes of text in a block; parts that entries are dealt to, for each partition of the scan.
-SLAB, PARTS_EACH = 8 << 20, 2
+#: Bytes of text in a block; bytes that a task holds back for blocks of all languages; parts of entries for each partition of the scan.
+SLAB, HELD, PARTS_EACH = 8 << 20, 32 << 20, 2
 #: White space inside pieces, and what ends a piece.
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[[9, 32]] = 1
@@ -32,17 +32,16 @@ _CODEC = pa.Codec("zstd", compression_level=1)
 
 
 def pack(a: np.ndarray) -> bytes:
-    """Integers as bytes: differences, turned so that bytes of equal weight stand together, compressed."""
-    a = np.diff(a.astype(np.int64), prepend=np.int64(0))
-    raw = np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Integers as bytes, turned so that bytes of equal weight stand together, compressed."""
+    raw = np.ascontiguousarray(a.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
     return len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True) if raw else b""
 
 
-def unpack(raw: bytes) -> np.ndarray:
+def unpack(raw: bytes | None) -> np.ndarray:
     if not raw:
         return np.zeros(0, np.int64)
     flat = np.frombuffer(_CODEC.decompress(raw[8:], decompressed_size=int.from_bytes(raw[:8], "little"), asbytes=True), np.uint8)
-    return np.cumsum(np.ascontiguousarray(flat.reshape(8, -1).T).view(np.int64).ravel())
+    return np.ascontiguousarray(flat.reshape(8, -1).T).view(np.int64).ravel()
 
 
 def postings(raw: bytes) -> tuple[pa.Array, np.ndarray]:
@@ -68,16 +67,31 @@ def postings(raw: bytes) -> tuple[pa.Array, np.ndarray]:
 def _blocks(slab: int):
     def run(batches):
         seq = TaskContext.get().partitionId() << 32
+        held: dict[str, list[bytes]] = {}
+        size: dict[str, int] = {}
+
+        def block(lang):
+            nonlocal seq
+            words, stream = postings(b"\n".join(held.pop(lang)))
+            del size[lang]
+            count = np.bincount(stream[stream >= 0], minlength=len(words))
+            one = np.array([0, len(words)], np.int32)
+            lists = [pa.ListArray.from_arrays(one, x) for x in (words.cast(pa.string()), pa.array(count, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array([seq], pa.int64()), pa.array([lang], pa.string()), *lists, pa.array([pack(stream)], pa.binary())], ["block", "lang", "words", "counts", "stream"])
+            seq += 1
+
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            langs = np.array(batch.column("lang").to_pylist(), object)
-            for lang in sorted(set(langs)):
-                own = [texts[i] for i in np.flatnonzero(langs == lang) if texts[i]]
-                for a, b in slabs(own, slab):
-                    words, stream = postings(b"\n".join(own[a:b]))
-                    count = np.bincount(stream[stream >= 0], minlength=len(words))
-                    yield pa.RecordBatch.from_pydict({"block": pa.array([seq], pa.int64()), "lang": pa.array([lang], pa.string()), "words": pa.array([words.cast(pa.string()).to_pylist()], pa.list_(pa.string())), "counts": pa.array([count], pa.list_(pa.int64())), "stream": pa.array([pack(stream)], pa.binary())})
-                    seq += 1
+            for text, lang in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("lang").to_pylist(), strict=True):
+                if not text:
+                    continue
+                held.setdefault(lang, []).append(text)
+                size[lang] = size.get(lang, 0) + len(text)
+                if size[lang] >= slab:
+                    yield from block(lang)
+                elif sum(size.values()) >= HELD:
+                    yield from block(max(sorted(size), key=size.__getitem__))
+        for lang in sorted(held):
+            yield from block(lang)
 
     return run
 
@@ -93,6 +107,11 @@ def occurrences(words: np.ndarray, lists: np.ndarray, k: int) -> tuple[np.ndarra
     return at, lists[at] * (int(words.max()) + 1) + words[at + k]
 
 
+def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each occurrence the slot of its key (in order of first occurrence), and the keys. A slot's occurrences are its list."""
+    return pd.factorize(key)
+
+
 def _part(prefix: np.ndarray, word: np.ndarray, parts: int) -> np.ndarray:
     h = prefix.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.astype(np.uint64)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -115,13 +134,15 @@ def _dealt(block: int, words: np.ndarray, word_ids: np.ndarray, lists: np.ndarra
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names)
 
     if not last:
-        yield row(block, None, pack(words), pack(word_ids), pack(lists), pack(list_ids), None, None, None, None)
-    keys, n = np.unique(key, return_counts=True)
+        same = lists is words  # phrases of one word
+        yield row(block, None, pack(words), pack(word_ids), None if same else pack(lists), None if same else pack(list_ids), None, None, None, None)
+    own, keys = _counted(key)
+    n = np.bincount(own, minlength=len(keys))
     many = int(words.max()) + 1
     prefix, word = list_ids[keys // many], word_ids[keys % many]
     part = _part(prefix, word, parts)
-    order = np.argsort(part, kind="stable")
-    cut = np.searchsorted(part[order], np.arange(parts + 1))
+    order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
+    cut = np.concatenate(([0], np.cumsum(np.bincount(part, minlength=parts))))
     for p in np.flatnonzero(np.diff(cut)):
         mine = order[cut[p] : cut[p + 1]]
         yield row(block, int(p), None, None, None, None, pack(prefix[mine]), pack(word[mine]), pack(n[mine]), pack(mine))
@@ -151,8 +172,8 @@ def _next(k: int, parts: int, last: bool):
         if not (left.num_rows and right.num_rows):
             return pa.Table.from_batches([], _arrow(STATE))
         words, word_ids, lists, list_ids = (unpack(left.column(c)[0].as_py()) for c in ("words", "word_ids", "lists", "list_ids"))
-        at, key = occurrences(words, lists, k - 1)
-        keys, own = np.unique(key, return_inverse=True)
+        at, key = occurrences(words, words if k == 2 else lists, k - 1)
+        own, keys = _counted(key)
         slots = np.concatenate([unpack(x) for x in right.column("slots").to_pylist()])
         ids = np.concatenate([unpack(x) for x in right.column("ids").to_pylist()])
         order = np.argsort(slots)
@@ -180,26 +201,23 @@ def _frequent(least: int, last: bool):
 
     def run(table: pa.Table) -> pa.Table:
         cols = [[unpack(x) for x in table.column(c).to_pylist()] for c in ("prefix", "word", "n", "slot")]
-        block = np.repeat(table.column("block").to_numpy(), [len(x) for x in cols[0]])
+        cut = np.concatenate(([0], np.cumsum([len(x) for x in cols[0]])))
         prefix, word, n, slot = (np.concatenate(c) for c in cols)
-        order = np.lexsort((block, word, prefix))
-        block, prefix, word, n, slot = (x[order] for x in (block, prefix, word, n, slot))
-        first = np.concatenate(([True], (prefix[1:] != prefix[:-1]) | (word[1:] != word[:-1])))
-        starts = np.flatnonzero(first)
-        f = np.add.reduceat(n, starts)
+        (p, prefixes), (w, words) = pd.factorize(prefix), pd.factorize(word)
+        own, keys = _counted(p * len(words) + w)
+        f = np.zeros(len(keys), np.int64)
+        np.add.at(f, own, n)
         ok = f >= least
         ids = (int(table.column("part")[0].as_py()) << 40) + np.cumsum(ok) - 1
-        many, none = int(ok.sum()), None
-        out = {"block": pa.nulls(many, pa.int64()), "prefix_id": pa.array(prefix[starts][ok]), "word_id": pa.array(word[starts][ok]), "f": pa.array(f[ok]), "phrase_id": pa.array(ids[ok]), "slots": pa.nulls(many, pa.binary()), "ids": pa.nulls(many, pa.binary())}
+        many, found = int(ok.sum()), keys[ok]
+        out = {"block": pa.nulls(many, pa.int64()), "prefix_id": pa.array(prefixes[found // len(words)]), "word_id": pa.array(words[found % len(words)]), "f": pa.array(f[ok]), "phrase_id": pa.array(ids[ok]), "slots": pa.nulls(many, pa.binary()), "ids": pa.nulls(many, pa.binary())}
         tables = [pa.table(out)]
         if not last and many:
-            group = np.cumsum(first) - 1
-            keep = ok[group]
-            block, slot, own = block[keep], slot[keep], ids[group][keep]
-            order = np.lexsort((slot, block))
-            block, slot, own = block[order], slot[order], own[order]
-            cut = np.concatenate((np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))), [len(block)]))
-            rows = [(int(block[a]), none, none, none, none, pack(slot[a:b]), pack(own[a:b])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            rows = []
+            for block, a, b in zip(table.column("block").to_pylist(), cut[:-1], cut[1:], strict=True):
+                keep = ok[own[a:b]]
+                if keep.any():
+                    rows.append((block, None, None, None, None, pack(slot[a:b][keep]), pack(ids[own[a:b][keep]])))
             tables.append(pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [x.type for x in out.values()], strict=True)], list(out)))
         return pa.concat_tables(tables)
 
