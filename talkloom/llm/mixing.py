@@ -24,7 +24,7 @@ SHARD_DRAWS = 256
 PARTITION_WORDS, MOST_PARTITIONS = 2_000_000, 100_000
 #: Rows up to which a table of sources, or a plan, is broadcast.
 BROADCAST_ROWS = 1_000_000
-_SPAN, _TREE_HEAD = 1024, 6
+_SPAN, _TREE_HEAD, _RUN = 1024, 6, 128
 
 
 def checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -32,18 +32,32 @@ def checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def numbered(sources: DataFrame) -> DataFrame:
+    """sources with index: 1, 2, ... by code point, null last. Ranges of sources are counted, then numbered each for itself."""
+    n = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(sources.repartitionByRange(n, F.asc_nulls_last("source")).withColumn("range", F.spark_partition_id()), "ranges")
+    sizes, before, ahead = dealt.groupBy("range").count().collect(), 0, {}  # a row for each partition
+    for r in sorted(sizes):
+        ahead[r["range"]], before = before, before + r["count"]
+    offset = F.lit(0) if not ahead else F.element_at(F.create_map(*[F.lit(x) for kv in ahead.items() for x in kv]), F.col("range"))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy(F.asc_nulls_last("source")))
+    return dealt.withColumn("index", (offset + inside).cast("int")).drop("range")
+
+
 def targets(sources: DataFrame, share: float = SHARE, most: int = MOST, weights=WEIGHTS) -> DataFrame:
-    """sources (source, source_size, n) -> with index, weight and target. A common factor times the weight, at most most times
-    the size: of the factors that follow from taking the first sources by size/weight as full, the largest is the right one."""
+    """sources (source, source_size, n) -> with index, weight and target: a common factor times the weight, at most most times the
+    size. What is above that is shared out again among the others, until none is above: one sum over the sources each time."""
     w = F.array(*[F.lit(float(x)) for x in weights])
-    s = sources.withColumn("index", F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))))
-    s = s.withColumn("weight", F.get(w, F.pmod(F.col("index") - 1, F.lit(len(weights)))))
-    by = Window.orderBy(F.col("source_size") / F.col("weight"), "index")
-    full = F.coalesce(F.sum(F.lit(float(most)) * F.col("source_size")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    everything = Window.orderBy("index").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    factor = (F.lit(share) * F.sum("source_size").over(everything) - full) / F.sum("weight").over(by.rowsBetween(0, Window.unboundedFollowing))
-    s = s.withColumn("factor", factor).withColumn("factor", F.max("factor").over(everything))
-    return s.withColumn("target", F.least(F.lit(float(most)) * F.col("source_size"), F.col("factor") * F.col("weight"))).drop("factor")
+    s = written(numbered(sources).withColumn("weight", F.get(w, F.pmod(F.col("index") - 1, F.lit(len(weights))))), "weighed")
+    top = F.lit(float(most)) * F.col("source_size")
+    total, factor, full = float(s.agg(F.sum("source_size")).first()[0] or 0), 0.0, -1
+    while True:
+        above = F.lit(factor) * F.col("weight") > top if full >= 0 else F.lit(False)
+        r = s.agg(F.count_if(above), F.sum(F.when(above, top)), F.sum(F.when(~above, F.col("weight")))).first()
+        if r[0] == full or not r[2]:
+            break
+        full, factor = r[0], (share * total - (r[1] or 0.0)) / r[2]
+    return s.withColumn("target", F.least(top, F.lit(factor) * F.col("weight")))
 
 
 # One hypergeometric draw: of N draws left, K are the source's, n go to the left half; u is uniform. The probabilities follow
@@ -61,13 +75,16 @@ def split(quotas: DataFrame, depth: int, seed: int = SEED) -> DataFrame:
     """quotas (index, quota) -> (shard, index, quota): 2**depth shards of nearly equal draws, quotas kept exactly. Nodes carry the
     sources that they have draws of, so that a leaf's row is no longer than a shard; below the first levels nodes are dealt out."""
     nodes = quotas.groupBy().agg(F.sort_array(F.collect_list(F.struct("index", "quota"))).alias("q")).select(F.lit(0).cast("long").alias("node"), "q")
-    draw = _DRAW.format(N="a.tot", K="q[i].quota", n="a.n", u=f"(pmod(xxhash64({seed}, level, node, q[i].index), 1048576) + 0.5D) / 1048576")
+    draw = _DRAW.format(N="b.tot", K="s.quota", n="b.n", u=f"(pmod(xxhash64({seed}, level, node, s.index), 1048576) + 0.5D) / 1048576")
     for level in range(depth):
         if level == _TREE_HEAD:
             nodes = nodes.repartition("node")
         nodes = nodes.withColumn("level", F.lit(level)).withColumn("N", F.expr("aggregate(q, cast(0 as bigint), (a, x) -> a + x.quota)"))
-        left = f"""aggregate(sequence(0, size(q) - 1), named_struct('tot', N, 'n', N div 2, 'out', cast(array() as array<bigint>)), (a, i) ->
-            aggregate(array({draw}), named_struct('tot', a.tot, 'n', a.n, 'out', a.out), (b, x) -> named_struct('tot', b.tot - q[i].quota, 'n', b.n - x, 'out', concat(b.out, array(x))))).out"""
+        # sources come in runs, so that what has been drawn is copied once a run and not once a source
+        run = f"""aggregate(r, named_struct('tot', a.tot, 'n', a.n, 'out', cast(array() as array<bigint>)), (b, s) ->
+            aggregate(array({draw}), b, (e, x) -> named_struct('tot', e.tot - s.quota, 'n', e.n - x, 'out', concat(e.out, array(x)))))"""
+        left = f"""flatten(aggregate(transform(sequence(0, (size(q) - 1) div {_RUN}), i -> slice(q, cast(i * {_RUN} + 1 as int), {_RUN})), named_struct('tot', N, 'n', N div 2, 'out', cast(array() as array<array<bigint>>)), (a, r) ->
+            aggregate(array({run}), a, (g, h) -> named_struct('tot', h.tot, 'n', h.n, 'out', concat(g.out, array(h.out))))).out)"""
         nodes = nodes.withColumn("left", F.expr(left))
         nodes = nodes.selectExpr("inline(array(named_struct('node', 2 * node, 'q', filter(transform(q, (x, i) -> named_struct('index', x.index, 'quota', left[i])), x -> x.quota > 0)), named_struct('node', 2 * node + 1, 'q', filter(transform(q, (x, i) -> named_struct('index', x.index, 'quota', x.quota - left[i])), x -> x.quota > 0))))").where("size(q) > 0")
     return nodes.selectExpr("node as shard", "inline(q)")

@@ -242,6 +242,16 @@ def row_key(doc_id, text, site, path):
     return F.unhex(F.sha2(F.concat(*parts), 256))
 
 
+def bounded(d: DataFrame, pick: DataFrame) -> DataFrame:
+    """(text, quality, toxic) of the rows whose ids pick has: SAMPLE at most, by the hash of the id, then by row key, also where an
+    id repeats; of rows that agree in all that a verdict depends on, one."""
+    key = row_key(*[F.col(c) for c in ("doc_id", "text", "site", "path")])
+    rows = d.join(F.broadcast(pick), "doc_id").withColumn("sample_key", key)  # pick: at most SAMPLE ids
+    first = rows.select("doc_id", "sample_key").distinct().orderBy(F.xxhash64("doc_id"), "sample_key").limit(SAMPLE)
+    rows = rows.join(F.broadcast(first.select("sample_key")), "sample_key").dropDuplicates(["sample_key"])
+    return rows.select("text", F.col("known_quality").alias("quality"), F.col("known_toxic").alias("toxic"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", path_col: str = "lang", keyed: bool = False) -> DataFrame:
     """(doc_id, low, toxic, site_rate, path_rate, p_reject, known_bad, keep) for every row: log odds of the document's own evidence,
     the shrunk rates of its site and path (a site's path_col values), the combined probability of low quality or toxicity, all
@@ -261,8 +271,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     known = labels.where("quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("known_quality"), F.max("toxic").alias("known_toxic"))
     known = written(known, "labels")
     pick = known.join(d.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id")).limit(SAMPLE)
-    sample = d.join(F.broadcast(pick), "doc_id").select("text", F.col("known_quality").alias("quality"), F.col("known_toxic").alias("toxic"))
-    model = spark.sparkContext.broadcast(fit(sample))
+    model = spark.sparkContext.broadcast(fit(bounded(d, pick)))
     rows = written(d.mapInArrow(_score(model), "doc_id long, site string, path string, " + "row_key binary, " * keyed + "low double, toxic double"), "evidence")
     rows = rows.join(checked(known), "doc_id", "left")
     bad = F.when(F.col("known_quality").isNotNull(), ((F.col("known_quality") == 0) | (F.col("known_toxic") == 1)).cast("double")).otherwise(1 - (1 - _p(F.col("low"))) * (1 - _p(F.col("toxic"))))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from talkloom.llm import chat, components, gif, lm_score, mixing, packing, prefix_join, quality, queries, topk, url_filter, warc
+from talkloom.llm.common import written
 
 D = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, node long, part int, component string"
@@ -647,7 +648,7 @@ def test_pipeline_stages(spark):
 
 def test_quality_stage_filters_rows_by_their_own_verdict(spark):
     where = "/root/testdata/sf0.01"
-    docs = spark.read.parquet(f"{where}/documents.parquet").limit(400).localCheckpoint()
+    docs = written(spark.read.parquet(f"{where}/documents.parquet").limit(400), "test")
     docs = docs.unionAll(docs.withColumn("doc_id", F.lit(None).cast("long"))).unionAll(docs.withColumn("doc_id", F.lit(10**9).cast("long")))
     verdicts = quality.classify(docs, spark.read.parquet(f"{where}/labels.parquet")).collect()
     for i in (None, 10**9):
@@ -656,6 +657,43 @@ def test_quality_stage_filters_rows_by_their_own_verdict(spark):
     assert collections.Counter(r.doc_id for r in kept) == collections.Counter(r.doc_id for r in verdicts if r.keep)
 
 
+def test_one_bad_id_changes_no_other_choice(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    text = prose(60)
+    own = spark.createDataFrame([(5, text, "en", "s", 1), (3, text, "en", "s", 1), (None, text, "aa", "s", 1), (8, text, "en", "s", 1), (8, text, "aa", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    own = own.withColumn("doc_id", F.col("doc_id") + 10**6)
+    plain = collections.Counter(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs.unionByName(own.where("doc_id % 1000 in (3, 5)")), D).collect())
+    bad = spark.createDataFrame([(None, prose(50), "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    every = docs.unionByName(own).unionByName(bad)
+    for df in (every, every.orderBy(F.desc("n_chars")), every.repartition(5, "text")):
+        assert collections.Counter(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, D).collect()) == plain + collections.Counter({None: 1})
+    assert plain[10**6 + 3] == 1 and plain[10**6 + 5] == 0
+
+
+def test_sample_is_bounded_where_an_id_repeats(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE", 100)
+    rows = spark.range(50_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text of "), (F.col("id") % 5000).cast("string")).alias("text"), F.lit("s").alias("site"), F.lit("en").alias("path"))
+    rows = rows.unionByName(spark.range(30).select("id", F.lit("other words").alias("text"), F.lit("s").alias("site"), F.lit("en").alias("path")).withColumnRenamed("id", "doc_id"))
+    pick = spark.range(30).select(F.col("id").alias("doc_id"), F.lit(1).alias("known_quality"), F.lit(0).alias("known_toxic"))
+    got = [quality.bounded(df, pick).select("text").collect() for df in (rows, rows.repartition(9))]
+    assert sorted(got[0]) == sorted(got[1]) and len(got[0]) == 100
+
+
+def test_many_sources(spark):
+    r = random.Random(11)
+    rows = [(i, " w" * r.choice([1, 3, 20]), f"s{r.randrange(700):05d}" if i % 9 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = collections.Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    want, got = brute_targets(sizes), mixing.plan(df).collect()
+    taken = collections.Counter()
+    for x in got:
+        taken[rows[x.doc_id][2]] += x.taken
+        assert abs(x.target - want[rows[x.doc_id][2]]) < 1e-6 and x.taken <= 2 * x.size
+    assert sum(abs(taken[s] - want[s]) for s in sizes) < 0.2 * sum(want.values())
+
+
 def test_stages_on_edge_rows(spark, edge, empty):
     kept = corpus_pipeline.near_duplicates(spark, edge, D).collect()
     rows = [(i, r.text) for i, r in enumerate(edge.collect())]
