@@ -23,27 +23,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates. Where ids are null or repeat, each row counts as a
-    document of its own, by its place in the table: of a group one row stays. Rows without words are no copies of anything."""
+    """One document of each group of near duplicates: that of the smallest id, rows without an id last; of rows of one id that with
+    the smallest row key, a hash of what the row holds. Each row counts for itself, also where ids are null or repeat; of equal
+    rows one stays. Rows without words are no copies of anything. The order of rows and files doesn't matter."""
     ship(spark)
-    groups = written(jaccard_components(docs), "groups")
-    ids = groups.agg(F.count("*"), F.count("doc_id")).first()
-    if ids[0] == ids[1] == groups.select("doc_id").distinct().count():
-        out = groups.where("component_id <> doc_id").select("doc_id")
-        return docs.join(checked(out), "doc_id", "left_anti").select(*docs.columns)
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    out = written(jaccard_components(rows, "__row").where("component_id <> doc_id").select(F.col("doc_id").alias("__row")), "copies")
-    return rows.join(checked(out), "__row", "left_anti").select(*docs.columns)
+    key = row_key(*[docs[c] for c in ("doc_id", "text", "source", "lang")])
+    rows = written(docs.withColumns({"__row": F.monotonically_increasing_id(), "__key": key}), "rows")
+    groups = written(jaccard_components(rows, "__row").select(F.col("doc_id").alias("__row"), "component_id"), "groups")
+    who = rows.select("__row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key", "__row").alias("at"))
+    first = groups.join(who, "__row").groupBy("component_id").agg(F.min("at").alias("at")).select("at.__row")
+    copies = written(groups.select("__row").join(first, "__row", "left_anti"), "copies")
+    return rows.join(checked(copies), "__row", "left_anti").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as often as its source's target takes it."""
+    """The mix: each document as often as its source's target takes it. Rows count each, also where ids are null or repeat; a null
+    source is a source of its own; null and empty texts are never taken; an empty table gives an empty mix."""
     ship(spark)
     return mixture(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The bins of the mix."""
+    """The bins of the mix: a row for each piece of each row, also where ids are null or repeat; null and empty texts are pieces of no
+    words; an empty table gives none."""
     ship(spark)
     return pack(docs)
 
