@@ -6,12 +6,12 @@ import difflib
 import html
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 # fixed values: Python's letter and word classes in Java's syntax
 LETTERS = r"([\p{L}\p{No}\p{Nl}]+)"
-#: How a remark of a model, in place of a correction, begins.
+# fixed values: how a remark of a model, in place of a correction, begins
 COMMENTARY = "^(here (is|are)|sure[,!]|corrected|note:|i )"
 WORDS = r"([\p{L}\p{N}_]+)"
 ON_SCREEN = r"([\p{L}\p{No}\p{Nl}][\p{L}\p{N}_./-]{2,})"
@@ -112,6 +112,12 @@ def clean_name(text: Column) -> Column:
     return squeeze(F.translate(unescape(text), "<>`\r\n", ""))
 
 
+def new_language(language: str, order) -> Column:
+    """True where a language is known and another than the last known one before, by the window order."""
+    last = F.last(F.nullif(language, F.lit("")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return F.coalesce(F.col(language) != "", F.lit(False)) & ~F.col(language).eqNullSafe(last)
+
+
 def strip_tags(text: Column) -> Column:
     return F.regexp_replace(text, "<[^>]+>", "")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -219,24 +220,29 @@ _SAMPLES = "sm as (select user_id as media_id, row_number() over (partition by u
 LOUD_WINDOW, LOUD_HOP, LOUD_BUCKETS = 6, 2, 4
 
 
-@query(f"""with {_SAMPLES}, r as (select media_id, i, len, sum(x * x) over (partition by media_id order by i rows between current row and {LOUD_WINDOW - 1} following)::bigint as sq from sm), full_ as (select * from r where i + {LOUD_WINDOW} <= len),
+@query(f"""with {_SAMPLES}, r as (select media_id, i, len, sum(x * x) over (partition by media_id order by i rows between current row and {LOUD_WINDOW - 1} following)::bigint as sq from sm), full_ as (select * from r where i + {LOUD_WINDOW} <= len and len > {LOUD_WINDOW}),
  n as (select *, greatest(1, least({LOUD_BUCKETS}, len // {LOUD_WINDOW})) as n from full_), fl as (select media_id, quantile_cont(sqrt(sq / {LOUD_WINDOW}.0::double + 1e-12), 0.2) as floor_ from n where i % {max(LOUD_HOP, LOUD_WINDOW // 2)} = 0 and i < greatest(1, len - {LOUD_WINDOW}) group by 1),
  b as (select n.*, b, floor(b * len / n.n)::bigint as lo, least(len - {LOUD_WINDOW}, floor((b + 1) * len / n.n)::bigint) as hi from n, range({LOUD_BUCKETS}) t(b) where b < n.n),
- best as (select * from b where i between lo and hi and (i - lo) % {LOUD_HOP} = 0 and hi > lo qualify row_number() over (partition by media_id, b order by sq desc, i) = 1)
- select media_id, b as bucket, i as start, round(sqrt(sq / {LOUD_WINDOW}.0::double + 1e-12), 6) as rms from best join fl using (media_id) where sqrt(sq / {LOUD_WINDOW}.0::double + 1e-12) >= floor_""")
+ best as (select * from b where i between lo and hi and (i - lo) % {LOUD_HOP} = 0 and hi > lo qualify row_number() over (partition by media_id, b order by sq desc, i) = 1),
+ found as (select media_id, b as bucket, i as start, round(sqrt(sq / {LOUD_WINDOW}.0::double + 1e-12), 6) as rms from best join fl using (media_id) where sqrt(sq / {LOUD_WINDOW}.0::double + 1e-12) >= floor_),
+ every as (select distinct user_id as media_id from events) select * from found union all select media_id, 0, 0, null from every where media_id not in (select media_id from found)""")
 def loudest_bucket_window(spark, d):
-    """Of each of a recording's equal buckets the loudest window at even steps, if it isn't among the quietest fifth of all."""
+    """Of each of a recording's equal buckets the loudest window at even steps, if it isn't among the quietest fifth of all; start 0
+    for recordings no longer than a window, or without any such."""
     e = V.table(spark, d, "events").select(F.col("user_id").alias("media_id"), "ts", "event_id", F.round(F.col("value") * 100).cast("long").alias("x"))
     w = W("media_id", ["ts", "event_id"])
     r = e.withColumns({"i": F.row_number().over(w).cast("long") - 1, "len": F.count("*").over(W("media_id")), "sq": F.sum(F.col("x") * F.col("x")).over(w.rowsBetween(0, LOUD_WINDOW - 1))})
-    r = r.where(F.col("i") + LOUD_WINDOW <= F.col("len")).withColumns({"n": F.greatest(F.lit(1), F.least(F.lit(LOUD_BUCKETS), F.floor(F.col("len") / LOUD_WINDOW))), "rms": F.sqrt(F.col("sq") / LOUD_WINDOW + 1e-12)})
+    r = r.where((F.col("i") + LOUD_WINDOW <= F.col("len")) & (F.col("len") > LOUD_WINDOW)).withColumns({"n": F.greatest(F.lit(1), F.least(F.lit(LOUD_BUCKETS), F.floor(F.col("len") / LOUD_WINDOW))), "rms": F.sqrt(F.col("sq") / LOUD_WINDOW + 1e-12)})
     quiet = r.where((F.col("i") % max(LOUD_HOP, LOUD_WINDOW // 2) == 0) & (F.col("i") < F.greatest(F.lit(1), F.col("len") - LOUD_WINDOW))).groupBy("media_id").agg(F.percentile("rms", F.lit(0.2)).alias("floor_"))
     near = F.floor(F.col("i") * F.col("n") / F.col("len"))  # a step on a bucket's edge counts in both
     b = r.withColumn("bucket", F.explode(F.array_distinct(F.array(F.greatest(near - 1, F.lit(0)), near, F.least(near + 1, F.col("n") - 1)))))
     b = b.withColumns({"lo": F.floor(F.col("bucket") * F.col("len") / F.col("n")), "hi": F.least(F.col("len") - LOUD_WINDOW, F.floor((F.col("bucket") + 1) * F.col("len") / F.col("n")))})
     b = b.where((F.col("i") >= F.col("lo")) & (F.col("i") <= F.col("hi")) & ((F.col("i") - F.col("lo")) % LOUD_HOP == 0) & (F.col("hi") > F.col("lo")))
     best = b.groupBy("media_id", "bucket").agg(F.min_by(F.struct("i", "rms"), F.struct((-F.col("sq")).alias("s"), "i")).alias("x"))
-    return best.join(quiet, "media_id").where("x.rms >= floor_").select("media_id", "bucket", F.col("x.i").alias("start"), F.round("x.rms", 6).alias("rms"))
+    best = best.join(quiet, "media_id").where("x.rms >= floor_").select("media_id", "bucket", F.col("x.i").alias("start"), F.round("x.rms", 6).alias("rms"))
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("double")
+    rest = e.select("media_id").distinct().join(best.select("media_id").distinct(), "media_id", "left_anti")
+    return best.unionByName(rest.select("media_id", zero.alias("bucket"), zero.alias("start"), none.alias("rms")))
 
 
 @query(f"""with {V.CUE}, probe as (select media_id, turn_idx, start_ms + 1000 as t0, start_ms + 5000 as t1 from turn_v) select p.media_id, p.turn_idx, string_agg(c.word, ' ' order by c.start_ms, c.turn_idx, c.k) as text
@@ -323,6 +329,7 @@ def occupancy_matrix(spark, d):
     return g.where("ms * 100 >= step").select("media_id", "label", "block", "ms")
 
 
+# fixed values: what ends a sentence, and what goes on with one
 _ENDED, _SMALL = r"[.!?…][\s)\]”]*$", r"^[\s(\[„“]*\p{Ll}"
 
 
@@ -367,11 +374,24 @@ def build_turns(spark, d):
 @query(f"""with recursive {V.TURN}, wn as (select media_id, turn_idx, start_ms as opened, end_ms, 0::bigint as win from turn_v where turn_idx = 0 union all
  select t.media_id, t.turn_idx, case when w.end_ms - w.opened >= 90000 then t.start_ms else w.opened end, t.end_ms, case when w.end_ms - w.opened >= 90000 then w.win + 1 else w.win end from wn w join turn_v t on t.media_id = w.media_id and t.turn_idx = w.turn_idx + 1) select media_id, turn_idx, win from wn""")
 def llm_windows(spark, d):
-    """Greedy windows: a window closes with the turn that makes it 90 s long. A fold over a conversation's turns."""
-    g = V.turns(spark, d).groupBy("media_id").agg(F.sort_array(F.collect_list(F.struct("turn_idx", "start_ms", "end_ms"))).alias("t"))
-    fold = """aggregate(t, named_struct('opened', t[0].start_ms, 'win', 0L, 'shut', false, 'out', cast(array() as array<struct<turn_idx: bigint, win: bigint>>)), (a, x) ->
-        named_struct('opened', if(a.shut, x.start_ms, a.opened), 'win', a.win + if(a.shut, 1L, 0L), 'shut', x.end_ms - if(a.shut, x.start_ms, a.opened) >= 90000, 'out', concat(a.out, array(named_struct('turn_idx', x.turn_idx, 'win', a.win + if(a.shut, 1L, 0L)))))).out"""
-    return g.select("media_id", F.expr(f"inline({fold})"))
+    """Greedy windows: a window closes with the turn that makes it 90 s long. One step a turn, a recording at a time."""
+    return greedy_windows(V.turns(spark, d).select("media_id", "turn_idx", "start_ms", "end_ms"))
+
+
+def greedy_windows(turns, length_ms: int = 90_000):
+    """turns (media_id, turn_idx, start_ms, end_ms) -> (media_id, turn_idx, win): the window of each turn, never splitting one."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("turn_idx")
+        out, opened, win = [], None, 0
+        for start, end in zip(p["start_ms"].tolist(), p["end_ms"].tolist(), strict=True):
+            opened = start if opened is None else opened
+            out.append(win)
+            if end - opened >= length_ms:
+                opened, win = None, win + 1
+        return p.assign(win=out)[["media_id", "turn_idx", "win"]]
+
+    return turns.groupBy("media_id").applyInPandas(run, "media_id long, turn_idx long, win long")
 
 
 _CAND = f"""with {V.CUE}, ct as (select media_id, turn_idx, string_agg(word, ' ' order by k) as cue from cue_v group by all), j as (select t.media_id, t.turn_idx, t.text, coalesce(cue, '') as cue, first_value(t.text) over (partition by t.media_id order by t.turn_idx) as head, lead(t.text) over (partition by t.media_id order by t.turn_idx) as nxt, (t.media_id + t.turn_idx) as c from turn_v t left join ct using (media_id, turn_idx)),
@@ -499,9 +519,10 @@ def hash_and_broadcast_join(spark, d):
     return o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderkey % 7 = 0)")
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')")
 def left_anti_customers(spark, d):
-    c, o = V.table(spark, d, "customer"), V.table(spark, d, "orders").where("o_orderkey % 7 = 0")
+    """Customers without an urgent order."""
+    c, o = V.table(spark, d, "customer"), V.table(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
 
 

@@ -11,7 +11,7 @@ from talkloom.operators import temporal as T
 from talkloom.plans import views as V
 from talkloom.plans.artifacts import caption_denoise, untimed
 from talkloom.plans.catalog import W, candidates, guardrail_verdicts, query
-from talkloom.plans.kernels import crosstalk, timed_cues
+from talkloom.plans.kernels import chunk_cues, crosstalk, met_half_way
 from talkloom.plans.owners import aligned_quote
 from talkloom.plans.scoring import witness_error
 from talkloom.sources import scans, vtt
@@ -24,8 +24,8 @@ def named(speaker) -> F.Column:
 
 
 def spoken(spark, d) -> DataFrame:
-    """Turns with a language: every fifth is in another one."""
-    return V.turns(spark, d).withColumn("language", F.when(F.col("turn_idx") % 5 == 3, "sk").otherwise("cs"))
+    """Turns with a language: every fifth is in another one, and of every fourth it isn't known."""
+    return V.turns(spark, d).withColumn("language", F.when(F.col("turn_idx") % 5 == 3, "sk").when(F.col("turn_idx") % 4 == 1, "").otherwise("cs"))
 
 
 def header(turns: DataFrame, llm: DataFrame) -> DataFrame:
@@ -49,8 +49,7 @@ def header(turns: DataFrame, llm: DataFrame) -> DataFrame:
 def markdown(turns: DataFrame, heads: DataFrame, notes: DataFrame) -> DataFrame:
     """(media_id, value): heads (media_id, head), then the turns under headings with clock, name and, where it changes, language;
     notes (media_id, t, caption) stand above the first turn that starts no earlier."""
-    last = F.lag("language").over(W("media_id", "turn_idx"))
-    mark = F.when((F.col("language") != "") & ~F.col("language").eqNullSafe(last), F.concat(F.lit("  `"), F.col("language"), F.lit("`"))).otherwise("")
+    mark = F.when(X.new_language("language", W("media_id", "turn_idx")), F.concat(F.lit("  `"), F.col("language"), F.lit("`"))).otherwise("")
     body = F.concat(F.lit("## ["), X.clock(F.col("start_ms")), F.lit("] "), named(F.col("speaker")), mark, F.lit("\n\n"), F.col("text"), F.lit("\n"))
     lines = turns.select("media_id", "turn_idx", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("t"), body.alias("line"))
     ask = notes.select("media_id", "caption", "t", (-F.col("t")).alias("start_ms"))
@@ -77,12 +76,13 @@ def markdown_transcript(spark, d):
 
 
 def captions(spark, d) -> DataFrame:
-    """Cues of all turns: by word times where there are any, else by the turn's; every seventh turn has none."""
-    none = F.col("turn_idx") % 7 == 6
-    timed = timed_cues(crosstalk(spark, d).where(~none))
+    """Cues of all turns: by word times where there are any, else by the turn's; all that overlap meet half way. Every fourth turn has
+    no word times, and the one after it begins before its end."""
+    none = F.col("turn_idx") % 4 == 3
+    timed = chunk_cues(crosstalk(spark, d).where(~none))
     rest = untimed(V.turns(spark, d).where(none & (F.col("n") > 0)))
     who = V.turns(spark, d).select("media_id", "turn_idx", named(F.col("speaker")).alias("speaker"))
-    return timed.unionByName(rest).where("end_ms > start_ms").join(who, ["media_id", "turn_idx"])
+    return met_half_way(timed.unionByName(rest)).join(who, ["media_id", "turn_idx"])
 
 
 @query()
@@ -91,11 +91,12 @@ def vtt_export(spark, d):
     return vtt.render(captions(spark, d), wrap=True)
 
 
-@query(f"with {V.TURN} select media_id, true as header, 0::bigint as empty_cues from turn_v where n > 0 group by 1")
+@query(f"with {V.TURN} select media_id, true as header, 0::bigint as empty_cues, 0::bigint as overlaps, 0::bigint as past from turn_v where n > 0 group by 1")
 def vtt_export_checks(spark, d):
-    """The exported captions have a header and no cue without length."""
+    """The exported captions have a header, no cue without length, none that begins before the end of one before it, and none beyond
+    the recording's end."""
     ends = V.turns(spark, d).groupBy("media_id").agg(F.max("end_ms").alias("duration_ms"))
-    return scans.check_vtt(vtt_export(spark, d).join(ends, "media_id")).select("media_id", "header", "empty_cues")
+    return scans.check_vtt(vtt_export(spark, d).join(ends, "media_id")).select("media_id", "header", "empty_cues", "overlaps", "past")
 
 
 def result_documents(spark, d) -> DataFrame:
@@ -155,22 +156,49 @@ def prompt(n, lines, terms) -> F.Column:
 
 def turns_from_words(words: DataFrame, segments: DataFrame, gap_ms: int = 800) -> DataFrame:
     """words (media_id, seg, k, word, label, start_ms, end_ms; times may be null), segments (media_id, seg, label, text, start_ms,
-    end_ms) -> turns (media_id, turn, speaker, start_ms, end_ms, text). A segment splits where its words' labels change (a word
-    without one has its segment's); a piece lasts from its words' first time to their last, or as its segment where none has any;
-    segments without words are pieces themselves; blank ones go. Neighbours of one speaker at most gap_ms apart are one turn."""
-    own = segments.select("media_id", "seg", F.coalesce("label", F.lit("UNKNOWN")).alias("seg_label"), F.col("start_ms").alias("seg_start"), F.col("end_ms").alias("seg_end"), "text")
-    w = words.where("word is not null and word <> ''").join(own.drop("text"), ["media_id", "seg"]).withColumn("label", F.coalesce("label", "seg_label"))
+    end_ms, language) -> turns (media_id, turn, speaker, language, start_ms, end_ms, text). A segment splits where its words' labels
+    change (a word without one has its segment's); a piece lasts from its words' first time to their last, or as its segment where
+    none has any; segments without words are pieces themselves; blank ones go. A piece joins the turn before it if that is of the
+    same speaker and ended at most gap_ms before; a turn's language is its first piece's. Turns are numbered by their starts."""
+    label = F.coalesce(F.when(F.col("label") != "", F.col("label")), F.lit("UNKNOWN"))
+    own = segments.select("media_id", "seg", label.alias("seg_label"), F.col("start_ms").alias("seg_start"), F.col("end_ms").alias("seg_end"), "text", "language")
+    w = words.where("word is not null and word <> ''").join(own.drop("text"), ["media_id", "seg"]).withColumn("label", F.coalesce(F.when(F.col("label") != "", F.col("label")), "seg_label"))
     w = T.label_runs(w, ["media_id", "seg"], ["k"], "label")
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", F.trim("word").alias("w")))), lambda x: x["w"]), " ")
-    pieces = w.groupBy("media_id", "seg", F.col("__run").alias("run")).agg(F.first("label").alias("speaker"), F.coalesce(F.min("start_ms"), F.first("seg_start")).alias("start_ms"), F.coalesce(F.max("end_ms"), F.first("seg_end")).alias("end_ms"), text.alias("text"))
-    bare = own.join(w.select("media_id", "seg").distinct(), ["media_id", "seg"], "left_anti").select("media_id", "seg", F.lit(1).cast("long").alias("run"), F.col("seg_label").alias("speaker"), F.col("seg_start").alias("start_ms"), F.col("seg_end").alias("end_ms"), "text")
+    pieces = w.groupBy("media_id", "seg", F.col("__run").alias("run")).agg(F.first("label").alias("speaker"), F.first("language").alias("language"), F.coalesce(F.min("start_ms"), F.first("seg_start")).alias("start_ms"), F.coalesce(F.max("end_ms"), F.first("seg_end")).alias("end_ms"), text.alias("text"))
+    bare = own.join(w.select("media_id", "seg").distinct(), ["media_id", "seg"], "left_anti").select("media_id", "seg", F.lit(1).cast("long").alias("run"), F.col("seg_label").alias("speaker"), "language", F.col("seg_start").alias("start_ms"), F.col("seg_end").alias("end_ms"), "text")
     p = pieces.unionByName(bare).withColumn("text", X.squeeze(F.col("text"))).where("text <> ''")
-    order = W("media_id", ["seg", "run"])
-    reach = F.max("end_ms").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = ~F.coalesce((F.col("speaker") == F.lag("speaker").over(order)) & (F.col("start_ms") - reach <= gap_ms), F.lit(False))
-    p = p.withColumn("new", new).withColumn("turn", T.island(F.col("new"), ["media_id"], ["seg", "run"]))
+    order = ["seg", "run"]
+    # within a stretch of one speaker the latest end so far is that of the turn: what ended before a gap ended before all that follows
+    p = T.label_runs(p, ["media_id"], order, "speaker").withColumnRenamed("__run", "stretch")
+    reach = F.max("end_ms").over(W(["media_id", "stretch"], order).rowsBetween(Window.unboundedPreceding, -1))
+    p = p.withColumn("new", F.coalesce(F.col("start_ms") - reach > gap_ms, F.lit(True))).withColumn("turn", T.island(F.col("new"), ["media_id"], order))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seg", "run", "text"))), lambda x: x["text"]), " ")
-    return p.groupBy("media_id", "turn").agg(F.min_by("speaker", F.struct("seg", "run")).alias("speaker"), F.min_by("start_ms", F.struct("seg", "run")).alias("start_ms"), F.max("end_ms").alias("end_ms"), joined.alias("text"))
+    head = F.min_by(F.struct("speaker", "language", "start_ms"), F.struct("seg", "run"))
+    t = p.groupBy("media_id", "turn").agg(head.alias("h"), F.max("end_ms").alias("end_ms"), joined.alias("text")).select("media_id", "turn", "h.*", "end_ms", "text")
+    return t.withColumn("turn", F.row_number().over(W("media_id", ["start_ms", "turn"])).cast("long"))
+
+
+#: Segments on which turns overlap: long ones with short ones of the other speaker within, gaps of 0.5 to 1.3 s, missing labels.
+_OVER = "media_id, turn_idx as seg, case when (media_id + turn_idx) % 11 = 4 then '' when (media_id + turn_idx) % 3 = 0 then 'user' else 'assistant' end as label, text, start_ms - case when turn_idx % 4 = 2 then 2500 when turn_idx % 4 = 3 then 4000 else 0 end + 400 * (turn_idx % 3) as start_ms, end_ms + case when turn_idx % 4 = 1 then 6000 else 0 end as end_ms, case when turn_idx % 3 = 1 then '' else 'cs' end as language"
+
+
+@query(f"""with {V.TURN}, s as (select {_OVER}, trim(regexp_replace(text, '\\s+', ' ', 'g')) as line from turn_v), q as (select * exclude (label), coalesce(nullif(label, ''), 'UNKNOWN') as label from s where line <> ''),
+ c as (select *, sum(case when label = p then 0 else 1 end) over (partition by media_id order by seg) as stretch from (select *, lag(label) over (partition by media_id order by seg) as p from q)),
+ r as (select *, max(end_ms) over (partition by media_id, stretch order by seg rows between unbounded preceding and 1 preceding) as reach from c),
+ i as (select *, sum(case when reach is null or start_ms - reach > 800 then 1 else 0 end) over (partition by media_id order by seg) as island from r),
+ g as (select media_id, island, any_value(label) as speaker, min_by(language, seg) as language, min_by(start_ms, seg) as start_ms, max(end_ms) as end_ms, string_agg(line, ' ' order by seg) as text from i group by all)
+ select media_id, row_number() over (partition by media_id order by start_ms, island) as turn, speaker, language, start_ms, end_ms, text from g""")
+def overlapping_turns(spark, d):
+    """Turns of segments that overlap one another, without words."""
+    s = V.turns(spark, d).selectExpr(*_columns(_OVER))
+    none = V.words(spark, d).where("false").selectExpr("media_id", "turn_idx as seg", "k", "word", "speaker as label", "start_ms", "end_ms")
+    return turns_from_words(none, s)
+
+
+def _columns(names: str) -> list[str]:
+    """The expressions of a select list without commas inside them."""
+    return names.split(", ")
 
 
 @query()
@@ -180,7 +208,7 @@ def relabelled_turns(spark, d):
     new = folds.relabel(f).select("media_id", "turn_idx", "k", F.col("new_label").alias("l"))
     gone = (F.col("k") % 6 == 0) | (F.col("turn_idx") % 9 == 8)
     w = f.join(new, ["media_id", "turn_idx", "k"]).select("media_id", F.col("turn_idx").alias("seg"), "k", "word", F.col("l").alias("label"), *[F.when(~gone, F.col(c)).alias(c) for c in ("start_ms", "end_ms")])
-    s = V.turns(spark, d).select("media_id", F.col("turn_idx").alias("seg"), F.col("speaker").alias("label"), "text", "start_ms", "end_ms")
+    s = spoken(spark, d).select("media_id", F.col("turn_idx").alias("seg"), F.col("speaker").alias("label"), "text", "start_ms", "end_ms", "language")
     return turns_from_words(w, s)
 
 

@@ -42,24 +42,34 @@ def loop_collapse(spark, d):
     return s.where("x.n > 0").select("doc_id", "seg_idx", "x.n", "x.text")
 
 
-def timed_cues(words):
+def chunk_cues(words):
     """words (media_id, turn_idx, k, word, start_ms, end_ms) -> cues (media_id, turn_idx, cue, start_ms, end_ms, text): chunks of
-    each turn; of two cues that follow one another and overlap, also across turns, both meet in the middle; what then has no
-    length goes."""
+    each turn's timed words, a recording at a time."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("k")
-        out = pd.DataFrame(folds.cue_chunks(list(zip(p["word"], p["start_ms"], p["end_ms"], strict=True))), columns=["start_ms", "end_ms", "text"])
-        return out.assign(media_id=p["media_id"].iloc[0], turn_idx=p["turn_idx"].iloc[0], cue=range(len(out)))[["media_id", "turn_idx", "cue", "start_ms", "end_ms", "text"]]
+        rows = []
+        for turn, q in p.sort_values(["turn_idx", "k"]).groupby("turn_idx", sort=False):
+            rows += [(p["media_id"].iloc[0], turn, i, *c) for i, c in enumerate(folds.cue_chunks(list(zip(q["word"], q["start_ms"], q["end_ms"], strict=True))))]
+        return pd.DataFrame(rows, columns=["media_id", "turn_idx", "cue", "start_ms", "end_ms", "text"])
 
     w = words.select("media_id", "turn_idx", "k", F.trim("word").alias("word"), "start_ms", "end_ms").where("word <> '' and start_ms is not null and end_ms is not null")
-    c = w.groupBy("media_id", "turn_idx").applyInPandas(run, "media_id long, turn_idx long, cue long, start_ms long, end_ms long, text string")
+    return w.groupBy("media_id").applyInPandas(run, "media_id long, turn_idx long, cue long, start_ms long, end_ms long, text string")
+
+
+def met_half_way(cues):
+    """Of two cues that follow one another and overlap, also across turns, both meet in the middle; what then has no length, and blank
+    ones, go."""
     order = Window.partitionBy("media_id").orderBy("turn_idx", "cue")
     before, after = F.lag("end_ms").over(order), F.lead("start_ms").over(order)
-    c = c.withColumns({"s": F.when(before > F.col("start_ms"), F.floor((before + F.col("start_ms")) / 2)).otherwise(F.col("start_ms")), "e": F.when(after < F.col("end_ms"), F.floor((after + F.col("end_ms")) / 2)).otherwise(F.col("end_ms"))})
+    c = cues.withColumns({"s": F.when(before > F.col("start_ms"), F.floor((before + F.col("start_ms")) / 2)).otherwise(F.col("start_ms")), "e": F.when(after < F.col("end_ms"), F.floor((after + F.col("end_ms")) / 2)).otherwise(F.col("end_ms"))})
     return c.where("e > s and trim(text) <> ''").select("media_id", "turn_idx", "cue", F.col("s").alias("start_ms"), F.col("e").alias("end_ms"), "text")
 
 
+def timed_cues(words):
+    """Cues of timed words, where they overlap meeting half way."""
+    return met_half_way(chunk_cues(words))
+
+
 def crosstalk(spark, d):
     """Words whose turns begin 900 ms early when their number is a multiple of four: they overlap the turn before."""
     early = F.when((F.col("turn_idx") % 4 == 0) & (F.col("turn_idx") > 0), 900).otherwise(0)
@@ -100,16 +110,6 @@ def collapse_to_target(spark, d):
     return collapsed(swap_counts(V.occurrences(spark, d)), lambda turns, swaps: folds.collapse_to(turns, swaps, 3))
 
 
-@query()
-def name_variant_groups(spark, d):
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        to = folds.name_groups(list(zip(p["name"], p["n"], strict=True)))
-        return pd.DataFrame({"media_id": p["media_id"].iloc[0], "name": list(to), "head": list(to.values())})
-
-    names = spark.createDataFrame([(1, "Jan Novak", 40), (1, "Jan Novák", 9), (1, "Petra Mala", 30), (1, "Jan Novak (guest)", 3)], "media_id long, name string, n long")
-    return names.groupBy("media_id").applyInPandas(run, "media_id long, name string, head string")
-
-
 @query(f"with {V.TURN} select media_id, row_number() over (partition by media_id order by turn_idx) - 1 as cue_idx, speaker, trim(regexp_replace(text, '\\s+', ' ', 'g')) as text, start_ms, end_ms from turn_v where n > 0")
 def vtt_parse_roundtrip(spark, d):
     return vtt.parse(vtt.render(V.turns(spark, d).where("n > 0")))

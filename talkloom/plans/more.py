@@ -105,10 +105,12 @@ def screen_note_interleave(spark, d):
     return T.asof_join(f, t, "hit").where("hit is not null").select("media_id", "page_id", F.col("hit").alias("turn_idx"))
 
 
-@query(f"with {V.SEG}, x as (select *, lag(language) over (partition by media_id order by doc_id, seg_idx) as p from seg_v) select media_id, doc_id, seg_idx, language from x where p is distinct from language")
+@query(f"""with {V.SEG}, b as (select media_id, doc_id, seg_idx, case when (doc_id + seg_idx) % 4 = 1 then '' else language end as language from seg_v),
+ x as (select *, last_value(nullif(language, '') ignore nulls) over (partition by media_id order by doc_id, seg_idx rows between unbounded preceding and 1 preceding) as p from b) select media_id, doc_id, seg_idx, language from x where language <> '' and p is distinct from language""")
 def language_change_marker(spark, d):
-    s = V.segments(spark, d).withColumn("p", F.lag("language").over(W("media_id", ["doc_id", "seg_idx"])))
-    return s.where(~F.col("p").eqNullSafe(F.col("language"))).select("media_id", "doc_id", "seg_idx", "language")
+    """Segments whose language is known and another than the last known one; of some it isn't known."""
+    s = V.segments(spark, d).withColumn("language", F.when((F.col("doc_id") + F.col("seg_idx")) % 4 == 1, "").otherwise(F.col("language")))
+    return s.withColumn("new", X.new_language("language", W("media_id", ["doc_id", "seg_idx"]))).where("new").select("media_id", "doc_id", "seg_idx", "language")
 
 
 @query("with n as (select count(*) as n from pages), x as (select page_id, row_number() over (order by page_id) - 1 as r from pages) select distinct page_id from x, n, range(40) t(i) where r = floor(i * n / 40)")

@@ -114,11 +114,92 @@ def test_duplicates_after_cleaning(spark):
 
 def test_turns_from_words(spark):
     words = [("m", 0, 0, " Hello", "A", 100, 300), ("m", 0, 1, "you.", "A", None, None), ("m", 0, 2, "Yes", "B", None, None), ("m", 1, 0, "sure", None, 2000, 2400), ("m", 1, 1, "", "C", 1, 2), ("m", 3, 0, "end", "B", 9000, 9100)]
-    segments = [("m", 0, "A", "Hello you. Yes", 50, 1900), ("m", 1, "B", "sure", 1950, 2500), ("m", 2, None, "  no  words ", 3000, 3500), ("m", 3, "B", "end", 8900, 9200), ("m", 4, "B", " ", 9200, 9300)]
+    segments = [("m", 0, "A", "Hello you. Yes", 50, 1900, "cs"), ("m", 1, "B", "sure", 1950, 2500, "sk"), ("m", 2, None, "  no  words ", 3000, 3500, ""), ("m", 3, "B", "end", 8900, 9200, "cs"), ("m", 4, "B", " ", 9200, 9300, "cs")]
+    got = [tuple(r)[1:] for r in built(spark, words, segments)]
+    assert got == [(1, "B", "cs", 50, 2400, "Yes sure"), (2, "A", "cs", 100, 300, "Hello you."), (3, "UNKNOWN", "", 3000, 3500, "no words"), (4, "B", "cs", 9000, 9100, "end")]
+
+
+def built(spark, words, segments):
     w = spark.createDataFrame(words, "media_id string, seg long, k long, word string, label string, start_ms long, end_ms long")
-    s = spark.createDataFrame(segments, "media_id string, seg long, label string, text string, start_ms long, end_ms long")
-    got = sorted(map(tuple, exports.turns_from_words(w, s).select("turn", "speaker", "start_ms", "end_ms", "text").collect()))
-    assert got == [(1, "A", 100, 300, "Hello you."), (2, "B", 50, 2400, "Yes sure"), (3, "UNKNOWN", 3000, 3500, "no words"), (4, "B", 9000, 9100, "end")]
+    s = spark.createDataFrame(segments, "media_id string, seg long, label string, text string, start_ms long, end_ms long, language string")
+    return sorted(exports.turns_from_words(w, s).select("media_id", "turn", "speaker", "language", "start_ms", "end_ms", "text").collect())
+
+
+def test_a_long_turn_of_another_speaker_joins_nothing(spark):
+    """A 0 to 10 s, B 4 to 5 s, B 6 to 7 s: the second B is a second after the first, whatever A does."""
+    segments = [("m", 0, "A", "a", 0, 10_000, ""), ("m", 1, "B", "b", 4000, 5000, ""), ("m", 2, "B", "c", 6000, 7000, ""), ("m", 3, "B", "d", 7800, 8000, "")]
+    assert [(r.speaker, r.start_ms, r.end_ms, r.text) for r in built(spark, [], segments)] == [("A", 0, 10_000, "a"), ("B", 4000, 5000, "b"), ("B", 6000, 8000, "c d")]
+
+
+def test_turns_of_any_segments_equal_appending(spark):
+    """Random segments, pushed one by one onto the last turn, and sorted by start at the end."""
+    import random
+
+    r, segments, want = random.Random(4), [], []
+    for m in range(40):
+        turns = []
+        for i in range(30):
+            start = r.randrange(0, 20_000)
+            row = (f"m{m}", i, r.choice(["A", "B", None, ""]), r.choice(["x y", " ", f"t{i}"]), start, start + r.randrange(0, 4000), r.choice(["", "cs"]))
+            segments.append(row)
+            who, text = row[2] or "UNKNOWN", " ".join(row[3].split())
+            if not text:
+                continue
+            if turns and turns[-1][1] == who and start - turns[-1][4] <= 800:
+                turns[-1][4] = max(turns[-1][4], row[5])
+                turns[-1][5] += " " + text
+            else:
+                turns.append([row[0], who, row[6], start, row[5], text])
+        turns.sort(key=lambda t: t[3])
+        want += [(t[0], i + 1, *t[1:3], *t[3:]) for i, t in enumerate(turns)]
+    assert [tuple(x) for x in built(spark, [], segments)] == sorted(want)
+
+
+def test_windows_of_a_long_recording(spark):
+    from pyspark.sql import functions as F
+
+    t = spark.range(100_000).select(F.lit(1).cast("long").alias("media_id"), F.col("id").alias("turn_idx"), (F.col("id") * 1000).alias("start_ms"), (F.col("id") * 1000 + F.pmod("id", F.lit(7)) * 30_000).alias("end_ms"))
+    got = {r.turn_idx: r.win for r in catalog.greedy_windows(t).collect()}
+    opened, win = None, 0
+    for i in range(100_000):
+        opened = i * 1000 if opened is None else opened
+        assert got[i] == win
+        if i * 1000 + i % 7 * 30_000 - opened >= 90_000:
+            opened, win = None, win + 1
+
+
+def test_captions_with_untimed_turns(spark):
+    from talkloom.plans.artifacts import untimed
+    from talkloom.plans.kernels import chunk_cues, crosstalk
+
+    got = sorted(map(tuple, exports.captions(spark, D).select("media_id", "turn_idx", "cue", "start_ms", "end_ms").collect()))
+    none = "turn_idx % 4 = 3"
+    every = [tuple(r) for x in (chunk_cues(crosstalk(spark, D).where(f"not {none}")), untimed(V.turns(spark, D).where(f"{none} and n > 0"))) for r in x.select("media_id", "turn_idx", "cue", "start_ms", "end_ms").collect()]
+    cues, met = [list(c) for c in sorted(every)], 0
+    for a, b in zip(cues, cues[1:]):
+        if a[0] == b[0] and b[3] < a[4]:
+            met += a[1] % 4 == 3
+            a[4] = b[3] = (a[4] + b[3]) // 2
+    assert got == [tuple(c) for c in cues if c[4] > c[3]] and met > 5
+
+
+def test_language_marks_follow_the_last_known_one(spark):
+    rows = [(1, i, "x", f"t{i}", lang, i * 1000, i * 1000 + 500, 1) for i, lang in enumerate(["", "cs", "", "cs", "sk", "", "sk", "cs"])]
+    t = spark.createDataFrame(rows, "media_id long, turn_idx long, speaker string, text string, language string, start_ms long, end_ms long, n long")
+    heads, notes = spark.createDataFrame([(1, "")], "media_id long, head string"), spark.createDataFrame([], "media_id long, t long, caption string")
+    marks = [x.rpartition("`")[0].rpartition("`")[2] for x in exports.markdown(t, heads, notes).first().value.split("\n") if x.startswith("## ")]
+    assert marks == ["", "cs", "", "", "sk", "", "", "cs"]
+
+
+def test_name_heads_and_canonical_names(spark):
+    from talkloom.plans import speech
+
+    names = spark.createDataFrame([(1, "Jan Novak", 40, 0), (1, "Jan Novák", 9, 1), (1, "Petra Mala", 30, 2), (1, "Jan Novak (guest)", 3, 3), (2, "Jan Novák", 1, 0)], "media_id long, name string, n long, first long")
+    heads = speech.name_heads(names)
+    assert {(r.media_id, r.name): r.head for r in heads.collect()} == {(1, "Jan Novak"): "Jan Novak", (1, "Jan Novák"): "Jan Novak", (1, "Petra Mala"): "Petra Mala", (1, "Jan Novak (guest)"): "Jan Novak (guest)", (2, "Jan Novák"): "Jan Novák"}
+    e = spark.createDataFrame([(1, "Jan Novak", "Jan Novák", True), (1, "Jan Novak", "Petra Mala", True)], "media_id long, a string, b string, same boolean")
+    assert {(r.media_id, r.name): r.canon for r in speech.canonical(names, heads, e).collect()}[1, "Jan Novák"] == "Jan Novak"
+    assert speech.canonical(names, heads, e.where("false")).where("canon <> name").count() == 0
 
 
 def test_markdown_text(spark):
