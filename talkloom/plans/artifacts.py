@@ -137,24 +137,6 @@ def run_segments(spark, d):
     return scans.run_segments(s, r, 4000)
 
 
-@query("select * from (values ('a', 12.5::double, 'aac', 16000, 1, false, null::varchar, null::integer, null::integer), ('b', 60.0, 'opus', 48000, 2, true, 'h264', 1920, 1080), ('d', 3.0, 'mp3', 0, 0, false, null, null, null)) as t(media_id, duration, codec, sample_rate, channels, has_video, video_codec, width, height)")
-def media_probe(spark, d):
-    """Probe documents: cover art and attached pictures are no video; a file without sound has no row."""
-    rows = [
-        ("a", '{"streams": [{"codec_type": "video", "codec_name": "mjpeg"}, {"codec_type": "audio", "codec_name": "aac", "sample_rate": "16000", "channels": 1}], "format": {"duration": "12.5"}}'),
-        ("b", '{"streams": [{"codec_type": "audio", "codec_name": "opus", "sample_rate": "48000", "channels": 2, "duration": "60.0"}, {"codec_type": "video", "codec_name": "h264", "width": 1920, "height": 1080}], "format": {}}'),
-        ("c", '{"streams": [{"codec_type": "video", "codec_name": "h264"}], "format": {"duration": "9"}}'),
-        ("d", '{"streams": [{"codec_type": "audio", "codec_name": "mp3"}, {"codec_type": "video", "codec_name": "hevc", "disposition": {"attached_pic": 1}}], "format": {"duration": "3.0"}}'),
-    ]
-    return scans.media_probe(spark.createDataFrame(rows, "media_id string, value string"))
-
-
-@query("select * from (values ('m', 0, '00001.jpg', 2500::bigint), ('m', 1, '00002.jpg', 13250)) as t(media_id, frame, path, t_ms)")
-def frame_log_scan(spark, d):
-    log = spark.createDataFrame([("m", "n:0 pts_time:1.5 x\nn:1 pts_time: 12.25\nn:2 pts_time:30", ["00002.jpg", "00001.jpg"], 1000)], "media_id string, value string, files array<string>, start_ms long")
-    return scans.frame_times(log)
-
-
 @query(f"""with {V.WORD} select media_id, turn_idx, k, regexp_extract(lower(word), '([\\p{{L}}\\p{{No}}\\p{{Nl}}]+)', 1) as w, (start_ms + end_ms) // 2 as t from word_v where regexp_matches(lower(word), '[\\p{{L}}\\p{{No}}\\p{{Nl}}]')""")
 def raw_stream_scan(spark, d):
     """The first letter token of each timed word, at its middle."""
@@ -336,18 +318,6 @@ def dq_arms_comparable(spark, d):
 
 # jobs and built-ins ------------------------------------------------------------------------------------------------------
 
-# fixed values: stages of a run and their shares of it
-STAGES = [("preprocess", 0.04), ("langid", 0.05), ("asr", 0.32), ("speakers", 0.19), ("screen", 0.12), ("llm", 0.16), ("align", 0.09), ("export", 0.03)]
-
-
-@query("with s as (select * from (values " + ", ".join(f"({i}, '{n}', {w}::double)" for i, (n, w) in enumerate(STAGES)) + ") as t(pos, stage, weight)) select pos, stage, round(least(1, coalesce(sum(weight) over (order by pos rows between unbounded preceding and 1 preceding), 0) + weight * 0.5), 6) as progress from s")
-def stage_progress(spark, d):
-    """Progress half-way through each stage."""
-    s = spark.createDataFrame([(i, n, w) for i, (n, w) in enumerate(STAGES)], "pos int, stage string, weight double")
-    done = F.coalesce(F.sum("weight").over(Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return s.select("pos", "stage", F.round(F.least(F.lit(1.0), done + F.col("weight") * 0.5), 6).alias("progress"))
-
-
 @query("select user_id, case when s = 'view' then 'error' else s end as status from (select user_id, (list(event_type order by ts desc, event_id desc))[1] as s from events group by 1)")
 def job_recovery(spark, d):
     """States after a restart; views stand for running jobs."""

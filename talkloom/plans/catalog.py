@@ -154,18 +154,6 @@ def language_shares(spark, d):
     return g.withColumn("dominant", F.row_number().over(Window.orderBy(F.desc("chars"), "language")) == 1)  # a row for each language
 
 
-# fixed values: languages that are easily taken for one another
-CONFUSABLE = [("cs", "sk"), ("hr", "sr", "bs", "sl"), ("da", "no", "nn", "sv"), ("ru", "uk", "be"), ("es", "gl", "pt"), ("id", "ms")]
-
-
-@query("select * from (values ('m1', 'cs, sk'), ('m3', 'da, sv')) as t(media_id, note)")
-def confusable_notes(spark, d):
-    shares = spark.sql("select * from values ('m1', 'cs', 0.90D), ('m1', 'sk', 0.05D), ('m2', 'cs', 0.96D), ('m2', 'sk', 0.04D), ('m3', 'da', 0.5D), ('m3', 'sv', 0.06D), ('m3', 'no', 0.04D) as t(media_id, language, share)")
-    groups = spark.createDataFrame([(i, x) for i, g in enumerate(CONFUSABLE) for x in g], "grp int, language string")
-    g = shares.where("share >= 0.05").join(F.broadcast(groups), "language").groupBy("media_id", "grp").agg(F.array_join(F.sort_array(F.collect_set("language")), ", ").alias("note"), F.count("*").alias("n"))
-    return g.where("n > 1").select("media_id", "note")
-
-
 _SMOOTH = f"""with {V.OCC}, n as (select *, lag(label) over w as p, lead(label) over w as q, count(*) over (partition by media_id) as total from occ_v window w as (partition by media_id order by pos)),
  sm as (select media_id, pos, start_ms, end_ms, case when total < 3 or p is null then label when q is null then p when label = q or label = p then label when p = q then p else p end as label from n)"""
 
@@ -415,15 +403,6 @@ def guardrail_verdicts(spark, d):
     return t.select("media_id", "turn_idx", v.alias("verdict"))
 
 
-@query("select id, text from (values (1, 'Hello.'), (2, 'again'), (3, 'third')) as t(id, text)")
-def numbered_reply_parse(spark, d):
-    """[n] lines of a reply: ids out of range are dropped, the last of an id wins, leaked labels go."""
-    reply = spark.createDataFrame([("[1] A: Hello.\nnoise\n[2] first\n [2] B: again\n[3] third\n[9] out",)], "reply string")
-    lines = reply.select(F.posexplode(F.split("reply", "\n")).alias("pos", "line")).where(F.col("line").rlike(r"^\s*\[\d+\]"))
-    p = lines.select("pos", F.regexp_extract("line", r"^\s*\[(\d+)\]\s*(.*)$", 1).cast("int").alias("id"), X.strip_label(F.regexp_extract("line", r"^\s*\[(\d+)\]\s*(.*)$", 2)).alias("text"))
-    return p.where("id between 1 and 3").groupBy("id").agg(F.max_by("text", "pos").alias("text"))
-
-
 _FRAME = f"with {V.SHOT}, " + r"""frame_v as (select page_id, media_id, list_distinct(list_transform(regexp_extract_all(regexp_replace(html, '<[^>]+>', ' ', 'g'), '([\p{L}\p{No}\p{Nl}][\p{L}\p{N}_./-]{2,})', 1), lambda x: lower(x))) as terms from shot_v)"""
 
 

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from talkloom.functions import text as X
 from talkloom.operators import folds
 from talkloom.operators import temporal as T
+from talkloom.plans import scoring
 from talkloom.plans import views as V
 from talkloom.plans.artifacts import caption_denoise, untimed
-from talkloom.plans.catalog import W, candidates, guardrail_verdicts, query
+from talkloom.plans.catalog import ORACLE, W, candidates, guardrail_verdicts, query
 from talkloom.plans.kernels import chunk_cues, crosstalk, met_half_way
 from talkloom.plans.owners import aligned_quote
-from talkloom.plans.scoring import witness_error
 from talkloom.sources import scans, vtt
 
 NAMES = {"user": "Anna", "assistant": "Ota"}
@@ -214,9 +214,27 @@ def relabelled_turns(spark, d):
 
 @query()
 def wording_report(spark, d):
-    """The scores of a wording comparison as one JSON document."""
-    e = witness_error(spark, d).groupBy().agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("stream", F.struct("witnesses", "missing", "substituted", "error"))))).alias("streams"))
-    return e.select(F.to_json(F.struct("streams")).alias("value"))
+    """A wording comparison as one JSON document: errors where two others agree, the control over all columns, how each reading departs
+    from the other two, what the correction did, known bad pairs, the 40 most frequent errors, and the pooled verdict."""
+    x = scoring.judged(V.columns(spark, d))
+    by = lambda df, key: df.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, F.struct(*[c for c in df.columns if c != key]))))))
+    listed = lambda df: df.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("rank"), *df.columns))))
+    top = x.where("bc and not a1c").groupBy(F.col("a1").alias("mine"), F.col("c").alias("ref")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "mine", "ref").limit(40)
+    parts = {"witness_error": by(scoring.errors(x), "stream"), "control_error": by(scoring.control(x), "stream"), "legs": by(scoring.leave_one_out(spark, d), "engine"), "merge": by(scoring.merge_buckets(spark, d), "bucket"), "known_bad": listed(scoring.known_bad_pairs(spark, d)), "top_errors": listed(top), "bootstrap": by(scoring.pooled_block_bootstrap(spark, d).withColumn("arms", F.lit("a1 - a0")), "arms")}
+    out = None
+    for name, df in parts.items():  # one row each
+        row = df.toDF(name)
+        out = row if out is None else out.crossJoin(F.broadcast(row))
+    return out.select(F.to_json(F.struct(*parts)).alias("value"))
+
+
+@query(f"select stream, witnesses, error, n, verdict from ({{}}) e, ({{}}) p".format(ORACLE["witness_error"], ORACLE["pooled_block_bootstrap"]))
+def wording_report_scan(spark, d):
+    """The report, read back: errors of each stream and the verdict."""
+    kinds = "witness_error map<string, struct<witnesses: long, error: double>>, bootstrap map<string, struct<n: long, verdict: string>>"
+    r = wording_report(spark, d).select(F.from_json("value", kinds).alias("r"))
+    v = F.element_at("r.bootstrap", F.lit("a1 - a0"))
+    return r.select(v["n"].alias("n"), v["verdict"].alias("verdict"), F.explode("r.witness_error").alias("stream", "e")).select("stream", "e.witnesses", "e.error", "n", "verdict")
 
 
 @query("with r as (select doc_id % 3 as run, avg(quality) as score from labels group by 1) select round(min(score), 6) as lo, round(max(score), 6) as hi, 3::bigint as runs from r")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from talkloom.functions import forms
 from talkloom.functions import text as X
+from talkloom.operators import similar
 from talkloom.operators import temporal as T
 from talkloom.plans import views as V
 from talkloom.plans.catalog import _CAND, _VOICE, ONE_VOICE, W, candidates, interval_overlap_pairs, query, voice_pair_similarity
@@ -135,14 +136,6 @@ def llm_run_stats(spark, d):
     return x.where("left < upto and left >= upto - n").select("event_type", F.col("total").alias("n"), F.col("value").alias("upper_median"))
 
 
-@query("with a as (select substr(sha256('' || '{\"stage\":\"asr\",\"beam\":5}'), 1, 16) as fp), b as (select substr(sha256(fp || '{\"stage\":\"align\",\"beam\":0}'), 1, 16) as fp from a), c as (select substr(sha256(fp || '{\"stage\":\"llm\",\"beam\":1}'), 1, 16) as fp from b) select 1 as pos, 'asr' as stage, fp from a union all select 2, 'align', fp from b union all select 3, 'llm', fp from c")
-def stage_fingerprint_chain(spark, d):
-    """Each stage's fingerprint covers its settings and the stage before."""
-    s = spark.createDataFrame([(1, "asr", 5), (2, "align", 0), (3, "llm", 1)], "pos int, stage string, beam int")
-    g = s.groupBy().agg(F.sort_array(F.collect_list(F.struct("pos", "stage", F.to_json(F.struct("stage", "beam")).alias("j")))).alias("s"))
-    return g.select(F.expr("inline(aggregate(s, named_struct('fp', '', 'out', cast(array() as array<struct<pos: int, stage: string, fp: string>>)), (a, x) -> named_struct('fp', substring(sha2(concat(a.fp, x.j), 256), 1, 16), 'out', concat(a.out, array(named_struct('pos', x.pos, 'stage', x.stage, 'fp', substring(sha2(concat(a.fp, x.j), 256), 1, 16)))))).out)"))
-
-
 @query(f"with {V.CUE}, x as (select *, max(end_ms) over (partition by media_id order by start_ms, turn_idx, k rows between unbounded preceding and 1 preceding) as before, max(end_ms) over (partition by media_id) - 1000 as stop from cue_v) select media_id, count(*) filter (end_ms <= start_ms) as empty_cues, count(*) filter (start_ms < before) as overlaps, count(*) filter (end_ms > stop) as past from x group by media_id")
 def dq_cue_times(spark, d):
     w = W("media_id", ["start_ms", "turn_idx", "k"]).rowsBetween(Window.unboundedPreceding, -1)
@@ -157,32 +150,18 @@ def near_miss_terms(spark, d):
     from talkloom.plans.catalog import chrome_terms
 
     f = V.shots(spark, d).select("media_id", "page_id", "t", F.explode(F.array_distinct(X.screen_tokens(F.regexp_replace("html", "<[^>]+>", " ")))).alias("term")).withColumn("low", F.lower("term"))
-    vocab = f.select("media_id", "low").distinct()
-    # a piece of another term: the substrings of each term, never pairs of terms
-    pieces = F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.length("low")), lambda i: F.transform(F.sequence(F.lit(1), F.length("low") - i + 1), lambda n: F.substr(F.col("low"), i, n)))))
-    inner = vocab.select("media_id", "low", pieces.alias("piece")).where("piece <> low and length(piece) >= 4").select("media_id", F.col("piece").alias("low")).distinct()
+    inner = similar.inner_terms(f.select("media_id", "low").distinct())
     chrome = chrome_terms(spark, d).select("media_id", F.col("term").alias("low"))
     f = f.where(F.length("low") >= 4).join(chrome, ["media_id", "low"], "left_anti").join(inner, ["media_id", "low"], "left_anti")
     win = F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("t") - 30_000) / 90_000)), F.floor((F.col("t") + 30_000) / 90_000)))
     seen = f.withColumn("win", win).groupBy("media_id", "win", "term", "low").agg(F.count("*").alias("n")).where("n >= 2")
     spoken = V.words(spark, d).select("media_id", F.floor(F.col("start_ms") / 90_000).alias("win"), F.explode(X.screen_tokens(F.lower("word"))).alias("s")).distinct()
     seen = seen.join(spoken.select("media_id", "win", F.col("s").alias("low")), ["media_id", "win", "low"], "left_anti")
-    # ratios of 0.55 and more need lengths within a factor
-    near = F.least(F.length("low"), F.length("s")) * 2 >= (F.length("low") + F.length("s")) * 0.55
-    x = seen.join(spoken, ["media_id", "win"]).where(near).withColumn("ratio", X.similarity("low", "s"))
+    x = similar.near_pairs(seen, spoken, ["media_id", "win"], "low", "s", 0.55)
     x = x.groupBy("media_id", "win", "term", "n").agg(F.max("ratio").alias("ratio")).where("ratio between 0.55 and 0.97")
     return x.withColumn("rank", F.row_number().over(W(["media_id", "win"], [F.desc("ratio"), F.desc("n"), F.desc("term")]))).where("rank <= 20").withColumn("ratio", F.round("ratio", 6))
 
 
-@query("select 0::bigint as i, 'ahoj' as word, 150::bigint as t_ms, 0.8::double as conf union all select 1, 'svete', 550, 0.5::double")
-def subword_token_scan(spark, d):
-    """Sub-word tokens to words: a word's time is the middle of its tokens', its confidence their least."""
-    s = spark.createDataFrame([(0, "Aho", 0, 100, 0.9), (1, "j", 100, 300, 0.8), (2, " sv", 300, 500, 0.7), (3, "ete", 500, 800, 0.5), (4, ".", 800, 900, 1.0)], "pos int, text string, start_ms long, end_ms long, conf double")
-    letters = s.where(F.col("text").rlike(r"\p{L}")).withColumn("i", F.sum(F.col("text").startswith(" ").cast("long")).over(Window.orderBy("pos")))
-    g = letters.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("x"), ((F.min("start_ms") + F.max("end_ms")) / 2).cast("long").alias("t_ms"), F.min("conf").alias("conf"))
-    return g.select("i", F.lower(F.trim(F.array_join(F.transform("x", lambda v: v["text"]), ""))).alias("word"), "t_ms", "conf")
-
-
 @query("select l_returnflag, count(distinct l_suppkey) as suppliers, sum(case when l_linestatus = 'O' then 1 else 0 end)::bigint as o, sum(case when l_linestatus = 'F' then 1 else 0 end)::bigint as f from lineitem group by 1")
 def distinct_and_pivot(spark, d):
     t = V.table(spark, d, "lineitem")

@@ -62,12 +62,26 @@ def nearest_anchor_fill(spark, d):
     return _filled(spark, d).select(*_ID, "owner")
 
 
-@query(_FILL + """, m as (select media_id, turn_idx, owner, count(*) as n, min(k) as first from filled where owner is not null group by all)
- select media_id, turn_idx, owner from m qualify row_number() over (partition by media_id, turn_idx order by n desc, first) = 1""")
+_LOOK_TURNS = _LOOK.replace("ask w", "ask_t w").replace("ix as", "ix_t as").replace("from ix ", "from ix_t ix ").replace("hit as", "hit_t as").replace("near as", "near_t as").replace("own as", "own_t as").replace("left join hit ", "left join hit_t hit ").replace("left join near ", "left join near_t near ")
+
+
+@query(_FILL + f""", m as (select media_id, turn_idx, owner, count(*) as n, min(k) as first from filled where owner is not null and turn_idx % 6 <> 5 group by all),
+ said as (select media_id, turn_idx, owner from m qualify row_number() over (partition by media_id, turn_idx order by n desc, first) = 1),
+ ask_t as (select media_id, turn_idx, 0 as k, start_ms, end_ms from turn_v where (media_id, turn_idx) not in (select media_id, turn_idx from said)), {_LOOK_TURNS}
+ select * from said union all select media_id, turn_idx, owner from own_t""")
 def segment_owner(spark, d):
-    """A segment's label: what most of its words say; of equally many the one that comes first."""
-    m = _filled(spark, d).where("owner is not null").groupBy("media_id", "turn_idx", "owner").agg(F.count("*").alias("n"), F.min("k").alias("first"))
-    return m.groupBy("media_id", "turn_idx").agg(F.min_by("owner", F.struct((-F.col("n")).alias("n"), "first")).alias("owner"))
+    """A segment's label: what most of its words say; of equally many the one that comes first; by the clock for segments without
+    words, which every sixth is here."""
+    w = _filled(spark, d).where("turn_idx % 6 <> 5")
+    return segment_labels(w, V.turns(spark, d).select("media_id", "turn_idx", "start_ms", "end_ms"), V.lines(spark, d))
+
+
+def segment_labels(words: DataFrame, segments: DataFrame, cues: DataFrame) -> DataFrame:
+    """words (media_id, turn_idx, k, owner), segments (media_id, turn_idx, start_ms, end_ms) -> (media_id, turn_idx, owner)."""
+    m = words.where("owner is not null").groupBy("media_id", "turn_idx", "owner").agg(F.count("*").alias("n"), F.min("k").alias("first"))
+    said = m.groupBy("media_id", "turn_idx").agg(F.min_by("owner", F.struct((-F.col("n")).alias("n"), "first")).alias("owner"))
+    rest = segments.join(said, ["media_id", "turn_idx"], "left_anti")
+    return said.unionByName(T.owner_join(rest, cues, FILL).select("media_id", "turn_idx", "owner"))
 
 
 def aligned_quote_of(words: DataFrame, theirs: DataFrame) -> DataFrame:

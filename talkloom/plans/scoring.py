@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import difflib
+import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,7 +89,9 @@ _SAME = f"with {V.COLUMNS}, s as (select *, {_same('b', 'c')} as bc, {_same('a0'
 
 def judged(x: DataFrame) -> DataFrame:
     """Columns with what counts as the same word: bc, a0c, a1c, a0b, a1b, a01; null where a reading has no word."""
-    return x.withColumns({n: forms.same(F.col(p), F.col(q)) for n, p, q in (("bc", "b", "c"), ("a0c", "a0", "c"), ("a1c", "a1", "c"), ("a0b", "a0", "b"), ("a1b", "a1", "b"), ("a01", "a0", "a1"))})
+    pairs = {"bc": ("b", "c"), "a0c": ("a0", "c"), "a1c": ("a1", "c"), "a0b": ("a0", "b"), "a1b": ("a1", "b"), "a01": ("a0", "a1")}
+    x = x.withColumn("__alike", forms.alike({n: (F.col(p), F.col(q)) for n, (p, q) in pairs.items()}))
+    return x.withColumns({n: F.when(F.col(p) == F.col(q), True).otherwise(F.col("__alike")[n]) for n, (p, q) in pairs.items()}).drop("__alike")
 
 
 def errors(x: DataFrame) -> DataFrame:
@@ -104,6 +106,18 @@ def witness_error(spark, d):
     return errors(judged(V.columns(spark, d)))
 
 
+def control(x: DataFrame) -> DataFrame:
+    """errors() against c over all columns, whatever b says: a change is real only if this falls as well."""
+    s = x.agg(F.count("*").alias("n"), *[f for k in ("a0", "a1") for f in (F.count_if(F.col(k).isNull()).alias(f"{k}_m"), F.count_if(~F.col(f"{k}c")).alias(f"{k}_s"))])
+    row = lambda k: F.struct(F.lit(k).alias("stream"), F.col("n").alias("columns"), F.col(f"{k}_m").alias("missing"), F.col(f"{k}_s").alias("substituted"), F.round((F.col(f"{k}_m") + F.col(f"{k}_s")) / F.greatest(F.col("n"), F.lit(1)), 6).alias("error"))
+    return s.select(F.inline(F.array(row("a0"), row("a1"))))
+
+
+@query(_SAME + " " + " union all ".join(f"select '{k}' as stream, count(*) as columns, count(*) filter ({k} is null) as missing, count(*) filter (not {k}c) as substituted, round((count(*) filter ({k} is null) + count(*) filter (not {k}c))::double / greatest(count(*), 1), 6) as error from s" for k in ("a0", "a1")))
+def control_error(spark, d):
+    return control(judged(V.columns(spark, d)))
+
+
 @query()
 def built_witness_error(spark, d):
     """The error over columns that alignment has built, not over the lattice that it should find."""
@@ -159,36 +173,82 @@ def glossary_candidates(spark, d):
     return x.join(have, "c", "left_anti").withColumnRenamed("c", "term")
 
 
-def bootstrap(flags: DataFrame) -> DataFrame:
-    """flags (media_id, t, fa, fb): whether two arms are wrong at each witness column -> for each recording the difference b - a, the
-    ends of its 95 % interval over DRAWS resamples of 60 s blocks, the columns that one arm alone has wrong, and the verdict.
-    Columns are summed to blocks first; a recording's blocks are bounded by its length. Draws follow a fixed rule."""
-    b = flags.groupBy("media_id", F.floor(F.col("t") / BLOCK_MS).alias("block")).agg(F.sum("fa").alias("ea"), F.sum("fb").alias("eb"), F.count("*").alias("n"), F.count_if(F.expr("fa = 1 and fb = 0")).alias("a_only"), F.count_if(F.expr("fb = 1 and fa = 0")).alias("b_only"))
+def blocks(flags: DataFrame) -> DataFrame:
+    """flags (media_id, t, fa, fb): whether two arms are wrong at each witness column -> sums of 60 s blocks: errors of either arm,
+    columns, and those that one arm alone has wrong."""
+    one = lambda e: F.count_if(F.expr(e))
+    return flags.groupBy("media_id", F.floor(F.col("t") / BLOCK_MS).alias("block")).agg(F.sum("fa").cast("long").alias("ea"), F.sum("fb").cast("long").alias("eb"), F.count("*").alias("n"), one("fa = 1 and fb = 0").alias("a_only"), one("fb = 1 and fa = 0").alias("b_only"))
+
+
+_VERDICT = "case when lo <= 0 and hi >= 0 then 'not resolvable' when hi < 0 then 'better' else 'worse' end"
+
+
+def bootstrap(b: DataFrame) -> DataFrame:
+    """blocks() -> for each recording the difference b - a of the arms, the ends of its 95 % interval over DRAWS resamples of its blocks
+    with replacement, the columns that one arm alone has wrong, and the verdict. Slot s of draw d takes the block that the MD5 of
+    (recording, d, s) names: uniform, and the same everywhere. A recording's blocks are bounded by its length; draws are rows."""
+    g = b.groupBy("media_id").agg(F.sort_array(F.collect_list(F.struct("block", (F.col("eb") - F.col("ea")).alias("e"), "n"))).alias("x"), (F.sum(F.col("eb") - F.col("ea")) / F.sum("n")).alias("point"), F.sum("a_only").alias("a_only"), F.sum("b_only").alias("b_only"))
+    pick = "x[cast(conv(substring(md5(concat(media_id, '|', d, '|', s)), 1, 8), 16, 10) as bigint) % size(x)]"
+    drawn = f"aggregate(transform(sequence(0, size(x) - 1), s -> {pick}), named_struct('e', 0L, 'n', 0L), (a, y) -> named_struct('e', a.e + y.e, 'n', a.n + y.n), a -> cast(a.e as double) / a.n)"
+    deltas = g.select("media_id", "x", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("d")).select("media_id", F.expr(drawn).alias("delta"))
+    ends = deltas.groupBy("media_id").agg(F.sort_array(F.collect_list("delta")).alias("v")).selectExpr("media_id", f"v[{int(0.025 * DRAWS)}] as lo", f"v[{int(0.975 * DRAWS)}] as hi")
+    out = g.drop("x").join(ends, "media_id").withColumn("verdict", F.expr(_VERDICT))
+    return out.select("media_id", *[F.round(c, 6).alias(c) for c in ("point", "lo", "hi")], "a_only", "b_only", "verdict")
+
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("block")
-        ea, eb, n = (p[c].to_numpy(np.int64) for c in ("ea", "eb", "n"))
-        k = len(n)
-        d, s = np.arange(DRAWS, dtype=np.int64)[:, None], np.arange(k, dtype=np.int64)[None, :]
-        at = (d * 7919 + s * 104729 + (d * s) % 1009 * 31) % k
-        delta = np.sort((eb - ea)[at].sum(axis=1) / n[at].sum(axis=1))
-        lo, hi = delta[int(0.025 * DRAWS)], delta[int(0.975 * DRAWS)]
-        verdict = "not resolvable" if lo <= 0 <= hi else "better" if hi < 0 else "worse"
-        return pd.DataFrame([(p["media_id"].iloc[0], (eb - ea).sum() / n.sum(), lo, hi, p["a_only"].sum(), p["b_only"].sum(), verdict)], columns=["media_id", "point", "lo", "hi", "a_only", "b_only", "verdict"])
+def _poisson() -> list[int]:
+    """Upper ends, of 2**32, of the values 0, 1, 2, ... of a Poisson variable of mean 1."""
+    p, total, out = math.exp(-1), 0.0, []
+    for k in range(13):
+        total += p
+        out.append(int(total * 2**32))
+        p /= k + 1
+    return out
+
+
+_WEIGHT = "case " + " ".join(f"when u < {t} then {k}" for k, t in enumerate(_poisson())) + " else 13 end"
+
+
+def pooled_bootstrap(b: DataFrame) -> DataFrame:
+    """blocks() of all recordings as one comparison: (point, lo, hi, a_only, b_only, blocks, n, verdict). A draw gives each block a
+    Poisson weight, read off the MD5 of (recording, block, draw), which is resampling with replacement for many blocks; all draws are
+    summed in one pass, with partial sums before the shuffle: DRAWS rows from each task. Draws without a block don't count."""
+    four = F.explode(F.sequence(F.lit(0), F.lit(DRAWS // 4 - 1))).alias("g")
+    x = b.select("media_id", "block", (F.col("eb") - F.col("ea")).alias("e"), "n", four).withColumn("h", F.expr("md5(concat(media_id, '|', block, '|', g))"))
+    u = F.inline(F.array(*[F.struct((4 * F.col("g") + j).alias("d"), F.conv(F.substring("h", 8 * j + 1, 8), 16, 10).cast("long").alias("u")) for j in range(4)]))
+    x = x.select("e", "n", u).withColumn("w", F.expr(_WEIGHT)).where("w > 0").groupBy("d").agg((F.sum(F.col("w") * F.col("e")) / F.sum(F.col("w") * F.col("n"))).alias("delta"))
+    v = x.agg(F.sort_array(F.collect_list("delta")).alias("v")).selectExpr("v[cast(floor(0.025 * size(v)) as int)] as lo", "v[cast(floor(0.975 * size(v)) as int)] as hi")
+    s = b.agg((F.sum(F.col("eb") - F.col("ea")) / F.sum("n")).alias("point"), F.sum("a_only").alias("a_only"), F.sum("b_only").alias("b_only"), F.count("*").alias("blocks"), F.sum("n").alias("n"))
+    return s.crossJoin(F.broadcast(v)).select(*[F.round(c, 6).alias(c) for c in ("point", "lo", "hi")], "a_only", "b_only", "blocks", "n", F.expr(_VERDICT).alias("verdict"))
 
-    out = b.groupBy("media_id").applyInPandas(run, "media_id long, point double, lo double, hi double, a_only long, b_only long, verdict string")
-    return out.withColumns({c: F.round(c, 6) for c in ("point", "lo", "hi")})
 
+def arms(spark, d) -> DataFrame:
+    """blocks() of the raw and the corrected reading where two others agree."""
+    wrong = lambda c: 1 - F.coalesce(F.col(c), F.lit(False)).cast("int")
+    return blocks(judged(V.columns(spark, d)).where("bc").select("media_id", "t", wrong("a0c").alias("fa"), wrong("a1c").alias("fb")))
+
+
+_BLOCKS = _SAME + f""", fl as (select media_id, t, 1 - coalesce(a0c, false)::int as fa, 1 - coalesce(a1c, false)::int as fb from s where bc),
+ b as (select media_id, t // {BLOCK_MS} as block, sum(fa)::bigint as ea, sum(fb)::bigint as eb, count(*) as n, count(*) filter (fa = 1 and fb = 0) as a_only, count(*) filter (fb = 1 and fa = 0) as b_only from fl group by all)"""
 
-@query(_SAME + f""", fl as (select media_id, t, 1 - coalesce(a0c, false)::int as fa, 1 - coalesce(a1c, false)::int as fb from s where bc),
- b as (select media_id, t // {BLOCK_MS} as block, sum(fa)::bigint as ea, sum(fb)::bigint as eb, count(*) as n, count(*) filter (fa = 1 and fb = 0) as a_only, count(*) filter (fb = 1 and fa = 0) as b_only from fl group by all),
- o as (select *, row_number() over (partition by media_id order by block) - 1 as i, count(*) over (partition by media_id) as k from b), m as (select media_id, max(k) as k from o group by 1),
- dr as (select media_id, d, (d * 7919 + s * 104729 + (d * s) % 1009 * 31) % k as i from m, range({DRAWS}) t(d), lateral (select unnest(range(k)) as s)),
+
+@query(_BLOCKS + f""", o as (select *, row_number() over (partition by media_id order by block) - 1 as i, count(*) over (partition by media_id) as k from b), m as (select media_id, max(k) as k from o group by 1),
+ dr as (select media_id, d, ('0x' || substr(md5(media_id || '|' || d || '|' || s), 1, 8))::bigint % k as i from m, range({DRAWS}) t(d), lateral (select unnest(range(k)) as s)),
  r as (select media_id, d, sum(eb - ea)::double / sum(n)::double as delta from dr join o using (media_id, i) group by all),
- e as (select media_id, list_sort(list(delta))[{DRAWS // 40 + 1}] as lo, list_sort(list(delta))[{DRAWS * 39 // 40 + 1}] as hi from r group by 1)
- select media_id, round(sum(eb - ea)::double / sum(n)::double, 6) as point, round(any_value(lo), 6) as lo, round(any_value(hi), 6) as hi, sum(a_only)::bigint as a_only, sum(b_only)::bigint as b_only,
- case when any_value(lo) <= 0 and any_value(hi) >= 0 then 'not resolvable' when any_value(hi) < 0 then 'better' else 'worse' end as verdict from b join e using (media_id) group by media_id""")
+ e as (select media_id, list_sort(list(delta))[{int(0.025 * DRAWS) + 1}] as lo, list_sort(list(delta))[{int(0.975 * DRAWS) + 1}] as hi from r group by 1),
+ p as (select media_id, sum(eb - ea)::double / sum(n)::double as point, sum(a_only)::bigint as a_only, sum(b_only)::bigint as b_only from b group by 1)
+ select media_id, round(point, 6) as point, round(lo, 6) as lo, round(hi, 6) as hi, a_only, b_only, {_VERDICT} as verdict from p join e using (media_id)""")
 def paired_block_bootstrap(spark, d):
     """Whether the corrected reading is better than the raw one where two others agree, for each recording."""
-    wrong = lambda c: 1 - F.coalesce(F.col(c), F.lit(False)).cast("int")
-    return bootstrap(judged(V.columns(spark, d)).where("bc").select("media_id", "t", wrong("a0c").alias("fa"), wrong("a1c").alias("fb")))
+    return bootstrap(arms(spark, d))
+
+
+@query(_BLOCKS + f""", h as (select eb - ea as e, n, g, md5(media_id || '|' || block || '|' || g) as h from b, range({DRAWS // 4}) t(g)),
+ x as (select e, n, 4 * g + j as d, ('0x' || substr(h, (8 * j + 1)::int, 8))::bigint as u from h, range(4) t(j)), w as (select *, {_WEIGHT} as w from x),
+ r as (select d, sum(w * e)::double / sum(w * n)::double as delta from w where w > 0 group by d), v as (select list_sort(list(delta)) as v from r),
+ e as (select v[floor(0.025 * len(v))::int + 1] as lo, v[floor(0.975 * len(v))::int + 1] as hi from v),
+ p as (select sum(eb - ea)::double / sum(n)::double as point, sum(a_only)::bigint as a_only, sum(b_only)::bigint as b_only, count(*) as blocks, sum(n)::bigint as n from b)
+ select round(point, 6) as point, round(lo, 6) as lo, round(hi, 6) as hi, a_only, b_only, blocks, n, {_VERDICT} as verdict from p, e""")
+def pooled_block_bootstrap(spark, d):
+    """The same for all recordings together."""
+    return pooled_bootstrap(arms(spark, d))

@@ -69,7 +69,7 @@ def media_probe(files: DataFrame) -> DataFrame:
 
 def frame_times(logs: DataFrame) -> DataFrame:
     """logs (media_id, value, files array<string>, start_ms) -> frames: the logged times in order, paired with the sorted files as far as both go."""
-    t = F.transform(F.regexp_extract_all("value", F.lit(_PTS), F.lit(1)), lambda x: (x.cast("double") * 1000).cast("long"))
+    t = F.transform(F.regexp_extract_all("value", F.lit(_PTS), F.lit(1)), lambda x: F.round(x.cast("double") * 1000).cast("long"))
     f = logs.select("media_id", "start_ms", F.arrays_zip(F.sort_array("files").alias("path"), t.alias("t")).alias("z"))
     x = f.select("media_id", "start_ms", F.posexplode("z").alias("frame", "z")).where("z.path is not null and z.t is not null")
     return x.select("media_id", "frame", "z.path", (F.col("z.t") + F.col("start_ms")).alias("t_ms"))
