@@ -78,18 +78,6 @@ def same(a: Column, b: Column) -> Column:
     return F.pandas_udf(_same, "boolean")(a, b)
 
 
-def alike(pairs: dict[str, tuple[Column, Column]]) -> Column:
-    """same() of several pairs of readings, a struct by name: one call in Python for all; equal readings aren't sent."""
-
-    names = list(pairs)
-
-    def run(*words: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({n: _same(words[2 * i], words[2 * i + 1]) for i, n in enumerate(names)})
-
-    sent = [F.when(a != b, x) for a, b in pairs.values() for x in (a, b)]
-    return F.pandas_udf(run, ", ".join(f"{n} boolean" for n in names))(*sent)
-
-
 def substantive(a: Column, b: Column) -> Column:
     """Whether two readings of a word differ by more than filler or spelling."""
     filler = (a.isin(FUNCTION_WORDS) & b.isin(FUNCTION_WORDS)) | ((F.length(a) < 4) & (F.length(b) < 4))

@@ -90,8 +90,7 @@ _SAME = f"with {V.COLUMNS}, s as (select *, {_same('b', 'c')} as bc, {_same('a0'
 def judged(x: DataFrame) -> DataFrame:
     """Columns with what counts as the same word: bc, a0c, a1c, a0b, a1b, a01; null where a reading has no word."""
     pairs = {"bc": ("b", "c"), "a0c": ("a0", "c"), "a1c": ("a1", "c"), "a0b": ("a0", "b"), "a1b": ("a1", "b"), "a01": ("a0", "a1")}
-    x = x.withColumn("__alike", forms.alike({n: (F.col(p), F.col(q)) for n, (p, q) in pairs.items()}))
-    return x.withColumns({n: F.when(F.col(p) == F.col(q), True).otherwise(F.col("__alike")[n]) for n, (p, q) in pairs.items()}).drop("__alike")
+    return x.withColumns({n: forms.same(F.col(p), F.col(q)) for n, (p, q) in pairs.items()})  # one call each: those not asked for are pruned
 
 
 def errors(x: DataFrame) -> DataFrame:
