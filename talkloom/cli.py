@@ -27,7 +27,7 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    from talkloom.plans import artifacts, catalog, exports, inputs, kernels, more, owners, review, scoring, speech, streams  # noqa: F401
+    from talkloom.plans import artifacts, catalog, exports, inputs, kernels, meetings, more, owners, review, scoring, speech, streams  # noqa: F401
 
     if args.command == "list":
         print("\n".join(sorted(catalog.QUERIES)))

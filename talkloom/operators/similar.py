@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkloom.functions import text as X
+from talkloom.operators import temporal as T
 
 
 def numbered_letters(word) -> Column:
@@ -49,3 +50,23 @@ def inner_terms(vocabulary: DataFrame) -> DataFrame:
         return pd.DataFrame({"media_id": p["media_id"].iloc[0], "low": sorted(found)})
 
     return vocabulary.select("media_id", "low").groupBy("media_id").applyInPandas(run, "media_id long, low string")
+
+
+def window_terms(frames: DataFrame, windows: DataFrame, spoken: DataFrame, chrome: DataFrame, pad_ms: int = 30_000, least_frames: int = 2, limit: int = 20, lo: float = 0.55, hi: float = 0.97) -> DataFrame:
+    """Terms on screen that may correct what a window's words say -> (media_id, win, term, n, ratio, rank).
+
+    frames (media_id, page_id, t, term), each term once a frame; windows (media_id, win, start_ms, end_ms), which may overlap; spoken
+    (media_id, win, s), lower-case words of a window; chrome (media_id, low), furniture. A term counts where it's on least_frames
+    frames within pad_ms of the window, both ends included, has four letters, isn't spoken there, is no piece of another term of the
+    recording, and its best ratio to a spoken word is from lo to hi. The closest, then the most frequent, then the last by name stay.
+    """
+    f = frames.withColumn("low", F.lower("term"))
+    inner = inner_terms(f.select("media_id", "low").distinct())
+    f = f.where(F.length("low") >= 4).join(chrome.select("media_id", "low").distinct(), ["media_id", "low"], "left_anti").join(inner, ["media_id", "low"], "left_anti")
+    at = T.interval_join(windows.select("media_id", "win", "start_ms", (F.col("end_ms") + 1).alias("end_ms")), f.selectExpr("media_id", "term", "low", "t as r_start", "t + 1 as r_end"), 60_000, pad_ms=pad_ms)
+    seen = at.groupBy("media_id", "win", "term", "low").agg(F.count("*").alias("n")).where(F.col("n") >= least_frames)
+    words = spoken.select("media_id", "win", "s").distinct()
+    seen = seen.join(words.withColumnRenamed("s", "low"), ["media_id", "win", "low"], "left_anti")
+    x = near_pairs(seen, words, ["media_id", "win"], "low", "s", lo).groupBy("media_id", "win", "term", "n").agg(F.max("ratio").alias("ratio")).where(F.col("ratio").between(lo, hi))
+    order = Window.partitionBy("media_id", "win").orderBy(F.desc("ratio"), F.desc("n"), F.desc("term"))
+    return x.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)

@@ -155,12 +155,14 @@ def merge_buckets(spark, d):
  g as (select regexp_matches(a1, '{TECHNICAL}') or regexp_matches(c, '{TECHNICAL}') as technical, a1 as mine, c as ref, count(*) as n, list_sort(list(t) filter (nth <= 3)) as times from e group by all)
  select technical, mine, ref, n, times, row_number() over (partition by technical order by n desc, mine, ref)::integer as rank from g qualify row_number() over (partition by technical order by n desc, mine, ref) <= 12""")
 def ranked_errors_topk(spark, d):
-    """The most frequent errors where two others agree, technical and other ones apart, with their first three times."""
+    """The most frequent errors where two others agree, technical and other ones apart, with their first three times: of each of
+    64 parts of a pair's times first, so that no task holds a frequent pair's."""
     e = judged(V.columns(spark, d)).where("bc and not a1c").select(F.col("a1").alias("mine"), F.col("c").alias("ref"), "t", "media_id", "turn_idx", "k")
     g = e.groupBy("mine", "ref").agg(F.count("*").alias("n")).withColumn("technical", F.col("mine").rlike(TECHNICAL) | F.col("ref").rlike(TECHNICAL))
     top = g.withColumn("rank", F.row_number().over(W("technical", [F.desc("n"), "mine", "ref"]))).where("rank <= 12")
-    nth = F.row_number().over(Window.partitionBy("mine", "ref").orderBy("t", "media_id", "turn_idx", "k"))
-    first = e.join(F.broadcast(top.select("mine", "ref")), ["mine", "ref"]).withColumn("nth", nth).where("nth <= 3").groupBy("mine", "ref").agg(F.sort_array(F.collect_list("t")).alias("times"))
+    nth = lambda *by: F.row_number().over(Window.partitionBy("mine", "ref", *by).orderBy("t", "media_id", "turn_idx", "k"))
+    first = e.join(F.broadcast(top.select("mine", "ref")), ["mine", "ref"]).withColumn("part", F.pmod(F.hash("media_id", "turn_idx"), F.lit(64)))
+    first = first.withColumn("nth", nth("part")).where("nth <= 3").withColumn("nth", nth()).where("nth <= 3").groupBy("mine", "ref").agg(F.sort_array(F.collect_list("t")).alias("times"))
     return top.join(first, ["mine", "ref"]).select("technical", "mine", "ref", "n", "times", "rank")
 
 

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from talkloom.plans import artifacts, catalog, exports, inputs, kernels, more, owners, review, scoring, speech, streams  # noqa: F401
+from talkloom.plans import artifacts, catalog, exports, inputs, kernels, meetings, more, owners, review, scoring, speech, streams  # noqa: F401
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
