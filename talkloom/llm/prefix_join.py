@@ -4,9 +4,10 @@
    sketch of fixed size (frequent ones go last in the order of shingles). Equal sets are one, whatever their number.
 2. One pass emits each set's prefix, split into parts by size bucket and class (see prefix_kernel).
 3. In a part, sets with identical prefixes and size are one group. Group pairs are filtered by the shingles that their prefixes
-   have in common: for each group its best few, and from long lists of a frequent shingle the neighbours alone. Sets of groups
-   with more, of cut lists, and of groups of several are noted.
-4. Group pairs are expanded to members: whole sets are verified; links give components.
+   have in common: for each group its best few, and from long lists of a frequent shingle the neighbours alone.
+4. Group pairs, and groups themselves, are expanded to members, all with all where these are few, else each with its opposite
+   one; whole sets are verified; links give components. Members of groups with more pairs than the best, of large groups and
+   of cut lists are noted.
 5. The noted sets are joined again, now with all their shingles as prefix (few near misses stay), all pairs of different
    components this time and no others, and verified.
 
@@ -160,23 +161,22 @@ def _part_pairs(first: bool, split: dict[int, tuple[int, int]]):
             mark = np.add.reduceat(mix(token + np.uint64(1)), at)
             o = np.lexsort((mark, length, n))
             new = np.concatenate(([True], (np.diff(n[o]) != 0) | (np.diff(length[o]) != 0) | (mark[o][1:] != mark[o][:-1])))
-            head = np.empty(len(ids), np.int64)
-            head[o] = o[np.flatnonzero(new)[np.cumsum(new) - 1]]
-            of_several = np.bincount(head, minlength=len(ids))[head] > 1
-            noted |= of_several
-            members = np.flatnonzero(head != np.arange(len(ids)))
-            got.append((ids[head[members]], ids[members]))
-            heads = np.flatnonzero(head == np.arange(len(ids)))
+            begin = np.flatnonzero(new)
+            of, heads = np.diff(np.append(begin, len(o))), o[begin]  # members of each group, in o from begin on
+            again = of > pk.MEMBERS  # groups whose members aren't all verified
+            i, j = pk.expanded(begin, of, *[np.flatnonzero(of > 1)] * 2, pk.MEMBERS**2)
+            got.append((ids[o[i[i < j]]], ids[o[j[i < j]]]))
             token, length = np.concatenate([token[at[h] : at[h] + length[h]] for h in heads]), length[heads]
             for x, y, common in pk.candidates(token, np.repeat(np.arange(len(heads)), length), n[heads], q, c, keep=share, most=pk.LONG_LIST):
                 if y is None:
-                    noted[heads[x]] = True
+                    again[x] = True
                     continue
                 best = pk.first_pairs(x, y, common)
-                x, y = heads[x], heads[y]
-                more = ~best | of_several[x] | of_several[y]
-                noted[x[more]] = noted[y[more]] = True
-                got.append((ids[x[best]], ids[y[best]]))
+                more = ~best | (of[x] * of[y] > pk.MEMBER_PAIRS)
+                again[x[more]] = again[y[more]] = True
+                i, j = pk.expanded(begin, of, x[best], y[best], pk.MEMBER_PAIRS)
+                got.append((ids[o[i]], ids[o[j]]))
+            noted[o] = np.repeat(again, of)
         else:
             for x, y, _ in pk.candidates(token, np.repeat(np.arange(len(ids)), length), n, q, c, group, share):
                 got.append((ids[x], ids[y]))

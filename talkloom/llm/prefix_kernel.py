@@ -28,6 +28,8 @@ FIRST_PAIRS = 3
 #: Postings of a token that are all paired in the first round; in longer lists each meets its next WINDOW ones and the PIVOTS
 #: documents of the list that have least besides shingles of long lists: what a group of near copies has in common.
 LONG_LIST, WINDOW, PIVOTS = 64, 4, 4
+#: Members of a group, and pairs of members of two groups, up to which all are paired; beyond it each has one partner.
+MEMBERS, MEMBER_PAIRS = 4, 16
 
 
 def levels(sketch: np.ndarray) -> np.ndarray:
@@ -164,6 +166,19 @@ def first_pairs(x: np.ndarray, y: np.ndarray, common: np.ndarray) -> np.ndarray:
     return keep
 
 
+def expanded(begin: np.ndarray, of: np.ndarray, x: np.ndarray, y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of groups (x, y) -> pairs of members (i, j): all with all up to most of them, else as many as the larger one has, a
+    member of one with the member of the other that stands at its place, round and round (of the same group: its first one).
+    A group g has the members begin[g], begin[g] + 1, ..., of[g] in number."""
+    a, b = of[x], of[y]
+    whole = a * b <= most
+    n = np.where(whole, a * b, np.maximum(a, b))
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    wide, left, right = np.repeat(b, n), np.repeat(a, n), np.repeat(whole, n)
+    one = np.where(right, k // wide, np.where(np.repeat(x == y, n), 0, k % left))
+    return np.repeat(begin[x], n) + one, np.repeat(begin[y], n) + k % wide
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     """100 * intersection >= 75 * union, for sorted distinct keys."""
     both = np.concatenate((a, b))
