@@ -26,6 +26,15 @@ PARTITION_WORDS, MOST_PARTITIONS = 2_000_000, 100_000
 BROADCAST_ROWS = 1_000_000
 _SPAN, _TREE_HEAD, _RUN = 1024, 6, 128
 
+#: Targets in DuckDB's SQL: sources in the order in which they reach their most; the first k of them do, and the others share the rest.
+TARGETS_SQL = r"""with d as (select doc_id, source, case when text is null then 0 else len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) end as size from documents),
+ s as (select source, sum(size)::bigint as source_size from d group by source),
+ w as (select *, [3.0::double, 1.0::double, 2.0::double][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight, 2.0::double * source_size as top from s),
+ o as (select *, row_number() over (order by top / weight, source nulls last) as k from w),
+ f as (select k, top, weight, (1.5::double * sum(source_size::double) over () - coalesce(sum(top) over (order by k rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (order by k rows between current row and unbounded following) as factor from o),
+ c as (select coalesce((select factor from f where factor * weight <= top order by k limit 1), 'infinity'::double) as factor)
+ select doc_id, size::bigint as size, source_size, least(top, factor * weight) as target from d join o on d.source is not distinct from o.source cross join c"""
+
 
 def checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, marked for broadcast if it has few rows."""

@@ -52,6 +52,16 @@ def op8_url_filter(spark, sf_dir):
     return url_filter.filter_urls(read(spark, sf_dir, "pages"), labels)
 
 
+def source_targets(spark, sf_dir):
+    """What op7 aims at: sizes of documents and sources, and the targets; the columns of its plan that SQL can express."""
+    return mixing.plan(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target")
+
+
+def url_rules(spark, sf_dir):
+    """The rules' part of op8: host, path, rule and its verdict, which SQL can express."""
+    return url_filter.ruled(read(spark, sf_dir, "pages"))
+
+
 def op9_bestfit_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -75,5 +85,5 @@ def op13_bpe(spark, sf_dir):
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_chat_formatting, op3_gif_media, op4_exact_topk, op5_lm_scoring, op6_warc_merkle_audit, op7_source_mixing, op8_url_filter, op9_bestfit_packing, op10_quality_classifier, op11_vector_codes, op12_collocations, op13_bpe)}
-ORACLE: dict[str, str] = {"op2_chat_formatting": chat.DIGESTS_SQL, "op4_exact_topk": topk.TOPK_SQL, "op6_warc_merkle_audit": warc.AUDIT_SQL, "op11_vector_codes": vector_code.COMPRESS_SQL, "op12_collocations": collocations.COLLOCATIONS_SQL}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_chat_formatting, op3_gif_media, op4_exact_topk, op5_lm_scoring, op6_warc_merkle_audit, op7_source_mixing, source_targets, op8_url_filter, url_rules, op9_bestfit_packing, op10_quality_classifier, op11_vector_codes, op12_collocations, op13_bpe)}
+ORACLE: dict[str, str] = {"op2_chat_formatting": chat.DIGESTS_SQL, "op4_exact_topk": topk.TOPK_SQL, "op6_warc_merkle_audit": warc.AUDIT_SQL, "source_targets": mixing.TARGETS_SQL, "url_rules": url_filter.RULES_SQL, "op11_vector_codes": vector_code.COMPRESS_SQL, "op12_collocations": collocations.COLLOCATIONS_SQL}

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from talkloom.llm.common import discard, written
 from talkloom.llm.mixing import checked
 
-SAMPLE, ROUNDS, DEPTH, BINS, RATE, RIDGE, FOLDS = 20_000, 8, 2, 8, 0.3, 1.0, 5
+SAMPLE, ROUNDS, DEPTH, BINS, RATE, RIDGE, FOLDS = 20_000, 16, 3, 16, 0.25, 1.0, 5
 #: Standard errors by which recall must exceed false positives for the cut to be moved.
 CLEAR = 3.0
 FEATURES = ("length", "depth", "digits", "entropy", "params", "hyphens", "labels", "suffix_pages", "suffix_rate")
@@ -25,6 +25,14 @@ _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host and path)
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
+#: ruled() in DuckDB's SQL.
+RULES_SQL = """with p as (select page_id, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages),
+ h as (select page_id, rest, regexp_extract(rest, '^[^/?#]*') as own from p),
+ x as (select page_id, translate(own, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(substr(rest, length(own) + 1), '^[^?#]*') as path from h),
+ r(verdict, rule, h, p) as (values ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'), ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/'))
+ select page_id, host, path, (select arg_max(rule, length(rule)) from r where (host = h or ends_with(host, '.' || h)) and starts_with(path, p)) as rule,
+        (select arg_max(verdict, length(rule)) from r where (host = h or ends_with(host, '.' || h)) and starts_with(path, p)) as verdict from x"""
+
 
 def parts(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of a URL; both empty for null and where there is no ://."""
@@ -46,6 +54,14 @@ def match(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return (rule, verdict) if rule is not None else (F.lit(None).cast("string"),) * 2
 
 
+def ruled(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
+    """(page_id, host, path, rule, verdict) for every row, by the rules alone: where none fits, rule and verdict are null."""
+    host, path = parts(F.col("url"))
+    p = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path"))
+    rule, verdict = match(F.col("host"), F.col("path"), rules)
+    return p.select("*", rule.alias("rule"), verdict.alias("verdict"))
+
+
 def features(pages: DataFrame) -> DataFrame:
     """Adds the lexical features of url (null: an empty one) and the suffix: the last two labels of the host."""
     u = F.coalesce(F.col("url"), F.lit(""))

@@ -113,6 +113,27 @@ def test_first_round_joins_a_star_without_forming_its_pairs():
     assert {y for x, y in pairs if x == 0} == set(range(1, n + 1)) and len(pairs) < 8 * n and len(got[-1][0]) == n + 1
 
 
+def test_group_pairs_expand_to_members():
+    """All with all where these are few; else everyone of the larger group has a partner, and everyone of the smaller one too."""
+    from talkloom.llm import prefix_kernel as pk
+
+    begin, of = np.array([0, 3, 5, 15]), np.array([3, 2, 10, 1])
+    members = [set(range(b, b + k)) for b, k in zip(begin, of)]
+    for x, y in itertools.product(range(4), repeat=2):
+        i, j = pk.expanded(begin, of, np.array([x]), np.array([y]), 16)
+        got = set(zip(i.tolist(), j.tolist()))
+        if of[x] * of[y] <= 16:
+            assert got == set(itertools.product(members[x], members[y])) and len(i) == len(got)
+        elif x == y:
+            assert got == {(begin[x], k) for k in members[x]}
+        else:
+            assert {a for a, _ in got} == members[x] and {b for _, b in got} == members[y] and len(i) == max(of[x], of[y])
+    both = pk.expanded(begin, of, np.array([0, 2, 1]), np.array([1, 1, 3]), 16)
+    apart = [pk.expanded(begin, of, np.array([x]), np.array([y]), 16) for x, y in ((0, 1), (2, 1), (1, 3))]
+    assert all((a == np.concatenate([p[k] for p in apart])).all() for k, a in enumerate(both))
+    assert all(len(a) == 0 for a in pk.expanded(begin, of, np.zeros(0, int), np.zeros(0, int), 16))
+
+
 def test_components_in_pieces(spark):
     random.seed(11)
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000 + random.randrange(400), 1000 + random.randrange(400)) for _ in range(300)] + [(5000, 5000), (7000, 6000), (6000, 7000)]
@@ -430,6 +451,21 @@ def test_mixing_equals_targets_by_hand(spark, edge):
             assert max(copies[s]) - min(copies[s]) <= 1
 
 
+def test_targets_equal_sql_on_edge_rows(spark, edge):
+    """Sources that reach their most, one by one and all at once, without words, and null."""
+    import duckdb
+
+    several = [(i, "w " * n, s) for i, (s, n) in enumerate([("a", 5), ("b", 900), ("c", 40), ("d", 0), ("e", 300), (None, 7), ("f", 2)])]
+    alone = [(1, "one two", "x"), (2, None, None)]
+    for df in (edge.select("doc_id", "text", "source"), *(spark.createDataFrame(r, "doc_id long, text string, source string") for r in (several, alone))):
+        con = duckdb.connect()
+        con.register("documents", df.toArrow())
+        key = lambda r: tuple((x is None, x) for x in r)
+        want = sorted(con.execute(f"select doc_id, size, source_size, target from ({mixing.TARGETS_SQL})").fetchall(), key=key)
+        got = sorted((tuple(r) for r in mixing.plan(df).select("doc_id", "size", "source_size", "target").collect()), key=key)
+        assert len(got) == len(want) and all(a[:3] == b[:3] and a[3] == pytest.approx(b[3], rel=1e-12) for a, b in zip(got, want, strict=True))
+
+
 def test_split_keeps_quotas(spark):
     q = spark.createDataFrame([(1, 1000), (2, 37), (3, 0), (4, 5)], "index int, quota long")
     got = mixing.split(q, 4).collect()
@@ -482,18 +518,12 @@ def test_url_rules_and_trees(spark):
     assert url_filter.filter_urls(df.limit(0), none).count() == 0
 
 
-URL_SQL = """with p as (select page_id, url, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages),
- h as (select page_id, regexp_extract(rest, '^[^/?#]*') as host0, rest from p), x as (select page_id, translate(host0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(substr(rest, length(host0) + 1), '^[^?#]*') as path from h),
- r(verdict, rule, h, p) as (values ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'), ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/'))
- select page_id, host, path, (select arg_max(rule, length(rule)) from r where (host = h or ends_with(host, '.' || h)) and starts_with(path, p)) as rule, (select arg_max(verdict, length(rule)) from r where (host = h or ends_with(host, '.' || h)) and starts_with(path, p)) as verdict from x"""
-
-
 def test_url_parts_and_rules_equal_sql(spark):
     import duckdb
 
     con = duckdb.connect()
     con.execute("create view pages as select * from '/root/testdata/sf0.01/pages.parquet'")
-    want = {r[0]: r[1:] for r in con.execute(URL_SQL).fetchall()}
+    want = {r[0]: r[1:] for r in con.execute(url_filter.RULES_SQL).fetchall()}
     got = queries.QUERIES["op8_url_filter"](spark, "/root/testdata/sf0.01").collect()
     assert len(got) == len(want)
     for r in got:
