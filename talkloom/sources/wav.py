@@ -52,9 +52,11 @@ def _mono(body: bytes, code: int, channels: int, rate: int, bits: int, name: str
 
 
 def render(samples: np.ndarray, rate: int) -> bytes:
-    """A mono file of 16-bit samples."""
-    body = samples.astype("<i2").tobytes()
-    return b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, 2 * rate, 2, 16) + b"data" + struct.pack("<I", len(body)) + body
+    """A mono file of 16-bit samples; of 32-bit floats on the same scale, where a sample is louder than 16 bits can say."""
+    loud = len(samples) and (samples.max() > 32767 or samples.min() < -32768)
+    code, wide = (3, 4) if loud else (1, 2)
+    body = ((samples / 32768).astype("<f4") if loud else samples.astype("<i2")).tobytes()
+    return b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, code, 1, rate, wide * rate, wide, 8 * wide) + b"data" + struct.pack("<I", len(body)) + body
 
 
 def decode(files: DataFrame, rate: int | None = None, piece_s: float = PIECE_S) -> DataFrame:
@@ -121,12 +123,12 @@ def loudest_windows(pieces: DataFrame, n: int, window_s: float = WINDOW_S, hop_s
     got = ends.join(sums, ["path", "piece"]).groupBy("path", "bucket", "pos", "win").agg(F.sum(F.col("sign") * upto).alias("sq"))
     got = got.withColumn("rms", F.sqrt(F.greatest(F.lit(0.0), F.col("sq")) / F.col("win") + 1e-12))
     floor = got.where("bucket < 0").groupBy("path").agg(F.percentile("rms", F.lit(0.2)).alias("quiet"))
-    best = got.where("bucket >= 0").groupBy("path", "bucket").agg(F.min_by(F.struct("pos", "rms"), F.struct((-F.col("rms")).alias("r"), "pos")).alias("b"))
+    best = got.where("bucket >= 0").groupBy("path", "bucket").agg(F.min_by(F.struct("pos", "rms"), F.struct((-F.round("rms", 9)).alias("r"), "pos")).alias("b"))
     best = best.join(floor, "path").where("b.rms >= quiet").select("path", F.col("bucket").cast("long").alias("bucket"), F.col("b.pos").alias("pos"), F.col("b.rms").alias("rms"))
     none = files.join(best.select("path").distinct(), "path", "left_anti").select("path", F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("pos"), F.lit(None).cast("double").alias("rms"))
     return best.unionByName(none).join(files.select("path", "rate"), "path").select("path", "bucket", (F.col("pos") / F.col("rate")).alias("start"), "rms")
 
 
 def rendered(samples, rate: int) -> F.Column:
-    """The WAV file of an array of 16-bit samples."""
+    """The WAV file of an array of samples, of which 32768 is full scale."""
     return F.pandas_udf(lambda s: pd.Series([render(np.asarray(x), rate) for x in s]), "binary")(samples)

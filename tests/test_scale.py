@@ -27,3 +27,12 @@ def test_names_keep_entities_that_the_sql_does_not_know(spark, tmp_path):
     titles = ["a&amp;b", "cut &amp", "&eacute;&lt;b&gt;", "&amp;lt;", "&#39;x&#x27;", "&quot;q&quot; ` r", ""]
     pages = spark.createDataFrame([(i, "u", f"<html><title>{t}</title>") for i, t in enumerate(titles)], "page_id long, url string, html string")
     against_sql(spark, tables(tmp_path, pages=pages), "name_clean")
+
+
+def test_samples_louder_than_16_bits(spark, tmp_path):
+    """Values of 560 are 33,600 of 32,768; two windows whose loudness differs by less than 1e-9 are equally loud, and the first counts."""
+    value = lambda u, i: 9_000 * (1 + u) / 60 if i % 11 == 3 else 546.75 if i == 40 else (i * 37 + u) % 50 / 60
+    rows = [(u * 1000 + i, u, value(u, i)) for u in range(4) for i in range(70 + u)]
+    rows += [(9000 + i, 9, 16_000 / 60 if i in (14, 22) else 1 / 60 if i == 23 else 0.0) for i in range(60)]
+    e = spark.createDataFrame(rows, "event_id long, user_id long, value double").selectExpr("event_id", "cast(timestamp_seconds(1700000000 + event_id) as timestamp_ntz) as ts", "user_id", "'view' as event_type", "value", "'{}' as props")
+    against_sql(spark, tables(tmp_path, events=e), "wav_slice_rms", "wav_loudest_windows")
