@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkloom.functions import text as X
+from talkloom.operators import bulk
 from talkloom.operators import temporal as T
 
 
@@ -36,10 +36,10 @@ def inner_terms(vocabulary: DataFrame) -> DataFrame:
     """vocabulary (media_id, low) -> those terms that are a piece of another of the same recording: one run of an Aho-Corasick automaton
     over its terms, so that time is linear in their length. A recording's terms are what one task holds."""
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
+    def run(key, low):
         import ahocorasick
 
-        terms, found = sorted(set(p["low"]) - {""}), set()
+        terms, found = sorted(set(low) - {""}), set()
         machine = ahocorasick.Automaton()
         for t in terms:
             machine.add_word(t, t)
@@ -47,9 +47,9 @@ def inner_terms(vocabulary: DataFrame) -> DataFrame:
             machine.make_automaton()
             for t in terms:
                 found |= {x for _, x in machine.iter(t) if x != t}
-        return pd.DataFrame({"media_id": p["media_id"].iloc[0], "low": sorted(found)})
+        return [(*key, x) for x in sorted(found)]
 
-    return vocabulary.select("media_id", "low").groupBy("media_id").applyInPandas(run, "media_id long, low string")
+    return bulk.folded(vocabulary, ["media_id"], ["low"], ["low"], run, "media_id long, low string")
 
 
 def window_terms(frames: DataFrame, windows: DataFrame, spoken: DataFrame, chrome: DataFrame, pad_ms: int = 30_000, least_frames: int = 2, limit: int = 20, lo: float = 0.55, hi: float = 0.97) -> DataFrame:

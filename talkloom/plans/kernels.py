@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from talkloom.operators import folds
+from talkloom.operators import bulk, folds
 from talkloom.plans import views as V
 from talkloom.plans.catalog import QUERIES, W, query, removal_reason  # noqa: F401
 from talkloom.sources import vtt
@@ -26,14 +26,13 @@ def consecutive_duplicate_drop(spark, d):
     """Lines of documents as cleaned: without empty and boilerplate ones, loops collapsed, and without those that the last kept ones
     repeat."""
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("seg_idx")
-        return p[folds.keep_lines(p["norm"].tolist())][["doc_id", "seg_idx", "text"]]
+    def run(key, at, texts, norms):
+        return [(*key, i, t) for i, t, ok in zip(at, texts, folds.keep_lines(norms), strict=True) if ok]
 
     s = V.segments(spark, d).where(removal_reason(F.col("text"), F.col("language")).isNull())
     s = s.select("doc_id", "seg_idx", F.pandas_udf(_loops, "text string, n int")(F.trim("text"))["text"].alias("text"))
     norm = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}_]+", " "))
-    return s.withColumn("norm", norm).groupBy("doc_id").applyInPandas(run, "doc_id long, seg_idx long, text string")
+    return bulk.folded(s.withColumn("norm", norm), ["doc_id"], ["seg_idx"], ["seg_idx", "text", "norm"], run, "doc_id long, seg_idx long, text string")
 
 
 @query()

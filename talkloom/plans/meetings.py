@@ -46,8 +46,8 @@ def canonical_cues(spark, d):
 
 def on_screen(spark, d) -> DataFrame:
     """(media_id, page_id, t, term): terms of frames; every third frame also shows two words of a turn in another spelling."""
-    s = V.shots(spark, d)
-    f = s.select("media_id", "page_id", "t", F.explode(F.array_distinct(X.screen_tokens(F.regexp_replace("html", "<[^>]+>", " ")))).alias("term"))
+    s = V.shots(spark, d, terms=F.array_distinct(X.screen_tokens(F.regexp_replace("html", "<[^>]+>", " "))))
+    f = s.select("media_id", "page_id", "t", F.explode("terms").alias("term"))
     w = V.words(spark, d).where("length(word) >= 5 and k in (2, 5)").select("media_id", F.concat(F.initcap(F.regexp_replace("word", r"[^\p{L}]", "")), F.lit("q")).alias("term"), F.floor(F.col("start_ms") / 12000).alias("slot"))
     near = s.where("page_id % 3 < 2").select("media_id", "page_id", "t", F.floor(F.col("t") / 12000).alias("at")).withColumn("slot", F.explode(F.sequence(F.col("at") - 1, F.col("at") + 1)))
     return f.unionByName(near.join(w, ["media_id", "slot"]).select("media_id", "page_id", "t", "term")).distinct()

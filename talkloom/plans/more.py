@@ -149,7 +149,7 @@ def near_miss_terms(spark, d):
     frames within 30 s of it, neither furniture nor a piece of another term; for each window the 20 closest."""
     from talkloom.plans.catalog import chrome_terms
 
-    f = V.shots(spark, d).select("media_id", "page_id", "t", F.explode(F.array_distinct(X.screen_tokens(F.regexp_replace("html", "<[^>]+>", " ")))).alias("term")).withColumn("low", F.lower("term"))
+    f = V.shots(spark, d, terms=F.array_distinct(X.screen_tokens(F.regexp_replace("html", "<[^>]+>", " ")))).select("media_id", "page_id", "t", F.explode("terms").alias("term")).withColumn("low", F.lower("term"))
     inner = similar.inner_terms(f.select("media_id", "low").distinct())
     chrome = chrome_terms(spark, d).select("media_id", F.col("term").alias("low"))
     f = f.where(F.length("low") >= 4).join(chrome, ["media_id", "low"], "left_anti").join(inner, ["media_id", "low"], "left_anti")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkloom.operators import folds
+from talkloom.operators import bulk, folds
 from talkloom.plans import views as V
 from talkloom.plans.catalog import ORACLE, W, occupancy_matrix, query
 from talkloom.sources import wav
@@ -63,12 +62,11 @@ def name_heads(names: DataFrame) -> DataFrame:
     """names (media_id, name, n, first) -> (media_id, name, head): names by count, then by first appearance; each joins the first head whose
     letters are alike. A recording's names are few."""
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["n", "first"], ascending=[False, True], kind="stable")
-        to = folds.name_groups(list(zip(p["name"], p["n"], strict=True)))
-        return pd.DataFrame({"media_id": p["media_id"].iloc[0], "name": list(to), "head": list(to.values())})
+    def run(key, name, n, first):
+        p = sorted(zip(name, n, first, strict=True), key=lambda x: (-x[1], x[2]))
+        return [(*key, *x) for x in folds.name_groups([x[:2] for x in p]).items()]
 
-    return names.groupBy("media_id").applyInPandas(run, "media_id long, name string, head string")
+    return bulk.folded(names, ["media_id"], ["first"], ["name", "n", "first"], run, "media_id long, name string, head string")
 
 
 def canonical(names: DataFrame, heads: DataFrame, evidence: DataFrame) -> DataFrame:
