@@ -50,7 +50,7 @@ def markdown(turns: DataFrame, heads: DataFrame, notes: DataFrame) -> DataFrame:
     """(media_id, value): heads (media_id, head), then the turns under headings with clock, name and, where it changes, language;
     notes (media_id, t, caption) stand above the first turn that starts no earlier."""
     mark = F.when(X.new_language("language", W("media_id", "turn_idx")), F.concat(F.lit("  `"), F.col("language"), F.lit("`"))).otherwise("")
-    body = F.concat(F.lit("## ["), X.clock(F.col("start_ms")), F.lit("] "), named(F.col("speaker")), mark, F.lit("\n\n"), F.col("text"), F.lit("\n"))
+    body = F.concat(F.lit("## ["), X.clock(F.col("start_ms")), F.lit("] "), F.coalesce(named(F.col("speaker")), F.lit("")), mark, F.lit("\n\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
     lines = turns.select("media_id", "turn_idx", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("t"), body.alias("line"))
     ask = notes.select("media_id", "caption", "t", (-F.col("t")).alias("start_ms"))
     after = turns.select("media_id", F.col("turn_idx").alias("hit"), (-F.col("start_ms")).alias("start_ms"), (-F.col("turn_idx")).alias("pos"))

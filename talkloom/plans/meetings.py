@@ -92,7 +92,7 @@ def bundles(spark, d):
     names = t.withColumn("speaker", named(F.col("speaker")))
     caps = vtt.render(names.select("media_id", "turn_idx", "speaker", "text", "start_ms", "end_ms")).withColumnRenamed("value", "vtt")
     plain = lambda c: F.translate(c, scans.ACCENTS, "escrzyaieuuntdoESCRZYAIEUUNTDO")
-    for rest, damage in ((7, lambda c: F.regexp_replace(c, r"^(?s)(.*?)\n## \[", "$1\n# [")), (8, lambda c: F.replace(c, F.lit("Ota"), F.lit("O."))), (11, lambda c: F.replace(c, F.lit("w"), F.lit("vv"))), (5, plain)):
+    for rest, damage in ((7, lambda c: F.regexp_replace(c, r"^(?s)(.*?)\n## \[", "$1\n# [")), (8, lambda c: F.regexp_replace(c, r"(?m)^(#+ \[[0-9:]+\] )Ota", "$1O.")), (11, lambda c: F.replace(c, F.lit("w"), F.lit("vv"))), (5, plain)):
         at = {7: 1, 8: 5, 11: 6, 5: 2}[rest]
         md = md.withColumn("md", F.when(F.col("media_id") % rest == at, damage(F.col("md"))).otherwise(F.col("md")))
     caps = caps.withColumn("vtt", F.when(F.col("media_id") % 9 == 2, F.replace("vtt", F.lit("Anna"), F.lit("A."))).otherwise(F.col("vtt")))

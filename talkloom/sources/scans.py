@@ -15,6 +15,8 @@ _PROBE = """streams array<struct<codec_type: string, codec_name: string, sample_
  `format` struct<duration: string, format_name: string, bit_rate: string, size: string>"""
 _PTS = r"pts_time:\s*([0-9.]+)"
 _TIMES = r"(?m)^(\d{2}:\d{2}:\d{2}[.,]\d{3})\s*-->\s*(\d{2}:\d{2}:\d{2}[.,]\d{3})"
+# fixed values: a turn's heading in Markdown; hours have two digits or more
+_HEADING = r"(?m)^## \[\d{2,}:\d{2}:\d{2}\] "
 
 
 def summaries(files: DataFrame) -> DataFrame:
@@ -104,7 +106,7 @@ def check_vtt(files: DataFrame) -> DataFrame:
 
 def check_markdown(files: DataFrame) -> DataFrame:
     """files (media_id, value) -> title, headings, and characters that stand for bytes that couldn't be read."""
-    return files.select("media_id", F.col("value").startswith("# ").alias("title"), F.regexp_count("value", F.lit(r"(?m)^## \[\d{2}:\d{2}:\d{2}\] ")).cast("long").alias("headings"), F.regexp_count("value", F.lit("�")).cast("long").alias("unreadable"))
+    return files.select("media_id", F.col("value").startswith("# ").alias("title"), F.regexp_count("value", F.lit(_HEADING)).cast("long").alias("headings"), F.regexp_count("value", F.lit("�")).cast("long").alias("unreadable"))
 
 
 # fixed values: letters with marks, and files that older versions wrote
@@ -116,7 +118,8 @@ def check_agreement(turns: DataFrame, artifacts: DataFrame, files: DataFrame) ->
     """What the artifacts of a recording disagree on: (media_id, fault, n), one row for each fault.
 
     turns (media_id, turn_idx, name, text, end_ms); artifacts (media_id, md, vtt, used_ms, full_ms); files (media_id, file). Faults:
-    `headings` (n: headings in the Markdown, other than the turns), `names in md`, `names in vtt` (n: names that aren't there), `text`
+    `headings` (n: headings in the Markdown, other than the turns), `names in md` (n: names that no line which begins with # has: words of
+    the turns don't count, as a name may be a piece of one), `names in vtt` (n: names that aren't there), `text`
     (n: of the first six turns over 40 characters, those whose first five words aren't in the Markdown), `accents in md`, `accents in
     vtt` (n: letters with marks in the turns, none of which is left), `end` (n: how far the last turn ends beyond the transcribed
     span, where that's over 2 s), `duration` (n: whole length, which the Markdown states though over a second of it wasn't
@@ -132,15 +135,16 @@ def check_agreement(turns: DataFrame, artifacts: DataFrame, files: DataFrame) ->
     none = F.array().cast("array<string>")
     x = g.join(heads, "media_id", "left").join(accents, "media_id", "left").join(artifacts, "media_id")
     x = x.withColumns({c: F.coalesce(c, none) for c in ("heads", "accents")} | {c: F.coalesce(c, F.lit("")) for c in ("md", "vtt")} | {c: F.coalesce(c, F.lit(0)) for c in ("used_ms", "full_ms")})
-    x = x.withColumn("plain", X.squeeze(F.col("md"))).withColumn("headings", F.regexp_count("md", F.lit(r"(?m)^## \[\d{2}:\d{2}:\d{2}\] ")).cast("long"))
+    x = x.withColumn("plain", X.squeeze(F.col("md"))).withColumn("headings", F.regexp_count("md", F.lit(_HEADING)).cast("long"))
     lacking = lambda names, blob: F.size(F.filter(names, lambda v: ~F.contains(blob, v))).cast("long")
     count = lambda bad, n, fault: F.when(bad, F.struct(F.lit(fault).alias("fault"), n.cast("long").alias("n")))
     lost = lambda blob: (F.size("accents") > 0) & (lacking(F.col("accents"), blob) == F.size("accents"))
     part = (F.col("used_ms") > 0) & (F.col("full_ms") > 0) & (F.abs(F.col("used_ms") - F.col("full_ms")) > 1000)
     stated = F.regexp_extract("md", r"(?m)\*\*Duration:\*\* (\d+:\d{2}:\d{2})\s*$", 1) == X.clock(F.col("full_ms"))
+    x = x.withColumn("named", F.array_join(F.regexp_extract_all("md", F.lit(r"(?m)^(#.*)"), F.lit(1)), "\n"))
     faults = [count(F.col("headings") != F.col("turns"), F.col("headings"), "headings")]
-    for kind in ("md", "vtt"):
-        faults.append(count(lacking(F.col("names"), F.col(kind)) > 0, lacking(F.col("names"), F.col(kind)), f"names in {kind}"))
+    for kind, places in (("md", "named"), ("vtt", "vtt")):
+        faults.append(count(lacking(F.col("names"), F.col(places)) > 0, lacking(F.col("names"), F.col(places)), f"names in {kind}"))
         faults.append(count(lost(F.col(kind)), F.size("accents"), f"accents in {kind}"))
     faults.append(count(lacking(F.col("heads"), F.col("plain")) > 0, lacking(F.col("heads"), F.col("plain")), "text"))
     faults.append(count((F.col("used_ms") > 0) & (F.col("end") > F.col("used_ms") + 2000), F.col("end") - F.col("used_ms"), "end"))

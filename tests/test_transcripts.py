@@ -3,6 +3,7 @@
 import difflib
 from collections import Counter
 
+import duckdb
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from talkloom.functions import text as X
 from talkloom.operators import names as N
 from talkloom.plans import meetings
 from talkloom.plans import views as V
-from talkloom.plans.catalog import chrome_terms
+from talkloom.plans.catalog import ORACLE, chrome_terms
 from talkloom.plans.owners import aligned_quote
 from talkloom.sources import docx, scans, transcripts, vtt
 from tests.test_brute import rows_by
@@ -158,3 +159,14 @@ def test_agreement_of_artifacts(spark):
     assert faults([(1, good, "Eva Ota ř", 6999, 9000)]) == [("duration", 9000), ("end", 2001)]
     assert faults([(1, good.replace("## [00:00:05]", "#"), "Eva Ota ř", None, None)]) == [("headings", 1)]
     assert [f for f, _ in faults([(2, None, None, 5, 5)])] == ["headings", "names in md", "names in vtt"]
+
+
+def test_names_inside_of_words_and_long_recordings_against_sql(spark, tmp_path):
+    """A word that holds a name, or comes to hold it without its marks, isn't the speaker's name; hours of three digits; no text."""
+    long = "Ota w otázka pokračuje dál a dál, jak se zdá"
+    rows = [(37, 0, "user", "Ótara"), (37, 1, "assistant", "x"), (13, 0, "assistant", long), (3, 0, "user", "a " * 900_001), (3, 1, "assistant", long), (22, 0, "user", "y"), (22, 1, "user", None), (22, 2, "assistant", "z")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    sql = "with conversations as (select * from read_parquet('" + str(tmp_path / "conversations.parquet") + "/*.parquet')), " + ORACLE["dq_cross_artifact"].removeprefix("with ")
+    want = sorted(duckdb.connect().execute(sql).fetchall())
+    assert sorted(map(tuple, meetings.dq_cross_artifact(spark, str(tmp_path)).collect())) == want
+    assert (37, "names in md", 1) in want and (22, "headings", 2) in want
