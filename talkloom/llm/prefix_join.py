@@ -8,8 +8,8 @@
 4. Group pairs, and groups themselves, are expanded to members, all with all where these are few, else each with its opposite
    one; whole sets are verified; links give components. Members of groups with more pairs than the best, of large groups and
    of cut lists are noted.
-5. The noted sets are joined again, now with all their shingles as prefix (few near misses stay), all pairs of different
-   components this time and no others, and verified.
+5. The noted sets are joined again, now with all their shingles as prefix but for frequent ones that the bound can do without (few near
+   misses stay), all pairs of different components this time and no others, and verified.
 
 Nothing is dropped: a pair that is never verified lies within one component already. Pairs within a large group of near
 copies are never all formed.
@@ -28,26 +28,21 @@ from pyspark.sql import functions as F
 from talkloom.llm import prefix_kernel as pk
 from talkloom.llm.common import discard, scan_partitions, written
 from talkloom.llm.components import components
-from talkloom.llm.shingle import K, mix, shingles, slabs
+from talkloom.llm.shingle import K, distinct, flat, mix, slabs
 
 #: Ids are broadcast up to this number (8 MB); beyond it they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Groups of copies that are broadcast at most.
 HEAVY_GROUPS = 500_000
 _SLICES = 64
-_PART = pa.schema([("part", pa.int64()), ("ids", pa.binary()), ("prints", pa.binary()), ("groups", pa.binary()), ("sizes", pa.binary()), ("lengths", pa.binary()), ("tokens", pa.binary())])
-_PART_SQL = "part long, ids binary, prints binary, groups binary, sizes binary, lengths binary, tokens binary"
+_PART = pa.schema([("part", pa.int64()), ("ids", pa.binary()), ("prints", pa.binary()), ("groups", pa.binary()), ("sizes", pa.binary()), ("rests", pa.binary()), ("lengths", pa.binary()), ("tokens", pa.binary())])
+_PART_SQL = "part long, ids binary, prints binary, groups binary, sizes binary, rests binary, lengths binary, tokens binary"
 
 
 def _texts(batch: pa.RecordBatch) -> list:
     return batch.column("text").cast(pa.binary()).to_pylist()
 
 
-def _print(own: np.ndarray) -> tuple[int, int]:
-    """128 bits that stand for a set of shingles (sorted)."""
-    return int(np.bitwise_xor.reduce(mix(own))), int(np.add.reduce(mix(own * np.uint64(0x9E3779B97F4A7C15) + np.uint64(len(own)))))
-
-
 _FEATURES_SQL = "doc_id long, n_shingles long, f1 long, f2 long, slice int, counts binary"
 _FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
 
@@ -62,12 +57,10 @@ def _featured(k: int):
             texts = _texts(batch)
             n, f1, f2 = (np.zeros(len(texts), t) for t in (np.int64, np.uint64, np.uint64))
             for i, j in slabs(texts):
-                own = [np.unique(g) for g in shingles(texts[i:j], k)]
-                for d, g in enumerate(own, i):
-                    if len(g):
-                        sizes[pk.bucket(len(g))] += 1
-                        n[d], (f1[d], f2[d]) = len(g), _print(g)
-                sketch += np.bincount((np.concatenate(own) >> np.uint64(64 - pk.SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
+                own, cut = distinct(*flat(texts[i:j], k))
+                n[i:j], (f1[i:j], f2[i:j]) = np.diff(cut), pk.prints(own, cut)
+                sizes += np.bincount(pk.bucket(n[i:j][n[i:j] > 0]), minlength=256)
+                sketch += np.bincount((own >> np.uint64(64 - pk.SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
             nulls = [pa.nulls(len(texts), t) for t in (pa.int32(), pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), *nulls], schema=_FEATURES)
         if sizes.any():
@@ -91,38 +84,62 @@ def frequencies(features: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([got[i] for i in range(_SLICES)]), got[_SLICES]
 
 
+def _packed(held: list[tuple]) -> pa.RecordBatch:
+    """Rows of _PART: the documents (ids, f1, f2, groups, sizes, rests) of each part with their tokens. held: documents' columns and
+    their parts, documents and tokens, by slabs."""
+    docs = [np.concatenate(x) for x in zip(*(h[:6] for h in held), strict=True)]
+    first = np.cumsum([0, *(len(h[0]) for h in held)])
+    part, doc, token = (np.concatenate([h[i] + first[j] if i == 7 else h[i] for j, h in enumerate(held)]) for i in (6, 7, 8))
+    o = np.argsort(part, kind="stable")
+    part, doc, token = part[o], doc[o], token[o]
+    new = np.ones(len(part), bool)
+    new[1:] = (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(new)
+    own, of = doc[at], np.diff(np.append(at, len(part))).astype(np.int32)
+    new = np.ones(len(at), bool)
+    new[1:] = part[at][1:] != part[at][:-1]
+    row = np.flatnonzero(new)
+    rows, tokens = np.append(row, len(at)), np.append(at[row], len(part))
+    binary = lambda x, bounds: pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((bounds * x.dtype.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+    ids, f1, f2, groups, sizes, rests = (x[own] for x in docs)
+    prints = np.stack((f1, f2), 1).ravel()
+    return pa.RecordBatch.from_arrays([pa.array(part[at[row]]), binary(ids, rows), binary(prints, 2 * rows), binary(groups, rows), binary(sizes, rows), binary(rests, rows), binary(of, rows), binary(token, tokens)], schema=_PART)
+
+
 def _emitted(k: int, level, split: dict[int, tuple[int, int]], keep: float = pk.KEEP, most: int = 1_000_000):
-    def flush(held):
-        joined = {p: tuple(np.concatenate(x).tobytes() for x in zip(*v, strict=True)) for p, v in held.items()}
-        held.clear()
-        if joined:
-            parts = list(joined)
-            cols = list(zip(*joined.values(), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], schema=_PART)
+    """keep 0: all shingles that aren't frequent are in the prefix too."""
 
     def run(batches):
         np.seterr(over="ignore")
-        held: dict[int, list] = {}
-        seen, room = set(), 0
+        held, seen, room = [], set(), 0
         for batch in batches:
-            texts, ids, group = _texts(batch), batch.column("doc_id").to_pylist(), batch.column("component").to_pylist()
+            texts, ids, group = _texts(batch), batch.column("doc_id"), batch.column("component")
+            known, ids, group = (x.to_numpy(zero_copy_only=False) for x in (ids.is_valid(), ids.fill_null(0), group.fill_null(0)))
             for i, j in slabs(texts):
-                for d, g in enumerate(shingles(texts[i:j], k), i):
-                    if not len(g) or ids[d] is None:
-                        continue
-                    own = _print(np.unique(g))
+                g, cut = flat(texts[i:j], k)
+                key, cut = distinct(pk.ordered(g, level.value), cut)
+                n, (f1, f2) = np.diff(cut), pk.prints(key, cut)
+                new = (n > 0) & known[i:j]
+                for d, own in zip(np.flatnonzero(new).tolist(), zip(f1[new].tolist(), f2[new].tolist(), strict=True), strict=True):
                     if own in seen:
-                        continue
+                        new[d] = False
                     seen.add(own)
-                    key = pk.ordered(g, level.value)
-                    head = (np.array([ids[d]], np.int64), np.array(own, np.uint64), np.array([group[d]], np.int64), np.array([len(key)], np.int32))
-                    for p, t in pk.parts_of(key, own[0] & 0xFFFFFFFF, split, keep):
-                        held.setdefault(p, []).append((*head, np.array([len(t)], np.int32), t))
-                        room += len(t)
+                if not new.any():
+                    continue
+                prefix = pk.prefix_length(n)
+                if not keep:
+                    usual = np.concatenate(([0], np.cumsum(key < np.uint64(1 << 58))))[cut]
+                    prefix = np.maximum(prefix, np.diff(usual))
+                begin, n, prefix, f1, f2 = (x[new] for x in (cut[:-1], n, prefix, f1, f2))
+                token = key[np.repeat(begin - np.cumsum(prefix) + prefix, prefix) + np.arange(prefix.sum())]
+                parts = pk.parts_of(n, prefix, token, f1 & np.uint64(0xFFFFFFFF), split, keep)
+                held.append((ids[i:j][new], f1, f2, group[i:j][new], n.astype(np.int32), (n - prefix).astype(np.int32), *parts))
+                room += len(parts[0])
                 if room > most:
-                    yield from flush(held)
-                    room = 0
-        yield from flush(held)
+                    yield _packed(held)
+                    held, room = [], 0
+        if held:
+            yield _packed(held)
 
     return run
 
@@ -144,14 +161,14 @@ def _part_pairs(first: bool, split: dict[int, tuple[int, int]]):
     def run(table: pa.Table) -> pa.Table:
         np.seterr(over="ignore")
         part = table.column("part")[0].as_py()
-        ids, prints, group, n, length, token = (_joined(table.column(c), k) for c, k in (("ids", np.int64), ("prints", np.uint64), ("groups", np.int64), ("sizes", np.int32), ("lengths", np.int32), ("tokens", np.uint64)))
+        ids, prints, group, n, beyond, length, token = (_joined(table.column(c), k) for c, k in (("ids", np.int64), ("prints", np.uint64), ("groups", np.int64), ("sizes", np.int32), ("rests", np.int32), ("lengths", np.int32), ("tokens", np.uint64)))
         f1, f2 = prints[0::2], prints[1::2]
         order = np.lexsort((ids, f2, f1, n))
         same = (f1[order][1:] == f1[order][:-1]) & (f2[order][1:] == f2[order][:-1]) & (n[order][1:] == n[order][:-1])
         keep = order[np.concatenate(([True], ~same))]  # one of equal sets, by size
         start = np.cumsum(length) - length
         token = np.concatenate([token[a : a + k] for a, k in zip(start[keep], length[keep], strict=True)])
-        ids, n, length, group = ids[keep], n[keep].astype(np.int64), length[keep], group[keep]
+        ids, n, beyond, length, group = ids[keep], n[keep].astype(np.int64), beyond[keep].astype(np.int64), length[keep], group[keep]
         q = (part >> 32) // pk.MAX_CLASSES
         share = pk.KEEP if first else 0.0
         c = pk.classes(q, split.get(q, (1, 1))[0], share)
@@ -178,7 +195,7 @@ def _part_pairs(first: bool, split: dict[int, tuple[int, int]]):
                 got.append((ids[o[i]], ids[o[j]]))
             noted[o] = np.repeat(again, of)
         else:
-            for x, y, _ in pk.candidates(token, np.repeat(np.arange(len(ids)), length), n, q, c, group, share):
+            for x, y, _ in pk.candidates(token, np.repeat(np.arange(len(ids)), length), n, q, c, group, share, rest=beyond):
                 got.append((ids[x], ids[y]))
         x, y = (np.concatenate([g[i] for g in got]) if got else np.zeros(0, np.int64) for i in (0, 1))
         rest = ids[noted]
@@ -193,7 +210,9 @@ def _sets(k: int, level):
         for batch in batches:
             texts = _texts(batch)
             for i, j in slabs(texts):
-                keys = [pk.ordered(g, level.value).tobytes() for g in shingles(texts[i:j], k)]
+                g, cut = flat(texts[i:j], k)
+                key, cut = distinct(pk.ordered(g, level.value), cut)
+                keys = [key[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(i, j - i).cast(pa.int64()), "keys": pa.array(keys, pa.binary())})
 
     return run
@@ -229,6 +248,14 @@ def _with_groups(rows: DataFrame, groups: DataFrame, total: int) -> DataFrame:
     return rows.join(heavy, ["f1", "f2"]).unionByName(rest)
 
 
+def _per_bucket(sets: DataFrame) -> np.ndarray:
+    """Number of sets (n: shingles) per size bucket, within one."""
+    out = np.zeros(256, np.int64)
+    for r in sets.groupBy(F.floor(F.log("n") / math.log(4 / 3)).alias("b")).count().collect():
+        out[r["b"]] = r["count"]
+    return out
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
     """(doc_id, n_shingles, component_id, set_id, n_copies) for every row of docs; links are Jaccard similarities of 0.75 and more.
     set_id is the smallest id of the rows whose sets equal this one's, n_copies their number.
@@ -246,7 +273,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     rows = features.where("slice is null").drop("slice", "counts")
     some = rows.where("n_shingles > 0")
-    groups = written(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "groups")
+    groups = written(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.min("n_shingles").alias("n")), "groups")
     total = int(sizes.sum())
     owner = written(_with_groups(some, groups, total).select("doc_id", "node", "n_shingles").distinct(), "owner")
 
@@ -256,7 +283,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         parts = texts.mapInArrow(_emitted(k, level, split, pk.KEEP if first else 0.0), _PART_SQL)
         return written(parts.repartition(n, "part").groupBy("part").applyInArrow(_part_pairs(first, split), "a long, b long").distinct(), "pairs")
 
-    found = pairs_of(docs.withColumn("component", F.lit(0).cast("long")), True, split)
+    one = docs
+    if groups.count() <= min(BROADCAST_IDS, 0.7 * total):  # many copies: one of each set stands for all
+        split = pk.splits(_per_bucket(groups.where("node is not null")))
+        one = docs.join(F.broadcast(groups.select(F.col("node").alias("doc_id")).distinct()), "doc_id")
+    found = pairs_of(one.withColumn("component", F.lit(0).cast("long")), True, split)
     first = _links(docs, found.where("b is not null"), k, level)
 
     def nodes(pairs: DataFrame) -> DataFrame:
@@ -267,10 +298,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     known = written(components(edges), "components")
     rest = found.where("b is null").select(F.col("a").alias("doc_id")).distinct().join(owner, "doc_id").join(known, "node", "left")
     rest = written(rest.groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component"), F.max("n_shingles").alias("n")), "rest")
-    noted = np.zeros(256, np.int64)
-    for r in rest.groupBy(F.floor(F.log("n") / math.log(4 / 3)).alias("b")).count().collect():
-        noted[r["b"]] = r["count"]
-    more = pairs_of(_among(docs, rest.drop("n")), False, pk.splits(noted, pk.WHOLE_DOCS))
+    more = pairs_of(_among(docs, rest.drop("n")), False, pk.splits(_per_bucket(rest), pk.WHOLE_DOCS))
     second = _links(docs, more, k, level)
     if second.isEmpty():
         final = known

@@ -3,7 +3,8 @@
 Order of shingles: those that a fixed-size count sketch calls frequent come last, the rest by hash. Any order that all
 documents share is right; this one keeps common passages out of the prefixes.
 
-A document of n shingles keeps its first q = n - floor(KEEP * n) as prefix. Documents that link have R = ceil(3(nx+ny)/7)
+A document of n shingles keeps its first q = n - floor(KEEP * n) as prefix, in the second round besides all that aren't frequent
+(q may be chosen for each document). Documents that link have R = ceil(3(nx+ny)/7)
 shingles in common, so their prefixes have at least R - max(nx-qx, ny-qy) in common (all later ones lie beyond one of the
 two prefixes). Linked sizes differ by a factor of 4/3 at most: a document stands in its size bucket and, as a guest, in the
 next. A bucket's prefixes are split by hash into classes; by the pigeonhole principle some class holds its share of the
@@ -33,19 +34,31 @@ MEMBERS, MEMBER_PAIRS = 4, 16
 
 
 def levels(sketch: np.ndarray) -> np.ndarray:
-    """For each counter of the sketch 0, or for those far above the mean the power of two of the count."""
+    """For each counter of the sketch 0, or for those above what chance puts into one the power of two of the count. Chance is told by the
+    spread, not by the mean alone: a share of the mean would grow with the input, and with it the lists of shingles below it."""
     mean = sketch.sum() / len(sketch)
-    return np.where(sketch > 4 * mean + 16, np.log2(np.maximum(sketch, 1)) + 1, 0).astype(np.uint64)
+    return np.where(sketch > np.minimum(4 * mean, mean + 8 * np.sqrt(mean)) + 16, np.log2(np.maximum(sketch, 1)) + 1, 0).astype(np.uint8)
 
 
 def ordered(g: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """The distinct shingles of one text as sorted keys: level, then hash."""
-    return np.unique((level[(g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] << np.uint64(58)) | (mix(g) >> np.uint64(6)))
+    """Shingles as keys: level, then hash."""
+    return (level[(g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (mix(g) >> np.uint64(6))
 
 
-def bucket(n: int) -> int:
-    b = int(np.log(n) / np.log(4 / 3))
-    return b + 1 if (4 / 3) ** (b + 1) <= n else b
+def prints(own: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that stand for each set (sorted, bounds: cut); zeros for empty ones."""
+    n = np.diff(cut)
+    out, some = np.zeros((2, len(n)), np.uint64), n > 0
+    if some.any():
+        out[0, some] = np.bitwise_xor.reduceat(mix(own), cut[:-1][some])
+        out[1, some] = np.add.reduceat(mix(own * np.uint64(0x9E3779B97F4A7C15) + np.repeat(n, n).astype(np.uint64)), cut[:-1][some])
+    return out[0], out[1]
+
+
+def bucket(n):
+    """Size bucket, of one size or of an array of them."""
+    b = (np.log(n) / np.log(4 / 3)).astype(np.int64)
+    return b + ((4 / 3) ** (b + 1) <= n)
 
 
 def classes(b: int, finer: int = 1, keep: float = KEEP) -> int:
@@ -64,34 +77,35 @@ def splits(sizes: np.ndarray, docs: int = BLOCK_DOCS) -> dict[int, tuple[int, in
     return {int(b): (int(min(m, FINER)), int(-(-m // FINER))) for b, m in enumerate(many) if m > 1}
 
 
-def parts_of(key: np.ndarray, salt: int, split: dict[int, tuple[int, int]], keep: float = KEEP) -> list[tuple[int, np.ndarray]]:
-    """(part, tokens) of one document: for each bucket it stands in, each class, and each pair of blocks with its own."""
-    n = len(key)
-    pre, b = key[: int(prefix_length(n, keep))], bucket(n)
-    out = []
-    for q in (b, b + 1):
-        finer, s = split.get(q, (1, 1))
-        c, mine = classes(q, finer, keep), salt % s
-        cls = (((pre & np.uint64(0xFFFFFFFF)) * np.uint64(c)) >> np.uint64(32)).astype(np.int64)
-        o = np.argsort(cls, kind="stable")
-        cut = np.flatnonzero(np.diff(cls[o])) + 1
-        for x in np.split(o, cut) if len(o) else ():
-            k = int(cls[x[0]])
-            out += [(((q * MAX_CLASSES + k) << 32) + min(mine, o) * s + max(mine, o), pre[x]) for o in range(s)]
-    return out
+def parts_of(n: np.ndarray, prefix: np.ndarray, token: np.ndarray, salt: np.ndarray, split: dict[int, tuple[int, int]], keep: float = KEEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(part, document, token), a part's tokens of one document in one run of those of the part: for each bucket a document stands in, each class, and each
+    pair of blocks with its own. n, prefix, salt: of each document; token: their prefixes one after the other."""
+    finer, blocks = (np.array([split.get(q, (1, 1))[i] for q in range(256)]) for i in (0, 1))
+    of = np.array([classes(q, int(f), keep) for q, f in enumerate(finer)])
+    doc, low, out = np.repeat(np.arange(len(n)), prefix), token & np.uint64(0xFFFFFFFF), []
+    for q in (bucket(n), bucket(n) + 1):
+        cls = ((low * of[q][doc].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+        s = blocks[q]
+        base, mine, times = q[doc] * MAX_CLASSES + cls, (salt % s.astype(np.uint64)).astype(np.int64), s[doc]
+        d, t, base = np.repeat(doc, times), np.repeat(token, times), np.repeat(base, times)
+        o = np.arange(len(d)) - np.repeat(np.cumsum(times) - times, times)
+        out.append(((base << 32) + np.minimum(mine[d], o) * s[d] + np.maximum(mine[d], o), d, t))
+    part, doc, token = (np.concatenate(x) for x in zip(*out, strict=True))
+    return part, doc, token
 
 
-def least(nx: np.ndarray, ny: np.ndarray, keep: float = KEEP) -> np.ndarray:
-    """Prefix shingles that documents of these sizes have in common at least, if they link."""
-    return -(-3 * (nx + ny) // 7) - np.maximum(nx - prefix_length(nx, keep), ny - prefix_length(ny, keep))
+def least(nx: np.ndarray, ny: np.ndarray, rx: np.ndarray, ry: np.ndarray) -> np.ndarray:
+    """Prefix shingles that documents of these sizes, of which rx and ry lie beyond the prefixes, have in common at least, if they link."""
+    return -(-3 * (nx + ny) // 7) - np.maximum(rx, ry)
 
 
-def candidates(token: np.ndarray, doc: np.ndarray, n: np.ndarray, b: int, c: int, group: np.ndarray | None = None, keep: float = KEEP, most: int | None = None, room: int = 1_000_000):
+def candidates(token: np.ndarray, doc: np.ndarray, n: np.ndarray, b: int, c: int, group: np.ndarray | None = None, keep: float = KEEP, most: int | None = None, room: int = 1_000_000, rest: np.ndarray | None = None):
     """Pairs of one part's documents with enough common tokens: yields (x, y, common), x before y. doc: index into n, which
     ascends. With group, pairs within a group aren't formed at all. With most, a posting that has more partners than that
     meets the next WINDOW of them, and all in its list meet the list's PIVOTS; the last item yielded is then (those documents
     whose lists were cut, None, None).
-    Works through about room co-occurrences at a time."""
+    Works through about room co-occurrences at a time. rest: shingles beyond each document's prefix, where keep doesn't tell."""
+    rest = n - prefix_length(n, keep) if rest is None else rest
     place = np.arange(len(n), dtype=np.int32)
     if group is not None:  # documents of a group stand together
         place[np.lexsort((np.arange(len(n)), group))] = np.arange(len(n), dtype=np.int32)
@@ -149,7 +163,7 @@ def candidates(token: np.ndarray, doc: np.ndarray, n: np.ndarray, b: int, c: int
         code, common = np.unique(np.minimum(x, y).astype(np.int64) * big + np.maximum(x, y), return_counts=True)
         x, y = at[code // big], at[code % big]
         x, y = np.minimum(x, y), np.maximum(x, y)
-        ok = (n[y] >= guest_top) & (3 * n[y] <= 4 * n[x]) & (common * c >= least(n[x], n[y], keep)) & (x != y)
+        ok = (n[y] >= guest_top) & (3 * n[y] <= 4 * n[x]) & (common * c >= least(n[x], n[y], rest[x], rest[y])) & (x != y)
         yield x[ok], y[ok], common[ok]
         j = k
     if most is not None:

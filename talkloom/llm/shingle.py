@@ -120,8 +120,25 @@ def ngrams(h: np.ndarray, k: int) -> np.ndarray:
     return mix(acc + np.uint64(k))
 
 
-def shingles(texts: list, k: int = K) -> list[np.ndarray]:
-    """For each text the hashes of its k-word shingles, repeats included; with fewer words, one for the whole sequence."""
+def flat(texts: list, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the k-word shingles of all texts, repeats included, and the bounds of each text's own in them; a text with fewer words
+    has one for the whole sequence."""
     h, cut = words_of(texts)
-    g = ngrams(h, k)
-    return [g[a : b - k + 1] if b - a >= k else ngrams(h[a:b], int(b - a)) if b > a else g[:0] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    g, begin, n = ngrams(h, k), cut[:-1], np.diff(cut)
+    m = np.where(n >= k, n - k + 1, np.minimum(n, 1))
+    end = np.cumsum(m)
+    at = np.repeat(begin - end + m, m) + np.arange(m.sum())
+    out = g[np.minimum(at, len(g) - 1)] if len(g) else np.zeros(len(at), np.uint64)
+    for d in np.flatnonzero((n > 0) & (n < k)):
+        out[end[d] - 1] = ngrams(h[begin[d] : begin[d] + n[d]], int(n[d]))[0]
+    return out, np.concatenate(([0], end))
+
+
+def distinct(x: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's own values (bounds: cut) in order, each once, and their bounds. x is sorted in place."""
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        x[a:b].sort()
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    new[cut[:-1][cut[:-1] < len(x)]] = True
+    return x[new], np.concatenate(([0], np.cumsum(new)))[cut]

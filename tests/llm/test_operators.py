@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +99,39 @@ def test_join_of_many_near_copies(spark):
     assert got == brute_components(rows)
 
 
+def test_common_shingles_stay_out_of_the_second_round(spark):
+    """A shingle that is far above chance counts as frequent whatever the mean, and is joined on only where the bound can't do without."""
+    from talkloom.llm import prefix_kernel as pk
+    from talkloom.llm.shingle import distinct, flat
+
+    sketch = np.random.default_rng(1).poisson(460, 1 << pk.SKETCH_BITS)
+    usual = (pk.levels(sketch) > 0).mean()
+    sketch[:50] += 400
+    assert pk.levels(sketch)[:50].all() and usual < 1e-3
+    word = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    rows = [(i, word(i, 40) + " " + word("common", 60)) for i in range(150)] + [(1000 + i, word(i % 150, 39) + f" z{i} " + word("common", 60)) for i in range(450)]
+    texts = [t.encode() for _, t in rows]
+    g, cut = flat(texts, 5)
+    counts = np.bincount((g >> np.uint64(64 - pk.SKETCH_BITS)).astype(np.int64), minlength=1 << pk.SKETCH_BITS)
+    level = type("Level", (), {"value": pk.levels(counts)})
+    batch = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows], "component": [0] * len(rows)})
+    (out,) = prefix_join._emitted(5, level, {}, 0.0)([batch])
+    ids = np.concatenate([np.frombuffer(x, np.int64) for x in out.column("ids").to_pylist()])
+    length = np.concatenate([np.frombuffer(x, np.int32) for x in out.column("lengths").to_pylist()])
+    assert set(ids) == {i for i, _ in rows} and np.bincount(ids, length).max() < 2 * 60  # each in two buckets; of 96, 56 are common
+    assert [len(x) for x in out.column("tokens").to_pylist()] == [8 * np.frombuffer(x, np.int32).sum() for x in out.column("lengths").to_pylist()]
+    own, at = distinct(*flat([b"a b c d e f a b c d e", b"", b"a b", b"A  b c d e"], 5))
+    assert np.diff(at).tolist() == [6, 0, 1, 1] and own[-1] in own[:6]
+    got = prefix_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
+
+
+def test_repeated_sets_are_joined_once(spark):
+    rows = [(i, " ".join(f"v{(i % 40) // 2}y{j}" for j in range(30 + i % 2))) for i in range(2000)] + [(None, "p q r")] * 3
+    got = prefix_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == {i: i % 40 - i % 2 for i in range(2000)} and len(got) == 2003
+
+
 def test_first_round_joins_a_star_without_forming_its_pairs():
     from talkloom.llm import prefix_kernel as pk
 
