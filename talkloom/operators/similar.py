@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import difflib
+from collections import Counter
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkloom.functions import text as X
 from talkloom.operators import bulk
-from talkloom.operators import temporal as T
 
 
 def numbered_letters(word) -> Column:
@@ -32,41 +35,95 @@ def near_pairs(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str,
     return x.withColumn("ratio", X.similarity(a, b))
 
 
-def inner_terms(vocabulary: DataFrame) -> DataFrame:
-    """vocabulary (media_id, low) -> those terms that are a piece of another of the same recording: one run of an Aho-Corasick automaton
-    over its terms, so that time is linear in their length. A recording's terms are what one task holds."""
-
-    def run(key, low):
-        import ahocorasick
+def pieces(low) -> set[str]:
+    """Those of some terms that are a piece of another: one run of an Aho-Corasick automaton over them, so that time is linear in their
+    length."""
+    import ahocorasick
 
-        terms, found = sorted(set(low) - {""}), set()
-        machine = ahocorasick.Automaton()
+    terms, found = sorted(set(low) - {""}), set()
+    machine = ahocorasick.Automaton()
+    for t in terms:
+        machine.add_word(t, t)
+    if terms:
+        machine.make_automaton()
         for t in terms:
-            machine.add_word(t, t)
-        if terms:
-            machine.make_automaton()
-            for t in terms:
-                found |= {x for _, x in machine.iter(t) if x != t}
-        return [(*key, x) for x in sorted(found)]
+            found |= {x for _, x in machine.iter(t) if x != t}
+    return found
 
-    return bulk.folded(vocabulary, ["media_id"], ["low"], ["low"], run, "media_id long, low string")
 
-
-def window_terms(frames: DataFrame, windows: DataFrame, spoken: DataFrame, chrome: DataFrame, pad_ms: int = 30_000, least_frames: int = 2, limit: int = 20, lo: float = 0.55, hi: float = 0.97) -> DataFrame:
+def inner_terms(vocabulary: DataFrame) -> DataFrame:
+    """vocabulary (media_id, low) -> those terms that are a piece of another of the same recording. A recording's terms are what one task
+    holds."""
+    return bulk.folded(vocabulary, ["media_id"], ["low"], ["low"], lambda key, low: [(*key, x) for x in sorted(pieces(low))], "media_id long, low string")
+
+
+def _letters(words: list[str], place: dict[str, int]) -> np.ndarray:
+    out = np.zeros((len(place), len(words)), np.int16)
+    for i, w in enumerate(words):
+        for c in w:
+            out[place[c], i] += 1
+    return out
+
+
+def best_ratios(terms: list[str], words: list[str], lo: float, hi: float) -> list[float]:
+    """Each term's best ratio to a word, where that is from lo to hi; else any number outside. Words are tried by the bound of their letters,
+    as long as it is above the best so far."""
+    if not terms or not words:
+        return [-1.0] * len(terms)
+    place = {c: i for i, c in enumerate(sorted({c for x in (terms, words) for w in x for c in w}))}
+    common = np.zeros((len(terms), len(words)), np.int16)
+    for a, b in zip(_letters(terms, place), _letters(words, place), strict=True):
+        common += np.minimum(a[:, None], b)
+    most = 2.0 * common / np.add.outer([len(x) for x in terms], [len(x) for x in words])
+    order = np.argsort(-most, axis=1, kind="stable")
+    known: dict[int, difflib.SequenceMatcher] = {}  # what it finds out about its second word is kept
+    out = []
+    for term, row, at in zip(terms, most, order, strict=True):
+        best = -1.0
+        for j in at:
+            if row[j] < lo or row[j] <= best or best > hi:
+                break
+            if j not in known:
+                known[j] = difflib.SequenceMatcher(None, "", words[j])
+            known[j].set_seq1(term)
+            best = max(best, known[j].ratio())
+        out.append(best)
+    return out
+
+
+def window_terms(frames: DataFrame, windows: DataFrame, chrome: DataFrame, pad_ms: int = 30_000, least_frames: int = 2, limit: int = 20, lo: float = 0.55, hi: float = 0.97) -> DataFrame:
     """Terms on screen that may correct what a window's words say -> (media_id, win, term, n, ratio, rank).
 
-    frames (media_id, page_id, t, term), each term once a frame; windows (media_id, win, start_ms, end_ms), which may overlap; spoken
-    (media_id, win, s), lower-case words of a window; chrome (media_id, low), furniture. A term counts where it's on least_frames
+    frames (media_id, t, terms), each term once a frame; windows (media_id, win, start_ms, end_ms, texts), which may overlap; chrome (media_id, low), furniture. A term counts where it's on least_frames
     frames within pad_ms of the window, both ends included, has four letters, isn't spoken there, is no piece of another term of the
     recording, and its best ratio to a spoken word is from lo to hi. The closest, then the most frequent, then the last by name stay.
+    A recording is one row, and one after the other is what a task holds: terms are never shuffled but with their frames.
     """
-    f = frames.withColumn("low", F.lower("term"))
-    inner = inner_terms(f.select("media_id", "low").distinct())
-    f = f.where(F.length("low") >= 4).join(chrome.select("media_id", "low").distinct(), ["media_id", "low"], "left_anti").join(inner, ["media_id", "low"], "left_anti")
-    at = T.interval_join(windows.select("media_id", "win", "start_ms", (F.col("end_ms") + 1).alias("end_ms")), f.selectExpr("media_id", "term", "low", "t as r_start", "t + 1 as r_end"), 60_000, pad_ms=pad_ms)
-    seen = at.groupBy("media_id", "win", "term", "low").agg(F.count("*").alias("n")).where(F.col("n") >= least_frames)
-    words = spoken.select("media_id", "win", "s").distinct()
-    seen = seen.join(words.withColumnRenamed("s", "low"), ["media_id", "win", "low"], "left_anti")
-    x = near_pairs(seen, words, ["media_id", "win"], "low", "s", lo).groupBy("media_id", "win", "term", "n").agg(F.max("ratio").alias("ratio")).where(F.col("ratio").between(lo, hi))
-    order = Window.partitionBy("media_id", "win").orderBy(F.desc("ratio"), F.desc("n"), F.desc("term"))
-    return x.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    long = F.filter(F.transform("terms", lambda x: F.struct(x.alias("term"), F.lower(x).alias("low"))), lambda x: F.length(x["low"]) >= 4)
+    f = frames.groupBy("media_id").agg(F.collect_list(F.struct("t", long.alias("terms"))).alias("frames"))
+    w = windows.groupBy("media_id").agg(F.collect_list(F.struct("win", "start_ms", "end_ms", "texts")).alias("windows"))
+    c = chrome.groupBy("media_id").agg(F.collect_set("low").alias("chrome"))
+
+    def run(batch):
+        out = []
+        for i, (key, dull) in enumerate(zip(batch.column("media_id").to_pylist(), batch.column("chrome").to_pylist(), strict=True)):
+            shown, spans = batch.column("frames")[i].values, batch.column("windows")[i].values.to_pylist()
+            ends, x = bulk.unlisted(shown.field("terms"))
+            frame = [(t, list(zip(x["term"][a:b], x["low"][a:b], strict=True))) for t, a, b in zip(shown.field("t").to_pylist(), ends, ends[1:], strict=False)]
+            away = pieces(x["low"]) | set(dull or ())
+            for span in spans:
+                if span["start_ms"] is None or span["end_ms"] is None:
+                    continue
+                n = Counter(y for t, own in frame if t is not None and span["start_ms"] - pad_ms <= t <= span["end_ms"] + pad_ms for y in own)
+                own_words = set(span["spoken"] or ())
+                seen = [(*y, k) for y, k in n.items() if k >= least_frames and y[1] not in away and y[1] not in own_words]
+                ratios = best_ratios([low for _, low, _ in seen], sorted(own_words), lo, hi)
+                found = sorted(((r, k, term) for r, (term, _, k) in zip(ratios, seen, strict=True) if lo <= r <= hi), reverse=True)
+                out += [(key, span["win"], term, k, r, rank) for rank, (r, k, term) in enumerate(found[:limit], 1)]
+        return list(zip(*out, strict=True)) if out else [[]] * 6
+
+    none = F.array().cast("array<string>")
+    spoken = lambda texts: F.array_distinct(F.flatten(F.transform(texts, lambda x: F.coalesce(F.transform(X.screen_tokens(x), F.lower), none))))
+    x = w.join(f, "media_id").join(c, "media_id", "left")
+    said = F.transform("windows", lambda v: F.struct(*[v[c].alias(c) for c in ("win", "start_ms", "end_ms")], spoken(v["texts"]).alias("spoken")))  # only where there are frames
+    return bulk.mapped(x.select("media_id", "frames", "chrome", said.alias("windows")), run, "media_id long, win long, term string, n long, ratio double, rank int")

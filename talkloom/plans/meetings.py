@@ -9,7 +9,7 @@ from talkloom.functions import text as X
 from talkloom.operators import names as N
 from talkloom.operators import similar
 from talkloom.plans import views as V
-from talkloom.plans.catalog import W, chrome_terms, greedy_windows, query
+from talkloom.plans.catalog import W, framed, furniture, greedy_windows, query
 from talkloom.plans.exports import markdown, named, prompt
 from talkloom.plans.owners import aligned_quote
 from talkloom.plans.speech import canonical, name_heads
@@ -44,35 +44,44 @@ def canonical_cues(spark, d):
     return N.renamed(cues, canonical(names, heads, N.evidence(cues, pairs))).select("media_id", "pos", "name", "canon")
 
 
+def shown(spark, d) -> DataFrame:
+    """(media_id, page_id, t, terms): frames with their terms; every third frame also shows two words of a turn in another spelling."""
+    two = F.filter(F.array(*[F.struct(F.get("toks", F.lit(k)).alias("word"), F.floor((F.col("start_ms") + 400 * k) / 12000).alias("slot")) for k in (2, 5)]), lambda x: F.length(x["word"]) >= 5)
+    said = V.turns(spark, d).groupBy("media_id").agg(F.flatten(F.collect_list(two)).alias("said"))
+    s = framed(spark, d).join(said, "media_id").select("media_id", "said", F.inline("frames"))
+    near = F.filter("said", lambda x: (F.col("page_id") % 3 < 2) & (F.abs(x["slot"] - F.floor(F.col("t") / 12000)) <= 1))
+    near = F.transform(near, lambda x: F.concat(F.initcap(F.regexp_replace(x["word"], r"[^\p{L}]", "")), F.lit("q")))
+    terms = F.concat(F.coalesce(X.screen_tokens(F.col("shown")), F.array().cast("array<string>")), near)
+    return s.groupBy("media_id", "page_id", "t").agg(F.array_distinct(F.flatten(F.collect_list(terms))).alias("terms"))
+
+
 def on_screen(spark, d) -> DataFrame:
-    """(media_id, page_id, t, term): terms of frames; every third frame also shows two words of a turn in another spelling."""
-    s = V.shots(spark, d, terms=F.array_distinct(X.screen_tokens(F.regexp_replace("html", "<[^>]+>", " "))))
-    f = s.select("media_id", "page_id", "t", F.explode("terms").alias("term"))
-    w = V.words(spark, d).where("length(word) >= 5 and k in (2, 5)").select("media_id", F.concat(F.initcap(F.regexp_replace("word", r"[^\p{L}]", "")), F.lit("q")).alias("term"), F.floor(F.col("start_ms") / 12000).alias("slot"))
-    near = s.where("page_id % 3 < 2").select("media_id", "page_id", "t", F.floor(F.col("t") / 12000).alias("at")).withColumn("slot", F.explode(F.sequence(F.col("at") - 1, F.col("at") + 1)))
-    return f.unionByName(near.join(w, ["media_id", "slot"]).select("media_id", "page_id", "t", "term")).distinct()
+    """(media_id, page_id, t, term): terms of frames."""
+    return shown(spark, d).select("media_id", "page_id", "t", F.explode("terms").alias("term"))
 
 
 def prompts(turns: DataFrame, quotes: DataFrame, frames: DataFrame, chrome: DataFrame) -> DataFrame:
     """(media_id, win, prompt): turns (media_id, turn_idx, text, start_ms, end_ms) in windows of 90 s that split none, each with the other
-    transcript's reading (quotes: media_id, turn_idx, theirs), under the terms on screen near the window that may correct its words."""
-    t = turns.join(greedy_windows(turns.select("media_id", "turn_idx", "start_ms", "end_ms")), ["media_id", "turn_idx"])
-    windows = t.groupBy("media_id", "win").agg(F.min_by("start_ms", "turn_idx").alias("start_ms"), F.max_by("end_ms", "turn_idx").alias("end_ms"))
-    spoken = t.select("media_id", "win", F.explode(X.screen_tokens(F.col("text"))).alias("s")).select("media_id", "win", F.lower("s").alias("s"))
-    terms = similar.window_terms(frames, windows, spoken, chrome)
+    transcript's reading (quotes: media_id, turn_idx, theirs), under the terms on screen (frames: media_id, t, terms) near the window that
+    may correct its words."""
+    t = turns.join(greedy_windows(turns.select("media_id", "turn_idx", "start_ms", "end_ms")), ["media_id", "turn_idx"]).join(quotes, ["media_id", "turn_idx"], "left")
+    own = t.groupBy("media_id", "win").agg(F.sort_array(F.collect_list(F.struct("turn_idx", "start_ms", "end_ms", "text", "theirs"))).alias("x"))
+    windows = own.select("media_id", "win", F.col("x")[0]["start_ms"].alias("start_ms"), F.element_at("x", -1)["end_ms"].alias("end_ms"), F.transform("x", lambda v: v["text"]).alias("texts"))
+    terms = similar.window_terms(frames, windows, chrome)
     terms = terms.groupBy("media_id", "win").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("terms"))
-    t = t.join(quotes, ["media_id", "turn_idx"], "left").withColumn("nth", F.row_number().over(W(["media_id", "win"], "turn_idx")))
-    line = F.concat(F.lit("["), F.col("nth").cast("string"), F.lit("] A: "), F.coalesce("text", F.lit("")), F.lit("\n    B: "), F.coalesce(F.nullif("theirs", F.lit("")), F.lit("(none)")))
-    p = t.groupBy("media_id", "win").agg(F.count("*").cast("string").alias("n"), F.sort_array(F.collect_list(F.struct("nth", line.alias("line")))).alias("x")).join(terms, ["media_id", "win"], "left")
-    return p.select("media_id", "win", prompt(F.col("n"), F.array_join(F.transform("x", lambda v: v["line"]), "\n"), F.coalesce("terms", F.array().cast("array<string>"))).alias("prompt"))
+    line = lambda v, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] A: "), F.coalesce(v["text"], F.lit("")), F.lit("\n    B: "), F.coalesce(F.nullif(v["theirs"], F.lit("")), F.lit("(none)")))
+    p = own.join(terms, ["media_id", "win"], "left")
+    return p.select("media_id", "win", prompt(F.size("x").cast("string"), F.array_join(F.transform("x", line), "\n"), F.coalesce("terms", F.array().cast("array<string>"))).alias("prompt"))
 
 
 @query()
 def window_prompts(spark, d):
     """Whole prompts of a run: windows of 90 s, both readings of each line, and terms on screen that may correct them."""
     quotes = aligned_quote(spark, d).select("media_id", "turn_idx", F.col("text").alias("theirs"))
-    chrome = chrome_terms(spark, d).select("media_id", F.col("term").alias("low"))
-    return prompts(V.turns(spark, d).select("media_id", "turn_idx", "text", "start_ms", "end_ms"), quotes, on_screen(spark, d), chrome)
+    f = framed(spark, d).where("size(frames) >= 10").select("media_id", F.size("frames").alias("frames"), F.inline("frames"))
+    f = f.withColumn("terms", F.array_distinct(F.transform(X.screen_tokens(F.col("shown")), F.lower)))
+    chrome = furniture(f).select("media_id", F.col("term").alias("low"))
+    return prompts(V.turns(spark, d).select("media_id", "turn_idx", "text", "start_ms", "end_ms"), quotes, shown(spark, d), chrome)
 
 
 #: Lengths: the last turn of every tenth recording ends 3 s beyond what was transcribed; of every third more was recorded than that.

@@ -97,3 +97,8 @@ def test_terms_not_pages_are_dealt_out(spark):
     p = catalog.frames(spark, D)._jdf.queryExecution().optimizedPlan().toString()
     joined = p[: p.index("Join Inner, (media_id")]
     assert "regexp_replace(html" not in joined and "regexp_replace(html" in p
+
+
+def test_no_word_and_no_term_of_prompts_is_dealt_out(spark):
+    p = plan(spark, "window_prompts")
+    assert not re.search(r"hashpartitioning\([^)]*\b(term|low|word|k|i|s|slot|__b)#", p) and "Exchange hashpartitioning(media_id" in p

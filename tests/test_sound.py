@@ -1,5 +1,6 @@
 """WAV files of all formats, slices, loudest windows; similarity joins; bootstrap draws; against brute force."""
 
+import difflib
 import random
 import struct
 
@@ -102,3 +103,14 @@ def test_bootstrap_draws_are_uniform(spark):
     assert scoring.bootstrap(b.limit(0)).count() == 0
     t = scoring._poisson()
     assert abs(t[0] / 2**32 - 0.36788) < 1e-4 and abs(t[1] / 2**32 - 0.73576) < 1e-4 and t == sorted(t)
+
+
+def test_best_ratios_equal_all_pairs():
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdeěz") for _ in range(rng.randint(1, 9)))
+    terms, words = [word() for _ in range(60)], sorted({word() for _ in range(80)})
+    want = [max(difflib.SequenceMatcher(None, t, w).ratio() for w in words) for t in terms]
+    for lo, hi in ((0.55, 0.97), (0.0, 1.0), (0.8, 0.8)):
+        got = similar.best_ratios(terms, words, lo, hi)
+        assert [g if lo <= g <= hi else None for g in got] == [w if lo <= w <= hi else None for w in want]
+    assert similar.best_ratios(terms, [], 0.5, 1) == [-1.0] * 60 and similar.best_ratios([], words, 0.5, 1) == []
